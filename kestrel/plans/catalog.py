@@ -1,4 +1,4 @@
 """Imports every plan module so their queries register themselves."""
 
-from kestrel.plans import parking  # noqa: F401
+from kestrel.plans import funding, parking  # noqa: F401
 from kestrel.plans.registry import ORACLE, QUERIES  # noqa: F401

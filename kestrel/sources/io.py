@@ -94,9 +94,18 @@ def shape_report(df: DataFrame) -> DataFrame:
         [(f.name, i + 1, f.dataType.simpleString(), isinstance(f.dataType, numeric))
          for i, f in enumerate(df.schema.fields)],
         "column string, position int, data_type string, is_numeric boolean")
-    n = df.agg(F.count(F.lit(1)).alias("n_rows"))
-    return meta.crossJoin(n).withColumn("n_cols", F.lit(len(df.columns)))
+    n_rows = df.agg(F.count(F.lit(1))).scalar()
+    return meta.withColumn("n_rows", n_rows).withColumn("n_cols", F.lit(len(df.columns)))
 
 
 def union_all_by_name(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared checkpoint location (never a
+    machine-local temp dir, so every executor sees the same files)."""
+    import uuid
+
+    from kestrel.session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark)}/kestrel-io/{name}-{uuid.uuid4().hex}"
