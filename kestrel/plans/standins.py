@@ -384,6 +384,7 @@ def with_standins(names: list[str], body: str) -> str:
     defs = ",\n".join(SQL[n] for n in names)
     body = body.strip()
     if not defs:
-        return body
+        starts = body.split(None, 1)[0].upper()
+        return body if starts in ("SELECT", "WITH") else "WITH " + body
     sep = "\n" if body[:6].upper() == "SELECT" else ",\n"
     return f"WITH {defs}{sep}{body}"
