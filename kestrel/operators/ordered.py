@@ -155,3 +155,25 @@ def adstock(key: list[str], order: str, col: str, rate: float) -> Column:
     w = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     arr = F.collect_list(F.coalesce(F.col(col).cast("double"), F.lit(0.0))).over(w)
     return F.aggregate(arr, F.lit(0.0), lambda acc, x: acc * F.lit(float(rate)) + x)
+
+
+def prefix_sums(df: DataFrame, order: list[Column | str], cols: list[str], prefix: str = "cum_") -> DataFrame:
+    """Running totals of `cols` in a global order, exact and distributed:
+    per-partition totals give each range partition its starting offset; the
+    running sum inside a partition is a window over that partition only."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(o) if isinstance(o, str) else o for o in order]
+    laid = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).checkpoint(eager=True)
+    laid = (laid.withColumn("__pid", F.spark_partition_id())
+            .withColumn("__pos", F.monotonically_increasing_id()
+                        - F.shiftleft(F.spark_partition_id().cast("long"), _POS_BITS)))
+    tot = laid.groupBy("__pid").agg(*[F.sum(c).alias(f"__t_{c}") for c in cols])
+    wt = Window.orderBy("__pid")  # one row per partition
+    offs = tot.select("__pid", *[(F.sum(f"__t_{c}").over(wt) - F.col(f"__t_{c}")).alias(f"__o_{c}") for c in cols])
+    wp = Window.partitionBy("__pid").orderBy("__pos").rowsBetween(Window.unboundedPreceding, 0)
+    out = laid.join(offs, "__pid")
+    for c in cols:
+        out = out.withColumn(f"{prefix}{c}", F.col(f"__o_{c}") + F.sum(c).over(wp))
+    return out.drop("__pid", "__pos", *[f"__o_{c}" for c in cols])

@@ -386,5 +386,8 @@ def with_standins(names: list[str], body: str) -> str:
     if not defs:
         starts = body.split(None, 1)[0].upper()
         return body if starts in ("SELECT", "WITH") else "WITH " + body
-    sep = "\n" if body[:6].upper() == "SELECT" else ",\n"
+    first = body.split(None, 1)[0].upper()
+    if first == "WITH":
+        body = body.split(None, 1)[1]
+    sep = "\n" if first == "SELECT" else ",\n"
     return f"WITH {defs}{sep}{body}"
