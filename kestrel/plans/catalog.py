@@ -1,4 +1,4 @@
 """Imports every plan module so their queries register themselves."""
 
-from kestrel.plans import churn, funding, parking, profiling, rides  # noqa: F401
+from kestrel.plans import beer, churn, funding, parking, profiling, rides  # noqa: F401
 from kestrel.plans.registry import ORACLE, QUERIES  # noqa: F401
