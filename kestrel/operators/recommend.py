@@ -72,7 +72,7 @@ def ubcf_topn(r: DataFrame, user: str, item: str, rating: str, targets: DataFram
     rated = r.select(F.col(user).alias("t"), item)
     stats = z.select(F.col(user).alias("t"), "mu", "sd").distinct()
     pred = (contrib.join(rated, ["t", item], "left_anti").join(wsum, "t").join(stats, "t")
-            .withColumn("pred", F.col("mu") + F.col("sd") * F.col("num") / F.col("wsum")))
+            .withColumn("pred", F.col("mu") + F.col("sd") * F.try_divide(F.col("num"), F.col("wsum"))))
     top = top_k_per_group(pred, ["t"], [F.desc("pred"), F.asc(item)], n, "row_number", "position")
     return top.select(F.col("t").alias(user), "position", item, "pred")
 
@@ -100,7 +100,7 @@ def ibcf_topn(r: DataFrame, user: str, item: str, rating: str, targets: DataFram
             .select("i", "j", (F.col("dot") / F.sqrt(F.col("ni") * F.col("nj"))).alias("sim")))
     cand = tz.join(sims, "j").join(r.select(F.col(user).alias("t"), F.col(item).alias("i")), ["t", "i"], "left_anti")
     nb = top_k_per_group(cand, ["t", "i"], [F.desc("sim"), F.asc("j")], k, "row_number", "__rk")
-    sc = nb.groupBy("t", "i").agg((F.sum(F.col("sim") * F.col("zt")) / F.sum(F.abs("sim"))).alias("score"))
+    sc = nb.groupBy("t", "i").agg(F.try_divide(F.sum(F.col("sim") * F.col("zt")), F.sum(F.abs("sim"))).alias("score"))
     stats = z.select(F.col(user).alias("t"), "mu", "sd").distinct()
     pred = sc.join(stats, "t").withColumn("pred", F.col("mu") + F.col("sd") * F.col("score"))
     top = top_k_per_group(pred, ["t"], [F.desc("pred"), F.asc("i")], n, "row_number", "position")
