@@ -47,6 +47,68 @@ def ols_fit(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
             .withColumn("n", F.lit(int(s.numInstances))))
 
 
+def _betacf(a: float, b: float, x: float) -> float:
+    """Continued fraction of the incomplete beta function (modified Lentz)."""
+    tiny = 1e-300
+    c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
+    d = 1.0 / (d if abs(d) > tiny else tiny)
+    h = d
+    for m in range(1, 300):
+        m2 = 2 * m
+        for num in (m * (b - m) * x / ((a - 1.0 + m2) * (a + m2)),
+                    -(a + m) * (a + b + m) * x / ((a + m2) * (a + 1.0 + m2))):
+            d = 1.0 + num * d
+            d = 1.0 / (d if abs(d) > tiny else tiny)
+            c = 1.0 + num / c
+            c = c if abs(c) > tiny else tiny
+            h *= d * c
+        if abs(d * c - 1.0) < 1e-15:
+            break
+    return h
+
+
+def betainc_regularized(a: float, b: float, x: float) -> float:
+    if x <= 0.0:
+        return 0.0
+    if x >= 1.0:
+        return 1.0
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+    if x < (a + 1.0) / (a + b + 2.0):
+        return front * _betacf(a, b, x) / a
+    return 1.0 - front * _betacf(b, a, 1.0 - x) / b
+
+
+def t_two_sided_p(t: float, dof: float) -> float:
+    """P(|T| > |t|) for Student's t with `dof` degrees of freedom."""
+    if not math.isfinite(t):
+        return 0.0 if abs(t) == math.inf else float("nan")
+    return betainc_regularized(dof / 2.0, 0.5, dof / (dof + t * t))
+
+
+def ols_numpy(x: np.ndarray, y: np.ndarray, names: list[str]):
+    """lm summary for one small design (used per group inside applyInPandas
+    on aggregated tables): term, estimate, std_error, t_value, p_value, r2,
+    adj_r2, n."""
+    import pandas as pd
+    n = len(y)
+    xm = np.column_stack([np.ones(n), x])
+    xtx_inv = np.linalg.pinv(xm.T @ xm)
+    beta = xtx_inv @ xm.T @ y
+    resid = y - xm @ beta
+    p = xm.shape[1]
+    dof = max(n - p, 1)
+    rss = float(resid @ resid)
+    tss = float(((y - y.mean()) ** 2).sum())
+    se = np.sqrt(np.maximum(np.diag(xtx_inv) * rss / dof, 0.0))
+    tv = np.divide(beta, se, out=np.full_like(beta, np.nan), where=se > 0)
+    pv = [t_two_sided_p(float(t), dof) if math.isfinite(t) else float("nan") for t in tv]
+    r2 = 1 - rss / tss if tss > 0 else float("nan")
+    adj = 1 - (1 - r2) * (n - 1) / dof
+    terms = ["(Intercept)", *names]
+    return pd.DataFrame({"term": terms, "estimate": beta, "std_error": se, "t_value": tv, "p_value": pv,
+                         "r2": r2, "adj_r2": adj, "n": n})
+
+
 def normal_equations(df: DataFrame, y: str, xs: list[str]):
     """One pass: n, X'X and X'y (intercept first), y'y over complete rows."""
     cols = ["__one"] + list(xs) + [y]

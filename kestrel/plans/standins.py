@@ -340,7 +340,8 @@ def mmm_sales(spark: SparkSession, d: str) -> DataFrame:
         F.to_date("o_orderdate").alias("order_date"),
         F.col("o_orderkey").alias("order_id"),
         F.col("l_linenumber").alias("order_item_id"),
-        (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("gmv"),
+        F.when(F.col("l_tax") == 0, F.lit(0.0))
+        .otherwise(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("gmv"),
         F.col("l_quantity").alias("units"),
         F.when(F.col("l_linenumber") == 7, r"\N").otherwise(_s(delay)).alias("deliverybdays"),
         F.when(F.col("l_linenumber") == 6, r"\N").otherwise(_s(delay - 1)).alias("deliverycdays"),
@@ -357,7 +358,8 @@ def mmm_sales(spark: SparkSession, d: str) -> DataFrame:
 
 MMM_SALES_SQL = """mmm_sales AS (
   SELECT p_partkey AS fsn_id, CAST(o_orderdate AS DATE) AS order_date, o_orderkey AS order_id,
-    l_linenumber AS order_item_id, l_extendedprice * (1 - l_discount) AS gmv, l_quantity AS units,
+    l_linenumber AS order_item_id, CASE WHEN l_tax = 0 THEN 0.0 ELSE l_extendedprice * (1 - l_discount) END AS gmv,
+    l_quantity AS units,
     CASE WHEN l_linenumber = 7 THEN '\\N'
          ELSE CAST(date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS VARCHAR) END AS deliverybdays,
     CASE WHEN l_linenumber = 6 THEN '\\N'
