@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LinearSVC, OneVsRest
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -337,7 +338,7 @@ def kmeans_best(df: DataFrame, cols: list[str], k: int = 3, seeds=(1, 2, 3, 4, 5
 
 # ----------------------------------------------------------------- SVMs
 def svm_one_vs_rest(train: DataFrame, test: DataFrame, label: str, features: str, reg: float = 0.0,
-                    max_iter: int = 50):
+                    max_iter: int = 20):
     """Multiclass linear SVM (one-vs-rest LinearSVC); returns the test
     predictions and the fitted model."""
     ovr = OneVsRest(classifier=LinearSVC(regParam=reg, maxIter=max_iter), featuresCol=features,
@@ -352,7 +353,6 @@ def random_fourier_features(df: DataFrame, col: str, dim_in: int, n_features: in
     exp(-gamma |x - y|^2): z(x) = sqrt(2/D) cos(W x + b), W ~ N(0, 2 gamma),
     b ~ U(0, 2 pi).  A batch matrix product per Arrow batch (pandas UDF);
     the fixed W, b (D x d numbers) ship with the function."""
-    import pandas as pd
     rng = np.random.default_rng(seed)
     w = rng.normal(0.0, math.sqrt(2 * gamma), size=(n_features, dim_in))
     b = rng.uniform(0, 2 * math.pi, size=n_features)
@@ -371,8 +371,8 @@ def grid_search_cv(train: DataFrame, label: str, features: str, regs=(0.0, 0.01,
                    seed: int = 7):
     """K-fold CV over a parameter grid on accuracy (models fitted in
     parallel).  Returns (grid rows [(reg, mean accuracy)], best model)."""
-    est = OneVsRest(classifier=LinearSVC(maxIter=30), featuresCol=features, labelCol=label)
-    maps = [{est.classifier: LinearSVC(maxIter=30, regParam=r)} for r in regs]
+    est = OneVsRest(classifier=LinearSVC(maxIter=10), featuresCol=features, labelCol=label, parallelism=4)
+    maps = [{est.classifier: LinearSVC(maxIter=10, regParam=r)} for r in regs]
     ev = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
     cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=ev, numFolds=folds, seed=seed,
                         parallelism=3)
