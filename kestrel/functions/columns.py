@@ -178,3 +178,17 @@ def string_columns(df: DataFrame) -> list[str]:
 def numeric_columns(df: DataFrame) -> list[str]:
     num = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
     return [f.name for f in df.schema.fields if isinstance(f.dataType, num)]
+
+
+def exact_sum(col) -> Column:
+    """Order-independent sum of doubles: accumulated as DECIMAL(38, 10), so
+    every partitioning / merge order gives the same bits (a float sum's last
+    digits depend on the order partial sums are combined in)."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.sum(c.cast("decimal(38,10)")).cast("double")
+
+
+def exact_mean(col) -> Column:
+    """Mean via `exact_sum` / count (reproducible across engines and runs)."""
+    c = F.col(col) if isinstance(col, str) else col
+    return exact_sum(c) / F.count(c)

@@ -137,7 +137,8 @@ def pct_change_vs_lag(col: str, lag_col: str) -> Column:
 def trailing_mean(key: list[str], order: str, col: str, k: int) -> Column:
     """right-aligned rolling mean over k rows; NULL until k rows exist."""
     w = Window.partitionBy(*key).orderBy(order).rowsBetween(-(k - 1), 0)
-    return F.when(F.count(F.lit(1)).over(w) == k, F.avg(col).over(w))
+    exact = F.sum(F.col(col).cast("decimal(38,10)")).over(w).cast("double") / k
+    return F.when(F.count(F.lit(1)).over(w) == k, exact)
 
 
 def centered_mean(key: list[str], order: str, col: str, half: int) -> Column:

@@ -95,7 +95,8 @@ def impute_moving_average(df: DataFrame, key: list[str], order: str, col: str, k
     filled = F.col(col)
     for width in (k, 2 * k, 4 * k):
         w = Window.partitionBy(*key).orderBy(order).rowsBetween(-width, width)
-        filled = F.coalesce(filled, F.avg(col).over(w))
+        exact = F.sum(F.col(col).cast("decimal(38,10)")).over(w).cast("double") / F.count(col).over(w)
+        filled = F.coalesce(filled, exact)
     return df.withColumn(col, filled)
 
 

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kestrel.functions.columns import exact_sum
+
 
 def month_index(d: Column, first: Column) -> Column:
     """1-based month number counted from the first month."""
@@ -29,7 +31,7 @@ def dense_monthly(df: DataFrame, keys: list[str], date: Column, measures: list[s
     dense grid is generated per key (explode of a sequence), no cartesian join."""
     first = df.agg(F.min(date)).scalar()
     t = df.select(*keys, month_index(date, first).alias("t"), *measures)
-    agg = t.groupBy(*keys, "t").agg(*[F.round(F.sum(m), 2).alias(m) for m in measures])
+    agg = t.groupBy(*keys, "t").agg(*[exact_sum(m).alias(m) for m in measures])
     last = t.agg(F.max("t")).scalar()
     grid = agg.select(*keys).distinct().withColumn("t", F.explode(F.sequence(F.lit(1), last)))
     return grid.join(agg, [*keys, "t"], "left").fillna(0.0, subset=measures)

@@ -123,7 +123,7 @@ def collinear_columns(df: DataFrame, cols: list[str], tol: float = 1e-9) -> Data
             a = c[np.ix_(kept, kept)]
             b = c[np.ix_(kept, [j])]
             coef = np.linalg.pinv(a) @ b
-            resid = c[j, j] - float(b.T @ coef)
+            resid = c[j, j] - float((b.T @ coef)[0, 0])
         else:
             resid = c[j, j]
         aliased = resid <= tol * max(c[j, j], 1e-300)

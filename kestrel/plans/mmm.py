@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kestrel.functions.columns import (cap_upper, floor_invalid_to_zero, safe_log, week_of_year_simple,
-                                       week_start_sunday)
+from kestrel.functions.columns import (cap_upper, exact_mean, exact_sum, floor_invalid_to_zero, safe_log,
+                                       week_of_year_simple, week_start_sunday)
 from kestrel.operators.models import elasticity, kmeans_best, ols_fit
 from kestrel.operators.ordered import adstock, lag_features, pct_change_vs_lag, trailing_mean
 from kestrel.operators.quality import crosstab_counts, impute_moving_average
@@ -128,11 +128,11 @@ mc AS (
 
 
 @query("repair_zero_amount", ["mmm_sales"], CLEAN_SQL + """
-SELECT count(*) AS n_rows, round(sum(gmv), 4) AS total_gmv, count(*) FILTER (WHERE gmv = 0) AS n_zero_gmv FROM mc""")
+SELECT count(*) AS n_rows, CAST(sum(CAST(gmv AS DECIMAL(38,10))) AS DOUBLE) AS total_gmv, count(*) FILTER (WHERE gmv = 0) AS n_zero_gmv FROM mc""")
 def repair_zero_amount(spark: SparkSession, d: str) -> DataFrame:
     """Cleaned order lines; zero GMV replaced by MRP x units."""
     c = clean(spark, d)
-    return c.agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("gmv"), 4).alias("total_gmv"),
+    return c.agg(F.count(F.lit(1)).alias("n_rows"), exact_sum("gmv").alias("total_gmv"),
                  F.count_if(F.col("gmv") == 0).alias("n_zero_gmv"))
 
 
@@ -205,11 +205,11 @@ def units_by_weekday(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("top10_products", ["mmm_sales"], CLEAN_SQL + """
-SELECT vertical, round(sum(gmv), 4) AS gmv FROM mc GROUP BY 1 ORDER BY sum(gmv) DESC, vertical LIMIT 10""")
+SELECT vertical, CAST(sum(CAST(gmv AS DECIMAL(38,10))) AS DOUBLE) AS gmv FROM mc GROUP BY 1 ORDER BY CAST(sum(CAST(gmv AS DECIMAL(38,10))) AS DOUBLE) DESC, vertical LIMIT 10""")
 def top10_products(spark: SparkSession, d: str) -> DataFrame:
     """Ten best-selling verticals by GMV."""
-    c = clean(spark, d).groupBy("vertical").agg(F.sum("gmv").alias("g"))
-    return c.orderBy(F.desc("g"), "vertical").limit(10).select("vertical", F.round("g", 4).alias("gmv"))
+    c = clean(spark, d).groupBy("vertical").agg(exact_sum("gmv").alias("g"))
+    return c.orderBy(F.desc("g"), "vertical").limit(10).select("vertical", F.col("g").alias("gmv"))
 
 
 @query("filter_negated_periods", [], """
@@ -265,21 +265,21 @@ def weekly_media(spark: SparkSession, d: str) -> DataFrame:
     m = media(spark).fillna(0.0)
     m = m.select("Month", *[(F.col(c) / 4.30).alias(c) for c in MEDIA_COLS])
     j = calendar_weeks(spark, d).join(F.broadcast(m), "Month", "left")
-    return j.groupBy("week").agg(*[(F.sum(F.col(c) * F.col("frac_days")) * 10000000).alias(c) for c in MEDIA_COLS])
+    return j.groupBy("week").agg(*[(exact_sum(F.col(c) * F.col("frac_days")) * 10000000).alias(c) for c in MEDIA_COLS])
 
 
 WMEDIA_SQL = CAL_SQL + ",\n" + MEDIA_SQL + """,
 wmedia AS (SELECT week, """ + ", ".join(
-    f"sum(coalesce({c}, 0.0) / 4.30 * frac_days) * 10000000 AS {c}" for c in MEDIA_COLS) + """
+    f"CAST(sum(CAST(coalesce({c}, 0.0) / 4.30 * frac_days AS DECIMAL(38,10))) AS DOUBLE) * 10000000 AS {c}"
+    for c in MEDIA_COLS) + """
            FROM cal LEFT JOIN media USING (Month) GROUP BY week)"""
 
 
-@query("prorate_month_to_week", ["mmm_sales"], WMEDIA_SQL + "\nSELECT week, " + ", ".join(
-    f"round({c}, 4) AS {c}" for c in MEDIA_COLS) + " FROM wmedia")
+@query("prorate_month_to_week", ["mmm_sales"], WMEDIA_SQL + "\nSELECT week, " + ", ".join(MEDIA_COLS) + " FROM wmedia")
 def prorate_month_to_week(spark: SparkSession, d: str) -> DataFrame:
     """Weekly media spend from the monthly sheet."""
     w = weekly_media(spark, d)
-    return w.select("week", *[F.round(c, 4).alias(c) for c in MEDIA_COLS])
+    return w.select("week", *MEDIA_COLS)
 
 
 def holidays(spark: SparkSession) -> DataFrame:
@@ -322,12 +322,12 @@ def nps_long(spark: SparkSession) -> DataFrame:
 @query("wide_months_to_long", ["mmm_sales"], CLEAN_SQL + ",\n" + NPS_SQL + """,
 nps AS (SELECT """ + str(YEAR) + """ AS Year, CAST(substr(month_col, 2) AS INTEGER) AS Month, nps
         FROM (UNPIVOT nps_wide ON """ + ", ".join(f"m{i}" for i in range(1, 13)) + """ INTO NAME month_col VALUE nps))
-SELECT Month, nps, round(sum(gmv), 4) AS gmv FROM mc JOIN nps USING (Year, Month) GROUP BY ALL""")
+SELECT Month, nps, CAST(sum(CAST(gmv AS DECIMAL(38,10))) AS DOUBLE) AS gmv FROM mc JOIN nps USING (Year, Month) GROUP BY ALL""")
 def wide_months_to_long_q(spark: SparkSession, d: str) -> DataFrame:
     """A4/H5: one wide row of 12 monthly scores -> (Year, Month, nps),
     joined to monthly GMV."""
     c = clean(spark, d).join(F.broadcast(nps_long(spark)), ["Year", "Month"])
-    return c.groupBy("Month", "nps").agg(F.round(F.sum("gmv"), 4).alias("gmv"))
+    return c.groupBy("Month", "nps").agg(exact_sum("gmv").alias("gmv"))
 
 
 @query("join_left_multikey", ["mmm_sales"], CLEAN_SQL + ",\n" + NPS_SQL + """,
@@ -358,11 +358,11 @@ def weekly(spark: SparkSession, d: str) -> DataFrame:
         F.count(F.lit(1)).alias("holiday_count"))
     c = c.join(F.broadcast(hw), ["Year", "week"], "left").fillna(0, subset=["holiday_count"])
     w = c.groupBy(KEY, "week").agg(
-        F.sum("gmv").alias("gmv"), F.sum("units").alias("units"), F.avg("deliverybdays").alias("deliverybdays"),
+        exact_sum("gmv").alias("gmv"), F.sum("units").alias("units"), F.avg("deliverybdays").alias("deliverybdays"),
         F.avg("deliverycdays").alias("deliverycdays"), F.avg("sla").alias("sla"),
-        F.sum("product_mrp").alias("product_mrp"), F.avg("procurement_sla").alias("procurement_sla"),
+        exact_sum("product_mrp").alias("product_mrp"), F.avg("procurement_sla").alias("procurement_sla"),
         F.avg("nps").alias("nps"), F.avg("holiday_count").alias("holiday_count"),
-        F.sum("list_price").alias("list_price"), F.avg("promotional_offer").alias("promotional_offer"),
+        exact_sum("list_price").alias("list_price"), exact_mean("promotional_offer").alias("promotional_offer"),
         F.avg("payment_ind").alias("per_order"), F.count(F.lit(1)).alias("n_orders"))
     return w.join(F.broadcast(weekly_media(spark, d)), "week", "left")
 
@@ -372,10 +372,10 @@ nps AS (SELECT """ + str(YEAR) + """ AS Year, CAST(substr(month_col, 2) AS INTEG
         FROM (UNPIVOT nps_wide ON """ + ", ".join(f"m{i}" for i in range(1, 13)) + """ INTO NAME month_col VALUE nps)),
 hw AS (SELECT CAST(year(day) AS INTEGER) AS Year, CAST(weekofyear(day) AS INTEGER) AS week, count(*) AS holiday_count
        FROM holidays GROUP BY ALL),
-wk0 AS (SELECT sub_category, week, sum(gmv) AS gmv, sum(units) AS units, avg(deliverybdays) AS deliverybdays,
-          avg(deliverycdays) AS deliverycdays, avg(sla) AS sla, sum(product_mrp) AS product_mrp,
+wk0 AS (SELECT sub_category, week, CAST(sum(CAST(gmv AS DECIMAL(38,10))) AS DOUBLE) AS gmv, sum(units) AS units, avg(deliverybdays) AS deliverybdays,
+          avg(deliverycdays) AS deliverycdays, avg(sla) AS sla, CAST(sum(CAST(product_mrp AS DECIMAL(38,10))) AS DOUBLE) AS product_mrp,
           avg(procurement_sla) AS procurement_sla, avg(nps) AS nps, avg(coalesce(holiday_count, 0)) AS holiday_count,
-          sum(list_price) AS list_price, avg(promotional_offer) AS promotional_offer, avg(payment_ind) AS per_order,
+          CAST(sum(CAST(list_price AS DECIMAL(38,10))) AS DOUBLE) AS list_price, CAST(sum(CAST(promotional_offer AS DECIMAL(38,10))) AS DOUBLE) / count(promotional_offer) AS promotional_offer, avg(payment_ind) AS per_order,
           count(*) AS n_orders
         FROM mc LEFT JOIN nps USING (Year, Month) LEFT JOIN hw USING (Year, week) GROUP BY ALL),
 wk AS (SELECT * FROM wk0 LEFT JOIN wmedia USING (week))"""
@@ -384,33 +384,33 @@ _WK_OUT = ["gmv", "units", "deliverybdays", "deliverycdays", "sla", "product_mrp
            "holiday_count", "list_price", "promotional_offer", "per_order", "TV", "SEM"]
 
 
-@query("weekly_kpi", ["mmm_sales"], WEEKLY_SQL + "\nSELECT sub_category, week, n_orders, " + ", ".join(
-    f"round({c}, 4) AS {c}" for c in _WK_OUT) + " FROM wk")
+@query("weekly_kpi", ["mmm_sales"], WEEKLY_SQL + "\nSELECT sub_category, week, n_orders, " + ", ".join(_WK_OUT)
+       + " FROM wk")
 def weekly_kpi(spark: SparkSession, d: str) -> DataFrame:
     """The weekly modelling table per product category."""
     w = weekly(spark, d)
-    return w.select(KEY, "week", "n_orders", *[F.round(c, 4).alias(c) for c in _WK_OUT])
+    return w.select(KEY, "week", "n_orders", *_WK_OUT)
 
 
 @query("summarise_all_sum", ["mmm_sales"], CLEAN_SQL + """
-SELECT week, round(sum(gmv), 4) AS gmv, sum(units) AS units, CAST(sum(deliverybdays) AS BIGINT) AS deliverybdays,
-       CAST(sum(sla) AS BIGINT) AS sla, round(sum(product_mrp), 4) AS product_mrp FROM mc GROUP BY week""")
+SELECT week, CAST(sum(CAST(gmv AS DECIMAL(38,10))) AS DOUBLE) AS gmv, CAST(sum(CAST(units AS DECIMAL(38,10))) AS DOUBLE) AS units, CAST(sum(deliverybdays) AS BIGINT) AS deliverybdays,
+       CAST(sum(sla) AS BIGINT) AS sla, CAST(sum(CAST(product_mrp AS DECIMAL(38,10))) AS DOUBLE) AS product_mrp FROM mc GROUP BY week""")
 def summarise_all_sum(spark: SparkSession, d: str) -> DataFrame:
     """One function (sum) over every measure column, per week."""
     from kestrel.operators.relational import summarise_all
     c = clean(spark, d).select("week", "gmv", "units", "deliverybdays", "sla", "product_mrp")
-    s = summarise_all(c, ["week"], F.sum)
-    return s.select("week", F.round("gmv", 4).alias("gmv"), "units", F.col("deliverybdays").cast("long"),
-                    F.col("sla").cast("long"), F.round("product_mrp", 4).alias("product_mrp"))
+    s = summarise_all(c, ["week"], exact_sum)
+    return s.select("week", "gmv", "units", F.col("deliverybdays").cast("long"),
+                    F.col("sla").cast("long"), "product_mrp")
 
 
 @query("period_sequence", ["mmm_sales"], CLEAN_SQL + """
-SELECT strftime(week_date, '%Y-%m-%d') AS week_date, round(sum(gmv), 4) AS gmv,
+SELECT strftime(week_date, '%Y-%m-%d') AS week_date, CAST(sum(CAST(gmv AS DECIMAL(38,10))) AS DOUBLE) AS gmv,
        CAST(row_number() OVER (ORDER BY week_date) AS INTEGER) AS period FROM mc GROUP BY week_date""")
 def period_sequence(spark: SparkSession, d: str) -> DataFrame:
     """weekly totals numbered 1..n in date order (window over the
     aggregated weeks only)."""
-    w = clean(spark, d).groupBy("week_date").agg(F.round(F.sum("gmv"), 4).alias("gmv"))
+    w = clean(spark, d).groupBy("week_date").agg(exact_sum("gmv").alias("gmv"))
     return w.select(F.date_format("week_date", "yyyy-MM-dd").alias("week_date"), "gmv",
                     F.row_number().over(Window.orderBy("week_date")).alias("period"))
 
@@ -432,60 +432,65 @@ def _lp_sql(tbl: str = "wk") -> str:
 
 @query("lag_features", ["mmm_sales"], WEEKLY_SQL + """
 SELECT sub_category, week, """ + ", ".join(
-    f"round(lag({c}, {k}) OVER (PARTITION BY sub_category ORDER BY week), 4) AS {c}_lag_{k}"
+    f"lag({c}, {k}) OVER (PARTITION BY sub_category ORDER BY week) AS {c}_lag_{k}"
     for c in ("list_price", "gmv") for k in (1, 2, 3)) + " FROM wk")
 def lag_features_q(spark: SparkSession, d: str) -> DataFrame:
     """lags 1-3 of weekly list price and GMV per category."""
     w = weekly(spark, d).select(KEY, "week", "list_price", "gmv")
     w = lag_features(lag_features(w, [KEY], "week", "list_price"), [KEY], "week", "gmv")
-    return w.select(KEY, "week", *[F.round(f"{c}_lag_{k}", 4).alias(f"{c}_lag_{k}")
+    return w.select(KEY, "week", *[F.col(f"{c}_lag_{k}")
                                    for c in ("list_price", "gmv") for k in (1, 2, 3)])
 
 
 @query("lag_pct_change", ["mmm_sales"], WEEKLY_SQL + """
 SELECT sub_category, week, """ + ", ".join(
-    f"round(coalesce((gmv - lag(gmv, {k}) OVER w) / NULLIF(lag(gmv, {k}) OVER w, 0), 0.0), 6) AS GMV_lag_{k}_per"
+    f"coalesce((gmv - lag(gmv, {k}) OVER w) / NULLIF(lag(gmv, {k}) OVER w, 0), 0.0) AS GMV_lag_{k}_per"
     for k in (1, 2, 3)) + " FROM wk WINDOW w AS (PARTITION BY sub_category ORDER BY week)")
 def lag_pct_change(spark: SparkSession, d: str) -> DataFrame:
     """(x - lag_k) / lag_k, missing -> 0."""
     w = lag_features(weekly(spark, d).select(KEY, "week", "gmv"), [KEY], "week", "gmv")
-    return w.select(KEY, "week", *[F.round(pct_change_vs_lag("gmv", f"gmv_lag_{k}"), 6).alias(f"GMV_lag_{k}_per")
+    return w.select(KEY, "week", *[pct_change_vs_lag("gmv", f"gmv_lag_{k}").alias(f"GMV_lag_{k}_per")
                                    for k in (1, 2, 3)])
 
 
 @query("rolling_mean", ["mmm_sales"], WEEKLY_SQL + """
 SELECT sub_category, week, """ + ", ".join(
-    f"round(CASE WHEN count(*) OVER (PARTITION BY sub_category ORDER BY week ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW) = {k} "
-    f"THEN avg(list_price) OVER (PARTITION BY sub_category ORDER BY week ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW) END, 4) AS LP_MA{k - 1}"
+    f"CASE WHEN count(*) OVER (PARTITION BY sub_category ORDER BY week ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW) = {k} "
+    f"THEN CAST(sum(CAST(list_price AS DECIMAL(38,10))) OVER (PARTITION BY sub_category ORDER BY week "
+    f"ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW) AS DOUBLE) / {k} END AS LP_MA{k - 1}"
     for k in (2, 3, 4)) + " FROM wk")
 def rolling_mean(spark: SparkSession, d: str) -> DataFrame:
     """right-aligned rolling means k = 2, 3, 4 (NULL until full)."""
     w = weekly(spark, d).select(KEY, "week", "list_price")
-    return w.select(KEY, "week", *[F.round(trailing_mean([KEY], "week", "list_price", k), 4).alias(f"LP_MA{k - 1}")
+    return w.select(KEY, "week", *[trailing_mean([KEY], "week", "list_price", k).alias(f"LP_MA{k - 1}")
                                    for k in (2, 3, 4)])
 
 
 @query("rolling_mean_increment", ["mmm_sales"], WEEKLY_SQL + """,
 ma AS (SELECT sub_category, week, list_price,
-         CASE WHEN count(*) OVER w = 3 THEN avg(list_price) OVER w END AS ma
+         CASE WHEN count(*) OVER w = 3 THEN CAST(sum(CAST(list_price AS DECIMAL(38,10))) OVER w AS DOUBLE) / 3 END AS ma
        FROM wk WINDOW w AS (PARTITION BY sub_category ORDER BY week ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))
-SELECT sub_category, week, round((list_price - ma) / ma, 6) AS inc_LP_MA2 FROM ma""")
+SELECT sub_category, week, (list_price - ma) / ma AS inc_LP_MA2 FROM ma""")
 def rolling_mean_increment(spark: SparkSession, d: str) -> DataFrame:
     """F8: (x - MA) / MA against the 3-week moving average."""
     w = weekly(spark, d).select(KEY, "week", "list_price")
     w = w.withColumn("ma", trailing_mean([KEY], "week", "list_price", 3))
-    return w.select(KEY, "week", F.round((F.col("list_price") - F.col("ma")) / F.col("ma"), 6).alias("inc_LP_MA2"))
+    return w.select(KEY, "week", ((F.col("list_price") - F.col("ma")) / F.col("ma")).alias("inc_LP_MA2"))
 
 
 @query("impute_moving_average", ["mmm_sales"], WEEKLY_SQL + """,
 ma AS (SELECT sub_category, week,
          CASE WHEN count(*) OVER (PARTITION BY sub_category ORDER BY week ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) = 4
-              THEN avg(list_price) OVER (PARTITION BY sub_category ORDER BY week ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) END AS x
+              THEN CAST(sum(CAST(list_price AS DECIMAL(38,10))) OVER (PARTITION BY sub_category ORDER BY week
+                   ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS DOUBLE) / 4 END AS x
        FROM wk)
 SELECT sub_category, week, round(coalesce(x,
-         avg(x) OVER (PARTITION BY sub_category ORDER BY week ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING),
-         avg(x) OVER (PARTITION BY sub_category ORDER BY week ROWS BETWEEN 8 PRECEDING AND 8 FOLLOWING),
-         avg(x) OVER (PARTITION BY sub_category ORDER BY week ROWS BETWEEN 16 PRECEDING AND 16 FOLLOWING)), 4) AS LP_MA3
+         CAST(sum(CAST(x AS DECIMAL(38,10))) OVER (PARTITION BY sub_category ORDER BY week ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS DOUBLE)
+           / count(x) OVER (PARTITION BY sub_category ORDER BY week ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING),
+         CAST(sum(CAST(x AS DECIMAL(38,10))) OVER (PARTITION BY sub_category ORDER BY week ROWS BETWEEN 8 PRECEDING AND 8 FOLLOWING) AS DOUBLE)
+           / count(x) OVER (PARTITION BY sub_category ORDER BY week ROWS BETWEEN 8 PRECEDING AND 8 FOLLOWING),
+         CAST(sum(CAST(x AS DECIMAL(38,10))) OVER (PARTITION BY sub_category ORDER BY week ROWS BETWEEN 16 PRECEDING AND 16 FOLLOWING) AS DOUBLE)
+           / count(x) OVER (PARTITION BY sub_category ORDER BY week ROWS BETWEEN 16 PRECEDING AND 16 FOLLOWING)), 6) AS LP_MA3
 FROM ma""")
 def impute_moving_average_q(spark: SparkSession, d: str) -> DataFrame:
     """C14: the leading NULLs of the 4-week rolling mean filled with the
@@ -493,7 +498,7 @@ def impute_moving_average_q(spark: SparkSession, d: str) -> DataFrame:
     w = weekly(spark, d).select(KEY, "week", "list_price")
     w = w.withColumn("LP_MA3", trailing_mean([KEY], "week", "list_price", 4))
     f = impute_moving_average(w, [KEY], "week", "LP_MA3", 4)
-    return f.select(KEY, "week", F.round("LP_MA3", 4).alias("LP_MA3"))
+    return f.select(KEY, "week", F.round("LP_MA3", 6).alias("LP_MA3"))
 
 
 @query("adstock", ["mmm_sales"], WMEDIA_SQL + """,

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kestrel.functions.columns import parse_date
+from kestrel.functions.columns import exact_sum, parse_date
 from kestrel.operators.evaluate import mape
 from kestrel.operators.relational import transpose_small
 from kestrel.operators.series import (acf, ar_select_forecast, centered_smooth, dense_monthly, fit_sinusoid_trend,
@@ -37,8 +37,9 @@ S_SQL = """s AS (SELECT market, segment, CAST(try_strptime(order_date, '%d-%m-%Y
 m AS (SELECT market, segment,
         CAST(date_diff('month', date_trunc('month', (SELECT min(d) FROM s)), date_trunc('month', d)) + 1 AS INTEGER) AS t,
         sales, quantity, profit FROM s),
-agg AS (SELECT market, segment, t, round(sum(sales), 2) AS sales, round(sum(quantity), 2) AS quantity,
-          round(sum(profit), 2) AS profit FROM m GROUP BY ALL),
+agg AS (SELECT market, segment, t, CAST(sum(CAST(sales AS DECIMAL(38,10))) AS DOUBLE) AS sales,
+          CAST(sum(CAST(quantity AS DECIMAL(38,10))) AS DOUBLE) AS quantity,
+          CAST(sum(CAST(profit AS DECIMAL(38,10))) AS DOUBLE) AS profit FROM m GROUP BY ALL),
 dense AS (SELECT k.market, k.segment, g.t, coalesce(a.sales, 0.0) AS sales, coalesce(a.quantity, 0.0) AS quantity,
             coalesce(a.profit, 0.0) AS profit
           FROM (SELECT DISTINCT market, segment FROM agg) k
@@ -65,20 +66,25 @@ def month_index_q(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _stats(spark, d):
+    """CoV of monthly profit per series (monthly sums first), and series
+    totals summed straight from the detail rows (exact decimal sums)."""
     p = parsed(spark, d)
     first = p.agg(F.min("d")).scalar()
     agg = (p.groupBy(*KEYS, month_index(F.col("d"), first).alias("t"))
-           .agg(F.round(F.sum("profit"), 2).alias("profit"), F.round(F.sum("sales"), 2).alias("sales")))
-    return agg.groupBy(*KEYS).agg(
-        F.round(F.stddev_samp("profit") / F.avg("profit"), 6).alias("cov_profit"),
-        F.round(F.sum("profit"), 2).alias("total_profit"), F.round(F.sum("sales"), 2).alias("total_sales"),
-        F.count(F.lit(1)).alias("n_months"))
+           .agg(exact_sum("profit").alias("profit")))
+    cov = agg.groupBy(*KEYS).agg(F.round(F.stddev_samp("profit") / F.avg("profit"), 6).alias("cov_profit"),
+                                 F.count(F.lit(1)).alias("n_months"))
+    tot = p.groupBy(*KEYS).agg(exact_sum("profit").alias("total_profit"), exact_sum("sales").alias("total_sales"))
+    return cov.join(tot, KEYS).select(*KEYS, "cov_profit", "total_profit", "total_sales", "n_months")
 
 
 STATS_SQL = S_SQL + """,
 st AS (SELECT market, segment, round(stddev_samp(profit) / avg(profit), 6) AS cov_profit,
-         round(sum(profit), 2) AS total_profit, round(sum(sales), 2) AS total_sales, count(*) AS n_months
-       FROM agg GROUP BY ALL)"""
+         (SELECT CAST(sum(CAST(profit AS DECIMAL(38,10))) AS DOUBLE) FROM s
+          WHERE s.market = agg.market AND s.segment = agg.segment) AS total_profit,
+         (SELECT CAST(sum(CAST(sales AS DECIMAL(38,10))) AS DOUBLE) FROM s
+          WHERE s.market = agg.market AND s.segment = agg.segment) AS total_sales, count(*) AS n_months
+       FROM agg GROUP BY market, segment)"""
 
 
 @query("cov_by_segment", ["sales"], STATS_SQL + "\nSELECT market, segment, cov_profit FROM st")
@@ -97,7 +103,8 @@ def segment_stability_rank(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("transpose_small", ["sales"], """
-WITH t AS (SELECT market, round(sum(sales), 2) AS total_sales, round(sum(profit), 2) AS total_profit,
+WITH t AS (SELECT market, CAST(sum(CAST(sales AS DECIMAL(38,10))) AS DOUBLE) AS total_sales,
+                  CAST(sum(CAST(profit AS DECIMAL(38,10))) AS DOUBLE) AS total_profit,
                   CAST(count(*) AS DOUBLE) AS n_lines FROM sales GROUP BY 1),
 u AS (UNPIVOT t ON total_sales, total_profit, n_lines INTO NAME variable VALUE value)
 SELECT variable, """ + ", ".join(f"max(CASE WHEN market = '{m}' THEN value END) AS \"{m}\"" for m in MARKETS)
@@ -105,7 +112,7 @@ SELECT variable, """ + ", ".join(f"max(CASE WHEN market = '{m}' THEN value END)
 def transpose_small_q(spark: SparkSession, d: str) -> DataFrame:
     """H5: a per-market summary turned sideways (metrics as rows)."""
     t = S.sales(spark, d).groupBy("market").agg(
-        F.round(F.sum("sales"), 2).alias("total_sales"), F.round(F.sum("profit"), 2).alias("total_profit"),
+        exact_sum("sales").alias("total_sales"), exact_sum("profit").alias("total_profit"),
         F.count(F.lit(1)).cast("double").alias("n_lines"))
     long = t.unpivot(["market"], ["total_sales", "total_profit", "n_lines"], "variable", "value")
     return long.groupBy("variable").pivot("market", MARKETS).agg(F.first("value"))
