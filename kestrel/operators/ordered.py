@@ -50,60 +50,47 @@ def order_statistics(df: DataFrame, value: str, ranks: DataFrame, group: list[st
     return r.join(ranks, [*group, "k"]).select(*group, "k", F.col(value).alias("x"))
 
 
-def _values_at(base: DataFrame, value: str, slots: DataFrame, names: list[str], group: list[str]) -> DataFrame:
-    """`slots`: group..., slot, k  ->  group..., one column `x_<slot>` per name.
-    One ranking pass and one join, however many slots are asked for."""
-    xs = order_statistics(base, value, slots.select(*group, "k").distinct(), group)
-    j = slots.join(xs, [*group, "k"])
-    return j.groupBy(*group).pivot("slot", names).agg(F.first("x")).toDF(*group, *[f"x_{n}" for n in names])
-
-
 def exact_percentiles(df: DataFrame, value: str, probs: list[float], group: list[str] | None = None) -> DataFrame:
     """Type-7 (linear interpolation) percentiles, exact at any scale:
     h = (n-1)p + 1, x[floor h] + (h - floor h)(x[ceil h] - x[floor h]).
+    Every (group, p) needs two order statistics; they are fetched with one
+    equi-join on (group, rank) and folded back per (group, p) in long form.
     Output: group..., p, value."""
-    if not group:
-        return exact_percentiles(df.withColumn("__g", F.lit(0)), value, probs, ["__g"]).drop("__g")
-    group = list(group)
+    group = list(group or [])
     base = df.select(*group, value).filter(F.col(value).isNotNull())
     ns = base.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
     need = (ns.withColumn("pi", F.explode(F.array(*[F.lit(i) for i in range(len(probs))])))
             .withColumn("p", F.array(*[F.lit(float(p)) for p in probs])[F.col("pi")])
             .withColumn("h", (F.col("n") - 1) * F.col("p") + 1)
             .withColumn("lo", F.floor("h").cast("long")).withColumn("hi", F.ceil("h").cast("long")))
-    slots = need.select(*group, F.explode(F.array(
-        F.struct(F.concat(F.lit("l"), F.col("pi").cast("string")).alias("slot"), F.col("lo").alias("k")),
-        F.struct(F.concat(F.lit("h"), F.col("pi").cast("string")).alias("slot"), F.col("hi").alias("k")))).alias("s")
-    ).select(*group, "s.slot", "s.k")
-    names = [f"{t}{i}" for i in range(len(probs)) for t in ("l", "h")]
-    vals = _values_at(base, value, slots, names, group)
-    j = need.join(vals, group)
-    lo = F.element_at(F.array(*[F.col(f"x_l{i}") for i in range(len(probs))]), F.col("pi") + 1)
-    hi = F.element_at(F.array(*[F.col(f"x_h{i}") for i in range(len(probs))]), F.col("pi") + 1)
-    return j.select(*group, "p", (lo + (F.col("h") - F.col("lo")) * (hi - lo)).alias("value"))
+    slots = need.withColumn("k", F.explode(F.array("lo", "hi")))
+    xs = order_statistics(base, value, slots.select(*group, "k").distinct(), group)
+    j = slots.join(xs, [*group, "k"])
+    g = j.groupBy(*group, "pi", "p", "h", "lo").agg(F.max(F.when(F.col("k") == F.col("lo"), F.col("x"))).alias("x_lo"),
+                                                     F.max(F.when(F.col("k") == F.col("hi"), F.col("x"))).alias("x_hi"))
+    return g.select(*group, "p", (F.col("x_lo") + (F.col("h") - F.col("lo")) * (F.col("x_hi") - F.col("x_lo")))
+                    .alias("value"))
 
 
 def tukey_hinges(df: DataFrame, value: str, group: list[str] | None = None) -> DataFrame:
     """boxplot.stats hinges: with n4 = floor((n+3)/2)/2 the lower hinge is the
     mean of x[floor n4], x[ceil n4]; the upper one mirrors it from the top.
-    Output: group..., n, lower_hinge, median, upper_hinge, lo_bound, hi_bound."""
-    if not group:
-        return tukey_hinges(df.withColumn("__g", F.lit(0)), value, ["__g"]).drop("__g")
-    group = list(group)
+    The six order statistics per group come from one equi-join on (group,
+    rank).  Output: group..., n, lower_hinge, median, upper_hinge, lo_bound,
+    hi_bound."""
+    group = list(group or [])
     base = df.select(*group, value).filter(F.col(value).isNotNull())
     ns = base.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
     n4 = F.floor((F.col("n") + 3) / 2) / 2
     m = (F.col("n") + 1) / 2
-    spec = ns.select(*group, "n",
-                     F.floor(n4).cast("long").alias("a1"), F.ceil(n4).cast("long").alias("a2"),
-                     F.floor(m).cast("long").alias("m1"), F.ceil(m).cast("long").alias("m2"),
-                     (F.col("n") + 1 - F.ceil(n4)).cast("long").alias("b1"),
-                     (F.col("n") + 1 - F.floor(n4)).cast("long").alias("b2"))
     names = ["a1", "a2", "m1", "m2", "b1", "b2"]
-    slots = spec.select(*group, F.explode(F.array(*[F.struct(F.lit(s).alias("slot"), F.col(s).alias("k"))
-                                                    for s in names])).alias("s")).select(*group, "s.slot", "s.k")
-    vals = _values_at(base, value, slots, names, group)
-    out = spec.join(vals, group)
+    ranks = [F.floor(n4), F.ceil(n4), F.floor(m), F.ceil(m), F.col("n") + 1 - F.ceil(n4), F.col("n") + 1 - F.floor(n4)]
+    slots = ns.select(*group, "n", F.explode(F.array(*[F.struct(F.lit(s).alias("slot"), r.cast("long").alias("k"))
+                                                      for s, r in zip(names, ranks)])).alias("s")
+                      ).select(*group, "n", "s.slot", "s.k")
+    xs = order_statistics(base, value, slots.select(*group, "k").distinct(), group)
+    j = slots.join(xs, [*group, "k"])
+    out = j.groupBy(*group, "n").agg(*[F.max(F.when(F.col("slot") == s, F.col("x"))).alias(f"x_{s}") for s in names])
     lh = (F.col("x_a1") + F.col("x_a2")) / 2
     uh = (F.col("x_b1") + F.col("x_b2")) / 2
     return out.select(*group, "n", lh.alias("lower_hinge"), ((F.col("x_m1") + F.col("x_m2")) / 2).alias("median"),
