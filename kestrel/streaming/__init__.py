@@ -1,0 +1,5 @@
+"""Streaming operators.
+
+The analyses this library re-expresses are all batch jobs (no stream, watermark
+or stateful operator occurs in them), so no streaming operator is provided.
+"""
