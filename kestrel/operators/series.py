@@ -29,10 +29,11 @@ def dense_monthly(df: DataFrame, keys: list[str], date: Column, measures: list[s
     densified over 1..last month of the data (missing months = 0) so lags
     and windows never skip a gap.  The first month is a scalar subquery; the
     dense grid is generated per key (explode of a sequence), no cartesian join."""
-    first = df.agg(F.min(date)).scalar()
+    rng = df.agg(F.struct(F.min(date).alias("a"), F.max(date).alias("b"))).scalar()  # one pass for both ends
+    first = rng["a"]
     t = df.select(*keys, month_index(date, first).alias("t"), *measures)
     agg = t.groupBy(*keys, "t").agg(*[exact_sum(m).alias(m) for m in measures])
-    last = t.agg(F.max("t")).scalar()
+    last = month_index(rng["b"], first)
     grid = agg.select(*keys).distinct().withColumn("t", F.explode(F.sequence(F.lit(1), last)))
     return grid.join(agg, [*keys, "t"], "left").fillna(0.0, subset=measures)
 

@@ -118,15 +118,16 @@ def transpose_small_q(spark: SparkSession, d: str) -> DataFrame:
     return long.groupBy("variable").pivot("market", MARKETS).agg(F.first("value"))
 
 
-def _last_month(m: DataFrame) -> int:
-    """Number of months in the dense calendar (a single bounded number)."""
-    return int(m.agg(F.max("t")).first()[0])
+def _with_last(m: DataFrame) -> DataFrame:
+    """Adds n = last month of each (dense) series; every series spans the
+    same 1..n calendar, so this is the split point for all of them.  A window
+    over one series' months, not a separate job."""
+    return m.withColumn("n", F.max("t").over(Window.partitionBy(*KEYS)))
 
 
 def train_smoothed(spark, d):
-    m = monthly(spark, d)
-    n = _last_month(m)
-    train = m.filter(F.col("t") <= n - HORIZON)
+    m = _with_last(monthly(spark, d))
+    train = m.filter(F.col("t") <= F.col("n") - HORIZON).drop("n")
     return centered_smooth(train, KEYS, "t", "sales", W)
 
 
@@ -153,9 +154,8 @@ SELECT market, segment, CASE WHEN t <= (SELECT max(t) FROM dense) - {HORIZON} TH
        count(*) AS n_months, min(t) AS first_t, max(t) AS last_t FROM dense GROUP BY ALL""")
 def ts_holdout_split(spark: SparkSession, d: str) -> DataFrame:
     """all but the last six months train, the last six test."""
-    m = monthly(spark, d)
-    n = _last_month(m)
-    s = m.withColumn("split", F.when(F.col("t") <= n - HORIZON, "train").otherwise("test"))
+    m = _with_last(monthly(spark, d))
+    s = m.withColumn("split", F.when(F.col("t") <= F.col("n") - HORIZON, "train").otherwise("test"))
     return s.groupBy(*KEYS, "split").agg(F.count(F.lit(1)).alias("n_months"), F.min("t").alias("first_t"),
                                          F.max("t").alias("last_t"))
 
@@ -182,10 +182,9 @@ def pacf_by_lag(spark: SparkSession, d: str) -> DataFrame:
 
 def _model_input(spark, d):
     """Smoothed training months + raw test months, one series per key."""
-    m = monthly(spark, d)
-    n = _last_month(m)
+    m = _with_last(monthly(spark, d))
     sm = train_smoothed(spark, d).select(*KEYS, "t", F.col("smoothed").alias("y"))
-    test = m.filter(F.col("t") > n - HORIZON).select(*KEYS, "t", F.col("sales").alias("y"))
+    test = m.filter(F.col("t") > F.col("n") - HORIZON).select(*KEYS, "t", F.col("sales").alias("y"))
     return sm.unionByName(test), m
 
 
@@ -217,8 +216,8 @@ def ts_ar_select(spark: SparkSession, d: str) -> DataFrame:
 def _forecasts(spark, d):
     series, m = _model_input(spark, d)
     trend = fit_sinusoid_trend(series, KEYS, "t", "y", horizon=HORIZON)
-    n = _last_month(m)
-    trend_fc = trend.filter(F.col("t") > n - HORIZON).select(*KEYS, "t", F.lit("trend").alias("method"),
+    trend = trend.withColumn("n", F.max("t").over(Window.partitionBy(*KEYS)))
+    trend_fc = trend.filter(F.col("t") > F.col("n") - HORIZON).select(*KEYS, "t", F.lit("trend").alias("method"),
                                                                 F.col("fitted").alias("forecast"))
     ar = ar_select_forecast(m.select(*KEYS, "t", "sales"), KEYS, "t", "sales", HORIZON)
     ar_fc = ar.select(*KEYS, "t", F.lit("ar").alias("method"), "forecast")
@@ -253,8 +252,7 @@ SELECT market, segment, round(avg(abs((sales - last_train) / NULLIF(sales, 0)))
 FROM dense JOIN lt USING (market, segment) WHERE t > (SELECT max(t) FROM dense) - {HORIZON} GROUP BY ALL""")
 def mape_q(spark: SparkSession, d: str) -> DataFrame:
     """MAPE of the naive (last training month) forecast on the test months."""
-    m = monthly(spark, d)
-    n = _last_month(m)
-    last = m.filter(F.col("t") == n - HORIZON).select(*KEYS, F.col("sales").alias("last_train"))
-    test = m.filter(F.col("t") > n - HORIZON).join(last, KEYS)
+    m = _with_last(monthly(spark, d))
+    last = m.filter(F.col("t") == F.col("n") - HORIZON).select(*KEYS, F.col("sales").alias("last_train"))
+    test = m.filter(F.col("t") > F.col("n") - HORIZON).join(last, KEYS)
     return test.groupBy(*KEYS).agg(F.round(mape(F.col("sales"), F.col("last_train")), 6).alias("mape"))
