@@ -6,7 +6,10 @@ partitioned and sorted within partitions, written once to the shared
 checkpoint folder (fixing the layout and cutting lineage), and each row's
 rank is its position inside its partition plus the number of rows of the same
 group in all earlier partitions (a small per-partition count table).
-Order statistics, Tukey hinges, deciles and cumulative curves build on it.
+Deciles and stratified splits use it (with a unique tie-break key, so equal
+scores still spread over partitions).  Order statistics (percentiles, Tukey
+hinges) instead rank a value histogram with `prefix_sums`, so a value that
+repeats on a large share of rows never lands whole in one partition.
 """
 
 from __future__ import annotations
@@ -42,55 +45,74 @@ def global_rank(df: DataFrame, order: list[Column | str], group: list[str] | Non
             .drop("__pid", "__pos", "__first", "__before"))
 
 
-def order_statistics(df: DataFrame, value: str, ranks: DataFrame, group: list[str] | None = None) -> DataFrame:
-    """Values at the requested ranks (`ranks`: group..., k).  Only the
-    requested rows leave the ranked data."""
+def values_at_ranks(df: DataFrame, value: str, ranks, group: list[str] | None = None) -> DataFrame:
+    """Exact order statistics without ranking individual rows.
+
+    Rows are first collapsed to a value histogram (group, value, count) —
+    a map-side-combined aggregate, so a value repeated on a third of all rows
+    is one row per map task — then cumulative counts over the sorted distinct
+    values give each value its rank interval [lo, hi].  `ranks(n)` returns
+    the requested ranks as Column expressions of the group size n; each is
+    matched to its value with an array filter on the interval (no join on
+    ranges).  Output: group..., n, k, x (one row per requested rank)."""
     group = list(group or [])
-    r = global_rank(df.select(*group, value).filter(F.col(value).isNotNull()), [value], group, "k")
-    return r.join(ranks, [*group, "k"]).select(*group, "k", F.col(value).alias("x"))
+    base = df.select(*group, value).filter(F.col(value).isNotNull())
+    hist = base.groupBy(*group, value).agg(F.count(F.lit(1)).alias("__c"))
+    cum = prefix_sums(hist, [value], ["__c"], group=group)
+    cum = cum.withColumn("__lo", F.col("cum___c") - F.col("__c") + 1).withColumnRenamed("cum___c", "__hi")
+    if group:
+        ns = hist.groupBy(*group).agg(F.sum("__c").alias("n"))
+        spec = ns.withColumn("__ks", F.array_distinct(F.array(*[r.cast("long") for r in ranks(F.col("n"))])))
+        cum = cum.join(spec, group)
+    else:
+        n = hist.agg(F.sum("__c")).scalar()
+        cum = cum.withColumn("n", n).withColumn(
+            "__ks", F.array_distinct(F.array(*[r.cast("long") for r in ranks(F.col("n"))])))
+    hit = cum.withColumn("k", F.explode(F.filter("__ks", lambda k: (k >= F.col("__lo")) & (k <= F.col("__hi")))))
+    return hit.select(*group, "n", "k", F.col(value).alias("x"))
 
 
 def exact_percentiles(df: DataFrame, value: str, probs: list[float], group: list[str] | None = None) -> DataFrame:
     """Type-7 (linear interpolation) percentiles, exact at any scale:
     h = (n-1)p + 1, x[floor h] + (h - floor h)(x[ceil h] - x[floor h]).
-    Every (group, p) needs two order statistics; they are fetched with one
-    equi-join on (group, rank) and folded back per (group, p) in long form.
     Output: group..., p, value."""
     group = list(group or [])
-    base = df.select(*group, value).filter(F.col(value).isNotNull())
-    ns = base.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
-    need = (ns.withColumn("pi", F.explode(F.array(*[F.lit(i) for i in range(len(probs))])))
-            .withColumn("p", F.array(*[F.lit(float(p)) for p in probs])[F.col("pi")])
-            .withColumn("h", (F.col("n") - 1) * F.col("p") + 1)
-            .withColumn("lo", F.floor("h").cast("long")).withColumn("hi", F.ceil("h").cast("long")))
-    slots = need.withColumn("k", F.explode(F.array("lo", "hi")))
-    xs = order_statistics(base, value, slots.select(*group, "k").distinct(), group)
-    j = slots.join(xs, [*group, "k"])
-    g = j.groupBy(*group, "pi", "p", "h", "lo").agg(F.max(F.when(F.col("k") == F.col("lo"), F.col("x"))).alias("x_lo"),
-                                                     F.max(F.when(F.col("k") == F.col("hi"), F.col("x"))).alias("x_hi"))
-    return g.select(*group, "p", (F.col("x_lo") + (F.col("h") - F.col("lo")) * (F.col("x_hi") - F.col("x_lo")))
-                    .alias("value"))
+
+    def hpos(n, p):
+        return (n - 1) * F.lit(float(p)) + 1
+
+    def ranks(n):
+        return [r for p in probs for r in (F.floor(hpos(n, p)), F.ceil(hpos(n, p)))]
+
+    v = values_at_ranks(df, value, ranks, group)
+    lo = [F.max(F.when(F.col("k") == F.floor(hpos(F.col("n"), p)), F.col("x"))) for p in probs]
+    hi = [F.max(F.when(F.col("k") == F.ceil(hpos(F.col("n"), p)), F.col("x"))) for p in probs]
+    wide = v.groupBy(*group, "n").agg(*[a.alias(f"l{i}") for i, a in enumerate(lo)],
+                                      *[b.alias(f"h{i}") for i, b in enumerate(hi)])
+    rows = []
+    for i, p in enumerate(probs):
+        h = hpos(F.col("n"), p)
+        val = F.col(f"l{i}") + (h - F.floor(h)) * (F.col(f"h{i}") - F.col(f"l{i}"))
+        rows.append(F.struct(F.lit(float(p)).alias("p"), val.alias("value")))
+    return wide.select(*group, F.explode(F.array(*rows)).alias("__r")).select(*group, "__r.p", "__r.value")
 
 
 def tukey_hinges(df: DataFrame, value: str, group: list[str] | None = None) -> DataFrame:
     """boxplot.stats hinges: with n4 = floor((n+3)/2)/2 the lower hinge is the
     mean of x[floor n4], x[ceil n4]; the upper one mirrors it from the top.
-    The six order statistics per group come from one equi-join on (group,
-    rank).  Output: group..., n, lower_hinge, median, upper_hinge, lo_bound,
-    hi_bound."""
+    Output: group..., n, lower_hinge, median, upper_hinge, lo_bound, hi_bound."""
     group = list(group or [])
-    base = df.select(*group, value).filter(F.col(value).isNotNull())
-    ns = base.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
-    n4 = F.floor((F.col("n") + 3) / 2) / 2
-    m = (F.col("n") + 1) / 2
-    names = ["a1", "a2", "m1", "m2", "b1", "b2"]
-    ranks = [F.floor(n4), F.ceil(n4), F.floor(m), F.ceil(m), F.col("n") + 1 - F.ceil(n4), F.col("n") + 1 - F.floor(n4)]
-    slots = ns.select(*group, "n", F.explode(F.array(*[F.struct(F.lit(s).alias("slot"), r.cast("long").alias("k"))
-                                                      for s, r in zip(names, ranks)])).alias("s")
-                      ).select(*group, "n", "s.slot", "s.k")
-    xs = order_statistics(base, value, slots.select(*group, "k").distinct(), group)
-    j = slots.join(xs, [*group, "k"])
-    out = j.groupBy(*group, "n").agg(*[F.max(F.when(F.col("slot") == s, F.col("x"))).alias(f"x_{s}") for s in names])
+
+    def slots(n):
+        n4 = F.floor((n + 3) / 2) / 2
+        m = (n + 1) / 2
+        return {"a1": F.floor(n4), "a2": F.ceil(n4), "m1": F.floor(m), "m2": F.ceil(m),
+                "b1": n + 1 - F.ceil(n4), "b2": n + 1 - F.floor(n4)}
+
+    v = values_at_ranks(df, value, lambda n: list(slots(n).values()), group)
+    sl = slots(F.col("n"))
+    out = v.groupBy(*group, "n").agg(*[F.max(F.when(F.col("k") == r, F.col("x"))).alias(f"x_{s}")
+                                       for s, r in sl.items()])
     lh = (F.col("x_a1") + F.col("x_a2")) / 2
     uh = (F.col("x_b1") + F.col("x_b2")) / 2
     return out.select(*group, "n", lh.alias("lower_hinge"), ((F.col("x_m1") + F.col("x_m2")) / 2).alias("median"),
@@ -145,23 +167,27 @@ def adstock(key: list[str], order: str, col: str, rate: float) -> Column:
     return F.aggregate(arr, F.lit(0.0), lambda acc, x: acc * F.lit(float(rate)) + x)
 
 
-def prefix_sums(df: DataFrame, order: list[Column | str], cols: list[str], prefix: str = "cum_") -> DataFrame:
-    """Running totals of `cols` in a global order, exact and distributed:
-    per-partition totals give each range partition its starting offset; the
+def prefix_sums(df: DataFrame, order: list[Column | str], cols: list[str], prefix: str = "cum_",
+                group: list[str] | None = None) -> DataFrame:
+    """Running totals of `cols` in a global (or per-group) order, exact and
+    distributed: the data is range partitioned and sorted, per-partition
+    totals give each partition its starting offset (per group), and the
     running sum inside a partition is a window over that partition only."""
+    group = list(group or [])
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = [F.col(o) if isinstance(o, str) else o for o in order]
+    keys = [F.col(g) for g in group] + [F.col(o) if isinstance(o, str) else o for o in order]
     laid = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).checkpoint(eager=True)
     laid = (laid.withColumn("__pid", F.spark_partition_id())
             .withColumn("__pos", F.monotonically_increasing_id()
                         - F.shiftleft(F.spark_partition_id().cast("long"), _POS_BITS)))
-    tot = laid.groupBy("__pid").agg(*[F.sum(c).alias(f"__t_{c}") for c in cols])
-    wt = Window.orderBy("__pid")  # one row per partition
-    offs = tot.select("__pid", *[(F.sum(f"__t_{c}").over(wt) - F.col(f"__t_{c}")).alias(f"__o_{c}") for c in cols])
-    wp = Window.partitionBy("__pid").orderBy("__pos").rowsBetween(Window.unboundedPreceding, 0)
-    out = laid.join(offs, "__pid")
+    tot = laid.groupBy("__pid", *group).agg(*[F.sum(c).alias(f"__t_{c}") for c in cols])
+    wt = Window.partitionBy(*group).orderBy("__pid") if group else Window.orderBy("__pid")
+    offs = tot.select("__pid", *group, *[(F.sum(f"__t_{c}").over(wt) - F.col(f"__t_{c}")).alias(f"__o_{c}")
+                                         for c in cols])
+    wp = Window.partitionBy("__pid", *group).orderBy("__pos").rowsBetween(Window.unboundedPreceding, 0)
+    out = laid.join(offs, ["__pid", *group])
     for c in cols:
         out = out.withColumn(f"{prefix}{c}", F.col(f"__o_{c}") + F.sum(c).over(wp))
     return out.drop("__pid", "__pos", *[f"__o_{c}" for c in cols])

@@ -171,3 +171,20 @@ def test_student_t_pvalue():
     assert t_two_sided_p(0.0, 5) == pytest.approx(1.0)
     assert t_two_sided_p(12.0, 3) == pytest.approx(0.001241, abs=1e-5)
     assert math.isclose(t_two_sided_p(-2.0, 10), t_two_sided_p(2.0, 10))
+
+
+def test_percentiles_with_a_hot_value(spark):
+    """A value repeated on 40% of rows (the skew case) still gives exact
+    type-7 percentiles and hinges."""
+    rng = np.random.default_rng(11)
+    xs = [5.0] * 400 + [float(v) for v in rng.normal(0, 10, 600).round(3)]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    probs = [0.0, 0.1, 0.25, 0.5, 0.6, 0.9, 1.0]
+    got = {r["p"]: r["value"] for r in exact_percentiles(df, "x", probs).collect()}
+    for p in probs:
+        assert got[p] == pytest.approx(float(np.quantile(xs, p)), abs=1e-9)
+    h = tukey_hinges(df, "x").first()
+    s = sorted(xs)
+    n4 = math.floor((len(s) + 3) / 2) / 2
+    lower = (s[math.floor(n4) - 1] + s[math.ceil(n4) - 1]) / 2
+    assert h["lower_hinge"] == pytest.approx(lower)
