@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kestrel.functions.columns import (cap_upper, exact_mean, exact_sum, floor_invalid_to_zero, safe_log,
                                        week_of_year_simple, week_start_sunday)
-from kestrel.operators.models import elasticity, kmeans_best, ols_fit
+from kestrel.operators.models import kmeans_best
 from kestrel.operators.ordered import adstock, lag_features, pct_change_vs_lag, trailing_mean
 from kestrel.operators.quality import crosstab_counts, impute_moving_average
 from kestrel.operators.relational import dedup_key, group_count
@@ -612,15 +612,25 @@ def mmm_model_forms(spark: SparkSession, d: str) -> DataFrame:
 
 @query("elasticity")
 def elasticity_q(spark: SparkSession, d: str) -> DataFrame:
-    """K9: beta * mean(x) / mean(y) of the linear form on unscaled data."""
-    f = features(spark, d)
-    out = None
-    for cat in SUBCATS:
-        part = f.filter(F.col(KEY) == cat)
-        coefs = ols_fit(part, "gmv", BASE_X)
-        e = elasticity(coefs, part, "gmv").withColumn(KEY, F.lit(cat))
-        out = e if out is None else out.unionByName(e)
-    return out
+    """K9: beta * mean(x) / mean(y) of the linear form on unscaled weekly
+    data, with a sign label — one OLS per product category, fitted in
+    parallel (one weekly table per group)."""
+    f = features(spark, d).select(KEY, "gmv", F.array(*[F.col(c) for c in BASE_X]).alias("x"))
+
+    def fit(g):
+        import numpy as np
+        from kestrel.operators.models import ols_numpy
+        x = np.stack(g["x"].to_numpy()).astype(float)
+        y = g["gmv"].to_numpy(dtype=float)
+        t = ols_numpy(x, y, BASE_X)
+        t = t[t["term"] != "(Intercept)"].copy()
+        t["elasticity"] = t["estimate"].to_numpy() * x.mean(axis=0) / y.mean()
+        t["direction"] = np.where(t["elasticity"] > 0, "Positive", "Negative")
+        t.insert(0, KEY, g[KEY].iloc[0])
+        return t[[KEY, "term", "estimate", "elasticity", "direction"]]
+
+    schema = f"{KEY} string, term string, estimate double, elasticity double, direction string"
+    return f.groupBy(KEY).applyInPandas(fit, schema)
 
 
 @query("collinear_columns")
