@@ -53,7 +53,9 @@ def split_stratified(df: DataFrame, label: str, key: str, ratio: float, seed: in
     h = df.withColumn("__h", F.xxhash64(F.col(key), F.lit(seed)))
     r = global_rank(h, ["__h", key], [label], "__r")
     n = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
-    return (r.join(F.broadcast(n), label)
+    # one row per label; left to AQE's size-checked join choice (label
+    # cardinality is not bounded in general)
+    return (r.join(n, label)
             .withColumn(name, F.col("__r") <= F.round(F.col("__n") * ratio))
             .drop("__h", "__r", "__n"))
 

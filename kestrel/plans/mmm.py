@@ -574,25 +574,23 @@ def mmm_model_forms(spark: SparkSession, d: str) -> DataFrame:
     one weekly table per group."""
     f = features(spark, d)
     allx = sorted({x for xs in FORMS.values() for x in xs})
-    z = zscore_columns(f.select(KEY, "gmv", *allx), ["gmv", *allx], group=[KEY])
-    mins = f.groupBy(KEY).agg(*[F.min(c).alias(f"__min_{c}") for c in ["gmv", *allx]])
-    lg = f.join(mins, KEY)
+    cols = ["gmv", *allx]
+    st = f.groupBy(KEY).agg(*[F.avg(c).alias(f"__m_{c}") for c in cols], *[F.stddev_samp(c).alias(f"__s_{c}") for c in cols],
+                            *[F.min(c).alias(f"__min_{c}") for c in cols])
+    base = f.join(st, KEY)
+
+    def zs(c):
+        return (F.col(c) - F.col(f"__m_{c}")) / F.col(f"__s_{c}")
 
     def logged(c):
         shifted = F.when(F.col(f"__min_{c}") > 0, F.col(c)).otherwise(1 + F.col(c) - F.col(f"__min_{c}"))
         return safe_log(shifted)
 
-    parts = []
+    forms = []
     for form, xs in FORMS.items():
-        if form.startswith("multiplicative"):
-            parts.append(lg.select(F.lit(form).alias("form"), KEY, logged("gmv").alias("y"),
-                                   F.array(*[logged(c) for c in xs]).alias("x")))
-        else:
-            parts.append(z.select(F.lit(form).alias("form"), KEY, F.col("gmv").alias("y"),
-                                  F.array(*[F.col(c) for c in xs]).alias("x")))
-    data = parts[0]
-    for p in parts[1:]:
-        data = data.unionByName(p)
+        tr = logged if form.startswith("multiplicative") else zs
+        forms.append(F.struct(F.lit(form).alias("form"), tr("gmv").alias("y"), F.array(*[tr(c) for c in xs]).alias("x")))
+    data = base.select(KEY, F.explode(F.array(*forms)).alias("r")).select("r.form", KEY, "r.y", "r.x")
     names = dict(FORMS)
 
     def fit(g):

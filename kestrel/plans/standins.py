@@ -75,6 +75,7 @@ SEASON_TICKETS_SQL = """season_tickets AS (
 def companies(spark: SparkSession, d: str) -> DataFrame:
     c = read_table(spark, d, "customer")
     n = read_table(spark, d, "nation")
+    # nation / region are fixed-size dimensions (25 / 5 rows at every scale)
     return c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey, "left").select(
         F.lower("c_name").alias("permalink"),
         F.col("c_name").alias("name"),
