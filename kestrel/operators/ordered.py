@@ -45,56 +45,66 @@ def global_rank(df: DataFrame, order: list[Column | str], group: list[str] | Non
             .drop("__pid", "__pos", "__first", "__before"))
 
 
-def values_at_ranks(df: DataFrame, value: str, ranks, group: list[str] | None = None) -> DataFrame:
+def values_at_ranks(df: DataFrame, value: str, ranks, group: list[str] | None = None,
+                    buckets: int = 4096) -> DataFrame:
     """Exact order statistics without ranking individual rows.
 
     Rows are first collapsed to a value histogram (group, value, count) —
     a map-side-combined aggregate, so a value repeated on a third of all rows
     is one row per map task — then cumulative counts over the sorted distinct
     values give each value its rank interval [lo, hi].  `ranks(n)` returns
-    the requested ranks as Column expressions of the group size n; each is
-    matched to its value with an array filter on the interval (no join on
-    ranges).  Output: group..., n, k, x (one row per requested rank)."""
+    the requested ranks as Column expressions of the group size n.  Ranks and
+    intervals meet in an equi-join on a rank bucket of width ceil(n/buckets):
+    each interval is listed under every bucket it spans (at most `buckets`
+    extra rows per group in total) and the join is then filtered to
+    lo <= k <= hi.  Output: group..., n, k, x (one row per requested rank)."""
     group = list(group or [])
     base = df.select(*group, value).filter(F.col(value).isNotNull())
     hist = base.groupBy(*group, value).agg(F.count(F.lit(1)).alias("__c"))
     cum = prefix_sums(hist, [value], ["__c"], group=group)
     cum = cum.withColumn("__lo", F.col("cum___c") - F.col("__c") + 1).withColumnRenamed("cum___c", "__hi")
+    spec = hist.groupBy(*group).agg(F.sum("__c").alias("n"))
+    req = ranks(F.col("n"))
+    req = req if isinstance(req, Column) else F.array(*[r.cast("long") for r in req])
+    spec = (spec.withColumn("__ks", F.array_distinct(req.cast("array<long>")))
+            .withColumn("__w", F.greatest(F.lit(1), F.ceil(F.col("n") / buckets)).cast("long")))
     if group:
-        ns = hist.groupBy(*group).agg(F.sum("__c").alias("n"))
-        spec = ns.withColumn("__ks", F.array_distinct(F.array(*[r.cast("long") for r in ranks(F.col("n"))])))
-        cum = cum.join(spec, group)
+        cum = cum.join(spec.select(*group, "n", "__w"), group)
     else:
-        n = hist.agg(F.sum("__c")).scalar()
-        cum = cum.withColumn("n", n).withColumn(
-            "__ks", F.array_distinct(F.array(*[r.cast("long") for r in ranks(F.col("n"))])))
-    hit = cum.withColumn("k", F.explode(F.filter("__ks", lambda k: (k >= F.col("__lo")) & (k <= F.col("__hi")))))
+        sc = hist.agg(F.struct(F.sum("__c").alias("n"),
+                               F.greatest(F.lit(1), F.ceil(F.sum("__c") / buckets)).cast("long").alias("w"))).scalar()
+        cum = cum.withColumn("n", sc["n"]).withColumn("__w", sc["w"])
+    spans = cum.withColumn("__b", F.explode(F.sequence(F.floor((F.col("__lo") - 1) / F.col("__w")),
+                                                       F.floor((F.col("__hi") - 1) / F.col("__w")))))
+    want = (spec.select(*group, "__w", F.explode("__ks").alias("k"))
+            .withColumn("__b", F.floor((F.col("k") - 1) / F.col("__w"))).drop("__w"))
+    hit = spans.join(want, [*group, "__b"]).filter((F.col("k") >= F.col("__lo")) & (F.col("k") <= F.col("__hi")))
     return hit.select(*group, "n", "k", F.col(value).alias("x"))
 
 
 def exact_percentiles(df: DataFrame, value: str, probs: list[float], group: list[str] | None = None) -> DataFrame:
     """Type-7 (linear interpolation) percentiles, exact at any scale:
     h = (n-1)p + 1, x[floor h] + (h - floor h)(x[ceil h] - x[floor h]).
+    The needed ranks are two array expressions over the literal p list; the
+    two order statistics per p are attached by equi-joins on rank.
     Output: group..., p, value."""
     group = list(group or [])
-
-    def hpos(n, p):
-        return (n - 1) * F.lit(float(p)) + 1
+    pa = F.array(*[F.lit(float(p)) for p in probs])
 
     def ranks(n):
-        return [r for p in probs for r in (F.floor(hpos(n, p)), F.ceil(hpos(n, p)))]
+        return F.concat(F.transform(pa, lambda p: F.floor((n - 1) * p + 1)),
+                        F.transform(pa, lambda p: F.ceil((n - 1) * p + 1)))
 
     v = values_at_ranks(df, value, ranks, group)
-    lo = [F.max(F.when(F.col("k") == F.floor(hpos(F.col("n"), p)), F.col("x"))) for p in probs]
-    hi = [F.max(F.when(F.col("k") == F.ceil(hpos(F.col("n"), p)), F.col("x"))) for p in probs]
-    wide = v.groupBy(*group, "n").agg(*[a.alias(f"l{i}") for i, a in enumerate(lo)],
-                                      *[b.alias(f"h{i}") for i, b in enumerate(hi)])
-    rows = []
-    for i, p in enumerate(probs):
-        h = hpos(F.col("n"), p)
-        val = F.col(f"l{i}") + (h - F.floor(h)) * (F.col(f"h{i}") - F.col(f"l{i}"))
-        rows.append(F.struct(F.lit(float(p)).alias("p"), val.alias("value")))
-    return wide.select(*group, F.explode(F.array(*rows)).alias("__r")).select(*group, "__r.p", "__r.value")
+    req = (v.select(*group, "n").distinct()
+           .withColumn("p", F.explode(pa))
+           .withColumn("h", (F.col("n") - 1) * F.col("p") + 1)
+           .withColumn("klo", F.floor("h").cast("long")).withColumn("khi", F.ceil("h").cast("long")))
+    lo = v.select(*group, F.col("k").alias("klo"), F.col("x").alias("x_lo"))
+    hi = v.select(*group, F.col("k").alias("khi"), F.col("x").alias("x_hi"))
+    j = req.join(lo, [*group, "klo"]).join(hi, [*group, "khi"])
+    return j.select(*group, "p", (F.col("x_lo") + (F.col("h") - F.col("klo")) * (F.col("x_hi") - F.col("x_lo")))
+                    .alias("value"))
 
 
 def tukey_hinges(df: DataFrame, value: str, group: list[str] | None = None) -> DataFrame:
