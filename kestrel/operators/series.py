@@ -27,15 +27,17 @@ def month_index(d: Column, first: Column) -> Column:
 def dense_monthly(df: DataFrame, keys: list[str], date: Column, measures: list[str]) -> DataFrame:
     """One row per (key, month index) with the summed measures,
     densified over 1..last month of the data (missing months = 0) so lags
-    and windows never skip a gap.  The first month is a scalar subquery; the
-    dense grid is generated per key (explode of a sequence), no cartesian join."""
-    rng = df.agg(F.struct(F.min(date).alias("a"), F.max(date).alias("b"))).scalar()  # one pass for both ends
-    first = rng["a"]
-    t = df.select(*keys, month_index(date, first).alias("t"), *measures)
-    agg = t.groupBy(*keys, "t").agg(*[exact_sum(m).alias(m) for m in measures])
-    last = month_index(rng["b"], first)
+    and windows never skip a gap.  The detail rows are read once, into a
+    (key, month) aggregate; the month range and the dense grid are derived
+    from that small aggregate (explode of a sequence per key, no cartesian
+    join)."""
+    m = df.select(*keys, F.trunc(date, "MM").alias("__m"), *measures)
+    agg = m.groupBy(*keys, "__m").agg(*[exact_sum(c).alias(c) for c in measures])
+    rng = agg.agg(F.struct(F.min("__m").alias("a"), F.max("__m").alias("b"))).scalar()
+    agg = agg.withColumn("t", month_index(F.col("__m"), rng["a"])).drop("__m")
+    last = month_index(rng["b"], rng["a"])
     grid = agg.select(*keys).distinct().withColumn("t", F.explode(F.sequence(F.lit(1), last)))
-    return grid.join(agg, [*keys, "t"], "left").fillna(0.0, subset=measures)
+    return grid.join(agg, [*keys, "t"], "left").fillna(0.0, subset=measures).select(*keys, "t", *measures)
 
 
 def centered_smooth(df: DataFrame, keys: list[str], t: str, col: str, w: int, out: str = "smoothed") -> DataFrame:
