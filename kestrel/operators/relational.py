@@ -14,9 +14,10 @@ def dedup_key(df: DataFrame, keys: list[str], order_by: list[str] | None = None)
     """One row per key, keeping all columns; the kept row is the
     smallest by `order_by` then by the remaining columns (deterministic).
 
-    Implemented as a hash aggregate of `min(struct(...))`, so duplicates are
-    collapsed map-side before the shuffle (a hot key costs one row per map
-    task, not a sort of its whole group)."""
+    Implemented as a `min(struct(...))` aggregate with a partial (map-side)
+    step, so duplicates are collapsed before the shuffle and a hot key costs
+    one row per map task (Spark executes it sort-based, as the struct buffer
+    is variable-width)."""
     order = list(order_by or [])
     others = [c for c in df.columns if c not in keys]
     packed = F.struct(*[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)], *[F.col(c) for c in others])
