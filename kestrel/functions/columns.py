@@ -36,15 +36,21 @@ def drop_constant_columns(df: DataFrame, columns: list[str] | None = None) -> Da
 
 
 def constant_column_report(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """B4 as data: (column, n_distinct_incl_null, is_constant) in one pass."""
+    """B4 as data: (column, n_null, n_rows, is_constant) in ONE pass of
+    min / max / null counts — a column is constant when it holds a single
+    value (NULL counting as a value).  No per-column distinct aggregates
+    (those would expand every row once per column)."""
     cols = columns or df.columns
-    stacked = df.agg(*[
-        F.struct(F.lit(c).alias("column"),
-                 (F.countDistinct(c) + F.max(F.col(c).isNull().cast("int"))).cast("long").alias("n_distinct"))
-        .alias(f"s{i}") for i, c in enumerate(cols)])
-    return (stacked.select(F.explode(F.array(*[f"s{i}" for i in range(len(cols))])).alias("s"))
-            .select("s.column", "s.n_distinct")
-            .withColumn("is_constant", F.col("n_distinct") <= 1))
+    n = F.count(F.lit(1))
+    structs = []
+    for c in cols:
+        nn = F.count(c)
+        const = ((nn == 0) | ((nn == n) & (F.min(c) == F.max(c))))
+        structs.append(F.struct(F.lit(c).alias("column"), (n - nn).alias("n_null"), n.alias("n_rows"),
+                                const.alias("is_constant")).alias(f"s{len(structs)}"))
+    wide = df.agg(*structs)
+    return (wide.select(F.explode(F.array(*[f"s{i}" for i in range(len(cols))])).alias("s"))
+            .select("s.column", "s.n_null", "s.n_rows", "s.is_constant"))
 
 
 def split_columns(col: str, into: list[str], sep: str) -> list[Column]:

@@ -122,14 +122,18 @@ def outlier_percentile(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("drop_constant_columns", [], """
-WITH t AS (
-  SELECT 'label' AS "column", count(DISTINCT label) + max(CASE WHEN label IS NULL THEN 1 ELSE 0 END) AS n_distinct FROM embeddings
-  UNION ALL SELECT 'vec_id', count(DISTINCT vec_id) + max(CASE WHEN vec_id IS NULL THEN 1 ELSE 0 END) FROM embeddings
-  UNION ALL SELECT 'pixel_pad', 1
-  UNION ALL SELECT 'first_pixel', count(DISTINCT embedding[1]) + max(CASE WHEN embedding[1] IS NULL THEN 1 ELSE 0 END) FROM embeddings)
-SELECT "column", CAST(n_distinct AS BIGINT) AS n_distinct, n_distinct <= 1 AS is_constant FROM t""")
+WITH e AS (SELECT label, vec_id, 0 AS pixel_pad, embedding[1] AS first_pixel FROM embeddings)
+SELECT * FROM (
+  SELECT 'label' AS "column", count(*) - count(label) AS n_null, count(*) AS n_rows,
+         count(label) = 0 OR (count(label) = count(*) AND min(label) = max(label)) AS is_constant FROM e
+  UNION ALL SELECT 'vec_id', count(*) - count(vec_id), count(*),
+         count(vec_id) = 0 OR (count(vec_id) = count(*) AND min(vec_id) = max(vec_id)) FROM e
+  UNION ALL SELECT 'pixel_pad', count(*) - count(pixel_pad), count(*),
+         count(pixel_pad) = 0 OR (count(pixel_pad) = count(*) AND min(pixel_pad) = max(pixel_pad)) FROM e
+  UNION ALL SELECT 'first_pixel', count(*) - count(first_pixel), count(*),
+         count(first_pixel) = 0 OR (count(first_pixel) = count(*) AND min(first_pixel) = max(first_pixel)) FROM e)""")
 def drop_constant_columns(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct counts (NULL counted as a value) and the constant flag."""
+    """Which columns hold a single value (NULL counted as a value)."""
     e = read_table(spark, d, "embeddings").select(
         "label", "vec_id", F.lit(0).alias("pixel_pad"), F.col("embedding")[0].alias("first_pixel"))
     return constant_column_report(e)
