@@ -183,8 +183,8 @@ def top9_total(spark: SparkSession, d: str) -> DataFrame:
 
 
 # --------------------------------------------------------- sector mapping
-def repaired_mapping(spark: SparkSession) -> DataFrame:
-    m = S.sector_mapping(spark)
+def repaired_mapping(spark: SparkSession, d: str) -> DataFrame:
+    m = S.sector_mapping(spark, d)
     return m.withColumn("category_list", repair_corrupt_text(F.col("category_list")))
 
 
@@ -195,14 +195,14 @@ SELECT category_list AS raw_category,
 FROM sector_mapping""")
 def repair_corrupt_text_q(spark: SparkSession, d: str) -> DataFrame:
     """Count the corrupting '0's, replace all, re-fix the one true '0'."""
-    m = S.sector_mapping(spark)
+    m = S.sector_mapping(spark, d)
     return m.select(F.col("category_list").alias("raw_category"),
                     count_occurrences(F.col("category_list"), "0").alias("n_zeros"),
                     repair_corrupt_text(F.col("category_list")).alias("category_list"))
 
 
-def long_mapping(spark: SparkSession) -> DataFrame:
-    return unpivot_nonzero(repaired_mapping(spark), ["category_list"], S.SECTORS, "main_sector", "my_val").drop("my_val")
+def long_mapping(spark: SparkSession, d: str) -> DataFrame:
+    return unpivot_nonzero(repaired_mapping(spark, d), ["category_list"], S.SECTORS, "main_sector", "my_val").drop("my_val")
 
 
 LONG_MAPPING_SQL = f"""long_mapping AS (
@@ -214,7 +214,7 @@ LONG_MAPPING_SQL = f"""long_mapping AS (
 @query("unpivot_onehot", ["sector_mapping"], LONG_MAPPING_SQL + "\nSELECT * FROM long_mapping")
 def unpivot_onehot(spark: SparkSession, d: str) -> DataFrame:
     """H4: wide one-hot mapping -> (category, main_sector) rows."""
-    return long_mapping(spark)
+    return long_mapping(spark, d)
 
 
 @query("first_token", ["companies"], """
@@ -229,7 +229,7 @@ def sectors(spark: SparkSession, d: str) -> DataFrame:
     """Master rows + primary sector + main sector (left join on the lower-
     cased category, mapping broadcast: it is a fixed-size lookup table)."""
     m = master(spark, d).withColumn("primary_sector", first_token("category_list"))
-    lm = long_mapping(spark).select(F.lower("category_list").alias("ps"), "main_sector")
+    lm = long_mapping(spark, d).select(F.lower("category_list").alias("ps"), "main_sector")
     return m.join(F.broadcast(lm), F.lower(m.primary_sector) == lm.ps, "left").drop("ps")
 
 

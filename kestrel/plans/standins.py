@@ -114,42 +114,52 @@ ROUNDS_SQL = """rounds AS (
   FROM orders JOIN customer ON o_custkey = c_custkey)"""
 
 # The nine main-sector columns of the sector mapping file, in
-# file order, and a small mapping whose category names carry the same "na"->"0"
-# corruption as the original file.
+# file order, and the two rows the file carries besides real categories.
 SECTORS = [
     "Automotive & Sports", "Blanks", "Cleantech / Semiconductors", "Entertainment", "Health",
     "Manufacturing", "News, Search and Messaging", "Others", "Social, Finance, Analytics, Advertising",
 ]
-MAPPING_ROWS = [
-    ("Automobile", "Automotive & Sports"),
-    ("Building", "Manufacturing"),
-    ("Furniture", "Others"),
-    ("Household", "Entertainment"),
-    ("Machinery", "Manufacturing"),
-    ("Alter0tive Medicine", "Health"),
-    ("Fi0nce", "Social, Finance, Analytics, Advertising"),
-    ("A0lytics", "Social, Finance, Analytics, Advertising"),
-    ("0notechnology", "Cleantech / Semiconductors"),
-    ("Enterprise 2.0", "Others"),
-    ("Search", "News, Search and Messaging"),
-    ("", "Blanks"),
-]
-
-
-def sector_mapping(spark: SparkSession, d: str | None = None) -> DataFrame:
-    """Wide one-hot sector mapping (category_list + one 0/1 column per sector)."""
-    schema = T.StructType([T.StructField("category_list", T.StringType())]
-                          + [T.StructField(s, T.IntegerType()) for s in SECTORS])
-    rows = [tuple([cat] + [1 if s == sec else 0 for s in SECTORS]) for cat, sec in MAPPING_ROWS]
-    return spark.createDataFrame(rows, schema)
+FILE_ROWS = [("Enterprise 2.0", "Others"), ("", "Blanks")]
+# Stand-in rule: sector of each market segment, and of each region's nations.
+SEGMENT_SECTOR = [("automobile", "Automotive & Sports"), ("building", "Manufacturing"), ("furniture", "Others"),
+                  ("household", "Entertainment"), ("machinery", "Manufacturing")]
+REGION_SECTOR = [("AFRICA", "Health"), ("AMERICA", "News, Search and Messaging"),
+                 ("ASIA", "Social, Finance, Analytics, Advertising"), ("EUROPE", "Cleantech / Semiconductors"),
+                 ("MIDDLE EAST", "Others")]
+
+
+def sector_mapping(spark: SparkSession, d: str) -> DataFrame:
+    """Wide one-hot sector mapping (category_list + one 0/1 column per
+    sector) over the categories found in the tables: market segments, and
+    nation names written with the same "na" -> "0" corruption as the
+    original mapping file; plus the file's own two extra rows."""
+    seg_map = F.create_map(*[x for k, v in SEGMENT_SECTOR for x in (F.lit(k), F.lit(v))])
+    reg_map = F.create_map(*[x for k, v in REGION_SECTOR for x in (F.lit(k), F.lit(v))])
+    seg = (read_table(spark, d, "customer").select(F.lower("c_mktsegment").alias("category_list")).distinct()
+           .withColumn("sector", seg_map[F.col("category_list")]))
+    n = read_table(spark, d, "nation")
+    r = read_table(spark, d, "region")
+    nat = n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).select(
+        F.replace(F.lower("n_name"), F.lit("na"), F.lit("0")).alias("category_list"),
+        reg_map[F.col("r_name")].alias("sector"))
+    extra = spark.createDataFrame(FILE_ROWS, "category_list string, sector string")
+    rows = seg.unionByName(nat).unionByName(extra)
+    return rows.select("category_list", *[(F.col("sector") == s).cast("int").alias(s) for s in SECTORS])
 
 
 def _mapping_sql() -> str:
-    cols = ", ".join(f'"{s}"' for s in SECTORS)
-    vals = ",\n    ".join(
-        "(" + ", ".join(["'" + cat.replace("'", "''") + "'"] + [f"{1 if s == sec else 0}::INTEGER" for s in SECTORS]) + ")"
-        for cat, sec in MAPPING_ROWS)
-    return f"sector_mapping AS (SELECT * FROM (VALUES\n    {vals}) AS t(category_list, {cols}))"
+    seg = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SEGMENT_SECTOR)
+    reg = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in REGION_SECTOR)
+    extra = " UNION ALL ".join(f"SELECT '{c}', '{v}'" for c, v in FILE_ROWS)
+    onehot = ", ".join(f"CAST(sector = '{sct}' AS INTEGER) AS \"{sct}\"" for sct in SECTORS)
+    return f"""sector_mapping AS (
+  SELECT category_list, {onehot} FROM (
+    SELECT category_list, CASE category_list {seg} END AS sector
+    FROM (SELECT DISTINCT lower(c_mktsegment) AS category_list FROM customer)
+    UNION ALL
+    SELECT replace(lower(n_name), 'na', '0'), CASE r_name {reg} END
+    FROM nation JOIN region ON n_regionkey = r_regionkey
+    UNION ALL {extra}) m)"""
 
 
 SECTOR_MAPPING_SQL = _mapping_sql()
