@@ -14,14 +14,18 @@ from kestrel.operators.stats import dummy_encode, split_random
 from kestrel.plans import standins as S
 from kestrel.plans.registry import query
 
-BODIES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 X_NUM = ["quantity", "retailprice", "size", "discount", "tax"]
-X_ALL = X_NUM + [f"carbody_{b}" for b in BODIES[1:]]
+
+
+def design(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
+    """model.matrix(price ~ .): numeric columns plus drop-first dummies of
+    the body levels found in the data; returns the frame and its predictors."""
+    m = dummy_encode(S.cars(spark, d), "carbody")
+    return m, X_NUM + [c for c in m.columns if c.startswith("carbody_")]
 
 
 def model_frame(spark: SparkSession, d: str) -> DataFrame:
-    """model.matrix(price ~ .): numeric columns plus drop-first dummies."""
-    return dummy_encode(S.cars(spark, d), "carbody", BODIES)
+    return design(spark, d)[0]
 
 
 @query("recode_values", ["cars"], """
@@ -74,31 +78,35 @@ def regr_simple(spark: SparkSession, d: str) -> DataFrame:
 @query("ols_fit")
 def ols_fit_q(spark: SparkSession, d: str) -> DataFrame:
     """K1: price ~ numeric predictors + body dummies, with the lm summary."""
-    return ols_fit(model_frame(spark, d), "price", X_ALL)
+    m, xs = design(spark, d)
+    return ols_fit(m, "price", xs)
 
 
 @query("stepwise_aic")
 def stepwise_aic_q(spark: SparkSession, d: str) -> DataFrame:
     """K5: stepAIC(both) from the full model, on one pass of cross products."""
-    return stepwise_aic(model_frame(spark, d), "price", X_ALL)
+    m, xs = design(spark, d)
+    return stepwise_aic(m, "price", xs)
 
 
 @query("backward_eliminate")
 def backward_eliminate_q(spark: SparkSession, d: str) -> DataFrame:
     """K3: drop insignificant terms by VIF then p-value until all p <= 0.05."""
-    return backward_eliminate(model_frame(spark, d), "price", X_ALL)
+    m, xs = design(spark, d)
+    return backward_eliminate(m, "price", xs)
 
 
 def _train_test(spark, d):
-    m = split_random(model_frame(spark, d), "car_id", 0.7)
-    return m.filter("is_train"), m.filter(~F.col("is_train"))
+    m, xs = design(spark, d)
+    m = split_random(m, "car_id", 0.7)
+    return m.filter("is_train"), m.filter(~F.col("is_train")), xs
 
 
 @query("score_linear")
 def score_linear(spark: SparkSession, d: str) -> DataFrame:
     """K6: fit on the 70% split, predict the hold-out rows."""
-    train, test = _train_test(spark, d)
-    coefs, inter = fitted_coefficients(ols_fit(train, "price", X_ALL))
+    train, test, xs = _train_test(spark, d)
+    coefs, inter = fitted_coefficients(ols_fit(train, "price", xs))
     return test.select("car_id", "price", linear_score(coefs, inter).alias("predicted_price"))
 
 
@@ -112,35 +120,39 @@ def holdout_r2(spark: SparkSession, d: str) -> DataFrame:
 @query("cv_linear")
 def cv_linear_q(spark: SparkSession, d: str) -> DataFrame:
     """K8: 5-fold CV mean squared prediction error."""
-    return cv_linear(model_frame(spark, d), "price", X_ALL, 5, 29, key="car_id")
+    m, xs = design(spark, d)
+    return cv_linear(m, "price", xs, 5, 29, key="car_id")
 
 
 # ------------------------------------------------------------- logistic
-LANGS = ["de", "en", "es", "fr"]
-LOGIT_X = ["n_chars", "n_words", "quality"] + [f"lang_{v}" for v in LANGS[1:]]
+LOGIT_NUM = ["n_chars", "n_words", "quality"]
 
 
-def churn_frame(spark, d):
+def churn_frame(spark, d) -> tuple[DataFrame, list[str]]:
+    """Label 0/1 plus drop-first language dummies (levels from the data)."""
     from kestrel.functions.columns import flag_binary
     c = S.churn(spark, d).withColumn("y", flag_binary(F.col("churn"), "Yes").cast("double"))
-    return dummy_encode(c, "lang", LANGS)
+    m = dummy_encode(c, "lang")
+    return m, LOGIT_NUM + [x for x in m.columns if x.startswith("lang_")]
 
 
 @query("logit_fit")
 def logit_fit_q(spark: SparkSession, d: str) -> DataFrame:
     """K4: glm(churn ~ ., binomial) summary with AIC and deviances."""
-    return logit_fit(churn_frame(spark, d), "y", LOGIT_X)
+    c, xs = churn_frame(spark, d)
+    return logit_fit(c, "y", xs)
 
 
 @query("logit_stepwise")
 def logit_stepwise(spark: SparkSession, d: str) -> DataFrame:
     """K5 (logistic): backward AIC search."""
-    return logit_backward_aic(churn_frame(spark, d), "y", LOGIT_X)
+    c, xs = churn_frame(spark, d)
+    return logit_backward_aic(c, "y", xs)
 
 
 @query("score_logistic")
 def score_logistic(spark: SparkSession, d: str) -> DataFrame:
     """K6 (response scale): fitted churn probability for every customer."""
-    c = churn_frame(spark, d)
-    coefs, inter = fitted_coefficients(logit_fit(c, "y", LOGIT_X))
+    c, xs = churn_frame(spark, d)
+    coefs, inter = fitted_coefficients(logit_fit(c, "y", xs))
     return c.select("customer_id", "y", logistic_score(coefs, inter).alias("p_churn"))

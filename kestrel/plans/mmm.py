@@ -25,7 +25,6 @@ SLA_CAP = 17
 ADSTOCK_RATE = 0.5
 CHANNELS = ["TV", "Digital", "Sponsorship", "Content_Marketing", "Online_Marketing", "Affiliates", "SEM",
             "Radio", "Other"]
-SUBCATS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 WEEKDAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 
 # The twelve sale events and their calendar days (month-day),
@@ -415,15 +414,17 @@ def period_sequence(spark: SparkSession, d: str) -> DataFrame:
                     F.row_number().over(Window.orderBy("week_date")).alias("period"))
 
 
-@query("weekly_category_counts", ["mmm_sales"], CLEAN_SQL + """
-SELECT week, """ + ", ".join(f"count(*) FILTER (WHERE sub_category = '{v}') AS \"{v}\"" for v in SUBCATS) + """,
-       count(*) FILTER (WHERE payment_type = 'Prepaid') AS prepaid FROM mc GROUP BY week""")
+@query("weekly_category_counts", ["mmm_sales"], CLEAN_SQL + """,
+pre AS (SELECT week, count(*) FILTER (WHERE payment_type = 'Prepaid') AS prepaid FROM mc GROUP BY week),
+x AS (SELECT mc.week, mc.sub_category, pre.prepaid FROM mc JOIN pre USING (week))
+PIVOT x ON sub_category USING count(*) GROUP BY week, prepaid""")
 def weekly_category_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Dummy counts per week (pivot over a fixed level list)."""
+    """Dummy counts per week — one column per category level
+    present in the data (pivot), plus the prepaid count."""
     c = clean(spark, d)
-    p = c.groupBy("week").pivot(KEY, SUBCATS).agg(F.count(F.lit(1))).fillna(0)
+    p = c.groupBy("week").pivot(KEY).agg(F.count(F.lit(1))).fillna(0)
     pre = c.groupBy("week").agg(F.count_if(F.col("payment_type") == "Prepaid").alias("prepaid"))
-    return p.join(pre, "week").select("week", *[F.col(v).cast("long") for v in SUBCATS], "prepaid")
+    return p.join(pre, "week")
 
 
 def _lp_sql(tbl: str = "wk") -> str:

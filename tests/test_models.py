@@ -13,8 +13,8 @@ Q = E.queries()
 
 def test_ols_residuals_orthogonal(spark):
     from kestrel.operators.models import fitted_coefficients, linear_score, ols_fit
-    from kestrel.plans.cars import X_ALL, model_frame
-    m = model_frame(spark, SF_SMALL)
+    from kestrel.plans.cars import design
+    m, X_ALL = design(spark, SF_SMALL)
     t = ols_fit(m, "price", X_ALL)
     coefs, inter = fitted_coefficients(t)
     r = m.withColumn("e", F.col("price") - linear_score(coefs, inter))
