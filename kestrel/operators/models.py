@@ -299,8 +299,15 @@ def logit_backward_aic(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
     aic = logit_fit(df, y, terms).select("aic").first()[0]
     log = [(0, None, float(aic))]
     step = 0
+    from concurrent.futures import ThreadPoolExecutor
+
+    def aic_without(x):
+        return logit_fit(df, y, [t for t in terms if t != x]).select("aic").first()[0], x
+
     while len(terms) > 1:
-        cands = [(logit_fit(df, y, [t for t in terms if t != x]).select("aic").first()[0], x) for x in terms]
+        # candidate fits are independent Spark jobs: submit them concurrently
+        with ThreadPoolExecutor(max_workers=min(4, len(terms))) as pool:
+            cands = list(pool.map(aic_without, list(terms)))
         a, x = min(cands)
         if a >= aic:
             break
@@ -323,12 +330,16 @@ def kmeans_best(df: DataFrame, cols: list[str], k: int = 3, seeds=(1, 2, 3, 4, 5
     from kestrel.operators.stats import zscore_columns
     d = zscore_columns(df, cols, suffix="__z") if standardize else df.select("*", *[F.col(c).alias(c + "__z") for c in cols])
     data = _assemble(d, [c + "__z" for c in cols])
-    best = None
-    for s in seeds:
-        m = KMeans(k=k, seed=s, featuresCol="features", predictionCol="cluster", maxIter=50).fit(data)
-        cost = m.summary.trainingCost
-        if best is None or cost < best[0]:
-            best = (cost, m)
+    from concurrent.futures import ThreadPoolExecutor
+
+    def fit(seed):
+        m = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster", maxIter=50).fit(data)
+        return m.summary.trainingCost, seed, m
+
+    with ThreadPoolExecutor(max_workers=min(4, len(seeds))) as pool:  # restarts run as concurrent jobs
+        fits = list(pool.map(fit, seeds))
+    best = min(fits, key=lambda r: (r[0], r[1]))
+    best = (best[0], best[2])
     out = best[1].transform(data).drop("features", *[c + "__z" for c in cols])
     sizes = out.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
     from pyspark.sql import Window
