@@ -106,3 +106,11 @@ def test_collinear_total_is_aliased(spark):
 def test_price_tiers_named_by_size(spark):
     p = Q["price_tier_clusters"](spark, SF_SMALL)
     assert set(r["price_tag"] for r in p.collect()) <= {"Mass_Product", "Aspiring_Product", "Premium_Product"}
+
+
+def test_ibcf_excludes_rated_items(spark):
+    from kestrel.plans import standins as S
+    out = Q["ibcf_topn"](spark, SF_SMALL)
+    rated = S.ratings(spark, SF_SMALL).select("user_id", "beer_beerid")
+    assert out.join(rated, ["user_id", "beer_beerid"]).count() == 0
+    assert out.groupBy("user_id").count().filter("count > 5").count() == 0
