@@ -69,10 +69,12 @@ def cutoff_sweep(df: DataFrame, actual: str, score: str, cutoffs: list[float]) -
     g = (grid.join(F.broadcast(cum), grid.i == cum.j, "left")
          .withColumn("tp", F.coalesce(F.first("tp", ignorenulls=True).over(wn), F.lit(0)).cast("long"))
          .withColumn("fp", F.coalesce(F.first("fp", ignorenulls=True).over(wn), F.lit(0)).cast("long")))
-    return g.select(
+    out = g.select(
         "cutoff", "tp", "fp",
         (F.col("tp") / P).alias("sensitivity"), ((N - F.col("fp")) / N).alias("specificity"),
         ((F.col("tp") + N - F.col("fp")) / (P + N)).alias("accuracy"))
+    # balance points: sensitivity and specificity within 0.01 of each other
+    return out.withColumn("is_balanced", F.abs(F.col("sensitivity") - F.col("specificity")) < 0.01)
 
 
 def ks_from_scores(df: DataFrame, actual: str, score: str) -> DataFrame:

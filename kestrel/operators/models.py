@@ -182,12 +182,15 @@ def vif_of(df: DataFrame, xs: list[str]) -> dict[str, float]:
 
 
 def backward_eliminate(df: DataFrame, y: str, xs: list[str], alpha: float = 0.05, vif_cut: float = 2.0,
-                       fit=None) -> DataFrame:
+                       fit=None, adj_r2_tol: float | None = 0.01) -> DataFrame:
     """K3: repeatedly refit and drop one term: among the insignificant terms
     (p > alpha) the one with the highest VIF if that VIF exceeds `vif_cut`,
     otherwise the one with the highest p-value; stop when all terms are
-    significant.  Output: the elimination log (step, dropped, p, vif) and the
-    final model rows (step = -1)."""
+    significant.  Then (linear models) drop, one at a time, the term whose
+    removal costs the least adjusted R^2 while that cost is below
+    `adj_r2_tol` — evaluated from one pass of cross products, no refits.
+    Output: the elimination log (step, dropped, p, vif) and the final model
+    rows (step = -1)."""
     fit = fit or ols_fit
     terms = list(xs)
     log = []
@@ -204,6 +207,27 @@ def backward_eliminate(df: DataFrame, y: str, xs: list[str], alpha: float = 0.05
         step += 1
         log.append((step, drop, float(pv[drop]), float(v[drop])))
         terms.remove(drop)
+    if adj_r2_tol is not None and fit is ols_fit and len(terms) > 1:
+        n, xtx, xty, yty = normal_equations(df.select(y, *terms).dropna(), y, terms)
+        tss = yty - xty[0] ** 2 / n
+
+        def adj_r2(idx):
+            rss = _rss(xtx, xty, yty, [0, *idx])[0]
+            return 1 - (rss / tss) * (n - 1) / (n - len(idx) - 1)
+
+        cur = list(range(1, len(terms) + 1))
+        base = adj_r2(cur)
+        names = list(terms)
+        while len(cur) > 1:
+            cand = max((adj_r2([c for c in cur if c != j]), -j) for j in cur)
+            if base - cand[0] >= adj_r2_tol:
+                break
+            j = -cand[1]
+            step += 1
+            log.append((step, names[j - 1], None, None))
+            terms.remove(names[j - 1])
+            cur.remove(j)
+            base = cand[0]
     spark = df.sparkSession
     out = spark.createDataFrame(log, "step int, term string, p_value double, vif double") if log else \
         spark.createDataFrame([], "step int, term string, p_value double, vif double")

@@ -97,10 +97,12 @@ g AS (SELECT * FROM (VALUES {_grid_sql()}) t(cutoff)),
 pn AS (SELECT count(*) FILTER (WHERE y = 1) AS P, count(*) FILTER (WHERE y = 0) AS N FROM x),
 c AS (SELECT g.cutoff, count(*) FILTER (WHERE x.y = 1 AND x.score >= g.cutoff) AS tp,
              count(*) FILTER (WHERE x.y = 0 AND x.score >= g.cutoff) AS fp FROM g, x GROUP BY g.cutoff)
-SELECT c.cutoff, tp, fp, tp / P AS sensitivity, (N - fp) / N AS specificity, (tp + N - fp) / (P + N) AS accuracy
+SELECT c.cutoff, tp, fp, tp / P AS sensitivity, (N - fp) / N AS specificity, (tp + N - fp) / (P + N) AS accuracy,
+       abs(tp / P - (N - fp) / N) < 0.01 AS is_balanced
 FROM c, pn""")
 def cutoff_sweep_q(spark: SparkSession, d: str) -> DataFrame:
-    """L3: 100 cutoffs from 0.01 to 0.80; sensitivity/specificity/accuracy."""
+    """L3: 100 cutoffs from 0.01 to 0.80; sensitivity/specificity/accuracy and
+    the balance points (|sensitivity - specificity| < 0.01)."""
     return cutoff_sweep(scored(spark, d), "y", "score", CUTOFFS)
 
 
