@@ -67,13 +67,19 @@ def remove_boxplot_outliers(df: DataFrame, cols: list[str]) -> DataFrame:
     sequential boxplot.stats clean-up does).  Fences are scalar subqueries."""
     out = df
     for c in cols:
-        h = tukey_hinges(out, c)
-        lo = h.select("lo_bound").scalar()
-        hi = h.select("hi_bound").scalar()
-        out = out.filter(F.col(c).isNull() | F.col(c).between(lo, hi))
+        out = filter_within_fences(out, c, tukey_fences(out, c))
     return out
 
 
+def tukey_fences(df: DataFrame, col: str):
+    """The (lo_bound, hi_bound) struct of a column as ONE scalar subquery."""
+    return tukey_hinges(df, col).select(F.struct("lo_bound", "hi_bound")).scalar()
+
+
+def filter_within_fences(df: DataFrame, col: str, fences) -> DataFrame:
+    return df.filter(F.col(col).isNull() | F.col(col).between(fences["lo_bound"], fences["hi_bound"]))
+
+
 def remove_above_percentile(df: DataFrame, col: str, p: float) -> DataFrame:
     """Keep rows at or below the p-th percentile."""
     cut = exact_percentiles(df, col, [p]).select("value").scalar()

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from kestrel.functions.columns import constant_column_report
 from kestrel.operators.ordered import tukey_hinges
-from kestrel.operators.quality import (five_number_summary, min_max_profile, percentile_profile,
-                                       remove_above_percentile, remove_boxplot_outliers)
+from kestrel.operators.quality import (filter_within_fences, five_number_summary, min_max_profile,
+                                       percentile_profile, remove_above_percentile, remove_boxplot_outliers,
+                                       tukey_fences)
 from kestrel.operators.relational import check_unique_key, count_duplicate_rows
 from kestrel.plans.registry import query
 from kestrel.sources.io import read_table, shape_report
@@ -86,13 +87,13 @@ def outlier_boxplot(spark: SparkSession, d: str) -> DataFrame:
     """Tukey-fence outlier removal on order value, then order key, with
     fences recomputed on the survivors of each step."""
     o = read_table(spark, d, "orders")
-    s1 = remove_boxplot_outliers(o, ["o_totalprice"])
+    f1 = tukey_fences(o, "o_totalprice")
+    s1 = filter_within_fences(o, "o_totalprice", f1)
     s2 = remove_boxplot_outliers(s1, ["o_orderkey"])
-    h = tukey_hinges(o, "o_totalprice")
     return o.agg(F.count(F.lit(1)).alias("n_before")).select(
         "n_before", s1.agg(F.count(F.lit(1))).scalar().alias("n_after_first"),
         s2.agg(F.count(F.lit(1))).scalar().alias("n_after"),
-        h.select("lo_bound").scalar().alias("lo_bound"), h.select("hi_bound").scalar().alias("hi_bound"))
+        f1["lo_bound"].alias("lo_bound"), f1["hi_bound"].alias("hi_bound"))
 
 
 @query("box_stats_by_class", [], """
