@@ -117,6 +117,7 @@ MASTER_SQL = """master AS (
 @query("join_inner", ["companies", "rounds"], MASTER_SQL + """
 SELECT permalink, funding_round_permalink, funding_round_type, raised_amount_usd, country_code FROM master""")
 def join_inner(spark: SparkSession, d: str) -> DataFrame:
+    """Funding rounds joined to their companies (case-folded key)."""
     m = master(spark, d)
     return m.select("permalink", "funding_round_permalink", "funding_round_type", "raised_amount_usd", "country_code")
 

@@ -71,8 +71,8 @@ SELECT violation_hour_bin, violation_code, frequency_of_tickets,
        CAST(dense_rank() OVER (PARTITION BY violation_hour_bin ORDER BY frequency_of_tickets DESC) AS INTEGER) AS rnk
 FROM counted QUALIFY rnk <= 3""")
 def top3_per_time_bin(spark: SparkSession, d: str) -> DataFrame:
-    """Six 4-hour bins of the (24-hour) violation time; the 3 most frequent
-    violation codes per bin, ties kept (dense_rank)."""
+    """Six 4-hour bins of the (24-hour) violation
+    time; the 3 most frequent violation codes per bin, ties kept (dense_rank)."""
     t = _clean(spark, d).filter(F.col("violation_ts").isNotNull())
     binned = t.select(bin_by_ranges(F.hour("violation_ts"), HOUR_BINS).alias("violation_hour_bin"), "violation_code")
     counted = group_count(binned, ["violation_hour_bin", "violation_code"], "frequency_of_tickets")
@@ -105,6 +105,7 @@ _SEASON_SQL = ("CASE WHEN issue_mnth IN (12, 1, 2) THEN 'WINTER' WHEN issue_mnth
 @query("bin_season", ["season_tickets"], SEASON_CLEAN_SQL + f"""
 SELECT {_SEASON_SQL} AS season, count(*) AS n_tickets FROM clean_season GROUP BY ALL""")
 def bin_season(spark: SparkSession, d: str) -> DataFrame:
+    """Season of the issue month (CASE over month numbers), ticket counts."""
     t = _season_clean(spark, d)
     return group_count(t.select(season_of_month(F.col("issue_mnth")).alias("season")), ["season"], "n_tickets")
 

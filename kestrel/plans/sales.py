@@ -175,7 +175,7 @@ def acf_by_lag(spark: SparkSession, d: str) -> DataFrame:
 
 @query("pacf_by_lag")
 def pacf_by_lag(spark: SparkSession, d: str) -> DataFrame:
-    """N4 (partial autocorrelation via Durbin-Levinson per series)."""
+    """Partial autocorrelation per series (Durbin-Levinson on the ACF)."""
     return pacf_from_acf(acf(monthly(spark, d), KEYS, "t", "sales", MAX_LAG), KEYS)
 
 
