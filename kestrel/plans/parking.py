@@ -139,8 +139,8 @@ def normalize_columns(spark: SparkSession, d: str) -> DataFrame:
 SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY
   l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) = 1""")
 def dedup_key_q(spark: SparkSession, d: str) -> DataFrame:
-    """Lineitem has repeated (orderkey, linenumber) pairs; keep one full
-    row per pair, deterministically."""
+    """Lineitem has repeated (orderkey, linenumber) pairs; keep one
+    full row per pair (all columns), deterministically."""
     from kestrel.sources.io import read_table
     return dedup_key(read_table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
 
