@@ -60,10 +60,15 @@ def split_stratified(df: DataFrame, label: str, key: str, ratio: float, seed: in
             .drop("__h", "__r", "__n"))
 
 
-def split_random(df: DataFrame, key: str, ratio: float, seed: int = 9999, name: str = "is_train") -> DataFrame:
-    """Stable random split from a seeded hash of the key (no shuffle; the
-    same row lands on the same side on every run and partitioning)."""
-    bucket = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(10000))
+def split_random(df: DataFrame, keys: list[str] | str, ratio: float, seed: int = 9999,
+                 name: str = "is_train") -> DataFrame:
+    """Stable random split: bucket = first 32 bits of md5(seed|keys...)
+    mod 10000, train when bucket < ratio * 10000.  No shuffle; the same row
+    lands on the same side on every run, partitioning and engine (md5 is a
+    standard function, so the split can be reproduced outside Spark)."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
+    bucket = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 10000
     return df.withColumn(name, bucket < int(round(ratio * 10000)))
 
 

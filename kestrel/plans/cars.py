@@ -98,7 +98,7 @@ def backward_eliminate_q(spark: SparkSession, d: str) -> DataFrame:
 
 def _train_test(spark, d):
     m, xs = design(spark, d)
-    m = split_random(m, "car_id", 0.7)
+    m = split_random(m, ["car_id"], 0.7)
     return m.filter("is_train"), m.filter(~F.col("is_train")), xs
 
 

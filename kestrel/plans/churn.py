@@ -70,10 +70,19 @@ def split_stratified_q(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("churn", "is_train").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("split_random")
+_LI_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
+@query("split_random", [], """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+       CAST(('0x' || substr(md5(concat_ws('|', '9999', """ + ", ".join(f"CAST({k} AS VARCHAR)" for k in _LI_KEYS) + """)), 1, 8))
+            AS BIGINT) % 10000 < 7000 AS is_train
+FROM lineitem""")
 def split_random_q(spark: SparkSession, d: str) -> DataFrame:
-    """Seeded hash split of the car rows (70/30; checked by property test)."""
-    return split_random(S.cars(spark, d).select("car_id", "price"), "car_id", 0.7)
+    """Seeded 70/30 random split of the order lines (hash of the row key)."""
+    from kestrel.sources.io import read_table
+    li = read_table(spark, d, "lineitem").select(*_LI_KEYS)
+    return split_random(li, _LI_KEYS, 0.7)
 
 
 @query("confusion_metrics", ["churn"], f"""
