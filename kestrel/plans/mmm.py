@@ -46,6 +46,20 @@ SALE_EVENTS = [
 HOLIDAYS = [(f"{YEAR}-{md}", name) for name, mds in SALE_EVENTS for md in mds]
 
 
+PERIOD = (f"{YEAR}-01-01", f"{YEAR}-12-31")  # analysis period (one year of weekly data)
+
+
+def period_sales(spark: SparkSession, d: str) -> DataFrame:
+    """The order lines of the analysis period (a date-range filter the
+    optimizer pushes to the orders scan)."""
+    s = S.mmm_sales(spark, d)
+    return s.filter(F.col("order_date").between(F.to_date(F.lit(PERIOD[0])), F.to_date(F.lit(PERIOD[1]))))
+
+
+PERIOD_SQL = f"""period_sales AS (
+  SELECT * FROM mmm_sales WHERE order_date BETWEEN DATE '{PERIOD[0]}' AND DATE '{PERIOD[1]}')"""
+
+
 def media_rows() -> list[tuple]:
     """Monthly media spend sheet (stand-in rule; Radio/Other missing in the
     first half-year as in the source sheet)."""
@@ -88,8 +102,9 @@ def clean(spark: SparkSession, d: str) -> DataFrame:
     """Dedup on (fsn, order, item, units); drop zero MRP; zero GMV repaired
     as MRP x units; keep MRP x units >= GMV; sentinel/negative delivery
     days -> 0; negative procurement SLA -> 0; SLA capped at 17; calendar
-    attributes; list price, promotional offer, prepaid flag."""
-    s = S.mmm_sales(spark, d)
+    attributes; list price, promotional offer, prepaid flag.  Only the
+    analysis period is kept."""
+    s = period_sales(spark, d)
     s = dedup_key(s, ["fsn_id", "order_id", "order_item_id", "units"])
     s = s.filter(F.col("product_mrp") != 0)
     s = s.withColumn("gmv", F.when(F.col("gmv") == 0, F.col("product_mrp") * F.col("units")).otherwise(F.col("gmv")))
@@ -108,8 +123,9 @@ def clean(spark: SparkSession, d: str) -> DataFrame:
             .withColumn("payment_ind", (F.col("payment_type") == "Prepaid").cast("int")))
 
 
-CLEAN_SQL = """mc0 AS (
-  SELECT * FROM mmm_sales QUALIFY row_number() OVER (PARTITION BY fsn_id, order_id, order_item_id, units ORDER BY """ + \
+CLEAN_SQL = PERIOD_SQL + """,
+mc0 AS (
+  SELECT * FROM period_sales QUALIFY row_number() OVER (PARTITION BY fsn_id, order_id, order_item_id, units ORDER BY """ + \
     ", ".join(f"{c} ASC NULLS FIRST" for c in _MMM_OTHERS) + """) = 1),
 mc1 AS (SELECT * REPLACE (CASE WHEN gmv = 0 THEN product_mrp * units ELSE gmv END AS gmv) FROM mc0 WHERE product_mrp <> 0),
 mc AS (
@@ -175,12 +191,12 @@ def period_floor(spark: SparkSession, d: str) -> DataFrame:
     return group_count(c, ["month_date", "week_date"], "n")
 
 
-@query("week_numbers", ["mmm_sales"], """
+@query("week_numbers", ["mmm_sales"], PERIOD_SQL + """
 SELECT DISTINCT strftime(order_date, '%Y-%m-%d') AS day, CAST(weekofyear(order_date) AS INTEGER) AS iso_week,
-       CAST(floor((dayofyear(order_date) - 1) / 7) + 1 AS INTEGER) AS simple_week FROM mmm_sales""")
+       CAST(floor((dayofyear(order_date) - 1) / 7) + 1 AS INTEGER) AS simple_week FROM period_sales""")
 def week_numbers(spark: SparkSession, d: str) -> DataFrame:
     """ISO week (%V) and the simple week() numbering side by side."""
-    s = S.mmm_sales(spark, d)
+    s = period_sales(spark, d)
     return s.select(F.date_format("order_date", "yyyy-MM-dd").alias("day"),
                     F.weekofyear("order_date").alias("iso_week"),
                     week_of_year_simple(F.col("order_date")).alias("simple_week")).distinct()
@@ -237,7 +253,7 @@ def crosstab_year_month(spark: SparkSession, d: str) -> DataFrame:
 def calendar_weeks(spark: SparkSession, d: str) -> DataFrame:
     """A10: every day between the first and last order date, counted per
     (month, simple week) with the fraction of a 7-day week."""
-    s = S.mmm_sales(spark, d)
+    s = period_sales(spark, d)
     rng = s.agg(F.min("order_date").alias("a"), F.max("order_date").alias("b"))
     days = rng.select(F.explode(F.sequence("a", "b", F.expr("INTERVAL 1 DAY"))).alias("day"))
     g = days.groupBy(F.month("day").alias("Month"), week_of_year_simple(F.col("day")).alias("week")).agg(
@@ -245,14 +261,14 @@ def calendar_weeks(spark: SparkSession, d: str) -> DataFrame:
     return g.withColumn("frac_days", F.col("n_days") / 7.0)
 
 
-CAL_SQL = """days AS (SELECT CAST(unnest(range(CAST((SELECT min(order_date) FROM mmm_sales) AS TIMESTAMP),
-                                  CAST((SELECT max(order_date) FROM mmm_sales) AS TIMESTAMP) + INTERVAL 1 DAY,
+CAL_SQL = """days AS (SELECT CAST(unnest(range(CAST((SELECT min(order_date) FROM period_sales) AS TIMESTAMP),
+                                  CAST((SELECT max(order_date) FROM period_sales) AS TIMESTAMP) + INTERVAL 1 DAY,
                                   INTERVAL 1 DAY)) AS DATE) AS day),
 cal AS (SELECT CAST(month(day) AS INTEGER) AS Month, CAST(floor((dayofyear(day) - 1) / 7) + 1 AS INTEGER) AS week,
                count(*) AS n_days, count(*) / 7.0::DOUBLE AS frac_days FROM days GROUP BY ALL)"""
 
 
-@query("calendar_month_week_days", ["mmm_sales"], CAL_SQL + "\nSELECT * FROM cal")
+@query("calendar_month_week_days", ["mmm_sales"], PERIOD_SQL + ",\n" + CAL_SQL + "\nSELECT * FROM cal")
 def calendar_month_week_days(spark: SparkSession, d: str) -> DataFrame:
     """A10: days per (month, week) over the order date range."""
     return calendar_weeks(spark, d)
@@ -274,7 +290,7 @@ wmedia AS (SELECT week, """ + ", ".join(
            FROM cal LEFT JOIN media USING (Month) GROUP BY week)"""
 
 
-@query("prorate_month_to_week", ["mmm_sales"], WMEDIA_SQL + "\nSELECT week, " + ", ".join(MEDIA_COLS) + " FROM wmedia")
+@query("prorate_month_to_week", ["mmm_sales"], PERIOD_SQL + ",\n" + WMEDIA_SQL + "\nSELECT week, " + ", ".join(MEDIA_COLS) + " FROM wmedia")
 def prorate_month_to_week(spark: SparkSession, d: str) -> DataFrame:
     """Weekly media spend from the monthly sheet."""
     w = weekly_media(spark, d)
@@ -502,7 +518,7 @@ def impute_moving_average_q(spark: SparkSession, d: str) -> DataFrame:
     return f.select(KEY, "week", F.round("LP_MA3", 6).alias("LP_MA3"))
 
 
-@query("adstock", ["mmm_sales"], WMEDIA_SQL + """,
+@query("adstock", ["mmm_sales"], PERIOD_SQL + ",\n" + WMEDIA_SQL + """,
 a AS (SELECT x.week, sum(y.TV * pow(""" + str(ADSTOCK_RATE) + """, x.week - y.week)) AS TV_adstock,
              sum(y.SEM * pow(""" + str(ADSTOCK_RATE) + """, x.week - y.week)) AS SEM_adstock
       FROM wmedia x JOIN wmedia y ON y.week <= x.week GROUP BY x.week)
