@@ -114,3 +114,24 @@ def test_ibcf_excludes_rated_items(spark):
     rated = S.ratings(spark, SF_SMALL).select("user_id", "beer_beerid")
     assert out.join(rated, ["user_id", "beer_beerid"]).count() == 0
     assert out.groupBy("user_id").count().filter("count > 5").count() == 0
+
+
+def test_split_random_matches_python_md5(spark):
+    import hashlib
+    from kestrel.operators.stats import split_random
+    rows = [(i, i * 7 % 13) for i in range(200)]
+    df = spark.createDataFrame(rows, "a long, b long")
+    got = {(r["a"], r["b"]): r["is_train"] for r in split_random(df, ["a", "b"], 0.7, seed=9999).collect()}
+    for a, b in rows:
+        bucket = int(hashlib.md5(f"9999|{a}|{b}".encode()).hexdigest()[:8], 16) % 10000
+        assert got[(a, b)] == (bucket < 7000)
+
+
+def test_mmm_cleaning_keeps_analysis_period_only(spark):
+    from kestrel.plans import mmm
+    c = mmm.clean(spark, SF_SMALL)
+    years = {r["Year"] for r in c.select("Year").distinct().collect()}
+    assert years == {mmm.YEAR}
+    assert c.filter(F.col("gmv") == 0).count() == 0
+    assert c.filter(F.col("sla") > mmm.SLA_CAP).count() == 0
+    assert c.filter((F.col("deliverybdays") < 0) | (F.col("deliverycdays") < 0)).count() == 0
