@@ -188,3 +188,33 @@ def test_percentiles_with_a_hot_value(spark):
     n4 = math.floor((len(s) + 3) / 2) / 2
     lower = (s[math.floor(n4) - 1] + s[math.ceil(n4) - 1]) / 2
     assert h["lower_hinge"] == pytest.approx(lower)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_percentiles_random_against_numpy(spark, seed):
+    """Randomised: grouped exact percentiles equal numpy's type-7 quantiles,
+    including heavy ties (values drawn from a small set)."""
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(50, 400))
+    vals = rng.choice(rng.normal(0, 5, 12).round(2), size=n)
+    grp = rng.integers(0, 3, size=n)
+    df = spark.createDataFrame([(int(g), float(v)) for g, v in zip(grp, vals)], "g int, x double")
+    probs = [0.0, 0.05, 0.25, 0.5, 0.77, 1.0]
+    got = {(r["g"], r["p"]): r["value"] for r in exact_percentiles(df, "x", probs, ["g"]).collect()}
+    for g in set(grp.tolist()):
+        xs = vals[grp == g]
+        for p in probs:
+            assert got[(g, p)] == pytest.approx(float(np.quantile(xs, p)), abs=1e-9)
+
+
+def test_prefix_sums_grouped_random(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(g), int(v), int(w)) for g, v, w in zip(rng.integers(0, 4, 300), rng.permutation(300),
+                                                        rng.integers(1, 9, 300))]
+    df = spark.createDataFrame(rows, "g int, v int, w int")
+    got = {(r["g"], r["v"]): r["cum_w"] for r in prefix_sums(df, ["v"], ["w"], group=["g"]).collect()}
+    for g in range(4):
+        acc = 0
+        for _, v, w in sorted((r for r in rows if r[0] == g), key=lambda r: r[1]):
+            acc += w
+            assert got[(g, v)] == acc
