@@ -25,7 +25,6 @@ SLA_CAP = 17
 ADSTOCK_RATE = 0.5
 CHANNELS = ["TV", "Digital", "Sponsorship", "Content_Marketing", "Online_Marketing", "Affiliates", "SEM",
             "Radio", "Other"]
-WEEKDAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 
 # The twelve sale events and their calendar days (month-day),
 # placed in the analysed year of the stand-in.
@@ -443,10 +442,6 @@ def weekly_category_counts(spark: SparkSession, d: str) -> DataFrame:
     return p.join(pre, "week")
 
 
-def _lp_sql(tbl: str = "wk") -> str:
-    return f"(SELECT sub_category, week, list_price, promotional_offer, gmv FROM {tbl})"
-
-
 @query("lag_features", ["mmm_sales"], WEEKLY_SQL + """
 SELECT sub_category, week, """ + ", ".join(
     f"lag({c}, {k}) OVER (PARTITION BY sub_category ORDER BY week) AS {c}_lag_{k}"
