@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.llm import decontaminate, langid, linededup, mixing, quality, simhash, toxicity
+import corpus_pipeline
+from kestrel.llm import decontaminate, embeddings, html, langid, linededup, mixing, quality, simhash, toxicity, warc
 from kestrel.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +92,32 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash of every document and the smallest document reachable over links of up to 4 bits."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op5_embedding_neardup", embeddings.oracle_sql())
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors with equal labels and cosine of at least 0.98."""
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op7_html_text")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
+@query("op10_warc", warc.ORACLE_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WARC records of all pages, written to archives and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages")) \
+        .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of corpus_pipeline over documents."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
