@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from kestrel.llm.common import col, fresh
 
 _SOFT = re.compile("[\u00a0-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf\u2000-\u206f\u3000-\u3004\u3008-\u3020]")     # spaces and marks beyond ASCII
+_STRETCH = 1 << 18
 _SPLIT = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
@@ -50,18 +51,17 @@ def normalise(text: str | None) -> bytes:
     return t.encode("utf-8", "replace").translate(_SPLIT)
 
 
-def word_hashes(norm: bytes) -> np.ndarray:
-    """64-bit hash of every word, by one polynomial prefix sum over the bytes."""
+def word_hashes(norm: bytes, places: bool = False):
+    """64-bit hash of every word, by one polynomial prefix sum over the bytes; with `places` also where it starts."""
     b = np.frombuffer(norm, np.uint8)
     inside = b != 32
     edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
     lo, hi = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    if not len(lo):
-        return np.zeros(0, np.uint64)
-    power, inverse = _powers(len(b))
+    power, inverse = _powers(len(b) + 1)
     with np.errstate(over="ignore"):
         total = np.concatenate([[np.uint64(0)], np.cumsum(b.astype(np.uint64) * power[:len(b)], dtype=np.uint64)])
-        return _mix((total[hi] - total[lo]) * inverse[lo] + (hi - lo).astype(np.uint64))
+        words = _mix((total[hi] - total[lo]) * inverse[lo] + (hi - lo).astype(np.uint64))
+    return (words, lo) if places else words
 
 
 _BASE, _POWER = 0x9E3779B97F4A7C15, [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
@@ -103,13 +103,41 @@ def _functions(params: DecontaminationParams) -> tuple[np.ndarray, np.ndarray]:
             rng.integers(0, 1 << 63, params.hashes, dtype=np.uint64))
 
 
-def _block_minima(sh: np.ndarray, size: int, mult: np.ndarray, add: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(function, minimum per block of `size` shingles)."""
-    at = np.arange(0, len(sh), size)
+def _hashed(sh: np.ndarray, mult: np.uint64, add: np.uint64) -> np.ndarray:
     with np.errstate(over="ignore"):
-        for j, (m, a) in enumerate(zip(mult, add)):
-            x = sh * m + a
-            yield j, np.minimum.reduceat(x ^ (x >> np.uint64(31)), at)
+        x = sh * mult
+        x += add
+    x ^= x >> np.uint64(31)
+    return x
+
+
+def _batches(norms: list[bytes], overlap: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(word hashes, document numbers) of stretches of about _STRETCH bytes: many short
+    documents at once, long ones in parts that overlap by `overlap` words."""
+    held, n = [], 0
+
+    def joined(docs: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        text = b" ".join(norms[k] for k in docs)
+        size = np.array([len(norms[k]) + 1 for k in docs])
+        words, at = word_hashes(text, places=True)
+        return words, np.asarray(docs)[np.searchsorted(np.cumsum(size), at, "right")]
+    for k, t in enumerate(norms):
+        if len(t) <= _STRETCH:
+            held.append(k)
+            n += len(t)
+            if n >= _STRETCH:
+                yield joined(held)
+                held, n = [], 0
+            continue
+        parts, lo = [np.zeros(0, np.uint64)], 0
+        while lo < len(t):                              # cut at spaces, so no word is split
+            hi = t.find(b" ", lo + _STRETCH)
+            hi = len(t) if hi < 0 else hi
+            words = np.concatenate([parts[-1][max(0, len(parts[-1]) - overlap):], word_hashes(t[lo:hi])])
+            yield words, np.full(len(words), k)
+            parts, lo = [words], hi + 1
+    if held:
+        yield joined(held)
 
 
 class ItemIndex:
@@ -132,44 +160,62 @@ class ItemIndex:
             sh = shingle_hashes(word_hashes(b" ".join(words)), n)
             size = max(params.smallest, 1 << (len(sh) - 1).bit_length())
             by_fn = entries.setdefault((n, size), {})
-            for j, low in _block_minima(sh, len(sh), mult, add):
-                by_fn.setdefault(j, []).append((int(low[0]), k))
-        # per class and function: sorted minima and the items having them
-        self.classes = {}
-        for cls, by_fn in sorted(entries.items()):
+            for j in range(params.hashes):
+                by_fn.setdefault(j, []).append((int(_hashed(sh, mult[j], add[j]).min()), k))
+        # by shingle length and class size, per function: sorted minima, the items having them, a sieve of their low bits
+        self.classes: dict[int, dict[int, list[tuple]]] = {}
+        for (n, size), by_fn in sorted(entries.items()):
             rows = []
             for j in range(params.hashes):
                 pairs = sorted(by_fn[j])
-                rows.append((np.array([p[0] for p in pairs], np.uint64), np.array([p[1] for p in pairs])))
-            self.classes[cls] = rows
-
-    def candidates(self, words: np.ndarray) -> set[int]:
-        """Items one of whose minima is a block's minimum."""
-        out: set[int] = set()
+                mins = np.array([p[0] for p in pairs], np.uint64)
+                sieve = np.zeros(1 << 16, bool)
+                sieve[(mins & np.uint64(0xFFFF)).astype(np.int64)] = True
+                rows.append((mins, np.array([p[1] for p in pairs]), sieve))
+            self.classes.setdefault(n, {})[size] = rows
+
+    def candidates(self, norms: list[bytes]) -> list[set[int]]:
+        """Per text the items one of whose minima is the minimum of one of its blocks."""
+        out: list[set[int]] = [set() for _ in norms]
         mult, add = _functions(self.params)
-        last_n, sh = None, None
-        for (n, size), rows in self.classes.items():
-            if n != last_n:
-                sh, last_n = shingle_hashes(words, n), n
-            if not len(sh):
-                continue
-            for j, low in _block_minima(sh, size, mult, add):
-                mins, items = rows[j]
-                at = np.searchsorted(mins, low)
-                hit = mins[np.minimum(at, len(mins) - 1)] == low
-                if hit.any():
-                    for v in np.unique(low[hit]):
-                        out.update(items[np.searchsorted(mins, v):np.searchsorted(mins, v, "right")].tolist())
+        for words, doc in _batches(norms, self.params.shingle - 1):
+            for n, sizes in self.classes.items():
+                if len(words) < n:
+                    continue
+                inside = doc[:len(doc) - n + 1] == doc[n - 1:]
+                sh, of = shingle_hashes(words, n)[inside], doc[:len(doc) - n + 1][inside]
+                if not len(sh):
+                    continue
+                first = np.flatnonzero(np.diff(of, prepend=-1))
+                count = np.diff(np.append(first, len(of)))
+                cuts = {}
+                for size in sizes:                      # blocks start anew with every document
+                    per = -(-count // size)
+                    nth = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+                    cuts[size] = np.repeat(first, per) + nth * size
+                for j in range(self.params.hashes):
+                    x = _hashed(sh, mult[j], add[j])
+                    for size, rows in sizes.items():
+                        mins, items, sieve = rows[j]
+                        low = np.minimum.reduceat(x, cuts[size])
+                        maybe = np.flatnonzero(sieve[(low & np.uint64(0xFFFF)).astype(np.int64)])
+                        if not len(maybe):
+                            continue
+                        v = low[maybe]
+                        lo, hi = np.searchsorted(mins, v), np.searchsorted(mins, v, "right")
+                        for b in np.flatnonzero(hi > lo):
+                            out[of[cuts[size][maybe[b]]]].update(items[lo[b]:hi[b]].tolist())
         return out
 
-    def held(self, text: str | None) -> list[tuple]:
-        """(item, containment) of the items the text holds, by item order."""
-        norm = normalise(text)
-        words = word_hashes(norm)
-        if not len(words):
-            return []
+    def held_by(self, texts: list[str | None]) -> list[list[tuple]]:
+        """Per text the (item, containment) it holds, by item order."""
+        norms = [normalise(t) for t in texts]
+        return [self._verified(t, c) for t, c in zip(norms, self.candidates(norms))]
+
+    def _verified(self, norm: bytes, candidates: set[int]) -> list[tuple]:
+        """Exact containment of the candidates in the whole text."""
         out, own, sets = [], None, {}
-        for k in sorted(self.candidates(words)):
+        for k in sorted(candidates):
             own = own or norm.split()
             n = self.n[k]
             if n not in sets:
@@ -186,7 +232,7 @@ def _udf_held(shared, item_type: str):
         index: ItemIndex = shared.value
         kind = None
         for arr in texts:
-            out = [[{"item": i, "containment": c} for i, c in index.held(t)] for t in arr.to_pylist()]
+            out = [[{"item": i, "containment": c} for i, c in h] for h in index.held_by(arr.to_pylist())]
             kind = kind or pa.list_(pa.struct([("item", pa.int64() if item_type in ("bigint", "long") else
                                                 pa.int32() if item_type == "int" else pa.string()),
                                                ("containment", pa.float64())]))
