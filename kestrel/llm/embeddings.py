@@ -30,12 +30,11 @@ class NearVectorParams:
     """cosine: least cosine of a link.  block: coordinates per block.  grid:
     coordinates of a block that name its cells, twice the block's radius wide.
     group: most vectors of a cell that one task compares at once; a fuller
-    cell is dealt out over `salts` groups, as often as needed."""
+    cell is dealt out over several groups."""
     cosine: float = 0.98
     block: int = 8
     grid: int = 3
     group: int = 4096
-    salts: int = 16
     tile: int = 1024
     seed: int = 5
 
@@ -99,7 +98,7 @@ def _spread(params: NearVectorParams):
     return run
 
 
-def _batch(g: np.ndarray, side: int, cid: np.ndarray, coord: np.ndarray, budget=None) -> pa.RecordBatch:
+def _batch(g: np.ndarray, side: int, cid: np.ndarray, coord: np.ndarray) -> pa.RecordBatch:
     width = coord.shape[1] * 4
     data = pa.Array.from_buffers(pa.binary(), len(g), [None, pa.py_buffer(
         (np.arange(len(g) + 1) * width).astype(np.int32)), pa.py_buffer(coord.tobytes())])
@@ -202,9 +201,10 @@ def _candidates(nodes: DataFrame, params: NearVectorParams) -> DataFrame:
         if hot.isEmpty():
             return found.distinct()
         # a full cell: its own rows are dealt out over groups, the searching rows go to all of them
-        salts = F.array(*[F.lit(s) for s in range(params.salts)])
-        mine = F.array(F.pmod(F.xxhash64("u", "g"), F.lit(params.salts)).cast("int"))
-        rows = hot.withColumn("s", F.explode(F.when(F.col("side") == 0, mine).otherwise(salts))) \
+        full = hot.filter("side = 0").groupBy("g").agg(F.ceil(2 * F.count(F.lit(1)) / params.group).cast("int").alias("n"))
+        mine = F.array(F.pmod(F.xxhash64("u", "g"), F.col("n")).cast("int"))
+        rows = hot.join(full, "g") \
+            .withColumn("s", F.explode(F.when(F.col("side") == 0, mine).otherwise(F.sequence(F.lit(0), F.col("n") - 1)))) \
             .select(F.xxhash64("g", "s").alias("g"), "side", F.col("u").alias("cid"), "x")
 
 

@@ -15,7 +15,7 @@ on and split by pairs of its own nodes, as often as needed.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import combinations
 
 import numpy as np
@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.llm.common import col, components, cut, fresh
+from kestrel.operators.ordered import global_rank
 
 BITS = 64
 
@@ -32,14 +33,13 @@ BITS = 64
 @dataclass(frozen=True)
 class SimHashParams:
     """shingle: words per shingle.  max_bits: most differing bits of a link.
-    group: largest sub-trie joined in one piece; pairs: node pairs that may be
-    walked at once; split_bits: trie levels by which a larger one is split."""
+    group: largest sub-trie joined in one piece; a larger one is split into
+    runs of that size.  pairs: squared sizes of the sub-tries walked together."""
     shingle: int = 4
     max_bits: int = 4
     seed: int = 42
-    group: int = 4096
+    group: int = 2048
     pairs: int = 4_000_000
-    split_bits: int = 8
 
 
 # ------------------------------------------------------------ fingerprints
@@ -88,60 +88,62 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id",
 
 
 # ------------------------------------------------------------- trie join
-def trie_pairs(group: np.ndarray, fp: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i, j), i < j, of fingerprints of one group within `budget` bits.
+def trie_pairs(group: np.ndarray, fp: np.ndarray, budget: int,
+               limit: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (i, j), i < j, of fingerprints of one group within `budget` bits, in pieces.
 
     `group` is sorted and `fp` (uint64, distinct in a group) is sorted inside
     each group, so every trie node is a range of positions.  All groups'
-    tries are walked together, one bit a level; a pair of single leaves is
-    settled at once by its remaining bits.
+    tries are walked together, a level at a time, in stretches of at most
+    `limit` node pairs; a pair of single leaves is settled at once by its
+    remaining bits.
     """
     n = len(fp)
-    start = np.flatnonzero(np.diff(group, prepend=group[0] - 1 if n else 0))
+    if not n:
+        return
+    start = np.flatnonzero(np.diff(group, prepend=group[0] ^ 1))
     stop = np.append(start[1:], n)
     big = stop - start > 1
     a0, a1 = start[big], stop[big]
-    b0, b1, dist = a0.copy(), a1.copy(), np.zeros(big.sum(), np.int64)
-    found_i, found_j = [], []
-    for level in range(BITS):
-        if not len(a0):
-            break
-        ones = np.concatenate([[0], np.cumsum(((fp >> np.uint64(BITS - 1 - level)) & np.uint64(1)).astype(np.int64))])
-
-        def middle(lo, hi):
-            return hi - (ones[hi] - ones[lo])
-        am, bm = middle(a0, a1), middle(b0, b1)
-        own = a0 == b0
-        cross = ~own
+    stack = [(0, a0, a1, a0, a1, np.zeros(len(a0), np.int8))]
+    ones: dict[int, np.ndarray] = {}                    # set bits before each position, by level
+    while stack:
+        level, a0, a1, b0, b1, dist = stack.pop()
+        if not len(a0) or level == BITS:
+            continue
+        if len(a0) > limit:
+            stack += [(level, *(x[k:k + limit] for x in (a0, a1, b0, b1, dist))) for k in range(0, len(a0), limit)]
+            continue
+        if level not in ones:
+            bit = (fp >> np.uint64(BITS - 1 - level)) & np.uint64(1)
+            ones[level] = np.concatenate([[0], np.cumsum(bit.astype(np.int64))])
+        before = ones[level]
+        am, bm = a1 - (before[a1] - before[a0]), b1 - (before[b1] - before[b0])
+        cross = a0 != b0
         next_a0 = np.concatenate([a0, am, a0, am[cross]])
         next_a1 = np.concatenate([am, a1, am, a1[cross]])
         next_b0 = np.concatenate([b0, bm, bm, b0[cross]])
         next_b1 = np.concatenate([bm, b1, b1, bm[cross]])
-        next_d = np.concatenate([dist, dist, dist + 1, dist[cross] + 1])
+        next_d = np.concatenate([dist, dist, dist + np.int8(1), dist[cross] + np.int8(1)])
         na, nb = next_a1 - next_a0, next_b1 - next_b0
         same = next_a0 == next_b0
         live = (na > 0) & (nb > 0) & (next_d <= budget) & ~(same & (na == 1))
         leaf = live & ~same & (na == 1) & (nb == 1)
         i, j = next_a0[leaf], next_b0[leaf]
         ok = np.bitwise_count(fp[i] ^ fp[j]) <= budget
-        found_i.append(i[ok])
-        found_j.append(j[ok])
+        if ok.any():
+            yield np.minimum(i[ok], j[ok]), np.maximum(i[ok], j[ok])
         go = live & ~leaf
-        a0, a1, b0, b1, dist = next_a0[go], next_a1[go], next_b0[go], next_b1[go], next_d[go]
-    if not found_i:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    i, j = np.concatenate(found_i), np.concatenate(found_j)
-    return np.minimum(i, j), np.maximum(i, j)
+        stack.append((level + 1, next_a0[go], next_a1[go], next_b0[go], next_b1[go], next_d[go]))
 
 
-def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Smallest position reachable from each position over the links."""
-    label = np.arange(n)
+def _join_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Smallest position reachable from each position over the links so far and the new ones."""
     while True:
         new = label.copy()
         low = np.minimum(label[i], label[j])
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
+        for side in (i, j, label[i], label[j]):
+            np.minimum.at(new, side, low)
         new = new[new]
         if (new == label).all():
             return label
@@ -164,10 +166,11 @@ def _join_groups(params: SimHashParams):
             base = cost[lo - 1] if lo else 0
             hi = max(lo + 1, int(np.searchsorted(cost, base + params.pairs, "right")))
             s, e = start[lo], start[hi] if hi < len(start) else len(g)
-            i, j = trie_pairs(g[s:e], fp[s:e], params.max_bits)
-            if len(i):
-                root = _forest(e - s, i, j)
-                at = np.flatnonzero(root != np.arange(e - s))
+            root = own = np.arange(e - s)
+            for i, j in trie_pairs(g[s:e], fp[s:e], params.max_bits):
+                root = _join_labels(root, i, j)
+            at = np.flatnonzero(root != own)
+            if len(at):
                 yield fp[s:e][at], fp[s:e][root[at]]
             lo = hi
 
@@ -242,39 +245,50 @@ def fingerprint_links(distinct: DataFrame, params: SimHashParams = SimHashParams
     with the same connected components, never all pairs of a group.
     """
     rows = distinct.select(F.explode(_subtries(F.col("fp"), params.max_bits)).alias("g"), "fp")
-    found = None
-    depth = 0
-    while True:
-        joined = cut(rows.repartition("g").sortWithinPartitions("g", "fp")
-                     .mapInArrow(_join_groups(params), "hot boolean, u long, v long"))
-        links = joined.filter("not hot").select("u", "v")
-        found = links if found is None else found.unionByName(links)
-        hot = joined.filter("hot").select(F.col("u").alias("g"), F.col("v").alias("fp"))
-        if depth >= BITS or hot.isEmpty():
-            break
-        rows = _split(hot, depth, params)
-        depth += params.split_bits
-    return found.distinct()
-
-
-def _split(hot: DataFrame, depth: int, params: SimHashParams) -> DataFrame:
-    """Deal a large sub-trie out by pairs of its nodes `split_bits` deeper.
-
-    A node meets itself and every other node there is whose path differs in no
-    more than the budget; both nodes' fingerprints go to the pair's own group.
+    links, hot = _walk(rows, params)
+    if not hot.isEmpty():
+        more, _ = _walk(_split(hot, params), replace(params, group=2 * params.group))
+        links = links.unionByName(more)
+    return links.distinct()
+
+
+def _walk(rows: DataFrame, params: SimHashParams) -> tuple[DataFrame, DataFrame]:
+    """Links inside the groups of (g, fp), and the rows of groups that are too large."""
+    joined = cut(rows.repartition("g").sortWithinPartitions("g", "fp")
+                 .mapInArrow(_join_groups(params), "hot boolean, u long, v long"))
+    return joined.filter("not hot").select("u", "v"), \
+        joined.filter("hot").select(F.col("u").alias("g"), F.col("v").alias("fp"))
+
+
+def _split(hot: DataFrame, params: SimHashParams) -> DataFrame:
+    """Deal large sub-tries out by pairs of their own nodes.
+
+    Ranked in trie order, a sub-trie is cut into runs of `group` fingerprints,
+    each below one node: the common prefix of its first and last.  Two runs
+    meet unless their prefixes already differ in more than the budget.  A task
+    gets one pair of runs, so no group exceeds twice `group` and each pair of
+    fingerprints in budget meets in some group.
     """
-    w = min(params.split_bits, BITS - depth)
-    node = F.shiftrightunsigned("fp", BITS - depth - w).bitwiseAND(F.lit((1 << w) - 1).cast("long"))
-    rows = hot.withColumn("node", node)
-    nodes = cut(rows.select("g", "node").distinct())
-    masks = [m for m in range(1, 1 << w) if m.bit_count() <= params.max_bits]
-    other = nodes.select("g", F.col("node").alias("other"))
-    pairs = nodes.withColumn("mask", F.explode(F.array(*[F.lit(m).cast("long") for m in masks]))) \
-        .withColumn("other", F.col("node").bitwiseXOR(F.col("mask"))).join(other, ["g", "other"]) \
-        .select("g", "node", "mask", F.least("node", "other").alias("low"))
-    own = nodes.select("g", "node", F.lit(0).cast("long").alias("mask"), F.col("node").alias("low"))
-    return rows.join(pairs.unionByName(own), ["g", "node"]) \
-        .select(F.xxhash64("g", "low", "mask", F.lit(depth)).alias("g"), "fp")
+    order = F.col("fp").bitwiseXOR(F.lit(-(1 << 63)))    # unsigned order
+    ranked = global_rank(hot.withColumn("o", order), ["o"], group=["g"]) \
+        .select("g", "fp", "o", F.floor((F.col("rank") - 1) / params.group).alias("run"))
+    ranked = cut(ranked)
+    runs = ranked.groupBy("g", "run").agg(F.min("o").alias("first"), F.max("o").alias("last"))
+    a = runs.select("g", F.col("run").alias("a"), F.col("first").alias("fa"), _prefix("first", "last").alias("pa"))
+    b = runs.select("g", F.col("run").alias("b"), F.col("first").alias("fb"), _prefix("first", "last").alias("pb"))
+    shared = F.least("pa", "pb")
+    differ = F.when(shared == 0, 0).otherwise(
+        F.expr(f"bit_count(shiftrightunsigned(fa ^ fb, cast({BITS} - least(pa, pb) as int)))"))
+    pairs = cut(a.join(b, "g").filter(F.col("a") <= F.col("b")).filter(differ <= params.max_bits).select("g", "a", "b"))
+    members = pairs.select("g", "a", "b", F.col("a").alias("run")) \
+        .unionByName(pairs.filter("a < b").select("g", "a", "b", F.col("b").alias("run")))
+    return ranked.join(members, ["g", "run"]).select(F.xxhash64("g", "a", "b").alias("g"), "fp")
+
+
+def _prefix(first: str, last: str) -> Column:
+    """Leading bits that two numbers share."""
+    return F.when(F.col(first) == F.col(last), BITS) \
+        .otherwise(BITS - F.length(F.bin(F.col(first).bitwiseXOR(F.col(last)))))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id",
