@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +49,18 @@ def fold(key: str, modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % modulus, F.lit(-1)).cast("int")
 
 
+def pieces(arr: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """(first, length) of slices of a text array of about `limit` bytes each, so
+    what a function makes of its texts never grows with the batch."""
+    end = np.cumsum(pc.fill_null(pc.binary_length(arr), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(arr):
+        base = end[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(end, base + limit, "right")))
+        yield lo, hi - lo
+        lo = hi
+
+
 def components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 60) -> DataFrame:
     """Connected components of an edge list: columns node, root (the smallest node it reaches).
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import col, fresh
+from kestrel.llm.common import col, fresh, pieces
 
 _SOFT = re.compile("[\u00a0-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf\u2000-\u206f\u3000-\u3004\u3008-\u3020]")     # spaces and marks beyond ASCII
 _STRETCH = 1 << 18
@@ -32,14 +32,15 @@ _SPLIT = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 @dataclass(frozen=True)
 class DecontaminationParams:
     """shingle, threshold: words per shingle and least containment.  hashes:
-    MinHash functions.  smallest: least size class.  block_items: items sent
-    to the tasks at once; more items are searched in several passes, one per
-    block, so what is broadcast is bounded."""
+    MinHash functions.  smallest: least size class.  block_items, block_chars:
+    items and characters sent to the tasks at once; a larger test set is
+    searched in several passes, one per block, so what is broadcast is bounded."""
     shingle: int = 5
     threshold: float = 0.8
     hashes: int = 32
     smallest: int = 8
     block_items: int = 20_000
+    block_chars: int = 4_000_000
     seed: int = 11
 
 
@@ -232,7 +233,8 @@ def _udf_held(shared, item_type: str):
         index: ItemIndex = shared.value
         kind = None
         for arr in texts:
-            out = [[{"item": i, "containment": c} for i, c in h] for h in index.held_by(arr.to_pylist())]
+            out = [[{"item": i, "containment": c} for i, c in h]
+                   for at in pieces(arr) for h in index.held_by(arr.slice(*at).to_pylist())]
             kind = kind or pa.list_(pa.struct([("item", pa.int64() if item_type in ("bigint", "long") else
                                                 pa.int32() if item_type == "int" else pa.string()),
                                                ("containment", pa.float64())]))
@@ -246,7 +248,8 @@ def _indexes(benchmark: DataFrame, text: str, key: str, params: DecontaminationP
     kind = items.schema["i"].dataType.simpleString()
     if kind not in ("bigint", "int"):
         items, kind = items.withColumn("i", F.col("i").cast("string")), "string"
-    n_blocks = -(-items.count() // params.block_items)
+    size = items.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("c")).first()
+    n_blocks = max(-(-size["n"] // params.block_items), -(-size["c"] // params.block_chars))
     for b in range(max(n_blocks, 1)):
         part = items if n_blocks <= 1 else items.filter(F.pmod(F.xxhash64("i"), F.lit(n_blocks)) == b)
         rows = part.orderBy("i").collect()               # a block of the stated test set

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import col
+from kestrel.llm.common import col, pieces
 
 UNDETERMINED = "und"
 
@@ -69,7 +69,9 @@ def _gram_counts(order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             acc: dict[str, list[np.ndarray]] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            langs, texts = batch.column(0), batch.column(1)
+            for lang, text in (x for at in pieces(texts)
+                               for x in zip(langs.slice(*at).to_pylist(), texts.slice(*at).to_pylist())):
                 b = np.frombuffer((b" " * order + text.translate(_FOLD)), np.uint8).astype(np.int64)
                 code = np.zeros(len(b) - order, np.int64)
                 for k in range(order + 1):
@@ -196,7 +198,7 @@ def _scorer(shared, chunk: int):
         model = shared.value
         for arr in texts:
             lang, prob, bits = [], [], []
-            for t in arr.to_pylist():
+            for t in (t for at in pieces(arr) for t in arr.slice(*at).to_pylist()):
                 if t is None:
                     lang.append(UNDETERMINED), prob.append(0.0), bits.append(None)
                     continue

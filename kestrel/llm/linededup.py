@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import col, cut, fresh
+from kestrel.llm.common import col, cut, fresh, pieces
 
 SEGMENT_BITS = 1 << 16
 
@@ -101,7 +101,7 @@ def _build(min_chars: int, segments: int, flush: int = 1 << 20):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
-            for t in batch.column(0).to_pylist():
+            for t in (t for at in pieces(batch.column(0)) for t in batch.column(0).slice(*at).to_pylist()):
                 h = _hashes(_keys(t, min_chars))
                 if len(h):
                     held.append(h)
@@ -171,17 +171,18 @@ def _suspect_rows(shared, min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: TwiceSeen = shared.value
         for batch in batches:
-            keys, rows = [], []
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                ks = _keys(t, min_chars)
-                keys.extend(ks)
-                rows.extend([i] * len(ks))
-            if not keys:
-                continue
-            hit = np.flatnonzero(seen.suspects(_hashes(keys)))
-            ids = batch.column(0).take(pa.array(np.asarray(rows, np.int64)[hit]))
-            yield pa.RecordBatch.from_arrays([pa.array([_digest(keys[k]) for k in hit], pa.binary()), ids],
-                                             names=["digest", "id"])
+            for lo, n in pieces(batch.column(1)):
+                keys, rows = [], []
+                for i, t in enumerate(batch.column(1).slice(lo, n).to_pylist(), start=lo):
+                    ks = _keys(t, min_chars)
+                    keys.extend(ks)
+                    rows.extend([i] * len(ks))
+                if not keys:
+                    continue
+                hit = np.flatnonzero(seen.suspects(_hashes(keys)))
+                ids = batch.column(0).take(pa.array(np.asarray(rows, np.int64)[hit]))
+                yield pa.RecordBatch.from_arrays([pa.array([_digest(keys[k]) for k in hit], pa.binary()), ids],
+                                                 names=["digest", "id"])
     return run
 
 
@@ -198,7 +199,7 @@ def _rewriter(min_chars: int, shared_filter=None, shared_keys=None):
     def rewrite(parts: Iterator[Tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         seen = shared_filter.value
         last = shared_keys.value.last if shared_keys is not None else None
-        for texts, ids, drops in parts:
+        for texts, ids, drops in ((x.slice(*at) for x in part) for part in parts for at in pieces(part[0])):
             lines = [(t or b"").split(b"\n") for t in texts.to_pylist()]
             id_list, drop_list = ids.to_pylist(), drops.to_pylist()
             keys = [[k if _long(k, min_chars) else None for k in map(line_key, ls)] for ls in lines]

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import col
+from kestrel.llm.common import col, pieces
 
 
 @dataclass(frozen=True)
@@ -73,6 +73,10 @@ def _measure(texts: list[bytes | None], good, bad, chunk: int) -> np.ndarray:
     return out
 
 
+def _measured(arr: pa.Array, good, bad, chunk: int) -> np.ndarray:
+    return np.concatenate([np.zeros((0, 3))] + [_measure(arr.slice(*at).to_pylist(), good, bad, chunk) for at in pieces(arr)])
+
+
 def _features(m: np.ndarray) -> np.ndarray:
     n = np.maximum(m[:, 2], 1.0)
     diff, ratio = (m[:, 1] - m[:, 0]) / n, m[:, 0] / n
@@ -84,7 +88,7 @@ def _udf_measure(good: bytes, bad: bytes, params: QualityParams):
     def measure(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         cg, cb = _compressor(good, params.level), _compressor(bad, params.level)
         for arr in texts:
-            yield pa.array(_measure(arr.to_pylist(), cg, cb, params.chunk).tolist(), pa.list_(pa.float64()))
+            yield pa.array(_measured(arr, cg, cb, params.chunk).tolist(), pa.list_(pa.float64()))
     return measure
 
 
@@ -177,7 +181,7 @@ def _udf_score(model: QualityModel):
         p = model.params
         cg, cb = _compressor(model.good, p.level), _compressor(model.bad, p.level)
         for arr in texts:
-            m = _measure(arr.to_pylist(), cg, cb, p.chunk)
+            m = _measured(arr, cg, cb, p.chunk)
             z = (_features(m) - model.centre) / model.scale
             s = 1 / (1 + np.exp(-np.clip(model.weights[0] + z @ model.weights[1:], -30, 30)))
             yield pa.array(np.where(m[:, 2] > 0, s, model.prior))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import col, components, cut, fresh
+from kestrel.llm.common import col, components, cut, fresh, pieces
 from kestrel.operators.ordered import global_rank
 
 BITS = 64
@@ -76,7 +76,7 @@ def _bit_counts(h: np.ndarray) -> np.ndarray:
 def _udf_fingerprint(params: SimHashParams):
     @F.arrow_udf("long")
     def fingerprint(texts: pa.Array) -> pa.Array:
-        fp = [fingerprint_of(t, params.shingle, params.seed) for t in texts.to_pylist()]
+        fp = [fingerprint_of(t, params.shingle, params.seed) for at in pieces(texts) for t in texts.slice(*at).to_pylist()]
         return pa.array(np.array(fp, np.uint64).view(np.int64), pa.int64())
     return fingerprint
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import col, cut
+from kestrel.llm.common import col, cut, pieces
 
 _WORD = re.compile(r"[^\W\d_]+")
 _CACHE = 200_000
@@ -182,7 +182,7 @@ def _udf_score(shared):
         cache: dict[str, tuple] = {}
         for arr in texts:
             out = []
-            for t in arr.to_pylist():
+            for t in (t for at in pieces(arr) for t in arr.slice(*at).to_pylist()):
                 known = sorted(_known(t, model.vocabulary, cache))
                 f = model.bias + (model.weights[:, known].sum(axis=1) if known else 0.0)
                 out.append(float((1 / (1 + np.exp(-np.clip(f, -30, 30)))).mean()))

@@ -22,7 +22,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import col, cut, scratch_path
+from kestrel.llm.common import col, cut, pieces, scratch_path
 
 _ID = "urn:kestrel:page:"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -81,7 +81,8 @@ def _writer(folder: str, params: WarcParams):
                 fs.create_dir(path, recursive=True)
                 out = fs.open_output_stream(name, compression=None)
             offsets, lengths = [], []
-            for page, url, payload, digest, revisit, refers in zip(*(c.to_pylist() for c in batch.columns)):
+            for page, url, payload, digest, revisit, refers in (
+                    x for at in pieces(batch.column(2)) for x in zip(*(c.slice(*at).to_pylist() for c in batch.columns))):
                 member = gzip.compress(_record("revisit" if revisit else "response", page, url, payload, digest,
                                                len(payload), refers, params.date), params.level, mtime=0)
                 out.write(member)
