@@ -181,11 +181,6 @@ def string_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
 
 
-def numeric_columns(df: DataFrame) -> list[str]:
-    num = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, num)]
-
-
 def exact_sum(col) -> Column:
     """Order-independent sum of doubles: accumulated as DECIMAL(38, 10), so
     every partitioning / merge order gives the same bits (a float sum's last

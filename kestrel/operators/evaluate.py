@@ -22,12 +22,6 @@ def confusion_counts(df: DataFrame, actual: Column, predicted: Column, group: li
             .withColumn("specificity", F.col("tn") / (F.col("tn") + F.col("fp"))))
 
 
-def confusion_matrix(df: DataFrame, actual: str, predicted: str) -> DataFrame:
-    """L1 multiclass: (actual, predicted, n) plus per-class recall."""
-    m = df.groupBy(actual, predicted).agg(F.count(F.lit(1)).alias("n"))
-    return m
-
-
 def cutoff_grid(lo: float = 0.01, hi: float = 0.80, n: int = 100) -> list[float]:
     """seq(lo, hi, length = n)."""
     step = (hi - lo) / (n - 1)

@@ -10,16 +10,17 @@ the small k x k matrices on the driver — no refit per candidate model.
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LinearSVC, OneVsRest
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
 from pyspark.ml.tuning import CrossValidator
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,8 +94,11 @@ def ols_numpy(x: np.ndarray, y: np.ndarray, names: list[str]):
     import pandas as pd
     n = len(y)
     xm = np.column_stack([np.ones(n), x])
-    xtx_inv = np.linalg.pinv(xm.T @ xm)
-    beta = xtx_inv @ xm.T @ y
+    scale = np.sqrt((xm * xm).sum(axis=0))               # columns of any unit weigh alike
+    scale = np.where(scale > 0, scale, 1.0)
+    inv = np.linalg.pinv(xm / scale)
+    beta = inv @ y / scale
+    xtx_inv = inv @ inv.T / np.outer(scale, scale)
     resid = y - xm @ beta
     p = xm.shape[1]
     dof = max(n - p, 1)
@@ -111,20 +115,30 @@ def ols_numpy(x: np.ndarray, y: np.ndarray, names: list[str]):
 
 
 def normal_equations(df: DataFrame, y: str, xs: list[str]):
-    """One pass: n, X'X and X'y (intercept first), y'y over complete rows."""
-    cols = ["__one"] + list(xs) + [y]
-    n, s, p = moments(df.withColumn("__one", F.lit(1.0)), cols)
-    k = len(xs) + 1
-    return n, p[:k, :k], p[:k, k], p[k, k]
+    """n, X'X, X'y, y'y over complete rows with all columns centred (intercept
+    first, which centring makes independent of the rest): residual sums of
+    squares and slopes are those of the uncentred system."""
+    n, _, c = moments(df, [*xs, y])
+    k = len(xs)
+    xtx = np.zeros((k + 1, k + 1))
+    xtx[0, 0] = n
+    xtx[1:, 1:] = c[:k, :k]
+    return n, xtx, np.concatenate([[0.0], c[:k, k]]), c[k, k]
 
 
 def _rss(xtx, xty, yty, idx):
-    a = xtx[np.ix_(idx, idx)]
     b = xty[idx]
-    beta = np.linalg.lstsq(a, b, rcond=None)[0]
+    beta = scaled_inverse(xtx[np.ix_(idx, idx)]) @ b
     return float(yty - beta @ b), beta
 
 
+def scaled_inverse(a: np.ndarray) -> np.ndarray:
+    """(Pseudo-)inverse of a cross-product matrix whose columns may differ in unit by many powers of ten."""
+    d = np.sqrt(np.diag(a))
+    d = np.where(d > 0, d, 1.0)
+    return np.linalg.pinv(a / np.outer(d, d), rcond=1e-12) / np.outer(d, d)
+
+
 def lm_aic(n: int, rss: float, p: int) -> float:
     """extractAIC for lm: n log(RSS / n) + 2 p."""
     return n * math.log(rss / n) + 2 * p
@@ -173,67 +187,61 @@ def stepwise_terms(df: DataFrame, y: str, xs: list[str]) -> list[str]:
     return [x for x in xs if x in kept]
 
 
-def vif_of(df: DataFrame, xs: list[str]) -> dict[str, float]:
-    if len(xs) < 2:
-        return {x: 1.0 for x in xs}
-    n, s, p = moments(df, xs)
-    inv = np.linalg.pinv(correlation_from_moments(n, s, p))
-    return {x: float(inv[i, i]) for i, x in enumerate(xs)}
+def _term_tests(n: int, mean: np.ndarray, c: np.ndarray, idx: list[int]) -> tuple[list[float], list[float], float]:
+    """p-value and VIF of each predictor of the model on `idx`, and the intercept's p-value,
+    all from the means and centred cross-products (the response last)."""
+    a, b = c[np.ix_(idx, idx)], c[idx, -1]
+    inv = scaled_inverse(a)
+    beta = inv @ b
+    dof = max(n - len(idx) - 1, 1)
+    s2 = max(float(c[-1, -1] - beta @ b), 0.0) / dof
+    m = mean[idx]
+    est = np.append(beta, mean[-1] - m @ beta)
+    var = np.append(np.diag(inv), 1 / n + m @ inv @ m) * s2
+    p = [t_two_sided_p(float(e / math.sqrt(v)), dof) if v > 0 else float("nan") for e, v in zip(est, var)]
+    vif = np.diag(np.linalg.pinv(correlation_from_moments(a)))
+    return p[:-1], [float(v) for v in vif], p[-1]
 
 
 def backward_eliminate(df: DataFrame, y: str, xs: list[str], alpha: float = 0.05, vif_cut: float = 2.0,
-                       fit=None, adj_r2_tol: float | None = 0.01) -> DataFrame:
-    """K3: repeatedly refit and drop one term: among the insignificant terms
-    (p > alpha) the one with the highest VIF if that VIF exceeds `vif_cut`,
-    otherwise the one with the highest p-value; stop when all terms are
-    significant.  Then (linear models) drop, one at a time, the term whose
-    removal costs the least adjusted R^2 while that cost is below
-    `adj_r2_tol` — evaluated from one pass of cross products, no refits.
+                       adj_r2_tol: float | None = 0.01) -> DataFrame:
+    """K3: drop one term at a time: among the insignificant terms (p > alpha)
+    the one with the highest VIF if that VIF exceeds `vif_cut`, otherwise the
+    one with the highest p-value; stop when all terms are significant.  Then
+    drop the term whose removal costs the least adjusted R^2 while that cost
+    is below `adj_r2_tol`.  Every model on the way follows from one matrix of
+    centred cross-products; the data are not read again.
     Output: the elimination log (step, dropped, p, vif) and the final model
     rows (step = -1)."""
-    fit = fit or ols_fit
-    terms = list(xs)
+    n, mean, c = moments(df, [*xs, y])
+    left = list(range(len(xs)))
     log = []
-    step = 0
-    while terms:
-        t = fit(df, y, terms).filter(F.col("term") != "(Intercept)").collect()
-        pv = {r["term"]: r["p_value"] for r in t}
-        bad = [x for x in terms if pv[x] is not None and pv[x] > alpha]
+    while left:
+        p, v, _ = _term_tests(n, mean, c, left)
+        bad = [k for k in range(len(left)) if p[k] > alpha]
         if not bad:
             break
-        v = vif_of(df, terms)
-        hv = max(bad, key=lambda x: v[x])
-        drop = hv if v[hv] > vif_cut else max(bad, key=lambda x: pv[x])
-        step += 1
-        log.append((step, drop, float(pv[drop]), float(v[drop])))
-        terms.remove(drop)
-    if adj_r2_tol is not None and fit is ols_fit and len(terms) > 1:
-        n, xtx, xty, yty = normal_equations(df.select(y, *terms).dropna(), y, terms)
-        tss = yty - xty[0] ** 2 / n
-
-        def adj_r2(idx):
-            rss = _rss(xtx, xty, yty, [0, *idx])[0]
-            return 1 - (rss / tss) * (n - 1) / (n - len(idx) - 1)
-
-        cur = list(range(1, len(terms) + 1))
-        base = adj_r2(cur)
-        names = list(terms)
-        while len(cur) > 1:
-            cand = max((adj_r2([c for c in cur if c != j]), -j) for j in cur)
-            if base - cand[0] >= adj_r2_tol:
-                break
-            j = -cand[1]
-            step += 1
-            log.append((step, names[j - 1], None, None))
-            terms.remove(names[j - 1])
-            cur.remove(j)
-            base = cand[0]
-    spark = df.sparkSession
-    out = spark.createDataFrame(log, "step int, term string, p_value double, vif double") if log else \
-        spark.createDataFrame([], "step int, term string, p_value double, vif double")
-    final = fit(df, y, terms).select(F.lit(-1).alias("step"), "term", "p_value",
-                                     F.lit(None).cast("double").alias("vif")) if terms else None
-    return out.unionByName(final) if final is not None else out
+        k = max(bad, key=lambda j: v[j])
+        if v[k] <= vif_cut:
+            k = max(bad, key=lambda j: p[j])
+        log.append((len(log) + 1, xs[left[k]], float(p[k]), float(v[k])))
+        del left[k]
+
+    def adj_r2(idx):
+        b = c[idx, -1]
+        rss = c[-1, -1] - b @ scaled_inverse(c[np.ix_(idx, idx)]) @ b
+        return 1 - rss / c[-1, -1] * (n - 1) / (n - len(idx) - 1)
+
+    while adj_r2_tol is not None and len(left) > 1:
+        cost, j = min((adj_r2(left) - adj_r2([i for i in left if i != j]), j) for j in left)
+        if cost >= adj_r2_tol:
+            break
+        log.append((len(log) + 1, xs[j], None, None))
+        left.remove(j)
+    if left:
+        p, _, p0 = _term_tests(n, mean, c, left)
+        log += [(-1, t, float(q), None) for t, q in zip(["(Intercept)", *[xs[j] for j in left]], [p0, *p])]
+    return df.sparkSession.createDataFrame(log, "step int, term string, p_value double, vif double")
 
 
 def linear_score(coefs: dict[str, float], intercept: float) -> Column:
@@ -252,11 +260,12 @@ def fitted_coefficients(table: DataFrame) -> tuple[dict[str, float], float]:
 
 
 def cv_linear(df: DataFrame, y: str, xs: list[str], folds: int = 5, seed: int = 29, key: str | None = None) -> DataFrame:
-    """K8: m-fold CV of lm: rows hashed into folds; one pass gives per-fold
+    """K8: m-fold CV of lm: rows dealt into folds by the md5 of seed|key; one pass gives per-fold
     cross products, each fold's training system is total minus that fold;
     a second pass scores every row with its fold's coefficients.
     Output: fold, n, ms (mean squared prediction error), plus overall row."""
-    h = F.xxhash64(*(F.col(c) for c in ([key] if key else [y, *xs])), F.lit(seed))
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in ([key] if key else [y, *xs]))))
+    h = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
     d = df.select(*([key] if key else []), y, *xs).dropna().withColumn("fold", F.pmod(h, F.lit(folds)).cast("int"))
     cols = ["__one", *xs, y]
     k = len(xs) + 1
@@ -286,24 +295,18 @@ def cv_linear(df: DataFrame, y: str, xs: list[str], folds: int = 5, seed: int =
     return by_fold.unionByName(overall)
 
 
-def elasticity(coefs: DataFrame, df: DataFrame, y: str) -> DataFrame:
-    """K9: beta * mean(x) / mean(y) with a sign label, means in one pass."""
-    terms = [r["term"] for r in coefs.filter(F.col("term") != "(Intercept)").select("term").collect()]
-    means = df.agg(*[F.avg(t).alias(t) for t in terms], F.avg(y).alias("__y")).first()
-    rows = [(t, float(means[t]) if means[t] is not None else None) for t in terms]
-    spark = df.sparkSession
-    mdf = spark.createDataFrame(rows, "term string, mean_x double")
-    j = coefs.join(mdf, "term")
-    e = F.col("estimate") * F.col("mean_x") / F.lit(float(means["__y"]))
-    return j.select("term", "estimate", e.alias("elasticity"),
-                    F.when(e > 0, "Positive").otherwise("Negative").alias("direction"))
-
-
 # ------------------------------------------------------------- logistic
 def logit_fit(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
     """K4: glm(binomial) summary: term, estimate, std_error, z_value, p_value,
     with aic, null and residual deviance on every row."""
-    data = _assemble(df.select(y, *xs).dropna(), xs)
+    data = _assemble(df.select(y, *xs).dropna(), xs).select(y, "features").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _logit_table(data, y, xs)
+    finally:
+        data.unpersist()
+
+
+def _logit_table(data: DataFrame, y: str, xs: list[str]) -> DataFrame:
     m = GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="features", labelCol=y,
                                     maxIter=50, regParam=0.0).fit(data)
     s = m.summary
@@ -311,35 +314,46 @@ def logit_fit(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
     est = list(m.coefficients.toArray()) + [m.intercept]
     rows = [(t, float(e), float(se), float(tv), float(pv))
             for t, e, se, tv, pv in zip(terms, est, s.coefficientStandardErrors, s.tValues, s.pValues)]
-    out = df.sparkSession.createDataFrame(rows, "term string, estimate double, std_error double, t_value double, p_value double")
+    out = data.sparkSession.createDataFrame(rows, "term string, estimate double, std_error double, t_value double, p_value double")
     return (out.withColumn("aic", F.lit(float(s.aic))).withColumn("null_deviance", F.lit(float(s.nullDeviance)))
             .withColumn("residual_deviance", F.lit(float(s.deviance))))
 
 
-def logit_backward_aic(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
-    """K5 (logistic): greedy backward search on AIC, one GLM fit per
-    candidate (k fits per step).  Output: step, dropped term, aic."""
-    terms = list(xs)
-    aic = logit_fit(df, y, terms).select("aic").first()[0]
-    log = [(0, None, float(aic))]
-    step = 0
-    from concurrent.futures import ThreadPoolExecutor
+def logit_stepwise_aic(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
+    """K5 (logistic): stepAIC(direction = "both") from the full model: each
+    step drops or adds back the one term that lowers AIC most.  The design is
+    read once and kept for the fits; a step's candidates are fitted
+    concurrently.  Output: step, action, term, aic (step 0: the full model)."""
+    base = df.select(y, *xs).dropna().persist(StorageLevel.MEMORY_AND_DISK)
+    spark = df.sparkSession
 
-    def aic_without(x):
-        return logit_fit(df, y, [t for t in terms if t != x]).select("aic").first()[0], x
+    def aic_of(terms):
+        return float(_logit_aic(_assemble(base, terms), y))
+    try:
+        terms = list(xs)
+        aic = aic_of(terms)
+        log = [(0, "start", None, aic)]
+        seen: dict[frozenset, float] = {frozenset(terms): aic}
+        while True:
+            moves = [("drop", t, [x for x in terms if x != t]) for t in terms if len(terms) > 1] + \
+                [("add", t, [x for x in xs if x in terms or x == t]) for t in xs if t not in terms]
+            new = [m for m in moves if frozenset(m[2]) not in seen]
+            with ThreadPoolExecutor(max_workers=max(1, min(4, len(new)))) as pool:
+                for m, a in zip(new, pool.map(aic_of, [m[2] for m in new])):
+                    seen[frozenset(m[2])] = a
+            best = min(moves, key=lambda m: seen[frozenset(m[2])], default=None)
+            if best is None or seen[frozenset(best[2])] >= aic - 1e-9:
+                break
+            aic, terms = seen[frozenset(best[2])], best[2]
+            log.append((len(log), best[0], best[1], aic))
+    finally:
+        base.unpersist()
+    return spark.createDataFrame(log, "step int, action string, term string, aic double")
 
-    while len(terms) > 1:
-        # candidate fits are independent Spark jobs: submit them concurrently
-        with ThreadPoolExecutor(max_workers=min(4, len(terms))) as pool:
-            cands = list(pool.map(aic_without, list(terms)))
-        a, x = min(cands)
-        if a >= aic:
-            break
-        step += 1
-        aic = a
-        terms.remove(x)
-        log.append((step, x, float(a)))
-    return df.sparkSession.createDataFrame(log, "step int, term string, aic double")
+
+def _logit_aic(data: DataFrame, y: str) -> float:
+    return GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="features", labelCol=y,
+                                       maxIter=50, regParam=0.0).fit(data).summary.aic
 
 
 def logistic_score(coefs: dict[str, float], intercept: float) -> Column:
@@ -348,27 +362,46 @@ def logistic_score(coefs: dict[str, float], intercept: float) -> Column:
 
 
 # ------------------------------------------------------------- clustering
-def kmeans_best(df: DataFrame, cols: list[str], k: int = 3, seeds=(1, 2, 3, 4, 5), standardize: bool = True):
-    """K-means, best of several seeds by within-cluster cost; clusters
-    relabelled 0..k-1 by descending size."""
-    from kestrel.operators.stats import zscore_columns
-    d = zscore_columns(df, cols, suffix="__z") if standardize else df.select("*", *[F.col(c).alias(c + "__z") for c in cols])
-    data = _assemble(d, [c + "__z" for c in cols])
-    from concurrent.futures import ThreadPoolExecutor
-
-    def fit(seed):
-        m = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster", maxIter=50).fit(data)
-        return m.summary.trainingCost, seed, m
-
-    with ThreadPoolExecutor(max_workers=min(4, len(seeds))) as pool:  # restarts run as concurrent jobs
-        fits = list(pool.map(fit, seeds))
-    best = min(fits, key=lambda r: (r[0], r[1]))
-    best = (best[0], best[2])
-    out = best[1].transform(data).drop("features", *[c + "__z" for c in cols])
-    sizes = out.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    from pyspark.sql import Window
-    ranked = sizes.withColumn("size_rank", F.row_number().over(Window.orderBy(F.desc("size"), "cluster")) - 1)
-    return out.join(F.broadcast(ranked.select("cluster", "size_rank")), "cluster"), float(best[0])
+def kmeans_numpy(x: np.ndarray, k: int, starts: int = 50, seed: int = 1, max_iter: int = 100) -> tuple[np.ndarray, float]:
+    """Labels and cost of the best of `starts` k-means runs (distinct rows as first centres)."""
+    rng = np.random.default_rng(seed)
+    distinct = np.unique(x, axis=0)
+    k = min(k, len(distinct))
+    best, best_cost = np.zeros(len(x), int), math.inf
+    for _ in range(starts):
+        centre = distinct[rng.choice(len(distinct), k, replace=False)]
+        for _ in range(max_iter):
+            lab = ((x[:, None, :] - centre[None]) ** 2).sum(2).argmin(1)
+            new = np.array([x[lab == j].mean(0) if (lab == j).any() else centre[j] for j in range(k)])
+            if np.allclose(new, centre):
+                break
+            centre = new
+        cost = float(((x - centre[lab]) ** 2).sum())
+        if cost < best_cost - 1e-12:
+            best, best_cost = lab, cost
+    return best, best_cost
+
+
+def price_tiers(df: DataFrame, group: str, item: str, cols: list[str], price: str, weight: str, starts: int = 50) -> DataFrame:
+    """Per group, k-means (k = 3) of the items on scaled columns; the
+    cluster with the most `weight` is mass, the one with the least premium,
+    the third aspiring.  Two or fewer items: the higher-priced one is aspiring,
+    the other mass.  Groups are fitted in parallel, one row per item in each.
+    Output: group, item, cluster, price_tag."""
+    def fit(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(item, kind="stable").reset_index(drop=True)
+        if len(g) <= 2:
+            lab = (g[price].rank(method="first").to_numpy() == len(g)).astype(int)
+            tag = np.where(lab == 1, "Aspiring_Product", "Mass_Product")
+        else:
+            x = g[cols].to_numpy(float)
+            sd = x.std(axis=0, ddof=1)
+            lab, _ = kmeans_numpy((x - x.mean(axis=0)) / np.where(sd > 0, sd, 1.0), 3, starts)
+            total = g.groupby(lab)[weight].sum().sort_values(ascending=False, kind="stable")
+            names = ["Mass_Product", *["Aspiring_Product"] * (len(total) - 2), "Premium_Product"][:len(total)]
+            tag = pd.Series(lab).map(dict(zip(total.index, names))).to_numpy()
+        return pd.DataFrame({group: g[group], item: g[item], "cluster": lab.astype("int32"), "price_tag": tag})
+    return df.groupBy(group).applyInPandas(fit, f"{group} string, {item} string, cluster int, price_tag string")
 
 
 # ----------------------------------------------------------------- SVMs
@@ -378,7 +411,11 @@ def svm_one_vs_rest(train: DataFrame, test: DataFrame, label: str, features: str
     predictions and the fitted model."""
     ovr = OneVsRest(classifier=LinearSVC(regParam=reg, maxIter=max_iter), featuresCol=features,
                     labelCol=label, predictionCol="prediction", parallelism=4)
-    m = ovr.fit(train)
+    train = train.select(label, features).persist(StorageLevel.MEMORY_AND_DISK)  # every iteration reads it
+    try:
+        m = ovr.fit(train)
+    finally:
+        train.unpersist()
     return m.transform(test), m
 
 
@@ -403,17 +440,17 @@ def random_fourier_features(df: DataFrame, col: str, dim_in: int, n_features: in
 
 
 def grid_search_cv(train: DataFrame, label: str, features: str, regs=(0.0, 0.01, 0.1), folds: int = 3,
-                   seed: int = 7):
+                   seed: int = 7, max_iter: int = 20):
     """K-fold CV over a parameter grid on accuracy (models fitted in
     parallel).  Returns (grid rows [(reg, mean accuracy)], best model)."""
-    est = OneVsRest(classifier=LinearSVC(maxIter=10), featuresCol=features, labelCol=label, parallelism=4)
-    maps = [{est.classifier: LinearSVC(maxIter=10, regParam=r)} for r in regs]
+    est = OneVsRest(classifier=LinearSVC(maxIter=max_iter), featuresCol=features, labelCol=label, parallelism=4)
+    maps = [{est.classifier: LinearSVC(maxIter=max_iter, regParam=r)} for r in regs]
     ev = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
     cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=ev, numFolds=folds, seed=seed,
                         parallelism=3)
-    m = cv.fit(train)
+    train = train.select(label, features).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        m = cv.fit(train)
+    finally:
+        train.unpersist()
     return [(float(r), float(a)) for r, a in zip(regs, m.avgMetrics)], m.bestModel
-
-
-def vector_from_array(col: str) -> Column:
-    return array_to_vector(F.col(col))

@@ -160,21 +160,21 @@ def trailing_mean(key: list[str], order: str, col: str, k: int) -> Column:
     return F.when(F.count(F.lit(1)).over(w) == k, exact)
 
 
-def centered_mean(key: list[str], order: str, col: str, half: int) -> Column:
-    """centred moving average over 2*half+1 rows; NULL at the ends."""
-    w = Window.partitionBy(*key).orderBy(order).rowsBetween(-half, half)
-    return F.when(F.count(F.lit(1)).over(w) == 2 * half + 1, F.avg(col).over(w))
-
-
-def adstock(key: list[str], order: str, col: str, rate: float) -> Column:
-    """recursive filter y_t = x_t + rate * y_{t-1} (y_0 = x_0).
-
-    Evaluated as sum_{j<=t} rate^(t-j) x_j over the ordered prefix with a
-    fold, so it stays a JVM window expression; O(n^2) per key, meant for
-    weekly/monthly series (hundreds of rows per key)."""
-    w = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    arr = F.collect_list(F.coalesce(F.col(col).cast("double"), F.lit(0.0))).over(w)
-    return F.aggregate(arr, F.lit(0.0), lambda acc, x: acc * F.lit(float(rate)) + x)
+def adstock(df: DataFrame, key: list[str], order: str, col: str, rate: float, out: str = "adstock") -> DataFrame:
+    """recursive filter y_t = x_t + rate * y_{t-1} (y_0 = x_0) per key.
+
+    One fold over each key's ordered series (weeks or months, so hundreds of
+    values per key), then one row per period again: key..., order, col, out."""
+    series = df.groupBy(*key).agg(F.sort_array(F.collect_list(
+        F.struct(F.col(order), F.coalesce(F.col(col).cast("double"), F.lit(0.0)).alias(col)))).alias("__s"))
+    zero = F.struct(F.lit(0.0).alias("y"), F.array().cast("array<double>").alias("ys"))
+
+    def step(acc, v):
+        y = v[col] + acc["y"] * F.lit(float(rate))
+        return F.struct(y.alias("y"), F.array_append(acc["ys"], y).alias("ys"))
+    folded = series.withColumn("__y", F.aggregate("__s", zero, step, lambda acc: acc["ys"]))
+    return folded.select(*key, F.explode(F.arrays_zip("__s", "__y")).alias("__r")) \
+        .select(*key, F.col(f"__r.__s.{order}").alias(order), F.col(f"__r.__s.{col}").alias(col), F.col("__r.__y").alias(out))
 
 
 def prefix_sums(df: DataFrame, order: list[Column | str], cols: list[str], prefix: str = "cum_",

@@ -19,13 +19,6 @@ def null_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return wide.unpivot([], cols, "column", "n_null")
 
 
-def null_ratio(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """B5 (profile): (column, null_ratio)."""
-    cols = columns or df.columns
-    wide = df.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in cols])
-    return wide.unpivot([], cols, "column", "null_ratio")
-
-
 def drop_all_null_columns(df: DataFrame, max_ratio: float = 1.0) -> DataFrame:
     """Drop columns whose null ratio reaches `max_ratio` (default: all
     null).  The decision is one small row collected after one scan."""
@@ -96,14 +89,33 @@ def impute_mode(df: DataFrame, col: str) -> DataFrame:
 
 def impute_moving_average(df: DataFrame, key: list[str], order: str, col: str, k: int) -> DataFrame:
     """C14: NULL -> simple mean of the non-null values within k rows each
-    side (na.ma, simple weights).  If none exist in that window the window
-    widens to 2k, then 4k rows."""
-    filled = F.col(col)
-    for width in (k, 2 * k, 4 * k):
-        w = Window.partitionBy(*key).orderBy(order).rowsBetween(-width, width)
-        exact = F.sum(F.col(col).cast("decimal(38,10)")).over(w).cast("double") / F.count(col).over(w)
-        filled = F.coalesce(filled, exact)
-    return df.withColumn(col, filled)
+    side (simple weights).  Where fewer than two lie that near, the window
+    widens until it holds two, i.e. to the distance of the second-nearest
+    value: the two nearest values before and after the row are all it can
+    hold.  A series with one value fills with it, one without stays NULL."""
+    w = Window.partitionBy(*key).orderBy(order)
+    back = Window.partitionBy(*key).orderBy(F.desc(order)).rowsBetween(1, Window.unboundedFollowing)
+    ahead = w.rowsBetween(1, Window.unboundedFollowing)
+    x = df.withColumn("__i", F.row_number().over(w)) \
+        .withColumn("__v", F.when(F.col(col).isNotNull(), F.struct(F.col("__i").alias("i"), F.col(col).alias("x"))))
+    near = w.rowsBetween(-k, k)
+    x = x.withColumn("__n", F.count(col).over(near)) \
+        .withColumn("__s", F.sum(F.col(col).cast("decimal(38,10)")).over(near))
+    for name, frame in (("b", back), ("a", ahead)):
+        for nth in (1, 2):
+            x = x.withColumn(f"__{name}{nth}", F.nth_value("__v", nth, True).over(frame))
+    cand = F.filter(F.array("__b1", "__b2", "__a1", "__a2"), lambda v: v.isNotNull())
+    cand = F.transform(cand, lambda v: F.struct(F.abs(v["i"] - F.col("__i")).alias("d"), v["x"].alias("x")))
+    x = x.withColumn("__c", F.sort_array(cand))
+    reach = F.coalesce(F.get("__c", 1), F.get("__c", 0))["d"]
+    inside = F.filter("__c", lambda v: v["d"] <= reach)
+    total = F.aggregate(inside, F.lit(0).cast("decimal(38,10)"),
+                        lambda acc, v: (acc + v["x"].cast("decimal(38,10)")).cast("decimal(38,10)"))
+    wide = total.cast("double") / F.size(inside)
+    filled = F.when(F.col("__n") >= 2, F.col("__s").cast("double") / F.col("__n")) \
+        .when(F.size("__c") > 0, wide)
+    return x.withColumn(col, F.coalesce(F.col(col), filled)) \
+        .drop("__i", "__v", "__n", "__s", "__b1", "__b2", "__a1", "__a2", "__c")
 
 
 def crosstab_counts(df: DataFrame, row: str, col: str, values: list) -> DataFrame:

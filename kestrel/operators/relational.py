@@ -122,12 +122,11 @@ def unpivot_nonzero(df: DataFrame, ids: list[str], value_cols: list[str], var: s
     return df.unpivot(ids, value_cols, var, val).filter(F.col(val) != 0)
 
 
-def transpose_small(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """H5: transpose a small keyed table: rows become columns.  `pivot`
-    without a value list would run an extra distinct job; callers pass the
-    key values when known."""
+def transpose_small(df: DataFrame, key: str, columns: list[str], values: list) -> DataFrame:
+    """H5: transpose a small keyed table: rows become columns, one per listed
+    key value (no distinct job, a fixed number of columns)."""
     long = df.unpivot([key], columns, "variable", "value")
-    return long.groupBy("variable").pivot(key).agg(F.first("value"))
+    return long.groupBy("variable").pivot(key, values).agg(F.first("value"))
 
 
 def union_tagged(frames: dict[str, DataFrame], tag: str = "source") -> DataFrame:
@@ -137,8 +136,3 @@ def union_tagged(frames: dict[str, DataFrame], tag: str = "source") -> DataFrame
         t = f.withColumn(tag, F.lit(name))
         out = t if out is None else out.unionByName(t)
     return out
-
-
-def range_filter(df: DataFrame, bounds: dict[str, tuple]) -> DataFrame:
-    """Conjunctive range filter (pushed into the parquet scan)."""
-    return df.filter(all_of([F.col(c).between(lo, hi) for c, (lo, hi) in bounds.items()]))

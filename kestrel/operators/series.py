@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kestrel.functions.columns import exact_sum
+from kestrel.session import ensure_checkpoint_dir
 
 
 def month_index(d: Column, first: Column) -> Column:
@@ -28,11 +29,12 @@ def dense_monthly(df: DataFrame, keys: list[str], date: Column, measures: list[s
     """One row per (key, month index) with the summed measures,
     densified over 1..last month of the data (missing months = 0) so lags
     and windows never skip a gap.  The detail rows are read once, into a
-    (key, month) aggregate; the month range and the dense grid are derived
-    from that small aggregate (explode of a sequence per key, no cartesian
-    join)."""
+    (key, month) aggregate that is checkpointed; the month range, the dense
+    grid and all that follows are derived from that small table (explode of a
+    sequence per key, no cartesian join)."""
     m = df.select(*keys, F.trunc(date, "MM").alias("__m"), *measures)
-    agg = m.groupBy(*keys, "__m").agg(*[exact_sum(c).alias(c) for c in measures])
+    ensure_checkpoint_dir(df.sparkSession)
+    agg = m.groupBy(*keys, "__m").agg(*[exact_sum(c).alias(c) for c in measures]).checkpoint(eager=True)
     rng = agg.agg(F.struct(F.min("__m").alias("a"), F.max("__m").alias("b"))).scalar()
     agg = agg.withColumn("t", month_index(F.col("__m"), rng["a"])).drop("__m")
     last = month_index(rng["b"], rng["a"])
@@ -111,7 +113,7 @@ def _design(t: np.ndarray, freq: float = 0.5) -> np.ndarray:
                             t * np.cos(freq * t)])
 
 
-def fit_sinusoid_trend(series: DataFrame, keys: list[str], t: str, y: str, train_n: Column | None = None,
+def fit_sinusoid_trend(series: DataFrame, keys: list[str], t: str, y: str,
                        horizon: int = 6) -> DataFrame:
     """Per series, least squares of y on the trend+sinusoid basis
     over the training periods (all but the last `horizon`), then the global
@@ -190,14 +192,18 @@ def ar_select_forecast(series: DataFrame, keys: list[str], t: str, y: str, horiz
 
 # KPSS level-stationarity critical values (10%, 5%, 2.5%, 1%).
 KPSS_LEVEL = [(0.347, 0.10), (0.463, 0.05), (0.574, 0.025), (0.739, 0.01)]
-# Dickey-Fuller critical values with constant and trend, by
-# sample size 25, 50, 100, 250, 500, inf, at p = 0.01, 0.025, 0.05, 0.10.
+# Dickey-Fuller quantiles with constant and trend, by sample
+# size 25, 50, 100, 250, 500, inf, at the eight tabulated probabilities.
 DF_SIZES = [25, 50, 100, 250, 500, 100000]
 DF_TREND = {
     0.01: [-4.38, -4.15, -4.04, -3.99, -3.98, -3.96],
     0.025: [-3.95, -3.80, -3.73, -3.69, -3.68, -3.66],
     0.05: [-3.60, -3.50, -3.45, -3.43, -3.42, -3.41],
     0.10: [-3.24, -3.18, -3.15, -3.13, -3.13, -3.12],
+    0.90: [-1.14, -1.19, -1.22, -1.23, -1.24, -1.25],
+    0.95: [-0.80, -0.87, -0.90, -0.92, -0.93, -0.94],
+    0.975: [-0.50, -0.58, -0.62, -0.64, -0.65, -0.66],
+    0.99: [-0.15, -0.24, -0.28, -0.31, -0.32, -0.33],
 }
 
 
@@ -220,7 +226,8 @@ def kpss_stat(x: np.ndarray) -> tuple[float, float]:
 def adf_stat(x: np.ndarray) -> tuple[float, float]:
     """ADF with constant and trend, k = trunc((n-1)^(1/3)) lagged
     differences; statistic = gamma / se(gamma); p-value interpolated in the
-    Dickey-Fuller table (clipped to [0.01, 0.99])."""
+    Dickey-Fuller table (clipped to [0.01, 0.99]).  A series too short to
+    leave a degree of freedom gives NaN for both."""
     n = len(x)
     k = int((n - 1) ** (1 / 3))
     dx = np.diff(x)
@@ -229,6 +236,8 @@ def adf_stat(x: np.ndarray) -> tuple[float, float]:
     for i in range(k, len(dx)):
         rows.append([1.0, float(i + 1), x[i]] + [dx[i - j] for j in range(1, k + 1)])
         ys.append(dx[i])
+    if len(ys) - 3 - k <= 0:
+        return float("nan"), float("nan")
     a = np.array(rows)
     b = np.array(ys)
     beta, *_ = np.linalg.lstsq(a, b, rcond=None)
@@ -238,10 +247,9 @@ def adf_stat(x: np.ndarray) -> tuple[float, float]:
     cov = s2 * np.linalg.pinv(a.T @ a)
     stat = float(beta[2] / math.sqrt(cov[2, 2]))
     m = len(b)
-    crit = [float(np.interp(m, DF_SIZES, DF_TREND[p])) for p in (0.01, 0.025, 0.05, 0.10)]
-    p = float(np.interp(stat, crit, [0.01, 0.025, 0.05, 0.10], left=0.01, right=0.10))
-    if stat > crit[-1]:
-        p = min(0.99, 0.10 + (stat - crit[-1]) * 0.1)
+    probs = sorted(DF_TREND)
+    crit = [float(np.interp(m, DF_SIZES, DF_TREND[p])) for p in probs]
+    p = float(np.interp(stat, crit, probs))
     return stat, p
 
 

@@ -1,8 +1,8 @@
 """Statistics and feature engineering.
 
 Anything that needs a k x k matrix (correlation, VIF, collinearity) is
-computed from ONE distributed aggregate of sums and cross-products; only the
-k x k numbers reach the driver, where numpy does the small linear algebra.
+computed from distributed aggregates of means and centred cross-products; only
+the k x k numbers reach the driver, where numpy does the small linear algebra.
 """
 
 from __future__ import annotations
@@ -47,10 +47,11 @@ def dummy_encode(df: DataFrame, col: str, levels: list | None = None, drop_first
 
 def split_stratified(df: DataFrame, label: str, key: str, ratio: float, seed: int = 100,
                      name: str = "is_train") -> DataFrame:
-    """Within each label, the first round(ratio * n_label) rows by a
-    seeded hash of the key are training rows.  Ranks come from the exact
-    distributed ranking, so a label holding most rows is not one task."""
-    h = df.withColumn("__h", F.xxhash64(F.col(key), F.lit(seed)))
+    """Within each label, the first round(ratio * n_label) rows by the md5
+    of seed|key are training rows (md5, so the split can be reproduced outside
+    Spark).  Ranks come from the exact distributed ranking, so a label holding
+    most rows is not one task."""
+    h = df.withColumn("__h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))))
     r = global_rank(h, ["__h", key], [label], "__r")
     n = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
     # one row per label; left to AQE's size-checked join choice (label
@@ -74,26 +75,30 @@ def split_random(df: DataFrame, keys: list[str] | str, ratio: float, seed: int =
 
 # ------------------------------------------------------------ moment matrix
 def moments(df: DataFrame, cols: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
-    """n, sums (k), cross-products (k x k) of complete rows — one pass."""
+    """n, means (k), centred cross-products (k x k) of complete rows.
+
+    Two passes, means first: products of deviations keep their digits where a
+    column's mean is large against its spread (ids, years, epochs)."""
     k = len(cols)
     base = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)]).dropna()
-    aggs = [F.count(F.lit(1)).alias("n")] + [F.sum(f"v{i}").alias(f"s{i}") for i in range(k)]
-    aggs += [F.sum(F.col(f"v{i}") * F.col(f"v{j}")).alias(f"p{i}_{j}") for i in range(k) for j in range(i, k)]
-    row = base.agg(*aggs).first()
-    n = int(row["n"])
-    s = np.array([row[f"s{i}"] or 0.0 for i in range(k)], dtype=float)
-    p = np.zeros((k, k))
+    first = base.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"v{i}").alias(f"m{i}") for i in range(k)]).first()
+    mean = np.array([first[f"m{i}"] or 0.0 for i in range(k)], dtype=float)
+    dev = [F.col(f"v{i}") - F.lit(float(mean[i])) for i in range(k)]
+    row = base.agg(*[F.sum(dev[i] * dev[j]).alias(f"p{i}_{j}") for i in range(k) for j in range(i, k)]).first()
+    c = np.zeros((k, k))
     for i in range(k):
         for j in range(i, k):
-            p[i, j] = p[j, i] = row[f"p{i}_{j}"] or 0.0
-    return n, s, p
+            c[i, j] = c[j, i] = row[f"p{i}_{j}"] or 0.0
+    return int(first["n"]), mean, c
 
 
-def correlation_from_moments(n: int, s: np.ndarray, p: np.ndarray) -> np.ndarray:
-    mean = s / n
-    cov = (p - n * np.outer(mean, mean)) / (n - 1)
-    sd = np.sqrt(np.diag(cov))
-    return cov / np.outer(sd, sd)
+def correlation_from_moments(c: np.ndarray) -> np.ndarray:
+    """Correlations from centred cross-products; a constant column correlates with nothing."""
+    sd = np.sqrt(np.diag(c))
+    sd = np.where(sd > 0, sd, 1.0)
+    r = c / np.outer(sd, sd)
+    np.fill_diagonal(r, 1.0)
+    return r
 
 
 def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -109,8 +114,8 @@ def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
 def vif(df: DataFrame, cols: list[str]) -> DataFrame:
     """Variance inflation factors = diagonal of the inverse correlation
     matrix (equivalently 1 / (1 - R^2_j) of each predictor on the others)."""
-    n, s, p = moments(df, cols)
-    r = correlation_from_moments(n, s, p)
+    _, _, c = moments(df, cols)
+    r = correlation_from_moments(c)
     inv = np.linalg.pinv(r)
     spark: SparkSession = df.sparkSession
     return spark.createDataFrame([(c, float(inv[i, i])) for i, c in enumerate(cols)], "variable string, vif double")
@@ -120,9 +125,7 @@ def collinear_columns(df: DataFrame, cols: list[str], tol: float = 1e-9) -> Data
     """Columns that are exact linear combinations of earlier ones
     (aliased terms).  Gram-Schmidt on the centred cross-product matrix, in the
     given column order: a column whose residual variance vanishes is aliased."""
-    n, s, p = moments(df, cols)
-    mean = s / n
-    c = p - n * np.outer(mean, mean)
+    _, _, c = moments(df, cols)
     kept: list[int] = []
     rows = []
     for j in range(len(cols)):
@@ -138,8 +141,3 @@ def collinear_columns(df: DataFrame, cols: list[str], tol: float = 1e-9) -> Data
         if not aliased:
             kept.append(j)
     return df.sparkSession.createDataFrame(rows, "variable string, aliased boolean")
-
-
-def scalar_col(df: DataFrame, expr: Column) -> Column:
-    """A one-row aggregate as a scalar subquery expression."""
-    return df.agg(expr).scalar()

@@ -173,3 +173,28 @@ def ibcf_topn_q(spark: SparkSession, d: str) -> DataFrame:
     fr = filtered(spark, d)
     out = ibcf_topn(fr, "user_id", "beer_beerid", "review_overall", targets(fr), NN, TOP_N, MIN_OVERLAP)
     return out.select("user_id", "position", "beer_beerid", F.round("pred", 6).alias("pred"))
+
+
+# ------------------------------------------------------- evaluation schemes
+EVAL_SEED, TRAIN_SHARE, EVAL_FOLDS, GOOD_RATING = 42, 8000, 5, 4
+
+
+@query("eval_scheme", ["ratings"], FR_SQL + f""",
+h AS (SELECT *, CAST('0x' || substr(md5('{EVAL_SEED}|' || user_id), 1, 8) AS BIGINT) AS u,
+             row_number() OVER (PARTITION BY user_id ORDER BY md5('{EVAL_SEED}|' || user_id || '|' || beer_beerid), beer_beerid) AS nth
+      FROM fr)
+SELECT user_id, beer_beerid, u % 10000 < {TRAIN_SHARE} AS is_train, CAST(u % {EVAL_FOLDS} AS INTEGER) AS fold, nth = 1 AS held_out,
+       review_overall >= {GOOD_RATING} AS is_good FROM h""")
+def eval_scheme(spark: SparkSession, d: str) -> DataFrame:
+    """M8: 80/20 split and five folds of the users, and the one rating held
+    out of each user (all-but-one), by md5; ratings of 4 and more are good.
+    The held-out rating is a map-side-combined minimum per user."""
+    fr = filtered(spark, d)
+    seed = F.lit(str(EVAL_SEED))
+    user, item = F.col("user_id").cast("string"), F.col("beer_beerid").cast("string")
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", seed, user)), 1, 8), 16, 10).cast("long")
+    pick = F.min(F.struct(F.md5(F.concat_ws("|", seed, user, item)), F.col("beer_beerid")))["beer_beerid"]
+    held = fr.groupBy("user_id").agg(pick.alias("held_item"))
+    return fr.join(held, "user_id").select(
+        "user_id", "beer_beerid", (u % 10000 < TRAIN_SHARE).alias("is_train"), (u % EVAL_FOLDS).cast("int").alias("fold"),
+        (F.col("beer_beerid") == F.col("held_item")).alias("held_out"), (F.col("review_overall") >= GOOD_RATING).alias("is_good"))

@@ -61,13 +61,12 @@ def zscore_columns_q(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("split_stratified", ["churn"], f"""
-SELECT churn, s.is_train, CAST(CASE WHEN s.is_train THEN round(n * {TRAIN_RATIO}) ELSE n - round(n * {TRAIN_RATIO}) END AS BIGINT) AS n
-FROM (SELECT churn, count(*) AS n FROM churn GROUP BY churn) c, (VALUES (true), (false)) s(is_train)
-WHERE CASE WHEN s.is_train THEN round(n * {TRAIN_RATIO}) ELSE n - round(n * {TRAIN_RATIO}) END > 0""")
+SELECT customer_id, churn, row_number() OVER (PARTITION BY churn ORDER BY md5('100|' || customer_id), customer_id)
+         <= round(count(*) OVER (PARTITION BY churn) * {TRAIN_RATIO}) AS is_train FROM churn""")
 def split_stratified_q(spark: SparkSession, d: str) -> DataFrame:
-    """70/30 split preserving the class ratio (per-class sizes checked)."""
-    s = split_stratified(S.churn(spark, d), "churn", "customer_id", TRAIN_RATIO)
-    return s.groupBy("churn", "is_train").agg(F.count(F.lit(1)).alias("n"))
+    """70/30 split preserving the class ratio, row by row."""
+    s = split_stratified(S.churn(spark, d).select("customer_id", "churn"), "churn", "customer_id", TRAIN_RATIO)
+    return s.select("customer_id", "churn", "is_train")
 
 
 _LI_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]

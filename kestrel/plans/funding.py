@@ -224,10 +224,10 @@ def first_token_q(spark: SparkSession, d: str) -> DataFrame:
 
 def sectors(spark: SparkSession, d: str) -> DataFrame:
     """Master rows + primary sector + main sector (left join on the lower-
-    cased category, mapping broadcast: it is a fixed-size lookup table)."""
+    cased category; the join's strategy is left to the size checks)."""
     m = master(spark, d).withColumn("primary_sector", first_token("category_list"))
     lm = long_mapping(spark, d).select(F.lower("category_list").alias("ps"), "main_sector")
-    return m.join(F.broadcast(lm), F.lower(m.primary_sector) == lm.ps, "left").drop("ps")
+    return m.join(lm, F.lower(m.primary_sector) == lm.ps, "left").drop("ps")
 
 
 SECTORS_SQL = MASTER_SQL + ",\n" + LONG_MAPPING_SQL + """,

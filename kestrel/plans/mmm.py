@@ -1,7 +1,8 @@
 """Marketing-mix analysis: order cleaning, calendars and month-to-week
 proration of media spend, sale-event labels, weekly KPIs per product
 category, lags / rolling means / adstock, price tiers, five model forms and
-elasticities.  Stand-in: `mmm_sales` (one calendar year of orders)."""
+elasticities.  Stand-ins: `mmm_sales`, and monthly media and score sheets
+(all years of orders).  Weeks are keyed by year and week number (YYYYWW)."""
 
 from __future__ import annotations
 
@@ -10,16 +11,16 @@ from pyspark.sql import functions as F
 
 from kestrel.functions.columns import (cap_upper, exact_mean, exact_sum, floor_invalid_to_zero, safe_log,
                                        week_of_year_simple, week_start_sunday)
-from kestrel.operators.models import kmeans_best
+from kestrel.operators.models import price_tiers
 from kestrel.operators.ordered import adstock, lag_features, pct_change_vs_lag, trailing_mean
 from kestrel.operators.quality import crosstab_counts, impute_moving_average
 from kestrel.operators.relational import dedup_key, group_count
 from kestrel.operators.stats import collinear_columns, zscore_columns
 from kestrel.plans import standins as S
 from kestrel.plans.registry import query
+from kestrel.plans.sqlfit import coefficient_ctes, residual_ctes, significant, significant_sql
 from kestrel.sources.io import read_table, wide_months_to_long
 
-YEAR = 1998
 KEY = "sub_category"
 SLA_CAP = 17
 ADSTOCK_RATE = 0.5
@@ -27,7 +28,7 @@ CHANNELS = ["TV", "Digital", "Sponsorship", "Content_Marketing", "Online_Marketi
             "Radio", "Other"]
 
 # The twelve sale events and their calendar days (month-day),
-# placed in the analysed year of the stand-in.
+# held every year.
 SALE_EVENTS = [
     ("Eid & Rathayatra", ["07-18", "07-19"]),
     ("Independence Day", ["08-15", "08-16", "08-17"]),
@@ -42,54 +43,85 @@ SALE_EVENTS = [
     ("BSD", ["03-07", "03-08", "03-09"]),
     ("Pacman", ["05-25", "05-26", "05-27"]),
 ]
-HOLIDAYS = [(f"{YEAR}-{md}", name) for name, mds in SALE_EVENTS for md in mds]
 
 
-PERIOD = (f"{YEAR}-01-01", f"{YEAR}-12-31")  # analysis period (one year of weekly data)
-
-
-def period_sales(spark: SparkSession, d: str) -> DataFrame:
-    """The order lines of the analysis period (a date-range filter the
-    optimizer pushes to the orders scan)."""
+def period_sales(spark: SparkSession, d: str, period: tuple[str, str] | None = None) -> DataFrame:
+    """The order lines, all of them or those of a period (first, last
+    day; a date range the optimizer pushes to the orders scan)."""
     s = S.mmm_sales(spark, d)
-    return s.filter(F.col("order_date").between(F.to_date(F.lit(PERIOD[0])), F.to_date(F.lit(PERIOD[1]))))
-
-
-PERIOD_SQL = f"""period_sales AS (
-  SELECT * FROM mmm_sales WHERE order_date BETWEEN DATE '{PERIOD[0]}' AND DATE '{PERIOD[1]}')"""
+    if period is None:
+        return s
+    return s.filter(F.col("order_date").between(F.to_date(F.lit(period[0])), F.to_date(F.lit(period[1]))))
 
 
-def media_rows() -> list[tuple]:
-    """Monthly media spend sheet (stand-in rule; Radio/Other missing in the
-    first half-year as in the source sheet)."""
-    rows = []
-    for m in range(1, 13):
-        vals = [None if (c in ("Radio", "Other") and m <= 6) else ((m * 7 + i * 3) % 11 + 1) * 0.25
-                for i, c in enumerate(CHANNELS, start=1)]
-        total = sum(v for v in vals if v is not None)
-        rows.append((YEAR, m, total, *vals))
-    return rows
-
-
-MEDIA_COLS = ["Total_Investment", *CHANNELS]
-NPS_WIDE = [40 + (m * 5) % 9 + 0.5 for m in range(1, 13)]
+PERIOD_SQL = "period_sales AS (SELECT * FROM mmm_sales)"
 
 
-def media(spark: SparkSession) -> DataFrame:
-    schema = "Year int, Month int, " + ", ".join(f"{c} double" for c in MEDIA_COLS)
-    return spark.createDataFrame(media_rows(), schema)
+def iso_week_key(day: str):
+    """Year and number of the ISO week as one ordered number, YYYYWW."""
+    return (F.expr(f"extract(YEAROFWEEK FROM {day})") * 100 + F.weekofyear(day)).cast("int")
 
 
-def _v(x) -> str:
-    return "NULL::DOUBLE" if x is None else f"{x!r}::DOUBLE"
+def _iso_week_sql(day: str) -> str:
+    return f"CAST(isoyear({day}) * 100 + weekofyear({day}) AS INTEGER)"
 
 
-MEDIA_SQL = "media AS (SELECT * FROM (VALUES " + ", ".join(
-    "(" + ", ".join([f"{r[0]}::INTEGER", f"{r[1]}::INTEGER"] + [_v(x) for x in r[2:]]) + ")" for r in media_rows()
-) + ") t(Year, Month, " + ", ".join(MEDIA_COLS) + "))"
-HOLIDAY_SQL = "holidays AS (SELECT CAST(d AS DATE) AS day, name FROM (VALUES " + ", ".join(
-    f"('{d}', '{n}')" for d, n in HOLIDAYS) + ") t(d, name))"
-NPS_SQL = "nps_wide AS (SELECT " + ", ".join(f"{v!r}::DOUBLE AS m{i}" for i, v in enumerate(NPS_WIDE, start=1)) + ")"
+MEDIA_COLS = ["Total_Investment", *CHANNELS]
+_HALF_YEAR_GAP = ("Radio", "Other")  # channels the sheet leaves empty from January to June
+
+
+def media(spark: SparkSession, d: str) -> DataFrame:
+    """Stand-in monthly spend sheet: order totals by customer number as
+    channels, one row per (Year, Month) of the data."""
+    o = read_table(spark, d, "orders").select(
+        F.year("o_orderdate").alias("Year"), F.month("o_orderdate").alias("Month"), "o_custkey", "o_totalprice")
+    per = [F.coalesce(exact_sum(F.when(F.col("o_custkey") % len(CHANNELS) == i, F.col("o_totalprice"))), F.lit(0.0))
+           / F.lit(1e6) for i in range(len(CHANNELS))]
+    cols = [(F.when(F.col("Month") > 6, x) if c in _HALF_YEAR_GAP else x).alias(c) for c, x in zip(CHANNELS, per)]
+    m = o.groupBy("Year", "Month").agg(*cols)
+    total = F.coalesce(F.col(CHANNELS[0]), F.lit(0.0))
+    for c in CHANNELS[1:]:
+        total = total + F.coalesce(F.col(c), F.lit(0.0))
+    return m.select("Year", "Month", total.alias("Total_Investment"), *CHANNELS)
+
+
+def _media_sql() -> str:
+    cols = []
+    for i, c in enumerate(CHANNELS):
+        x = (f"coalesce(CAST(sum(CAST(CASE WHEN o_custkey % {len(CHANNELS)} = {i} THEN o_totalprice END AS DECIMAL(38,10))) "
+             "AS DOUBLE), 0.0) / 1e6")
+        cols.append(f"CASE WHEN month(o_orderdate) > 6 THEN {x} END AS {c}" if c in _HALF_YEAR_GAP else f"{x} AS {c}")
+    total = " + ".join(f"coalesce({c}, 0.0)" for c in CHANNELS)
+    return f"""media0 AS (
+  SELECT CAST(year(o_orderdate) AS INTEGER) AS Year, CAST(month(o_orderdate) AS INTEGER) AS Month, {', '.join(cols)}
+  FROM orders GROUP BY year(o_orderdate), month(o_orderdate)),
+media AS (SELECT Year, Month, {total} AS Total_Investment, {', '.join(CHANNELS)} FROM media0)"""
+
+
+MEDIA_SQL = _media_sql()
+HOLIDAY_SQL = """holidays AS (
+  SELECT CAST(y || '-' || md AS DATE) AS day, name
+  FROM (SELECT unnest(range(min(year(o_orderdate)), max(year(o_orderdate)) + 1)) AS y FROM orders) yy,
+       (VALUES """ + ", ".join(f"('{md}', '{n}')" for n, mds in SALE_EVENTS for md in mds) + ") t(md, name))"
+
+
+def nps_wide(spark: SparkSession, d: str) -> DataFrame:
+    """Stand-in score sheet: one wide row per year, one column per month
+    (share of urgent orders, in percent)."""
+    o = read_table(spark, d, "orders").select(F.year("o_orderdate").alias("Year"), F.month("o_orderdate").alias("m"),
+                                              (F.col("o_orderpriority") == "1-URGENT").alias("u"))
+    return o.groupBy("Year").agg(*[
+        F.try_divide(F.count_if((F.col("m") == i) & F.col("u")) * 100.0, F.count_if(F.col("m") == i)).alias(f"m{i}")
+        for i in range(1, 13)])
+
+
+NPS_SQL = """nps_wide AS (
+  SELECT CAST(year(o_orderdate) AS INTEGER) AS Year, """ + ", ".join(
+    f"count(*) FILTER (WHERE month(o_orderdate) = {i} AND o_orderpriority = '1-URGENT') * 100.0::DOUBLE "
+    f"/ nullif(count(*) FILTER (WHERE month(o_orderdate) = {i}), 0) AS m{i}" for i in range(1, 13)) + """
+  FROM orders GROUP BY year(o_orderdate)),
+nps AS (SELECT Year, CAST(substr(month_col, 2) AS INTEGER) AS Month, nps
+        FROM (UNPIVOT nps_wide ON """ + ", ".join(f"m{i}" for i in range(1, 13)) + " INTO NAME month_col VALUE nps))"
 
 
 # ---------------------------------------------------------------- cleaning
@@ -97,13 +129,13 @@ _MMM_OTHERS = ["order_date", "gmv", "deliverybdays", "deliverycdays", "payment_t
                "sub_category", "vertical", "product_mrp", "list_mrp", "procurement_sla"]
 
 
-def clean(spark: SparkSession, d: str) -> DataFrame:
+def clean(spark: SparkSession, d: str, period: tuple[str, str] | None = None) -> DataFrame:
     """Dedup on (fsn, order, item, units); drop zero MRP; zero GMV repaired
     as MRP x units; keep MRP x units >= GMV; sentinel/negative delivery
     days -> 0; negative procurement SLA -> 0; SLA capped at 17; calendar
-    attributes; list price, promotional offer, prepaid flag.  Only the
-    analysis period is kept."""
-    s = period_sales(spark, d)
+    attributes; list price, promotional offer, prepaid flag.  All order lines,
+    or those of `period`."""
+    s = period_sales(spark, d, period)
     s = dedup_key(s, ["fsn_id", "order_id", "order_item_id", "units"])
     s = s.filter(F.col("product_mrp") != 0)
     s = s.withColumn("gmv", F.when(F.col("gmv") == 0, F.col("product_mrp") * F.col("units")).otherwise(F.col("gmv")))
@@ -113,7 +145,7 @@ def clean(spark: SparkSession, d: str) -> DataFrame:
          .withColumn("procurement_sla", F.greatest(F.col("procurement_sla"), F.lit(0)))
          .withColumn("sla", cap_upper(F.col("sla"), SLA_CAP)))
     return (s.withColumn("Year", F.year("order_date")).withColumn("Month", F.month("order_date"))
-            .withColumn("week", F.weekofyear("order_date"))
+            .withColumn("week", iso_week_key("order_date"))
             .withColumn("month_date", F.trunc("order_date", "MM"))
             .withColumn("week_date", week_start_sunday(F.col("order_date")))
             .withColumn("wday", F.date_format("order_date", "EEEE"))
@@ -134,7 +166,7 @@ mc AS (
       greatest(procurement_sla, 0) AS procurement_sla,
       CASE WHEN sla > """ + str(SLA_CAP) + """ THEN """ + str(SLA_CAP) + """ ELSE sla END AS sla),
     CAST(year(order_date) AS INTEGER) AS Year, CAST(month(order_date) AS INTEGER) AS Month,
-    CAST(weekofyear(order_date) AS INTEGER) AS week, date_trunc('month', order_date) AS month_date,
+    """ + _iso_week_sql("order_date") + """ AS week, date_trunc('month', order_date) AS month_date,
     order_date - CAST(dayofweek(order_date) AS INTEGER) AS week_date, strftime(order_date, '%A') AS wday,
     gmv / units AS list_price, (product_mrp - gmv / units) / product_mrp AS promotional_offer,
     CAST(payment_type = 'Prepaid' AS INTEGER) AS payment_ind
@@ -202,11 +234,12 @@ def week_numbers(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("fiscal_week", ["mmm_sales"], CLEAN_SQL + """
-SELECT week, CASE WHEN week >= 26 THEN week - 25 ELSE week + 28 END AS fiscal_week, count(*) AS n FROM mc GROUP BY ALL""")
+SELECT week, CASE WHEN week % 100 >= 26 THEN week % 100 - 25 ELSE week % 100 + 28 END AS fiscal_week, count(*) AS n
+FROM mc GROUP BY ALL""")
 def fiscal_week(spark: SparkSession, d: str) -> DataFrame:
     """re-index weeks to start mid-year (week 26 -> 1)."""
-    c = clean(spark, d).withColumn(
-        "fiscal_week", F.when(F.col("week") >= 26, F.col("week") - 25).otherwise(F.col("week") + 28))
+    n = F.col("week") % 100
+    c = clean(spark, d).withColumn("fiscal_week", F.when(n >= 26, n - 25).otherwise(n + 28))
     return group_count(c, ["week", "fiscal_week"], "n")
 
 
@@ -251,11 +284,12 @@ def crosstab_year_month(spark: SparkSession, d: str) -> DataFrame:
 # --------------------------------------------------------------- calendars
 def calendar_weeks(spark: SparkSession, d: str) -> DataFrame:
     """A10: every day between the first and last order date, counted per
-    (month, simple week) with the fraction of a 7-day week."""
+    (year, month, simple week) with the fraction of a 7-day week."""
     s = period_sales(spark, d)
     rng = s.agg(F.min("order_date").alias("a"), F.max("order_date").alias("b"))
     days = rng.select(F.explode(F.sequence("a", "b", F.expr("INTERVAL 1 DAY"))).alias("day"))
-    g = days.groupBy(F.month("day").alias("Month"), week_of_year_simple(F.col("day")).alias("week")).agg(
+    week = (F.year("day") * 100 + week_of_year_simple(F.col("day"))).cast("int")
+    g = days.groupBy(F.year("day").alias("Year"), F.month("day").alias("Month"), week.alias("week")).agg(
         F.count(F.lit(1)).alias("n_days"))
     return g.withColumn("frac_days", F.col("n_days") / 7.0)
 
@@ -263,8 +297,8 @@ def calendar_weeks(spark: SparkSession, d: str) -> DataFrame:
 CAL_SQL = """days AS (SELECT CAST(unnest(range(CAST((SELECT min(order_date) FROM period_sales) AS TIMESTAMP),
                                   CAST((SELECT max(order_date) FROM period_sales) AS TIMESTAMP) + INTERVAL 1 DAY,
                                   INTERVAL 1 DAY)) AS DATE) AS day),
-cal AS (SELECT CAST(month(day) AS INTEGER) AS Month, CAST(floor((dayofyear(day) - 1) / 7) + 1 AS INTEGER) AS week,
-               count(*) AS n_days, count(*) / 7.0::DOUBLE AS frac_days FROM days GROUP BY ALL)"""
+cal AS (SELECT CAST(year(day) AS INTEGER) AS Year, CAST(month(day) AS INTEGER) AS Month,
+               CAST(year(day) * 100 + floor((dayofyear(day) - 1) / 7) + 1 AS INTEGER) AS week, count(*) AS n_days, count(*) / 7.0::DOUBLE AS frac_days FROM days GROUP BY ALL)"""
 
 
 @query("calendar_month_week_days", ["mmm_sales"], PERIOD_SQL + ",\n" + CAL_SQL + "\nSELECT * FROM cal")
@@ -276,9 +310,9 @@ def calendar_month_week_days(spark: SparkSession, d: str) -> DataFrame:
 def weekly_media(spark: SparkSession, d: str) -> DataFrame:
     """Monthly spend / 4.30 spread over weeks by the share of the week's
     days in the month, summed per week, x 1e7 (the sheet is in crores)."""
-    m = media(spark).fillna(0.0)
-    m = m.select("Month", *[(F.col(c) / 4.30).alias(c) for c in MEDIA_COLS])
-    j = calendar_weeks(spark, d).join(F.broadcast(m), "Month", "left")
+    m = media(spark, d).fillna(0.0)
+    m = m.select("Year", "Month", *[(F.col(c) / 4.30).alias(c) for c in MEDIA_COLS])
+    j = calendar_weeks(spark, d).join(m, ["Year", "Month"], "left")
     return j.groupBy("week").agg(*[(exact_sum(F.col(c) * F.col("frac_days")) * 10000000).alias(c) for c in MEDIA_COLS])
 
 
@@ -286,7 +320,7 @@ WMEDIA_SQL = CAL_SQL + ",\n" + MEDIA_SQL + """,
 wmedia AS (SELECT week, """ + ", ".join(
     f"CAST(sum(CAST(coalesce({c}, 0.0) / 4.30 * frac_days AS DECIMAL(38,10))) AS DOUBLE) * 10000000 AS {c}"
     for c in MEDIA_COLS) + """
-           FROM cal LEFT JOIN media USING (Month) GROUP BY week)"""
+           FROM cal LEFT JOIN media USING (Year, Month) GROUP BY week)"""
 
 
 @query("prorate_month_to_week", ["mmm_sales"], PERIOD_SQL + ",\n" + WMEDIA_SQL + "\nSELECT week, " + ", ".join(MEDIA_COLS) + " FROM wmedia")
@@ -296,8 +330,20 @@ def prorate_month_to_week(spark: SparkSession, d: str) -> DataFrame:
     return w.select("week", *MEDIA_COLS)
 
 
-def holidays(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(HOLIDAYS, "d string, name string").select(F.to_date("d").alias("day"), "name")
+def holidays(spark: SparkSession, d: str) -> DataFrame:
+    """The sale days of every year of the data (years x a fixed list of days)."""
+    years = read_table(spark, d, "orders").agg(F.min(F.year("o_orderdate")).alias("a"), F.max(F.year("o_orderdate")).alias("b"))
+    days = F.array(*[F.struct(F.lit(md).alias("md"), F.lit(n).alias("name")) for n, mds in SALE_EVENTS for md in mds])
+    return years.select(F.explode(F.sequence("a", "b")).alias("y")).select("y", F.explode(days).alias("e")) \
+        .select(F.to_date(F.concat_ws("-", F.col("y").cast("string"), "e.md")).alias("day"), F.col("e.name").alias("name"))
+
+
+def holidays_by_week(spark: SparkSession, d: str) -> DataFrame:
+    """Sale days per ISO week."""
+    return holidays(spark, d).groupBy(iso_week_key("day").alias("week")).agg(F.count(F.lit(1)).alias("holiday_count"))
+
+
+HW_SQL = "hw AS (SELECT " + _iso_week_sql("day") + " AS week, count(*) AS holiday_count FROM holidays GROUP BY ALL)"
 
 
 @query("join_holiday_calendar", ["mmm_sales"], CLEAN_SQL + ",\n" + HOLIDAY_SQL + """
@@ -305,52 +351,43 @@ SELECT coalesce(h.name, 'Regular Day') AS special_sale_day, CASE WHEN h.name IS
        count(*) AS n_orders FROM mc LEFT JOIN holidays h ON mc.order_date = h.day GROUP BY ALL""")
 def join_holiday_calendar(spark: SparkSession, d: str) -> DataFrame:
     """Label each order with its sale event (fixed calendar,
-    broadcast: its size is bounded by the number of days in a year)."""
+    broadcast: 35 days per year of data)."""
     c = clean(spark, d)
-    j = c.join(F.broadcast(holidays(spark)), c.order_date == F.col("day"), "left")
+    j = c.join(F.broadcast(holidays(spark, d)), c.order_date == F.col("day"), "left")
     j = j.select(F.coalesce("name", F.lit("Regular Day")).alias("special_sale_day"),
                  F.when(F.col("name").isNull(), "N").otherwise("Y").alias("is_sale_day"))
     return group_count(j, ["special_sale_day", "is_sale_day"], "n_orders")
 
 
-@query("holidays_per_week", ["mmm_sales"], CLEAN_SQL + ",\n" + HOLIDAY_SQL + """,
-hw AS (SELECT CAST(year(day) AS INTEGER) AS Year, CAST(weekofyear(day) AS INTEGER) AS week, count(*) AS holiday_count
-       FROM holidays GROUP BY ALL)
+@query("holidays_per_week", ["mmm_sales"], CLEAN_SQL + ",\n" + HOLIDAY_SQL + ",\n" + HW_SQL + """
 SELECT Year, week, count(*) AS n_orders, coalesce(max(holiday_count), 0) AS holiday_count
-FROM mc LEFT JOIN hw USING (Year, week) GROUP BY ALL""")
+FROM mc LEFT JOIN hw USING (week) GROUP BY ALL""")
 def holidays_per_week(spark: SparkSession, d: str) -> DataFrame:
-    """Sale days per (year, ISO week) joined onto weekly orders."""
-    hw = holidays(spark).groupBy(F.year("day").alias("Year"), F.weekofyear("day").alias("week")).agg(
-        F.count(F.lit(1)).alias("holiday_count"))
-    c = clean(spark, d).join(F.broadcast(hw), ["Year", "week"], "left")
+    """Sale days per ISO week joined onto weekly orders."""
+    c = clean(spark, d).join(F.broadcast(holidays_by_week(spark, d)), ["week"], "left")
     return c.groupBy("Year", "week").agg(F.count(F.lit(1)).alias("n_orders"),
                                          F.coalesce(F.max("holiday_count"), F.lit(0)).alias("holiday_count"))
 
 
-def nps_long(spark: SparkSession) -> DataFrame:
-    wide = spark.createDataFrame([tuple(NPS_WIDE)], ", ".join(f"m{i} double" for i in range(1, 13)))
-    long = wide_months_to_long(wide.withColumn("Year", F.lit(YEAR)), ["Year"], [f"m{i}" for i in range(1, 13)], "nps")
+def nps_long(spark: SparkSession, d: str) -> DataFrame:
+    long = wide_months_to_long(nps_wide(spark, d), ["Year"], [f"m{i}" for i in range(1, 13)], "nps")
     return long.select(F.col("Year").cast("int").alias("Year"), F.col("month").cast("int").alias("Month"), "nps")
 
 
-@query("wide_months_to_long", ["mmm_sales"], CLEAN_SQL + ",\n" + NPS_SQL + """,
-nps AS (SELECT """ + str(YEAR) + """ AS Year, CAST(substr(month_col, 2) AS INTEGER) AS Month, nps
-        FROM (UNPIVOT nps_wide ON """ + ", ".join(f"m{i}" for i in range(1, 13)) + """ INTO NAME month_col VALUE nps))
-SELECT Month, nps, CAST(sum(CAST(gmv AS DECIMAL(38,10))) AS DOUBLE) AS gmv FROM mc JOIN nps USING (Year, Month) GROUP BY ALL""")
+@query("wide_months_to_long", ["mmm_sales"], CLEAN_SQL + ",\n" + NPS_SQL + """
+SELECT Year, Month, nps, CAST(sum(CAST(gmv AS DECIMAL(38,10))) AS DOUBLE) AS gmv FROM mc JOIN nps USING (Year, Month) GROUP BY ALL""")
 def wide_months_to_long_q(spark: SparkSession, d: str) -> DataFrame:
-    """A4/H5: one wide row of 12 monthly scores -> (Year, Month, nps),
+    """A4/H5: a wide row of 12 monthly scores per year -> (Year, Month, nps),
     joined to monthly GMV."""
-    c = clean(spark, d).join(F.broadcast(nps_long(spark)), ["Year", "Month"])
-    return c.groupBy("Month", "nps").agg(exact_sum("gmv").alias("gmv"))
+    c = clean(spark, d).join(nps_long(spark, d), ["Year", "Month"])
+    return c.groupBy("Year", "Month", "nps").agg(exact_sum("gmv").alias("gmv"))
 
 
-@query("join_left_multikey", ["mmm_sales"], CLEAN_SQL + ",\n" + NPS_SQL + """,
-nps AS (SELECT """ + str(YEAR) + """ AS Year, CAST(substr(month_col, 2) AS INTEGER) AS Month, nps
-        FROM (UNPIVOT nps_wide ON """ + ", ".join(f"m{i}" for i in range(1, 13)) + """ INTO NAME month_col VALUE nps))
+@query("join_left_multikey", ["mmm_sales"], CLEAN_SQL + ",\n" + NPS_SQL + """
 SELECT Year, Month, week, count(*) AS n_orders, max(nps) AS nps FROM mc LEFT JOIN nps USING (Year, Month) GROUP BY ALL""")
 def join_left_multikey(spark: SparkSession, d: str) -> DataFrame:
     """Left join on (Year, Month) of the monthly score onto order rows."""
-    c = clean(spark, d).join(F.broadcast(nps_long(spark)), ["Year", "Month"], "left")
+    c = clean(spark, d).join(nps_long(spark, d), ["Year", "Month"], "left")
     return c.groupBy("Year", "Month", "week").agg(F.count(F.lit(1)).alias("n_orders"), F.max("nps").alias("nps"))
 
 
@@ -367,10 +404,8 @@ def share_by_period(spark: SparkSession, d: str) -> DataFrame:
 def weekly(spark: SparkSession, d: str) -> DataFrame:
     """Per (product category, week): sums, means, prepaid share, media
     spend of the week, monthly score and sale days (mixed aggregate)."""
-    c = clean(spark, d).join(F.broadcast(nps_long(spark)), ["Year", "Month"], "left")
-    hw = holidays(spark).groupBy(F.year("day").alias("Year"), F.weekofyear("day").alias("week")).agg(
-        F.count(F.lit(1)).alias("holiday_count"))
-    c = c.join(F.broadcast(hw), ["Year", "week"], "left").fillna(0, subset=["holiday_count"])
+    c = clean(spark, d).join(nps_long(spark, d), ["Year", "Month"], "left")
+    c = c.join(F.broadcast(holidays_by_week(spark, d)), ["week"], "left").fillna(0, subset=["holiday_count"])
     w = c.groupBy(KEY, "week").agg(
         exact_sum("gmv").alias("gmv"), F.sum("units").alias("units"), F.avg("deliverybdays").alias("deliverybdays"),
         F.avg("deliverycdays").alias("deliverycdays"), F.avg("sla").alias("sla"),
@@ -378,20 +413,16 @@ def weekly(spark: SparkSession, d: str) -> DataFrame:
         F.avg("nps").alias("nps"), F.avg("holiday_count").alias("holiday_count"),
         exact_sum("list_price").alias("list_price"), exact_mean("promotional_offer").alias("promotional_offer"),
         F.avg("payment_ind").alias("per_order"), F.count(F.lit(1)).alias("n_orders"))
-    return w.join(F.broadcast(weekly_media(spark, d)), "week", "left")
+    return w.join(weekly_media(spark, d), "week", "left")
 
 
-WEEKLY_SQL = CLEAN_SQL + ",\n" + HOLIDAY_SQL + ",\n" + NPS_SQL + ",\n" + WMEDIA_SQL + """,
-nps AS (SELECT """ + str(YEAR) + """ AS Year, CAST(substr(month_col, 2) AS INTEGER) AS Month, nps
-        FROM (UNPIVOT nps_wide ON """ + ", ".join(f"m{i}" for i in range(1, 13)) + """ INTO NAME month_col VALUE nps)),
-hw AS (SELECT CAST(year(day) AS INTEGER) AS Year, CAST(weekofyear(day) AS INTEGER) AS week, count(*) AS holiday_count
-       FROM holidays GROUP BY ALL),
+WEEKLY_SQL = CLEAN_SQL + ",\n" + HOLIDAY_SQL + ",\n" + NPS_SQL + ",\n" + WMEDIA_SQL + ",\n" + HW_SQL + """,
 wk0 AS (SELECT sub_category, week, CAST(sum(CAST(gmv AS DECIMAL(38,10))) AS DOUBLE) AS gmv, sum(units) AS units, avg(deliverybdays) AS deliverybdays,
           avg(deliverycdays) AS deliverycdays, avg(sla) AS sla, CAST(sum(CAST(product_mrp AS DECIMAL(38,10))) AS DOUBLE) AS product_mrp,
           avg(procurement_sla) AS procurement_sla, avg(nps) AS nps, avg(coalesce(holiday_count, 0)) AS holiday_count,
           CAST(sum(CAST(list_price AS DECIMAL(38,10))) AS DOUBLE) AS list_price, CAST(sum(CAST(promotional_offer AS DECIMAL(38,10))) AS DOUBLE) / count(promotional_offer) AS promotional_offer, avg(payment_ind) AS per_order,
           count(*) AS n_orders
-        FROM mc LEFT JOIN nps USING (Year, Month) LEFT JOIN hw USING (Year, week) GROUP BY ALL),
+        FROM mc LEFT JOIN nps USING (Year, Month) LEFT JOIN hw USING (week) GROUP BY ALL),
 wk AS (SELECT * FROM wk0 LEFT JOIN wmedia USING (week))"""
 
 _WK_OUT = ["gmv", "units", "deliverybdays", "deliverycdays", "sla", "product_mrp", "procurement_sla", "nps",
@@ -429,17 +460,29 @@ def period_sequence(spark: SparkSession, d: str) -> DataFrame:
                     F.row_number().over(Window.orderBy("week_date")).alias("period"))
 
 
-@query("weekly_category_counts", ["mmm_sales"], CLEAN_SQL + """,
-pre AS (SELECT week, count(*) FILTER (WHERE payment_type = 'Prepaid') AS prepaid FROM mc GROUP BY week),
-x AS (SELECT mc.week, mc.sub_category, pre.prepaid FROM mc JOIN pre USING (week))
-PIVOT x ON sub_category USING count(*) GROUP BY week, prepaid""")
+_FACTORS = ["sub_category", "vertical", "payment_type", "wday", "sla", "procurement_sla"]
+
+
+@query("weekly_category_counts", ["mmm_sales"], CLEAN_SQL + "\n" + "\nUNION ALL\n".join(
+    f"SELECT week, '{c}' AS factor, CAST({c} AS VARCHAR) AS level, count(*) AS n FROM mc GROUP BY ALL" for c in _FACTORS))
 def weekly_category_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Dummy counts per week — one column per category level
-    present in the data (pivot), plus the prepaid count."""
-    c = clean(spark, d)
-    p = c.groupBy("week").pivot(KEY).agg(F.count(F.lit(1))).fillna(0)
-    pre = c.groupBy("week").agg(F.count_if(F.col("payment_type") == "Prepaid").alias("prepaid"))
-    return p.join(pre, "week")
+    """Sums of the dummies of six factors per week, as rows (week,
+    factor, level, n): however many levels a factor has, one combined
+    aggregate and no column per level."""
+    levels = F.array(*[F.struct(F.lit(c).alias("factor"), F.col(c).cast("string").alias("level")) for c in _FACTORS])
+    c = clean(spark, d).select("week", F.explode(levels).alias("l"))
+    return c.groupBy("week", "l.factor", "l.level").agg(F.count(F.lit(1)).alias("n"))
+
+
+PAYMENTS = ["COD", "Prepaid"]
+
+
+@query("pivot_wide", ["mmm_sales"], CLEAN_SQL + "\nSELECT week, " + ", ".join(
+    f"count(*) FILTER (WHERE payment_type = '{p}') AS {p}" for p in PAYMENTS) + " FROM mc GROUP BY week")
+def pivot_wide(spark: SparkSession, d: str) -> DataFrame:
+    """H6: weekly orders per payment type, long to wide (the levels are an
+    argument, so no distinct job and a fixed number of columns)."""
+    return crosstab_counts(clean(spark, d), "week", "payment_type", PAYMENTS)
 
 
 @query("lag_features", ["mmm_sales"], WEEKLY_SQL + """
@@ -490,23 +533,30 @@ def rolling_mean_increment(spark: SparkSession, d: str) -> DataFrame:
     return w.select(KEY, "week", ((F.col("list_price") - F.col("ma")) / F.col("ma")).alias("inc_LP_MA2"))
 
 
+def _ma_impute_sql(k: int) -> str:
+    """Oracle of C14 over a table ma(sub_category, week, x): the mean within k rows, or within the
+    distance of the second-nearest value where fewer than two lie that near."""
+    near = f"ROWS BETWEEN {k} PRECEDING AND {k} FOLLOWING"
+    return f"""
+p AS (SELECT *, row_number() OVER (PARTITION BY sub_category ORDER BY week) AS i FROM ma),
+q AS (SELECT a.sub_category, a.week, abs(a.i - b.i) AS dist, b.x,
+             row_number() OVER (PARTITION BY a.sub_category, a.week ORDER BY abs(a.i - b.i), b.i) AS nth
+      FROM p a JOIN p b ON a.sub_category = b.sub_category AND a.x IS NULL AND b.x IS NOT NULL),
+r AS (SELECT sub_category, week, greatest({k}, coalesce(max(dist) FILTER (WHERE nth = 2), max(dist))) AS reach FROM q GROUP BY ALL),
+m AS (SELECT sub_category, week, CAST(sum(CAST(q.x AS DECIMAL(38,10))) AS DOUBLE) / count(*) AS x
+      FROM q JOIN r USING (sub_category, week) WHERE q.dist <= r.reach GROUP BY ALL)"""
+
+
 @query("impute_moving_average", ["mmm_sales"], WEEKLY_SQL + """,
 ma AS (SELECT sub_category, week,
          CASE WHEN count(*) OVER (PARTITION BY sub_category ORDER BY week ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) = 4
               THEN CAST(sum(CAST(list_price AS DECIMAL(38,10))) OVER (PARTITION BY sub_category ORDER BY week
                    ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS DOUBLE) / 4 END AS x
-       FROM wk)
-SELECT sub_category, week, round(coalesce(x,
-         CAST(sum(CAST(x AS DECIMAL(38,10))) OVER (PARTITION BY sub_category ORDER BY week ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS DOUBLE)
-           / count(x) OVER (PARTITION BY sub_category ORDER BY week ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING),
-         CAST(sum(CAST(x AS DECIMAL(38,10))) OVER (PARTITION BY sub_category ORDER BY week ROWS BETWEEN 8 PRECEDING AND 8 FOLLOWING) AS DOUBLE)
-           / count(x) OVER (PARTITION BY sub_category ORDER BY week ROWS BETWEEN 8 PRECEDING AND 8 FOLLOWING),
-         CAST(sum(CAST(x AS DECIMAL(38,10))) OVER (PARTITION BY sub_category ORDER BY week ROWS BETWEEN 16 PRECEDING AND 16 FOLLOWING) AS DOUBLE)
-           / count(x) OVER (PARTITION BY sub_category ORDER BY week ROWS BETWEEN 16 PRECEDING AND 16 FOLLOWING)), 6) AS LP_MA3
-FROM ma""")
+       FROM wk),""" + _ma_impute_sql(4) + """
+SELECT ma.sub_category, ma.week, round(coalesce(ma.x, m.x), 6) AS LP_MA3 FROM ma LEFT JOIN m USING (sub_category, week)""")
 def impute_moving_average_q(spark: SparkSession, d: str) -> DataFrame:
     """C14: the leading NULLs of the 4-week rolling mean filled with the
-    mean of the values within 4 weeks (widening when none exist)."""
+    mean of the values within 4 weeks (widening until two exist)."""
     w = weekly(spark, d).select(KEY, "week", "list_price")
     w = w.withColumn("LP_MA3", trailing_mean([KEY], "week", "list_price", 4))
     f = impute_moving_average(w, [KEY], "week", "LP_MA3", 4)
@@ -514,15 +564,16 @@ def impute_moving_average_q(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("adstock", ["mmm_sales"], PERIOD_SQL + ",\n" + WMEDIA_SQL + """,
-a AS (SELECT x.week, sum(y.TV * pow(""" + str(ADSTOCK_RATE) + """, x.week - y.week)) AS TV_adstock,
-             sum(y.SEM * pow(""" + str(ADSTOCK_RATE) + """, x.week - y.week)) AS SEM_adstock
-      FROM wmedia x JOIN wmedia y ON y.week <= x.week GROUP BY x.week)
-SELECT week, round(TV_adstock, 4) AS TV_adstock, round(SEM_adstock, 4) AS SEM_adstock FROM a""")
+l AS (UNPIVOT (SELECT week, """ + ", ".join(CHANNELS) + """ FROM wmedia) ON """ + ", ".join(CHANNELS) + """ INTO NAME channel VALUE spend),
+n AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY week) AS t FROM l),
+a AS (SELECT x.channel, x.week, sum(y.spend * pow(""" + str(ADSTOCK_RATE) + """, x.t - y.t)) AS adstock
+      FROM n x JOIN n y ON x.channel = y.channel AND y.t <= x.t GROUP BY ALL)
+SELECT channel, week, round(adstock, 2) AS adstock FROM a""")
 def adstock_q(spark: SparkSession, d: str) -> DataFrame:
-    """recursive adstock (rate 0.5) of weekly TV and SEM spend."""
-    w = weekly_media(spark, d).withColumn("__k", F.lit(1))
-    return w.select("week", F.round(adstock(["__k"], "week", "TV", ADSTOCK_RATE), 4).alias("TV_adstock"),
-                    F.round(adstock(["__k"], "week", "SEM", ADSTOCK_RATE), 4).alias("SEM_adstock"))
+    """recursive adstock (rate 0.5) of the weekly spend of all nine
+    channels, one series per channel."""
+    long = weekly_media(spark, d).unpivot(["week"], CHANNELS, "channel", "spend")
+    return adstock(long, ["channel"], "week", "spend", ADSTOCK_RATE).select("channel", "week", F.round("adstock", 2).alias("adstock"))
 
 
 @query("log_transform_safe", ["mmm_sales"], WEEKLY_SQL + """
@@ -539,20 +590,15 @@ def log_transform_safe(spark: SparkSession, d: str) -> DataFrame:
 # ----------------------------------------------------------- models (rows)
 @query("price_tier_clusters")
 def price_tier_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """K-means (k = 3, best of several starts) on scaled per-vertical
-    means of units, list price and MRP; tiers named by cluster size (largest
-    mass, smallest premium); with <= 2 verticals the higher-MRP one is
-    'Aspiring'."""
-    c = clean(spark, d).groupBy("vertical").agg(F.avg("units").alias("units"), F.avg("list_price").alias("list_price"),
-                                                F.avg("product_mrp").alias("product_mrp"))
-    n = c.count()
-    if n <= 2:
-        r = c.withColumn("rk", F.row_number().over(Window.orderBy(F.desc("product_mrp"))))
-        return r.select("vertical", F.when(F.col("rk") == 1, "Aspiring_Product").otherwise("Mass_Product").alias("price_tag"))
-    out, _ = kmeans_best(c, ["units", "list_price", "product_mrp"], 3)
-    tag = (F.when(F.col("size_rank") == 0, "Mass_Product").when(F.col("size_rank") == 2, "Premium_Product")
-           .otherwise("Aspiring_Product"))
-    return out.select("vertical", "cluster", tag.alias("price_tag"))
+    """Within each product category, k-means (k = 3, best of 50
+    starts) on scaled per-vertical means of units, list price and MRP; tiers
+    are named by their order rows (most: mass, fewest: premium).  With two or
+    fewer verticals the higher-MRP one is 'Aspiring'.  One category's
+    verticals (not its orders) are one group."""
+    v = clean(spark, d).groupBy(KEY, "vertical").agg(
+        F.avg("units").alias("units"), F.avg("list_price").alias("list_price"), F.avg("product_mrp").alias("product_mrp"),
+        F.count(F.lit(1)).alias("n_orders"))
+    return price_tiers(v, KEY, "vertical", ["units", "list_price", "product_mrp"], "product_mrp", "n_orders")
 
 
 def features(spark: SparkSession, d: str) -> DataFrame:
@@ -620,7 +666,14 @@ def mmm_model_forms(spark: SparkSession, d: str) -> DataFrame:
     return data.groupBy("form", KEY).applyInPandas(fit, schema)
 
 
-@query("elasticity")
+@query("elasticity", ["mmm_sales"], WEEKLY_SQL + ",\nf AS (SELECT sub_category, gmv, "
+       + ", ".join(f"coalesce({x}, 0.0) AS {x}" for x in BASE_X) + " FROM wk),\n"
+       + residual_ctes("o", "f", [KEY], "gmv", BASE_X) + ",\n" + coefficient_ctes("o", [KEY], BASE_X) + """,
+mean AS (SELECT sub_category, avg(gmv) AS my, """ + ", ".join(f"avg({x}) AS m_{x}" for x in BASE_X) + """ FROM f GROUP BY 1),
+l AS (""" + "\nUNION ALL\n".join(f"SELECT sub_category, '{x}' AS term, b{i} AS b, b{i} * m_{x} / my AS e FROM o_coef JOIN mean USING (sub_category)"
+                              for i, x in enumerate(BASE_X, start=1)) + f""")
+SELECT sub_category, term, {significant_sql('b', 4)} AS estimate, {significant_sql('e', 4)} AS elasticity,
+       CASE WHEN e > 0 THEN 'Positive' ELSE 'Negative' END AS direction FROM l""")
 def elasticity_q(spark: SparkSession, d: str) -> DataFrame:
     """K9: beta * mean(x) / mean(y) of the linear form on unscaled weekly
     data, with a sign label — one OLS per product category, fitted in
@@ -640,11 +693,21 @@ def elasticity_q(spark: SparkSession, d: str) -> DataFrame:
         return t[[KEY, "term", "estimate", "elasticity", "direction"]]
 
     schema = f"{KEY} string, term string, estimate double, elasticity double, direction string"
-    return f.groupBy(KEY).applyInPandas(fit, schema)
+    out = f.groupBy(KEY).applyInPandas(fit, schema)
+    return out.select(KEY, "term", significant(F.col("estimate"), 4).alias("estimate"),
+                      significant(F.col("elasticity"), 4).alias("elasticity"), "direction")
+
+
+_ALIAS_X = [*CHANNELS, "Total_Investment", "gmv", "units"]
 
 
-@query("collinear_columns")
+@query("collinear_columns", ["mmm_sales"], WEEKLY_SQL + ",\nf AS (SELECT "
+       + ", ".join(_ALIAS_X) + " FROM wk WHERE " + " AND ".join(f"{x} IS NOT NULL" for x in _ALIAS_X) + "),\n"
+       + residual_ctes("o", "f", [], "0", _ALIAS_X) + ",\ntotal AS (SELECT "
+       + ", ".join(f"var_pop({x}) * count(*) AS t_{x}" for x in _ALIAS_X) + " FROM f)\n"
+       + "\nUNION ALL\n".join(f"SELECT '{x}' AS variable, d{i} <= 1e-9 * t_{x} AS aliased FROM o_a{i}, total"
+                              for i, x in enumerate(_ALIAS_X, start=1)))
 def collinear_columns_q(spark: SparkSession, d: str) -> DataFrame:
     """Aliased weekly predictors (e.g. total spend = sum of channels)."""
     w = weekly(spark, d)
-    return collinear_columns(w, [*CHANNELS, "Total_Investment", "gmv", "units"])
+    return collinear_columns(w, _ALIAS_X)

@@ -8,22 +8,24 @@ from pyspark.sql import functions as F
 
 from kestrel.functions.columns import (HOUR_BINS, any_of, bin_by_ranges, compact_time_to_timestamp,
                                        normalize_column_names, parse_date, season_of_month, string_columns)
+from kestrel.operators.ordered import global_rank
 from kestrel.operators.relational import dedup_key, group_count, top_k_per_group
 from kestrel.plans import standins as S
 from kestrel.plans.registry import query
 
-# Parameters of the stand-in: the analysed "fiscal year" window.
+# The window of the two queries about a date range (filter, out-of-range count).
 FISCAL = ("2024-01-02", "2024-01-28")
-SEASON_FISCAL = ("1995-01-01", "2001-12-31")
 
 
-def clean_tickets(raw: DataFrame, start: str, end: str) -> DataFrame:
+def clean_tickets(raw: DataFrame, window: tuple[str, str] | None = None) -> DataFrame:
     """Normalise names, dedup on the ticket key, parse the issue date, keep
-    the fiscal window, derive year/month and the violation timestamp."""
+    those inside `window` (all by default), derive year/month and the
+    violation timestamp."""
     df = normalize_column_names(raw)
     df = dedup_key(df, ["summons_number"])
     df = df.withColumn("issue_date", parse_date(F.col("issue_date"), "MM/dd/yyyy"))
-    df = df.filter(F.col("issue_date").between(F.to_date(F.lit(start)), F.to_date(F.lit(end))))
+    if window is not None:
+        df = df.filter(F.col("issue_date").between(*[F.to_date(F.lit(x)) for x in window]))
     df = df.withColumn("issue_yr", F.year("issue_date")).withColumn("issue_mnth", F.month("issue_date"))
     if "violation_time" in df.columns:
         df = df.withColumn("violation_ts", compact_time_to_timestamp(F.col("issue_date"), F.col("violation_time")))
@@ -44,14 +46,12 @@ CLEAN_SQL = f"""clean_tickets AS (
         regexp_replace(regexp_replace(substr(violation_time, 5, 1), 'A', 'AM', 'g'), 'P', 'PM', 'g')),
       '%Y-%m-%d %I:%M:%p') AS violation_ts
   FROM (SELECT * REPLACE (CAST(try_strptime(issue_date, '%m/%d/%Y') AS DATE) AS issue_date) FROM tickets
-        QUALIFY row_number() OVER (PARTITION BY summons_number ORDER BY {_order_all(_T_COLS)}) = 1)
-  WHERE issue_date BETWEEN DATE '{FISCAL[0]}' AND DATE '{FISCAL[1]}')"""
+        QUALIFY row_number() OVER (PARTITION BY summons_number ORDER BY {_order_all(_T_COLS)}) = 1))"""
 
-SEASON_CLEAN_SQL = f"""clean_season AS (
+SEASON_CLEAN_SQL = """clean_season AS (
   SELECT *, CAST(year(issue_date) AS INTEGER) AS issue_yr, CAST(month(issue_date) AS INTEGER) AS issue_mnth
   FROM (SELECT * REPLACE (CAST(try_strptime(issue_date, '%m/%d/%Y') AS DATE) AS issue_date) FROM season_tickets
-        QUALIFY row_number() OVER (PARTITION BY summons_number ORDER BY issue_date, violation_code) = 1)
-  WHERE issue_date BETWEEN DATE '{SEASON_FISCAL[0]}' AND DATE '{SEASON_FISCAL[1]}')"""
+        QUALIFY row_number() OVER (PARTITION BY summons_number ORDER BY issue_date, violation_code) = 1))"""
 
 
 def _hour_bin_sql(h: str) -> str:
@@ -59,7 +59,7 @@ def _hour_bin_sql(h: str) -> str:
 
 
 def _clean(spark, d):
-    return clean_tickets(S.tickets(spark, d), *FISCAL)
+    return clean_tickets(S.tickets(spark, d))
 
 
 # ----------------------------------------------------------------- flagship
@@ -95,7 +95,7 @@ def bin_hour_of_day(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _season_clean(spark, d):
-    return clean_tickets(S.season_tickets(spark, d), *SEASON_FISCAL)
+    return clean_tickets(S.season_tickets(spark, d))
 
 
 _SEASON_SQL = ("CASE WHEN issue_mnth IN (12, 1, 2) THEN 'WINTER' WHEN issue_mnth IN (3, 4, 5) THEN 'SPRING' "
@@ -215,11 +215,13 @@ def dq_out_of_range(spark: SparkSession, d: str) -> DataFrame:
                  F.count(F.lit(1)).alias("n_rows"))
 
 
-@query("filter_range", ["tickets"], CLEAN_SQL + """
-SELECT summons_number, strftime(issue_date, '%Y-%m-%d') AS issue_date, violation_code FROM clean_tickets""")
+@query("filter_range", ["tickets"], CLEAN_SQL + f"""
+SELECT summons_number, strftime(issue_date, '%Y-%m-%d') AS issue_date, violation_code FROM clean_tickets
+WHERE issue_date BETWEEN DATE '{FISCAL[0]}' AND DATE '{FISCAL[1]}'""")
 def filter_range(spark: SparkSession, d: str) -> DataFrame:
-    """The cleaned tickets inside the window (full scan, pushed filter)."""
-    t = _clean(spark, d)
+    """The cleaned tickets inside the window (the date is text, so it is
+    filtered after parsing; nothing is pushed to the scan)."""
+    t = clean_tickets(S.tickets(spark, d), FISCAL)
     return t.select("summons_number", F.date_format("issue_date", "yyyy-MM-dd").alias("issue_date"), "violation_code")
 
 
@@ -241,12 +243,11 @@ SELECT regexp_replace(registration_state, '^99$', 'NY') AS registration_state, c
 FROM clean_tickets GROUP BY 1""")
 def group_count_ranked(spark: SparkSession, d: str) -> DataFrame:
     """Frequency ranking of registration states after recoding the
-    invalid '99' to the dominant state.  The ranking window runs over the
-    aggregated rows (one per state), not over tickets."""
-    from pyspark.sql import Window
+    invalid '99' to the dominant state; a distributed rank of the aggregated
+    rows (one per state)."""
     g = group_count(_states(spark, d), ["registration_state"], "num_of_tickets")
-    w = Window.orderBy(F.desc("num_of_tickets"), "registration_state")
-    return g.withColumn("position", F.row_number().over(w))
+    r = global_rank(g, [F.desc("num_of_tickets"), "registration_state"], name="position")
+    return r.withColumn("position", F.col("position").cast("int"))
 
 
 @query("count_distinct", ["tickets"], CLEAN_SQL + """
@@ -302,7 +303,8 @@ def top3_revenue_estimate(spark: SparkSession, d: str) -> DataFrame:
     """Top-3 codes, fine by rank from a literal table, revenue."""
     from pyspark.sql import Window
     c = group_count(_clean(spark, d), ["violation_code"], "num_of_tickets")
-    r = c.withColumn("rnk", F.row_number().over(Window.orderBy(F.desc("num_of_tickets"), "violation_code")))
+    top = c.orderBy(F.desc("num_of_tickets"), "violation_code").limit(len(FINE_BY_RANK))
+    r = top.withColumn("rnk", F.row_number().over(Window.orderBy(F.desc("num_of_tickets"), "violation_code")))
     fines = spark.createDataFrame(FINE_BY_RANK, "rnk int, fine int")
     return (r.join(F.broadcast(fines), "rnk")
             .select("violation_code", "num_of_tickets", "rnk", "fine",

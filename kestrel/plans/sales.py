@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from kestrel.functions.columns import exact_sum, parse_date
 from kestrel.operators.evaluate import mape
+from kestrel.operators.ordered import global_rank
 from kestrel.operators.relational import transpose_small
 from kestrel.operators.series import (acf, ar_select_forecast, centered_smooth, dense_monthly, fit_sinusoid_trend,
                                       month_index, pacf_from_acf, stationarity_tests)
 from kestrel.plans import standins as S
 from kestrel.plans.registry import query
+from kestrel.plans.sqlfit import residual_ctes, significant, significant_sql
 
 KEYS = ["market", "segment"]
 MEASURES = ["sales", "quantity", "profit"]
@@ -96,25 +98,29 @@ def cov_by_segment(spark: SparkSession, d: str) -> DataFrame:
 SELECT *, CAST(row_number() OVER (ORDER BY cov_profit, market, segment) AS INTEGER) AS stability_rank FROM st""")
 def segment_stability_rank(spark: SparkSession, d: str) -> DataFrame:
     """Per-series stability table (CoV, totals) ranked most stable
-    first; the ranking runs over one row per series."""
-    st = _stats(spark, d)
-    return st.withColumn("stability_rank", F.row_number().over(Window.orderBy("cov_profit", *KEYS)))
+    first, by a distributed rank (one row per series)."""
+    r = global_rank(_stats(spark, d), ["cov_profit", *KEYS], name="stability_rank")
+    return r.withColumn("stability_rank", F.col("stability_rank").cast("int"))
+
+
+# The five markets (levels of the transposed table).
+MARKETS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 
 
 @query("transpose_small", ["sales"], """
-WITH t AS (SELECT market, CAST(sum(CAST(sales AS DECIMAL(38,10))) AS DOUBLE) AS total_sales,
-                  CAST(sum(CAST(profit AS DECIMAL(38,10))) AS DOUBLE) AS total_profit,
-                  CAST(count(*) AS DOUBLE) AS n_lines FROM sales GROUP BY 1),
+t AS (SELECT market, CAST(sum(CAST(sales AS DECIMAL(38,10))) AS DOUBLE) AS total_sales,
+             CAST(sum(CAST(profit AS DECIMAL(38,10))) AS DOUBLE) AS total_profit,
+             CAST(count(*) AS DOUBLE) AS n_lines FROM sales GROUP BY 1),
 u AS (UNPIVOT t ON total_sales, total_profit, n_lines INTO NAME variable VALUE value)
-PIVOT u ON market USING first(value) GROUP BY variable""")
+SELECT variable, """ + ", ".join(f"max(value) FILTER (WHERE market = '{m}') AS \"{m}\"" for m in MARKETS) + """
+FROM u GROUP BY variable""")
 def transpose_small_q(spark: SparkSession, d: str) -> DataFrame:
     """H5: a per-market summary turned sideways (metrics as rows, one
-    column per market present in the data)."""
+    column per market of the list)."""
     t = S.sales(spark, d).groupBy("market").agg(
         exact_sum("sales").alias("total_sales"), exact_sum("profit").alias("total_profit"),
         F.count(F.lit(1)).cast("double").alias("n_lines"))
-    long = t.unpivot(["market"], ["total_sales", "total_profit", "n_lines"], "variable", "value")
-    return long.groupBy("variable").pivot("market").agg(F.first("value"))
+    return transpose_small(t, "market", ["total_sales", "total_profit", "n_lines"], MARKETS)
 
 
 def _with_last(m: DataFrame) -> DataFrame:
@@ -124,27 +130,31 @@ def _with_last(m: DataFrame) -> DataFrame:
     return m.withColumn("n", F.max("t").over(Window.partitionBy(*KEYS)))
 
 
-def train_smoothed(spark, d):
-    m = _with_last(monthly(spark, d))
+def train_smoothed(m: DataFrame) -> DataFrame:
+    """Smoothed training months of the monthly table (with its last month n)."""
     train = m.filter(F.col("t") <= F.col("n") - HORIZON).drop("n")
     return centered_smooth(train, KEYS, "t", "sales", W)
 
 
-@query("centered_smooth", ["sales"], S_SQL + f""",
+SMOOTH_SQL = S_SQL + f""",
 tr AS (SELECT * FROM dense WHERE t <= (SELECT max(t) FROM dense) - {HORIZON}),
 sm AS (SELECT *, CASE WHEN count(*) OVER w = {2 * W + 1} THEN avg(sales) OVER w END AS s,
               max(t) OVER (PARTITION BY market, segment) AS n
        FROM tr WINDOW w AS (PARTITION BY market, segment ORDER BY t ROWS BETWEEN {W} PRECEDING AND {W} FOLLOWING)),
 e AS (SELECT market, segment, max(CASE WHEN t = {W + 1} THEN s END) AS l1, max(CASE WHEN t = {W + 2} THEN s END) AS l2,
              max(CASE WHEN t = n - {W} THEN s END) AS r1, max(CASE WHEN t = n - {W} - 1 THEN s END) AS r0
-      FROM sm GROUP BY ALL)
-SELECT market, segment, t, round(CASE WHEN t <= {W} THEN l1 - ({W} + 1 - t) * (l2 - l1)
-                                      WHEN t > n - {W} THEN r1 + (t - n + {W}) * (r1 - r0) ELSE s END, 6) AS smoothed
-FROM sm JOIN e USING (market, segment)""")
+      FROM sm GROUP BY ALL),
+smooth AS (
+  SELECT market, segment, t, CASE WHEN t <= {W} THEN l1 - ({W} + 1 - t) * (l2 - l1)
+                                  WHEN t > n - {W} THEN r1 + (t - n + {W}) * (r1 - r0) ELSE s END AS y
+  FROM sm JOIN e USING (market, segment))"""
+
+
+@query("centered_smooth", ["sales"], SMOOTH_SQL + "\nSELECT market, segment, t, round(y, 6) AS smoothed FROM smooth")
 def centered_smooth_q(spark: SparkSession, d: str) -> DataFrame:
     """3-month centred moving average of the training months, ends
     extrapolated linearly."""
-    s = train_smoothed(spark, d)
+    s = train_smoothed(_with_last(monthly(spark, d)))
     return s.select(*KEYS, "t", F.round("smoothed", 6).alias("smoothed"))
 
 
@@ -159,49 +169,83 @@ def ts_holdout_split(spark: SparkSession, d: str) -> DataFrame:
                                          F.max("t").alias("last_t"))
 
 
-@query("acf_by_lag", ["sales"], S_SQL + f""",
+ACF_SQL = S_SQL + f""",
 c AS (SELECT market, segment, t, sales - avg(sales) OVER (PARTITION BY market, segment) AS dv FROM dense),
 den AS (SELECT market, segment, sum(dv * dv) AS den FROM c GROUP BY ALL),
-l AS (SELECT CAST(unnest(range(1, {MAX_LAG + 1})) AS INTEGER) AS lag)
-SELECT a.market, a.segment, l.lag, round(sum(a.dv * b.dv) / den, 6) AS acf
-FROM c a, l, c b, den WHERE b.market = a.market AND b.segment = a.segment AND b.t = a.t + l.lag
-  AND den.market = a.market AND den.segment = a.segment
-GROUP BY a.market, a.segment, l.lag, den""")
+l AS (SELECT CAST(unnest(range(1, {MAX_LAG + 1})) AS INTEGER) AS lag),
+acf AS (SELECT a.market, a.segment, l.lag, sum(a.dv * b.dv) / den AS acf
+        FROM c a, l, c b, den WHERE b.market = a.market AND b.segment = a.segment AND b.t = a.t + l.lag
+          AND den.market = a.market AND den.segment = a.segment
+        GROUP BY a.market, a.segment, l.lag, den)"""
+
+
+@query("acf_by_lag", ["sales"], ACF_SQL + "\nSELECT market, segment, lag, round(acf, 6) AS acf FROM acf")
 def acf_by_lag(spark: SparkSession, d: str) -> DataFrame:
     """Autocorrelation of monthly sales per series, lags 1..12."""
     a = acf(monthly(spark, d), KEYS, "t", "sales", MAX_LAG)
     return a.select(*KEYS, F.col("lag").cast("int").alias("lag"), F.round("acf", 6).alias("acf"))
 
 
-@query("pacf_by_lag")
+def _durbin_levinson_sql() -> str:
+    """CTEs dl1 .. dlK over w(r1 .. rK): one step of the recursion each (phi_kj as p<k>_<j>)."""
+    out = ["dl1 AS MATERIALIZED (SELECT *, r1 AS p1_1 FROM w)"]
+    for k in range(2, MAX_LAG + 1):
+        num = f"r{k}" + "".join(f" - p{k - 1}_{j} * r{k - j}" for j in range(1, k))
+        den = "1" + "".join(f" - p{k - 1}_{j} * r{j}" for j in range(1, k))
+        out.append(f"q{k} AS MATERIALIZED (SELECT *, ({num}) / ({den}) AS p{k}_{k} FROM dl{k - 1})")
+        rest = ", ".join(f"p{k - 1}_{j} - p{k}_{k} * p{k - 1}_{k - j} AS p{k}_{j}" for j in range(1, k))
+        out.append(f"dl{k} AS MATERIALIZED (SELECT *, {rest} FROM q{k})")
+    return ",\n".join(out)
+
+
+@query("pacf_by_lag", ["sales"], ACF_SQL + """,
+w AS (SELECT market, segment, """ + ", ".join(f"max(acf) FILTER (WHERE lag = {k}) AS r{k}" for k in range(1, MAX_LAG + 1))
+       + " FROM acf GROUP BY ALL),\n" + _durbin_levinson_sql() + "\n"
+       + "\nUNION ALL\n".join(f"SELECT market, segment, {k} AS lag, round(p{k}_{k}, 6) AS pacf FROM dl{MAX_LAG}"
+                              for k in range(1, MAX_LAG + 1)))
 def pacf_by_lag(spark: SparkSession, d: str) -> DataFrame:
     """Partial autocorrelation per series (Durbin-Levinson on the ACF)."""
-    return pacf_from_acf(acf(monthly(spark, d), KEYS, "t", "sales", MAX_LAG), KEYS)
+    p = pacf_from_acf(acf(monthly(spark, d), KEYS, "t", "sales", MAX_LAG), KEYS)
+    return p.withColumn("pacf", F.round("pacf", 6))
 
 
 def _model_input(spark, d):
     """Smoothed training months + raw test months, one series per key."""
     m = _with_last(monthly(spark, d))
-    sm = train_smoothed(spark, d).select(*KEYS, "t", F.col("smoothed").alias("y"))
+    sm = train_smoothed(m).select(*KEYS, "t", F.col("smoothed").alias("y"))
     test = m.filter(F.col("t") > F.col("n") - HORIZON).select(*KEYS, "t", F.col("sales").alias("y"))
     return sm.unionByName(test), m
 
 
-@query("ts_sinusoid_trend")
+_TREND_X = ["sin(0.5 * t)", "cos(0.5 * t)", "t", "t * sin(0.5 * t)", "t * cos(0.5 * t)"]
+TREND_SQL = SMOOTH_SQL + f""",
+input AS (SELECT market, segment, t, y, TRUE AS is_train FROM smooth
+          UNION ALL SELECT market, segment, t, sales, FALSE FROM dense WHERE t > (SELECT max(t) FROM dense) - {HORIZON}),
+""" + residual_ctes("o", "input", KEYS, "y", _TREND_X, "is_train")
+
+
+@query("ts_sinusoid_trend", ["sales"], TREND_SQL + f"""
+SELECT market, segment, CAST(t AS INTEGER) AS t, {significant_sql('y - __y', 5)} AS fitted FROM o_res""")
 def ts_sinusoid_trend(spark: SparkSession, d: str) -> DataFrame:
     """Per series, y ~ 1 + sin(.5t) + cos(.5t) + t + t sin(.5t) + t cos(.5t)
     on the smoothed training months; fitted value for every month."""
     series, _ = _model_input(spark, d)
-    return fit_sinusoid_trend(series, KEYS, "t", "y", horizon=HORIZON)
+    return fit_sinusoid_trend(series, KEYS, "t", "y", horizon=HORIZON).withColumn("fitted", significant(F.col("fitted"), 5))
+
+
+def _residuals(spark: SparkSession, d: str) -> DataFrame:
+    series, m = _model_input(spark, d)
+    fit = fit_sinusoid_trend(series, KEYS, "t", "y", horizon=HORIZON)
+    sm = train_smoothed(m)
+    return sm.join(fit, [*KEYS, "t"]).select(*KEYS, F.col("t").cast("int").alias("t"),
+                                             (F.col("smoothed") - F.col("fitted")).alias("residual"))
 
 
-@query("ts_residuals")
+@query("ts_residuals", ["sales"], TREND_SQL + """
+SELECT market, segment, CAST(t AS INTEGER) AS t, round(__y, 3) AS residual FROM o_res WHERE is_train""")
 def ts_residuals(spark: SparkSession, d: str) -> DataFrame:
     """Local series = smoothed - global (trend) prediction, training months."""
-    series, _ = _model_input(spark, d)
-    fit = fit_sinusoid_trend(series, KEYS, "t", "y", horizon=HORIZON)
-    sm = train_smoothed(spark, d)
-    return sm.join(fit, [*KEYS, "t"]).select(*KEYS, "t", (F.col("smoothed") - F.col("fitted")).alias("residual"))
+    return _residuals(spark, d).withColumn("residual", F.round("residual", 3))
 
 
 @query("ts_ar_select")
@@ -233,7 +277,7 @@ def ts_forecast(spark: SparkSession, d: str) -> DataFrame:
 @query("ts_stationarity")
 def ts_stationarity(spark: SparkSession, d: str) -> DataFrame:
     """ADF and KPSS of each series' residual (smoothed - trend)."""
-    r = ts_residuals(spark, d)
+    r = _residuals(spark, d)
     return stationarity_tests(r, KEYS, "t", "residual")
 
 

@@ -238,7 +238,9 @@ def cars(spark: SparkSession, d: str) -> DataFrame:
     makes = F.array(*[F.lit(m) for m in CAR_MAKES])
     j = li.join(p, li.l_partkey == p.p_partkey)
     return j.select(
-        F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate").alias("car_id"),
+        F.conv(F.substring(F.md5(F.concat_ws("|", *[_s(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")],
+                                             F.date_format("l_shipdate", "yyyy-MM-dd"))), 1, 15), 16, 10)
+        .cast("long").alias("car_id"),
         F.concat_ws(" ", F.element_at(makes, (F.col("p_partkey") % len(CAR_MAKES) + 1).cast("int")),
                     F.col("p_name")).alias("carname"),
         F.col("p_type").alias("carbody"),
@@ -257,7 +259,8 @@ def _car_makes_sql() -> str:
 
 
 CARS_SQL = f"""cars AS (
-  SELECT hash(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate) AS car_id,
+  SELECT CAST('0x' || substr(md5(concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR),
+           CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), strftime(l_shipdate, '%Y-%m-%d'))), 1, 15) AS BIGINT) AS car_id,
     concat_ws(' ', ({_car_makes_sql()})[CAST(p_partkey % {len(CAR_MAKES)} AS INTEGER) + 1], p_name) AS carname,
     p_type AS carbody, CASE WHEN l_returnflag = 'R' THEN 'two' ELSE 'four' END AS doornumber,
     l_quantity AS quantity, p_retailprice AS retailprice, CAST(p_size AS DOUBLE) AS size,

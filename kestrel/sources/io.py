@@ -3,8 +3,6 @@ wide monthly extracts, SQL views, calendars and shape reports."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,19 +70,6 @@ def wide_months_to_long(df: DataFrame, id_cols: list[str], month_cols: list[str]
     return long.withColumn("month", mapping[F.col("month_col")]).drop("month_col")
 
 
-def register_view(df: DataFrame, name: str) -> DataFrame:
-    """Name a plan for SQL text (no data movement)."""
-    df.createOrReplaceTempView(name)
-    return df
-
-
-def calendar(spark: SparkSession, start: str, end: str, col: str = "day") -> DataFrame:
-    """A10: one row per day in [start, end]; generated on executors."""
-    return spark.range(1).select(
-        F.explode(F.sequence(F.to_date(F.lit(start)), F.to_date(F.lit(end)),
-                             F.expr("INTERVAL 1 DAY"))).alias(col))
-
-
 def shape_report(df: DataFrame) -> DataFrame:
     """(column, position, data_type, is_numeric, n_rows, n_cols).
     One count job; the schema part is metadata only."""
@@ -98,10 +83,6 @@ def shape_report(df: DataFrame) -> DataFrame:
     return meta.withColumn("n_rows", n_rows).withColumn("n_cols", F.lit(len(df.columns)))
 
 
-def union_all_by_name(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint location (never a
     machine-local temp dir, so every executor sees the same files)."""
