@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from kestrel.llm import quality
+from kestrel.llm import quality, queries
 from kestrel.llm.common import fold
 from tests.llm import test_decontaminate, test_linededup, test_simhash
 from tests.llm.helpers import SCHEMA, words
@@ -39,7 +39,7 @@ def tables(spark, tmp_path_factory):
 
 def test_run_equals_the_stages_by_brute_force(spark, tables):
     path, rows, items = tables
-    got = corpus_pipeline.run(spark, path)
+    got = queries.QUERIES["pipeline"](spark, path)
     assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "score", "round"]
     docs = spark.read.parquet(f"{path}/documents.parquet")
     model = quality.fit(docs, spark.read.parquet(f"{path}/labels.parquet"), fold("doc_id", 5) > 0)
