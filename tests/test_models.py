@@ -333,3 +333,10 @@ def test_compared_methods_have_the_mape_of_their_forecasts(spark):
 def test_grid_has_a_row_per_point(spark):
     g = Q["grid_search_cv"](spark, SF_SMALL).collect()
     assert len(g) == 3 and all(0 <= r["cv_accuracy"] <= 1 for r in g)
+
+
+def test_backward_elimination_of_the_cars_leaves_significant_terms(spark):
+    out = Q["backward_eliminate"](spark, SF_SMALL).collect()
+    final = [r for r in out if r["step"] == -1 and r["term"] != "(Intercept)"]
+    assert all(r["p_value"] <= 0.05 for r in final)
+    assert [r["step"] for r in out if r["step"] > 0] == list(range(1, len([r for r in out if r["step"] > 0]) + 1))
