@@ -130,11 +130,11 @@ split AS (SELECT *, {_md5_number(9999, 'car_id')} % 10000 < {int(TRAIN_RATIO * 1
 
 
 @query("score_linear", ["cars"], _SPLIT_SQL + f"""
-SELECT car_id, price, {significant_sql('price - __y')} AS predicted_price FROM o_res WHERE NOT is_train""")
+SELECT car_id, price, {significant_sql('price - __y', 5)} AS predicted_price FROM o_res WHERE NOT is_train""")
 def score_linear(spark: SparkSession, d: str) -> DataFrame:
     """K6: fit on the 70% split, predict the hold-out rows."""
     s = _scored(spark, d)
-    return s.withColumn("predicted_price", significant(F.col("predicted_price")))
+    return s.withColumn("predicted_price", significant(F.col("predicted_price"), 5))
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:

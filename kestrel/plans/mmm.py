@@ -429,12 +429,12 @@ _WK_OUT = ["gmv", "units", "deliverybdays", "deliverycdays", "sla", "product_mrp
            "holiday_count", "list_price", "promotional_offer", "per_order", "TV", "SEM"]
 
 
-@query("weekly_kpi", ["mmm_sales"], WEEKLY_SQL + "\nSELECT sub_category, week, n_orders, " + ", ".join(_WK_OUT)
-       + " FROM wk")
+@query("weekly_kpi", ["mmm_sales"], WEEKLY_SQL + "\nSELECT sub_category, week, n_orders, "
+       + ", ".join(f"{significant_sql(c, 12)} AS {c}" for c in _WK_OUT) + " FROM wk")
 def weekly_kpi(spark: SparkSession, d: str) -> DataFrame:
     """The weekly modelling table per product category."""
     w = weekly(spark, d)
-    return w.select(KEY, "week", "n_orders", *_WK_OUT)
+    return w.select(KEY, "week", "n_orders", *[significant(F.col(c), 12).alias(c) for c in _WK_OUT])
 
 
 @query("summarise_all_sum", ["mmm_sales"], CLEAN_SQL + """
@@ -510,27 +510,27 @@ def lag_pct_change(spark: SparkSession, d: str) -> DataFrame:
 
 @query("rolling_mean", ["mmm_sales"], WEEKLY_SQL + """
 SELECT sub_category, week, """ + ", ".join(
-    f"CASE WHEN count(*) OVER (PARTITION BY sub_category ORDER BY week ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW) = {k} "
-    f"THEN CAST(sum(CAST(list_price AS DECIMAL(38,10))) OVER (PARTITION BY sub_category ORDER BY week "
-    f"ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW) AS DOUBLE) / {k} END AS LP_MA{k - 1}"
+    f"CASE WHEN count(*) OVER (PARTITION BY sub_category ORDER BY week ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW) = {k} THEN "
+    + significant_sql(f"CAST(sum(CAST(list_price AS DECIMAL(38,10))) OVER (PARTITION BY sub_category ORDER BY week "
+                      f"ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW) AS DOUBLE) / {k}", 9) + f" END AS LP_MA{k - 1}"
     for k in (2, 3, 4)) + " FROM wk")
 def rolling_mean(spark: SparkSession, d: str) -> DataFrame:
     """right-aligned rolling means k = 2, 3, 4 (NULL until full)."""
     w = weekly(spark, d).select(KEY, "week", "list_price")
-    return w.select(KEY, "week", *[trailing_mean([KEY], "week", "list_price", k).alias(f"LP_MA{k - 1}")
+    return w.select(KEY, "week", *[significant(trailing_mean([KEY], "week", "list_price", k), 9).alias(f"LP_MA{k - 1}")
                                    for k in (2, 3, 4)])
 
 
-@query("rolling_mean_increment", ["mmm_sales"], WEEKLY_SQL + """,
+@query("rolling_mean_increment", ["mmm_sales"], WEEKLY_SQL + f""",
 ma AS (SELECT sub_category, week, list_price,
          CASE WHEN count(*) OVER w = 3 THEN CAST(sum(CAST(list_price AS DECIMAL(38,10))) OVER w AS DOUBLE) / 3 END AS ma
        FROM wk WINDOW w AS (PARTITION BY sub_category ORDER BY week ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))
-SELECT sub_category, week, (list_price - ma) / ma AS inc_LP_MA2 FROM ma""")
+SELECT sub_category, week, {significant_sql('(list_price - ma) / ma', 8)} AS inc_LP_MA2 FROM ma""")
 def rolling_mean_increment(spark: SparkSession, d: str) -> DataFrame:
     """F8: (x - MA) / MA against the 3-week moving average."""
     w = weekly(spark, d).select(KEY, "week", "list_price")
     w = w.withColumn("ma", trailing_mean([KEY], "week", "list_price", 3))
-    return w.select(KEY, "week", ((F.col("list_price") - F.col("ma")) / F.col("ma")).alias("inc_LP_MA2"))
+    return w.select(KEY, "week", significant((F.col("list_price") - F.col("ma")) / F.col("ma"), 8).alias("inc_LP_MA2"))
 
 
 def _ma_impute_sql(k: int) -> str:
@@ -578,13 +578,13 @@ def adstock_q(spark: SparkSession, d: str) -> DataFrame:
 
 @query("log_transform_safe", ["mmm_sales"], WEEKLY_SQL + """
 SELECT sub_category, week, round(ln(CASE WHEN gmv = 0 THEN 1e-5 ELSE gmv END), 6) AS log_gmv,
-       round(1 + promotional_offer - (SELECT min(promotional_offer) FROM wk), 6) AS promo_shifted FROM wk""")
+       """ + significant_sql("1 + promotional_offer - (SELECT min(promotional_offer) FROM wk)", 10) + """ AS promo_shifted FROM wk""")
 def log_transform_safe(spark: SparkSession, d: str) -> DataFrame:
     """Log with exact zeros replaced, and shift-to-positive 1 + x - min(x)."""
     w = weekly(spark, d)
     mn = w.agg(F.min("promotional_offer")).scalar()
     return w.select(KEY, "week", F.round(safe_log(F.col("gmv")), 6).alias("log_gmv"),
-                    F.round(1 + F.col("promotional_offer") - mn, 6).alias("promo_shifted"))
+                    significant(1 + F.col("promotional_offer") - mn, 10).alias("promo_shifted"))
 
 
 # ----------------------------------------------------------- models (rows)
