@@ -35,12 +35,15 @@ class WarcParams:
     """min_revisit: least payload bytes for which an equal payload is a
     revisit.  gap, read: ranges less than `gap` bytes apart are read together,
     up to `read` bytes at once.  split: bytes of a file one task reads.
+    broadcast_revisits: most revisits (some 100 bytes each) that are broadcast
+    to the pages; beyond, a join on the id moves the payloads.
     date: the records' date, fixed so that rewriting gives the same bytes."""
     min_revisit: int = 100
     gap: int = 1 << 16
     read: int = 8 << 20
     split: int = 64 << 20
     level: int = 2
+    broadcast_revisits: int = 200_000
     date: str = "2000-01-01T00:00:00Z"
 
 
@@ -119,11 +122,12 @@ def write(pages: DataFrame, folder: str | None = None, html: str = "html", url:
     first = narrow.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")) \
         .filter("n > 1 and refers_to is not null").drop("n")
     # only revisits; a payload that many pages share is a skewed key of the larger side, which AQE splits
-    revisits = narrow.join(first, "digest").filter(~F.col("page_id").eqNullSafe(F.col("refers_to"))) \
-        .select(F.col("page_id").alias("rid"), F.col("digest").alias("rdigest"), "refers_to").distinct()
+    revisits = cut(narrow.join(first, "digest").filter(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+                   .select(F.col("page_id").alias("rid"), F.col("digest").alias("rdigest"), "refers_to").distinct())
+    few = revisits.count() <= params.broadcast_revisits
     kind = pages.select(col(key)).schema[0].dataType.simpleString()
     joined = rows.withColumn("digest", digest) \
-        .join(revisits, F.col("page_id").eqNullSafe(F.col("rid")) & (F.col("digest") == F.col("rdigest")), "left") \
+        .join(F.broadcast(revisits) if few else revisits, F.col("page_id").eqNullSafe(F.col("rid")) & (F.col("digest") == F.col("rdigest")), "left") \
         .select("page_id", "url", "payload", "digest", F.col("rdigest").isNotNull().alias("revisit"), "refers_to")
     index = cut(joined.mapInArrow(_writer(folder, params), INDEX.format(id=f"page_id {kind}")))
     return index, folder
