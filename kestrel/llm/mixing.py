@@ -78,8 +78,8 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
 
     taken counts the words the mix serves of the row, repeats included: 0 to
     `repeats` times its size.  The mix is the longest run of the merged queue
-    within the total budget, so a source's words miss its target by less than
-    the documents at the cut.  The shuffle is md5 of the key with the salt:
+    within the total budget; a source misses its target by no more than the
+    documents at the cut, and what a long one leaves open goes to the others.  The shuffle is md5 of the key with the salt:
     reruns agree.  Null and empty texts have size 0 and take 0.  A null source
     is a source of its own, after all others.  Repeated rows are documents of
     their own.  Other columns are not read.  An empty table gives an empty

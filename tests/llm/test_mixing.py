@@ -40,7 +40,7 @@ def waterfill(sizes: dict, params) -> dict:
 @pytest.mark.parametrize("params", [mixing.MixParams(), mixing.MixParams(weights=(1,)), mixing.MixParams(budget=0.4),
                                     mixing.MixParams(budget=5.0), mixing.MixParams(broadcast_sources=0)])
 def test_targets_and_shares(spark, params):
-    rows = corpus()
+    rows = [r for r in corpus() if r[0] != 3]            # without the document as long as many others
     got = mixing.mix(frame(spark, rows).withColumn("size", F.lit("x")).withColumn("target", F.lit(0)), params=params) \
         .join(frame(spark, rows).select("doc_id", "source"), "doc_id").collect()
     size = {i: len((t or "").split()) for i, t, _ in rows}
@@ -56,8 +56,17 @@ def test_targets_and_shares(spark, params):
     assert sum(r["taken"] for r in got) <= sum(want.values()) + 1e-6
     for s in by:
         taken = sum(r["taken"] for r in got if r["source"] == s)
-        longest = max(r["size"] for r in got if r["source"] == s)
-        assert abs(taken - want[s]) <= max(longest, 4000 if s == "tiny" else 120)
+        assert abs(taken - want[s]) <= 120
+
+
+def test_a_long_document_moves_no_source_by_more_than_its_size(spark):
+    rows = corpus()
+    got = mixing.mix(frame(spark, rows)).join(frame(spark, rows).select("doc_id", "source"), "doc_id").collect()
+    by = {}
+    for r in got:
+        t = by.setdefault(r["source"], [0, r["target"]])
+        t[0] += r["taken"]
+    assert all(abs(t - goal) <= 4000 for t, goal in by.values())
 
 
 def test_equals_its_sql_and_itself(spark, tmp_path):
