@@ -291,6 +291,14 @@ def _prefix(first: str, last: str) -> Column:
         .otherwise(BITS - F.length(F.bin(F.col(first).bitwiseXOR(F.col(last)))))
 
 
+def _rooted(fps: DataFrame, params: SimHashParams) -> DataFrame:
+    """Columns fp, first (its smallest id), root (one fingerprint per component) for every distinct fingerprint."""
+    nodes = cut(fps.groupBy("fp").agg(F.min("id").alias("first")))
+    roots = components(fingerprint_links(nodes.select("fp"), params))
+    return nodes.join(roots, F.col("fp") == F.col("node"), "left") \
+        .select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id",
                     params: SimHashParams = SimHashParams()) -> DataFrame:
     """Columns key, fingerprint (16 hex digits), component_id for every row.
@@ -305,11 +313,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id",
     not read.
     """
     fps = cut(fingerprints(docs, text, key, params))
-    nodes = cut(fps.groupBy("fp").agg(F.min("id").alias("first")))
-    links = fingerprint_links(nodes.select("fp"), params)
-    roots = components(links)
-    named = nodes.join(roots, F.col("fp") == F.col("node"), "left") \
-        .select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    named = _rooted(fps, params)
     linked = named.groupBy("root").agg(F.min("first").alias("component_id"))
     of_fp = named.join(linked, "root").select("fp", "component_id")
     # a fingerprint that many documents share is a skewed key of the larger side, which AQE splits
@@ -319,14 +323,31 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id",
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id",
                          params: SimHashParams = SimHashParams()) -> DataFrame:
-    """The rows of `docs` whose id is the smallest of their component; all columns.
+    """One row of every component of `docs`: the one with the smallest id; all columns.
 
-    Rows repeated under one id are one document and leave one row.  Rows with
-    a null id have no smallest id and stay only in components without others.
+    Rows are told apart by id and fingerprint, so a repeated id stays in every
+    component whose smallest it is, and of its fingerprints there the smallest
+    stays.  Null ids are not smallest: a component with an id drops them, one
+    without keeps one row.  Rows equal in id and fingerprint leave one row.
     """
-    got = cut(near_duplicates(docs, text, key, params).select(F.col(key).alias("id"), "component_id"))
-    gone = got.filter(~F.col("id").eqNullSafe(F.col("component_id"))).select("id").distinct()
-    k = fresh(docs, "gone")
-    out = docs.join(gone.withColumnRenamed("id", k), col(key).eqNullSafe(F.col(k)), "left_anti")
-    again = got.groupBy("id").count().filter("count > 1")
-    return out if again.isEmpty() else out.dropDuplicates([key])
+    rows = cut(fingerprints(docs, text, key, params).groupBy("id", "fp").agg(F.count(F.lit(1)).alias("n")))
+    stay = cut(_rooted(rows, params).groupBy("root")
+               .agg(F.min(F.struct(F.col("first").isNull(), "first", "fp")).alias("s"))
+               .select(F.col("s.first").alias("i"), F.col("s.fp").alias("f")))
+    same = F.col("id").eqNullSafe(F.col("i")) & (F.col("fp") == F.col("f"))
+    gone = rows.join(stay, same, "left_anti")
+    again = not rows.filter("n > 1").join(stay, same, "left_semi").isEmpty()
+    # an id that comes with one fingerprint names its rows; only the others' fingerprints are taken again
+    vague = not rows.filter("id is not null").groupBy("id").count().filter("count > 1").isEmpty()
+    nulls = not rows.filter("id is null").isEmpty()
+    k, b, f = fresh(docs, "gone"), fresh(docs, "gone_bits"), fresh(docs, "bits")
+
+    def bits(id_: Column, fp: Column) -> Column:
+        return fp if vague else F.when(id_.isNull(), fp).otherwise(F.lit(0).cast("long"))
+    gone = gone.select(F.col("id").alias(k), bits(F.col("id"), F.col("fp")).alias(b))
+    at = F.lit(0).cast("long")
+    if vague or nulls:
+        body = col(text) if vague else F.when(col(key).isNull(), col(text))
+        at = bits(col(key), _udf_fingerprint(params)(body.cast("binary")))
+    out = docs.withColumn(f, at).join(gone, col(key).eqNullSafe(F.col(k)) & (F.col(f) == F.col(b)), "left_anti")
+    return (out.dropDuplicates([key, f]) if again else out).drop(f)

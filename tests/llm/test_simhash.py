@@ -95,6 +95,22 @@ def test_nulls_repeats_and_empty(spark):
     assert simhash.drop_near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_rows_without_an_id_or_with_a_repeated_one_are_judged_by_their_texts(spark):
+    rng = random.Random(11)
+    a, b, c, e, g, o = (words(rng, 50) for _ in range(6))
+    for rows, want in [
+        ([(None, a), (None, b), (None, c), (3, c), (4, e)], [(None, a), (None, b), (3, c), (4, e)]),
+        ([(None, a), (None, a), (None, b)], [(None, a), (None, b)]),
+        ([(5, a), (5, b), (5, b), (5, c), (3, c), (None, g), (None, b)], [(5, a), (5, b), (3, c), (None, g)]),
+        ([(1, a), (2, a), (None, o)], [(1, a), (None, o)]),
+        ([(1, a), (1, a), (2, b), (3, b)], [(1, a), (2, b)]),
+    ]:
+        d = docs_of(spark, rows).withColumn("fp", F.lit(1)).withColumn("bits", F.lit(2)).repartition(3)
+        kept = simhash.drop_near_duplicates(d)
+        assert kept.columns == d.columns
+        assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(want, key=str)
+
+
 def test_query_on_a_table(spark):
     got = queries.QUERIES["op9_simhash"](spark, "/root/testdata/sf0.001").collect()
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
