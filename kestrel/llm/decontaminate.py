@@ -38,7 +38,7 @@ class DecontaminationParams:
     shingle: int = 5
     threshold: float = 0.8
     hashes: int = 32
-    smallest: int = 8
+    smallest: int = 1
     block_items: int = 20_000
     block_chars: int = 4_000_000
     seed: int = 11
@@ -161,13 +161,13 @@ class ItemIndex:
             sh = shingle_hashes(word_hashes(b" ".join(words)), n)
             size = max(params.smallest, 1 << (len(sh) - 1).bit_length())
             by_fn = entries.setdefault((n, size), {})
-            for j in range(params.hashes):
+            for j in range(params.hashes if size > 1 else 1):    # a block of one shingle is an exact look-up
                 by_fn.setdefault(j, []).append((int(_hashed(sh, mult[j], add[j]).min()), k))
         # by shingle length and class size, per function: sorted minima, the items having them, a sieve of their low bits
         self.classes: dict[int, dict[int, list[tuple]]] = {}
         for (n, size), by_fn in sorted(entries.items()):
             rows = []
-            for j in range(params.hashes):
+            for j in sorted(by_fn):
                 pairs = sorted(by_fn[j])
                 mins = np.array([p[0] for p in pairs], np.uint64)
                 sieve = np.zeros(1 << 16, bool)
@@ -197,6 +197,8 @@ class ItemIndex:
                 for j in range(self.params.hashes):
                     x = _hashed(sh, mult[j], add[j])
                     for size, rows in sizes.items():
+                        if j >= len(rows):
+                            continue
                         mins, items, sieve = rows[j]
                         low = np.minimum.reduceat(x, cuts[size])
                         maybe = np.flatnonzero(sieve[(low & np.uint64(0xFFFF)).astype(np.int64)])

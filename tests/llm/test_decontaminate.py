@@ -71,6 +71,24 @@ def test_against_brute_force(spark, params):
     assert sorted((r["doc_id"] for r in clean.collect())) == sorted(i for i, _ in docs if i not in bad)
 
 
+def test_short_items_are_found_wherever_they_stand_with_the_default_parameters(spark):
+    docs, items = corpus()
+    got = sorted(map(tuple, dc.contaminated(docs_of(spark, docs), spark.createDataFrame(items, ITEMS)).collect()), key=str)
+    assert got == brute(docs, items)
+    rng = random.Random(12)
+    short = [words(rng, n, "klmnopqrst") for n in (1, 2, 3, 4, 5, 6, 7, 8, 9)]
+    index = dc.ItemIndex(list(range(len(short))), short, dc.DecontaminationParams())
+    texts, want = [], []
+    for _ in range(300):
+        for k, q in enumerate(short):
+            body = words(rng, 60).split()
+            at = rng.randint(0, 60)
+            texts.append(" ".join([*body[:at], q, *body[at:]]))
+            want.append(k)
+    held = index.held_by(texts)
+    assert all((k, 1.0) in h for k, h in zip(want, held))
+
+
 def test_empty_tables_and_string_ids(spark):
     d, e = docs_of(spark, ["a b c d e f g"]), spark.createDataFrame([], ITEMS)
     assert dc.contaminated(d, e).count() == 0 and dc.decontaminate(d, e).count() == 1
