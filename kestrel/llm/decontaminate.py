@@ -244,16 +244,18 @@ def _udf_held(shared, item_type: str):
     return held
 
 
-def _indexes(benchmark: DataFrame, text: str, key: str, params: DecontaminationParams) -> Iterator[tuple[ItemIndex, str]]:
-    """Item blocks of bounded size, one after the other."""
-    items = benchmark.select(col(key).alias("i"), col(text).alias("t")).filter("i is not null")
+def _indexes(benchmark: DataFrame, text: str, key: str, params: DecontaminationParams,
+             unnamed: bool = False) -> Iterator[tuple[ItemIndex, str]]:
+    """Item blocks of bounded size, one after the other; `unnamed`: with the items whose id is null."""
+    items = benchmark.select(col(key).alias("i"), col(text).alias("t"))
+    items = items if unnamed else items.filter("i is not null")
     kind = items.schema["i"].dataType.simpleString()
     if kind not in ("bigint", "int"):
         items, kind = items.withColumn("i", F.col("i").cast("string")), "string"
     size = items.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("c")).first()
     n_blocks = max(-(-size["n"] // params.block_items), -(-size["c"] // params.block_chars))
     for b in range(max(n_blocks, 1)):
-        part = items if n_blocks <= 1 else items.filter(F.pmod(F.xxhash64("i"), F.lit(n_blocks)) == b)
+        part = items if n_blocks <= 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == b)
         rows = part.orderBy("i").collect()               # a block of the stated test set
         yield ItemIndex([r["i"] for r in rows], [r["t"] for r in rows], params), kind
 
@@ -285,9 +287,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text",
                   item_key: str = "item_id", params: DecontaminationParams = DecontaminationParams()) -> DataFrame:
-    """The rows of `docs` that hold no test item; all columns.  No shuffle: each text is judged where it is read."""
+    """The rows of `docs` that hold no test item, with or without an id; all columns.  No shuffle: each text is
+    judged where it is read."""
     h, out = fresh(docs, "held"), docs
-    for index, kind in _indexes(benchmark, item_text, item_key, params):
+    for index, kind in _indexes(benchmark, item_text, item_key, params, unnamed=True):
         shared = docs.sparkSession.sparkContext.broadcast(index)
         out = out.withColumn(h, _udf_held(shared, kind).asNondeterministic()(col(text))) \
             .filter(F.size(h) == 0).drop(h)

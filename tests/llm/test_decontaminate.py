@@ -89,6 +89,15 @@ def test_short_items_are_found_wherever_they_stand_with_the_default_parameters(s
     assert all((k, 1.0) in h for k, h in zip(want, held))
 
 
+def test_items_without_an_id_are_cleaned_out_too(spark):
+    d = docs_of(spark, ["one two three four five six seven", "nothing of the kind in here", "a b c d e f"])
+    for kind in ("long", "string"):
+        b = spark.createDataFrame([(None, "two three four five six"), (None, "a b c d e")], f"item_id {kind}, text string")
+        for params in (dc.DecontaminationParams(), dc.DecontaminationParams(block_items=1)):
+            assert [r["doc_id"] for r in dc.decontaminate(d, b, params=params).collect()] == [1]
+        assert dc.contaminated(d, b).count() == 0        # as in the SQL, which joins on the id
+
+
 def test_empty_tables_and_string_ids(spark):
     d, e = docs_of(spark, ["a b c d e f g"]), spark.createDataFrame([], ITEMS)
     assert dc.contaminated(d, e).count() == 0 and dc.decontaminate(d, e).count() == 1
