@@ -250,7 +250,7 @@ def ts_residuals(spark: SparkSession, d: str) -> DataFrame:
 
 @query("ts_ar_select")
 def ts_ar_select(spark: SparkSession, d: str) -> DataFrame:
-    """AR order (0-3) chosen by AICc per series on the training months."""
+    """In part: AR order (0-3) chosen by AICc per series on the training months."""
     _, m = _model_input(spark, d)
     f = ar_select_forecast(m.select(*KEYS, "t", "sales"), KEYS, "t", "sales", HORIZON)
     return f.select(*KEYS, "p", "aicc").distinct()
@@ -269,7 +269,7 @@ def _forecasts(spark, d):
 
 @query("ts_forecast")
 def ts_forecast(spark: SparkSession, d: str) -> DataFrame:
-    """Six-month forecasts of both methods as long rows."""
+    """In part: six-month forecasts of both methods as long rows."""
     f, _ = _forecasts(spark, d)
     return f
 
