@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from kestrel.llm import decontaminate, embeddings, html, langid, linededup, mixing, quality, simhash, toxicity, warc
+from kestrel.llm import (
+    decontaminate, embeddings, html, infill, langid, linededup, mixing, quality, simhash, toxicity, warc,
+)
 from kestrel.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,6 +115,20 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("op13_fill_in_middle", infill.ORACLE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill-in-the-middle form of every document, and its text rebuilt from the form."""
+    docs = infill.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                                 output="output", form="form", units="n")
+    prefix, middle, _ = infill.parts("output", "form")
+
+    def digest(c):
+        return F.sha2(c.cast("binary"), 256)
+    return docs.select("doc_id", "n", "form", F.length(prefix).cast("long").alias("prefix_chars"),
+                       F.length(middle).cast("long").alias("middle_chars"), digest(F.col("output")).alias("output_sha256"),
+                       digest(infill.restored("output", "form")).alias("restored_sha256"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline over documents."""
