@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from kestrel.llm import (
-    decontaminate, embeddings, html, infill, langid, linededup, mixing, quality, simhash, toxicity, warc,
+    decontaminate, embeddings, html, infill, langid, linededup, mixing, periodic, quality, simhash,
+    toxicity, warc,
 )
 from kestrel.llm.common import fold, table
 
@@ -115,6 +116,20 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, one in ten with a repeated tail, and digests of all runs and the text without them."""
+    docs = periodic.repeat_tail(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = periodic.with_runs(docs).select("doc_id", "periodic.*").withColumn("top", periodic.longest(F.col("runs")))
+
+    def digest(c):
+        return F.sha2(c.cast("binary"), 256)
+    return out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period",
+                      F.floor(1000 * F.col("top.length") / F.col("top.period")).cast("long").alias("exponent_milli"),
+                      digest(periodic.listing(F.col("runs"))).alias("runs_sha256"),
+                      digest(F.col("collapsed")).alias("collapsed_sha256"))
+
+
 @query("op13_fill_in_middle", infill.ORACLE_SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fill-in-the-middle form of every document, and its text rebuilt from the form."""
