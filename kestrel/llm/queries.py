@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from kestrel.llm import (
-    decontaminate, embeddings, html, infill, langid, linededup, mixing, periodic, quality, simhash,
+    ann, decontaminate, embeddings, html, infill, langid, linededup, mixing, periodic, quality, simhash,
     toxicity, warc,
 )
 from kestrel.llm.common import fold, table
@@ -130,6 +130,13 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
                       digest(F.col("collapsed")).alias("collapsed_sha256"))
 
 
+@query("op12_nearest_neighbours")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for every vector whose id is divisible by 20, against all vectors."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
+
+
 @query("op13_fill_in_middle", infill.ORACLE_SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fill-in-the-middle form of every document, and its text rebuilt from the form."""
