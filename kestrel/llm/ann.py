@@ -41,7 +41,8 @@ class AdaptiveScanParams:
     the first round.  miss: share of the neighbours that unvisited lists may
     be expected to hold.  block: coordinates per block.  epsilon: of the
     hypothesis test.  segment, segment_mb: most vectors of a list that one task
-    holds, and their megabytes.  pairs: of a query and a candidate scanned at once."""
+    holds, and their megabytes.  pairs: of a query and a candidate scanned at once.
+    broadcast: most lists of several segments that are broadcast; more are joined."""
     list_rows: int = 512
     lists: int = 4096
     lengths: int = 64
@@ -55,6 +56,7 @@ class AdaptiveScanParams:
     segment: int = 8192
     segment_mb: int = 64
     pairs: int = 1 << 20
+    broadcast: int = 100_000
     seed: int = 12
 
 
@@ -388,6 +390,8 @@ def _neighbours(rows: DataFrame, asked: DataFrame, k: int, params: AdaptiveScanP
         model[d] = Lists(lists.base, lists.centroids, lists.longest2, np.array([n for n, _ in at]), np.array([r for _, r in at]))
     room = F.greatest(F.lit(1), F.least(F.lit(params.segment), F.floor(F.lit(params.segment_mb * 2 ** 20) / (24 * F.first(F.size("e"))))))
     parts = cut(index.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / room).cast("long").alias("parts")).filter(F.col("parts") > 1))
+    if parts.count() <= params.broadcast:
+        parts = F.broadcast(parts)
     once = asked.groupBy("u", "v").agg(F.first("e").alias("e"))
     kind = "g long, u long, v long, e " + asked.schema["e"].dataType.simpleString() + ", bound double"
     probes = once.withColumn("bound", F.lit(float("-inf"))).mapInArrow(_probe(model, k, params, True), kind)
