@@ -43,7 +43,7 @@ class AdaptiveScanParams:
     hypothesis test.  segment, segment_mb: most vectors of a list that one task
     holds, and their megabytes.  pairs: of a query and a candidate scanned at once.
     broadcast: most lists of several segments that are broadcast; more are joined."""
-    list_rows: int = 512
+    list_rows: int = 2048
     lists: int = 4096
     lengths: int = 64
     sample: int = 48
@@ -53,7 +53,7 @@ class AdaptiveScanParams:
     miss: float = 0.02
     block: int = 16
     epsilon: float = 2.1
-    segment: int = 8192
+    segment: int = 16_384
     segment_mb: int = 64
     pairs: int = 1 << 20
     broadcast: int = 100_000
