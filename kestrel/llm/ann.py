@@ -42,7 +42,8 @@ class AdaptiveScanParams:
     be expected to hold.  block: coordinates per block.  epsilon: of the
     hypothesis test.  segment, segment_mb: most vectors of a list that one task
     holds, and their megabytes.  pairs: of a query and a candidate scanned at once.
-    broadcast: most lists of several segments that are broadcast; more are joined."""
+    broadcast: most lists of several segments, and most vectors with surplus
+    copies, that are broadcast; more are joined."""
     list_rows: int = 2048
     lists: int = 4096
     lengths: int = 64
@@ -111,17 +112,24 @@ def _usable(vectors: DataFrame, embedding: str, key: str) -> DataFrame:
     rows = vectors.select(col(key).alias("id"), col(embedding).cast(kind).alias("e"))
     odd = F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return rows.filter(F.col("id").isNotNull() & F.col("e").isNotNull() & ~odd & F.exists("e", lambda x: x != 0)) \
-        .select("id", "e", F.xxhash64(F.lit(1), "e").alias("u"), F.xxhash64(F.lit(2), "e").alias("v"))
+        .select("id", F.xxhash64(F.lit(1), "e").alias("u"), F.xxhash64(F.lit(2), "e").alias("v"), "e")
 
 
-def _without_surplus(rows: DataFrame, keep: int) -> DataFrame:
+def _without_surplus(rows: DataFrame, keep: int, broadcast: int) -> DataFrame:
     """The rows without those that can be in no answer: of equal vectors the `keep` smallest ids are enough,
-    and a row that repeats both id and vector counts once.  Only vectors with more than `keep` rows shuffle."""
-    many = cut(rows.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n"), F.first("e").alias("e")).filter(F.col("n") > keep))
-    ids = rows.join(many.select("u", "v"), ["u", "v"], "left_semi").select("u", "v", "id").distinct() \
+    and a row that repeats both id and vector counts once.  Only what names vectors of more than `keep` rows
+    shuffles; up to `broadcast` such vectors the rows do not."""
+    many = cut(rows.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > keep).select("u", "v"))
+    n = many.count()
+    if n == 0:
+        return rows
+    named = F.broadcast(many) if n <= broadcast else many
+    hot = rows.join(named, ["u", "v"], "left_semi")
+    ids = hot.select("u", "v", "id").distinct() \
         .withColumn("r", F.row_number().over(Window.partitionBy("u", "v").orderBy("id"))).filter(F.col("r") <= keep)
-    return rows.join(many.select("u", "v"), ["u", "v"], "left_anti").select("id", "u", "v", "e") \
-        .unionByName(ids.join(many, ["u", "v"]).select("id", "u", "v", "e"))
+    value = hot.groupBy("u", "v").agg(F.first("e").alias("e"))
+    return rows.join(named, ["u", "v"], "left_anti").select("id", "u", "v", "e") \
+        .unionByName(ids.join(value, ["u", "v"]).select("id", "u", "v", "e"))
 
 
 def fit(rows: DataFrame, params: AdaptiveScanParams) -> dict[int, Lists]:
@@ -380,7 +388,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, embedding: str
 def _neighbours(rows: DataFrame, asked: DataFrame, k: int, params: AdaptiveScanParams) -> DataFrame:
     """Per distinct query vector (u, v) its k + 1 best candidates, the query's own row among them."""
     k = k + 1
-    rows = _without_surplus(rows, k)
+    rows = _without_surplus(rows, k, params.broadcast)
     model = fit(rows, params)
     index = cut(rows.mapInArrow(_assign(model), "g long, r2 double, id long, u long, v long, e " + rows.schema["e"].dataType.simpleString()))
     numbered = {r["g"]: (r["n"], r["r2"]) for r in index.filter(F.col("g") >= 0).groupBy("g")
