@@ -583,8 +583,9 @@ def log_transform_safe(spark: SparkSession, d: str) -> DataFrame:
     """Log with exact zeros replaced, and shift-to-positive 1 + x - min(x)."""
     w = weekly(spark, d)
     mn = w.agg(F.min("promotional_offer")).scalar()
+    w = w.select(KEY, "week", "gmv", (1 + F.col("promotional_offer") - mn).alias("promo_shifted"))
     return w.select(KEY, "week", F.round(safe_log(F.col("gmv")), 6).alias("log_gmv"),
-                    significant(1 + F.col("promotional_offer") - mn, 10).alias("promo_shifted"))
+                    significant(F.col("promo_shifted"), 10).alias("promo_shifted"))
 
 
 # ----------------------------------------------------------- models (rows)

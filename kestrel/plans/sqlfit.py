@@ -13,13 +13,36 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# The powers of ten that a double can be compared with, 1e-40 to 1e40.
+_POWERS = [float(f"1e{k}") for k in range(-40, 41)]
+_ONE = 41  # the 1-based place of 1e0 among them
+
+
 def significant(x: Column, digits: int = 6) -> Column:
-    """x rounded to significant digits (through its decimal text, as in SQL)."""
-    return F.when(x.isNotNull(), F.format_string(f"%.{digits - 1}e", x)).cast("double")
+    """x rounded half up (away from zero) to significant digits.
+
+    Only comparisons with literal powers of ten, one multiplication or
+    division, `floor` and its inverse: the same IEEE steps as
+    `significant_sql`, so equal doubles round alike in both, ties included.
+    Zero, null, non-finite values and those beyond the powers stay as they are.
+    """
+    p = F.array(*[F.lit(v) for v in _POWERS])
+
+    def rounded(v: Column) -> Column:
+        place = F.lit(digits + _ONE - 1) - F.size(F.filter(p, lambda t: t <= F.abs(v)))  # decimals to keep
+        up = F.element_at(p, F.lit(_ONE) + F.least(F.greatest(place, F.lit(0)), F.lit(40)))
+        down = F.element_at(p, F.lit(_ONE) + F.least(F.greatest(-place, F.lit(0)), F.lit(40)))
+        return F.signum(v) * (F.floor(F.abs(v) * up / down + F.lit(0.5)).cast("double") * down / up)
+    return F.when(F.abs(x).between(1e-20, 1e20), F.element_at(F.transform(F.array(x), rounded), 1)).otherwise(x)
 
 
 def significant_sql(x: str, digits: int = 6) -> str:
-    return f"CAST(printf('%.{digits - 1}e', {x}) AS DOUBLE)"
+    """DuckDB twin of `significant`."""
+    p = "[" + ", ".join(f"{v!r}::DOUBLE" for v in _POWERS) + "]"
+    place = f"({digits + _ONE - 1} - len(list_filter({p}, lambda t: t <= abs(v))))"
+    up, down = (f"{p}[{_ONE} + least(greatest({s}{place}, 0), 40)]" for s in ("", "-"))
+    return (f"(list_transform([CAST({x} AS DOUBLE)], lambda v: CASE WHEN abs(v) BETWEEN 1e-20 AND 1e20 THEN "
+            f"sign(v) * (floor(abs(v) * {up} / {down} + 0.5) * {down} / {up}) ELSE v END))[1]")
 
 
 def residual_ctes(name: str, source: str, keys: list[str], y: str, xs: list[str], train: str = "TRUE") -> str:
