@@ -214,8 +214,19 @@ def backward_eliminate(df: DataFrame, y: str, xs: list[str], alpha: float = 0.05
     Output: the elimination log (step, dropped, p, vif) and the final model
     rows (step = -1)."""
     n, mean, c = moments(df, [*xs, y])
-    left = list(range(len(xs)))
-    log = []
+    left, gone = eliminate_terms(n, mean, c, list(range(len(xs))), alpha, vif_cut, adj_r2_tol)
+    log = [(k, xs[j], p, v) for k, (j, p, v) in enumerate(gone, start=1)]
+    if left:
+        p, _, p0 = _term_tests(n, mean, c, left)
+        log += [(-1, t, float(q), None) for t, q in zip(["(Intercept)", *[xs[j] for j in left]], [p0, *p])]
+    return df.sparkSession.createDataFrame(log, "step int, term string, p_value double, vif double")
+
+
+def eliminate_terms(n: int, mean: np.ndarray, c: np.ndarray, left: list[int], alpha: float = 0.05, vif_cut: float = 2.0,
+                    adj_r2_tol: float | None = 0.01) -> tuple[list[int], list[tuple[int, float | None, float | None]]]:
+    """The elimination of `backward_eliminate` on means and centred cross-products (the response last):
+    the columns left of `left`, and the removals (column, p, VIF; both None in the last phase)."""
+    left, log = list(left), []
     while left:
         p, v, _ = _term_tests(n, mean, c, left)
         bad = [k for k in range(len(left)) if p[k] > alpha]
@@ -224,7 +235,7 @@ def backward_eliminate(df: DataFrame, y: str, xs: list[str], alpha: float = 0.05
         k = max(bad, key=lambda j: v[j])
         if v[k] <= vif_cut:
             k = max(bad, key=lambda j: p[j])
-        log.append((len(log) + 1, xs[left[k]], float(p[k]), float(v[k])))
+        log.append((left[k], float(p[k]), float(v[k])))
         del left[k]
 
     def adj_r2(idx):
@@ -236,12 +247,26 @@ def backward_eliminate(df: DataFrame, y: str, xs: list[str], alpha: float = 0.05
         cost, j = min((adj_r2(left) - adj_r2([i for i in left if i != j]), j) for j in left)
         if cost >= adj_r2_tol:
             break
-        log.append((len(log) + 1, xs[j], None, None))
+        log.append((j, None, None))
         left.remove(j)
-    if left:
-        p, _, p0 = _term_tests(n, mean, c, left)
-        log += [(-1, t, float(q), None) for t, q in zip(["(Intercept)", *[xs[j] for j in left]], [p0, *p])]
-    return df.sparkSession.createDataFrame(log, "step int, term string, p_value double, vif double")
+    return left, log
+
+
+def term_estimates(n: int, mean: np.ndarray, c: np.ndarray, idx: list[int]):
+    """The fit on columns `idx` from means and centred cross-products (the response last): estimates, standard
+    errors and p-values (the intercept first), VIFs, R^2 and adjusted R^2."""
+    a, b = c[np.ix_(idx, idx)], c[idx, -1]
+    inv = scaled_inverse(a) if idx else np.zeros((0, 0))
+    beta = inv @ b
+    dof = max(n - len(idx) - 1, 1)
+    rss = max(float(c[-1, -1] - beta @ b), 0.0)
+    m = mean[idx]
+    est = np.append(mean[-1] - m @ beta, beta)
+    se = np.sqrt(np.maximum(np.append(1 / n + m @ inv @ m, np.diag(inv)) * rss / dof, 0.0))
+    p = [t_two_sided_p(float(e / s), dof) if s > 0 else float("nan") for e, s in zip(est, se)]
+    vif = np.diag(np.linalg.pinv(correlation_from_moments(a))) if idx else np.zeros(0)
+    r2 = 1 - rss / c[-1, -1] if c[-1, -1] > 0 else float("nan")
+    return est, se, p, vif, r2, 1 - (1 - r2) * (n - 1) / dof
 
 
 def linear_score(coefs: dict[str, float], intercept: float) -> Column:

@@ -126,18 +126,21 @@ def collinear_columns(df: DataFrame, cols: list[str], tol: float = 1e-9) -> Data
     (aliased terms).  Gram-Schmidt on the centred cross-product matrix, in the
     given column order: a column whose residual variance vanishes is aliased."""
     _, _, c = moments(df, cols)
+    gone = aliased_columns(c, tol)
+    return df.sparkSession.createDataFrame([(x, j in gone) for j, x in enumerate(cols)], "variable string, aliased boolean")
+
+
+def aliased_columns(c: np.ndarray, tol: float = 1e-9) -> list[int]:
+    """Columns, in order, that earlier ones determine, from centred cross-products."""
     kept: list[int] = []
-    rows = []
-    for j in range(len(cols)):
+    gone = []
+    for j in range(len(c)):
+        resid = c[j, j]
         if kept:
-            a = c[np.ix_(kept, kept)]
             b = c[np.ix_(kept, [j])]
-            coef = np.linalg.pinv(a) @ b
-            resid = c[j, j] - float((b.T @ coef)[0, 0])
+            resid = c[j, j] - float((b.T @ np.linalg.pinv(c[np.ix_(kept, kept)]) @ b)[0, 0])
+        if resid <= tol * max(c[j, j], 1e-300):
+            gone.append(j)
         else:
-            resid = c[j, j]
-        aliased = resid <= tol * max(c[j, j], 1e-300)
-        rows.append((cols[j], bool(aliased)))
-        if not aliased:
             kept.append(j)
-    return df.sparkSession.createDataFrame(rows, "variable string, aliased boolean")
+    return gone

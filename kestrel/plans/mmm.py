@@ -16,9 +16,11 @@ from kestrel.operators.ordered import adstock, lag_features, pct_change_vs_lag,
 from kestrel.operators.quality import crosstab_counts, impute_moving_average
 from kestrel.operators.relational import dedup_key, group_count
 from kestrel.operators.stats import collinear_columns, zscore_columns
+from kestrel.operators.sweep import model_sweep
 from kestrel.plans import standins as S
 from kestrel.plans.registry import query
 from kestrel.plans.sqlfit import coefficient_ctes, residual_ctes, significant, significant_sql
+from kestrel.session import ensure_checkpoint_dir
 from kestrel.sources.io import read_table, wide_months_to_long
 
 KEY = "sub_category"
@@ -437,6 +439,49 @@ def weekly_kpi(spark: SparkSession, d: str) -> DataFrame:
     return w.select(KEY, "week", "n_orders", *[significant(F.col(c), 12).alias(c) for c in _WK_OUT])
 
 
+ADSTOCKS = [f"{c}_adstock" for c in CHANNELS]
+MEASURES = ["gmv", "units", "deliverybdays", "deliverycdays", "sla", "product_mrp", "procurement_sla", *MEDIA_COLS, "nps",
+            "holiday_count", "list_price", "promotional_offer", "per_order", *ADSTOCKS]
+
+
+def weekly_measures(spark: SparkSession, d: str) -> DataFrame:
+    """`weekly` with the adstock of the week's spend per channel: 31 measures per (product category, week)."""
+    long = weekly_media(spark, d).unpivot(["week"], CHANNELS, "channel", "spend")
+    stock = adstock(long, ["channel"], "week", "spend", ADSTOCK_RATE)
+    wide = stock.groupBy("week").agg(*[F.max(F.when(F.col("channel") == c, F.col("adstock"))).alias(f"{c}_adstock")
+                                       for c in CHANNELS])
+    return weekly(spark, d).join(wide, "week", "left")
+
+
+ADSTOCK_SQL = """
+al AS (UNPIVOT (SELECT week, """ + ", ".join(CHANNELS) + """ FROM wmedia) ON """ + ", ".join(CHANNELS) + """ INTO NAME channel VALUE spend),
+an AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY week) AS t FROM al),
+ad AS (SELECT x.channel, x.week, sum(y.spend * pow(""" + str(ADSTOCK_RATE) + """, x.t - y.t)) AS adstock
+       FROM an x JOIN an y ON x.channel = y.channel AND y.t <= x.t GROUP BY ALL),
+aw AS (SELECT week, """ + ", ".join(f"max(adstock) FILTER (WHERE channel = '{c}') AS {c}_adstock" for c in CHANNELS) + """
+       FROM ad GROUP BY week)"""
+
+
+@query("weekly_feature_table", ["mmm_sales"], WEEKLY_SQL + "," + ADSTOCK_SQL + "\nSELECT sub_category, week, n_orders, "
+       + ", ".join(f"{significant_sql(c, 9)} AS {c}" for c in MEASURES) + " FROM wk LEFT JOIN aw USING (week)")
+def weekly_feature_table(spark: SparkSession, d: str) -> DataFrame:
+    """All 31 weekly measures per product category: sums, means, shares, media spend and its adstock."""
+    return weekly_measures(spark, d).select(KEY, "week", "n_orders", *[significant(F.col(c), 9).alias(c) for c in MEASURES])
+
+
+@query("group_mean_compare", ["mmm_sales"], CLEAN_SQL + """,
+v AS (SELECT sub_category, vertical, avg(product_mrp) AS m, count(*) AS n FROM mc GROUP BY ALL)
+SELECT sub_category, vertical, n, """ + significant_sql("m", 9) + """ AS mean_mrp,
+       """ + significant_sql("m / max(m) OVER (PARTITION BY sub_category)", 9) + """ AS share_of_highest FROM v""")
+def group_mean_compare(spark: SparkSession, d: str) -> DataFrame:
+    """Mean MRP of the verticals of each product category, against the category's highest."""
+    v = clean(spark, d).groupBy(KEY, "vertical").agg(F.avg("product_mrp").alias("m"), F.count(F.lit(1)).alias("n"))
+    top = F.max("m").over(Window.partitionBy(KEY))
+    v = v.select(KEY, "vertical", "n", "m", (F.col("m") / top).alias("share"))
+    return v.select(KEY, "vertical", "n", significant(F.col("m"), 9).alias("mean_mrp"),
+                    significant(F.col("share"), 9).alias("share_of_highest"))
+
+
 @query("summarise_all_sum", ["mmm_sales"], CLEAN_SQL + """
 SELECT week, CAST(sum(CAST(gmv AS DECIMAL(38,10))) AS DOUBLE) AS gmv, CAST(sum(CAST(units AS DECIMAL(38,10))) AS DOUBLE) AS units, CAST(sum(deliverybdays) AS BIGINT) AS deliverybdays,
        CAST(sum(sla) AS BIGINT) AS sla, CAST(sum(CAST(product_mrp AS DECIMAL(38,10))) AS DOUBLE) AS product_mrp FROM mc GROUP BY week""")
@@ -667,6 +712,69 @@ def mmm_model_forms(spark: SparkSession, d: str) -> DataFrame:
     return data.groupBy("form", KEY).applyInPandas(fit, schema)
 
 
+TIERS = ["Mass_Product", "Aspiring_Product", "Premium_Product"]
+SWEEP_X = ["week_index", "units", "deliverybdays", "deliverycdays", "sla", "product_mrp", "procurement_sla", *MEDIA_COLS, "nps",
+           "holiday_count", "per_order", *ADSTOCKS, *TIERS, "Prepaid"]
+LAGS = ["GMV_lag_1_per", "GMV_lag_2_per", "GMV_lag_3_per"]
+SWEEP_FORMS = {"linear": SWEEP_X, "koyck": SWEEP_X + LAGS[:1], "distributed_lag": SWEEP_X + LAGS, "multiplicative": SWEEP_X,
+               "multiplicative_lag": SWEEP_X + LAGS}
+LOGGED = {"multiplicative", "multiplicative_lag"}
+SWEEP_FOLDS, SWEEP_SEED = 5, 29
+
+
+def sweep_table(spark: SparkSession, d: str) -> DataFrame:
+    """Per (product category, week): the 31 measures, order lines per price tier, prepaid lines, lag changes of
+    GMV and the week's number.  One row per category and week, written once and read by every step after."""
+    c = clean(spark, d).join(price_tier_clusters(spark, d).select(KEY, "vertical", "price_tag"), [KEY, "vertical"])
+    tiers = c.groupBy(KEY, "week").agg(*[F.count_if(F.col("price_tag") == t).alias(t) for t in TIERS],
+                                       F.sum("payment_ind").alias("Prepaid"))
+    ensure_checkpoint_dir(spark)
+    w = weekly_measures(spark, d).join(tiers, [KEY, "week"]).checkpoint(eager=True)
+    w = lag_features(w, [KEY], "week", "gmv")
+    for k, name in enumerate(LAGS, start=1):
+        w = w.withColumn(name, pct_change_vs_lag("gmv", f"gmv_lag_{k}"))
+    return w.withColumn("week_index", F.row_number().over(Window.partitionBy(KEY).orderBy("week"))).fillna(0.0).fillna(0)
+
+
+def sweep_designs(table: DataFrame) -> DataFrame:
+    """One row per form and row of the table: form, category, fold, v (predictors, then the response).
+
+    The multiplicative forms take logarithms: a column with negative values is shifted
+    to 1 + x - min within its category first, a zero counts as 1e-5."""
+    fold = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(SWEEP_SEED)), F.col("week").cast("string"))), 1, 8), 16, 10) \
+        .cast("long") % SWEEP_FOLDS
+    columns = ["gmv", *SWEEP_X, *LAGS]
+    least = Window.partitionBy(KEY)
+    base = table.select(KEY, fold.cast("int").alias("fold"), *[F.col(c).cast("double").alias(c) for c in columns],
+                        *[F.min(F.col(c).cast("double")).over(least).alias(f"__min_{c}") for c in columns])
+
+    def logged(c):
+        return safe_log(F.when(F.col(f"__min_{c}") < 0, 1 + F.col(c) - F.col(f"__min_{c}")).otherwise(F.col(c)))
+    forms = [F.struct(F.lit(form).alias("form"), F.array(*[logged(x) if form in LOGGED else F.col(x) for x in [*xs, "gmv"]]).alias("v"))
+             for form, xs in SWEEP_FORMS.items()]
+    return base.select(KEY, "fold", F.explode(F.array(*forms)).alias("r")).select("r.form", KEY, "fold", "r.v")
+
+
+def _sweep(spark: SparkSession, d: str) -> DataFrame:
+    return model_sweep(sweep_designs(sweep_table(spark, d)), ["form", KEY], SWEEP_FORMS, LOGGED, SWEEP_FOLDS)
+
+
+@query("mmm_model_sweep")
+def mmm_model_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """The five forms of every product category through the whole chain (aliased columns, stepwise
+    AIC from the empty model, elimination by VIF, p-value and adjusted R^2, 5-fold CV): the final terms with their
+    elasticities.  One Gram aggregate serves all models; no model reads rows."""
+    out = _sweep(spark, d).filter(F.col("stage") == "final").drop("stage", "aic")
+    return out.withColumn("direction", F.when(F.col("elasticity") > 0, "Positive").when(F.col("elasticity").isNotNull(), "Negative"))
+
+
+@query("mmm_sweep_log")
+def mmm_sweep_log(spark: SparkSession, d: str) -> DataFrame:
+    """The moves of the chain of every form and product category: aliased columns, stepwise additions and
+    removals with the AIC they reach, eliminations with the p-value and VIF that caused them."""
+    return _sweep(spark, d).filter(F.col("stage") != "final").select("form", KEY, "stage", "step", "term", "aic", "p_value", "vif")
+
+
 @query("elasticity", ["mmm_sales"], WEEKLY_SQL + ",\nf AS (SELECT sub_category, gmv, "
        + ", ".join(f"coalesce({x}, 0.0) AS {x}" for x in BASE_X) + " FROM wk),\n"
        + residual_ctes("o", "f", [KEY], "gmv", BASE_X) + ",\n" + coefficient_ctes("o", [KEY], BASE_X) + """,
