@@ -1,18 +1,19 @@
 """Neighbourhood recommendation (M1-M7) on (user, item, rating) triples.
 
-The rating matrix is never densified.  Similarities are only computed for a
-bounded set of users/items (the report set, or the target users being
-served): their ratings are joined to all ratings on the shared key, so the
-work is |targets| x (raters of each item), linear in the data; no query emits
-all pairs of raters of an item.
+The rating matrix is never densified.  `cosine_among`, `ubcf_topn` and
+`ibcf_topn` serve a bounded set of users/items (a report set, the target
+users): their ratings meet all ratings of the same item (or user), which costs
+the targets' ratings times the raters of each.  What is needed for every user or item
+goes through `cosine_neighbours`, a join pruned by rare keys and norms.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kestrel.operators.relational import top_k_per_group
+from kestrel.session import ensure_checkpoint_dir
 
 
 def min_support_filter(r: DataFrame, user: str, item: str, min_item: int, min_user: int) -> DataFrame:
@@ -105,3 +106,123 @@ def ibcf_topn(r: DataFrame, user: str, item: str, rating: str, targets: DataFram
     pred = sc.join(stats, "t").withColumn("pred", F.col("mu") + F.col("sd") * F.col("score"))
     top = top_k_per_group(pred, ["t"], [F.desc("pred"), F.asc("i")], n, "row_number", "position")
     return top.select(F.col("t").alias(user), "position", F.col("i").alias(item), "pred")
+
+
+# ------------------------------------------- neighbours of all users or items
+def rounded9(x: Column) -> Column:
+    """x at nine decimals by IEEE steps that other engines share, so that equal values compare equal."""
+    return F.floor(x * F.lit(1e9) + F.lit(0.5)).cast("double") / F.lit(1e9)
+
+
+def unit_vectors(rows: DataFrame, by: list[str], id_: str, key: str, value: str) -> DataFrame:
+    """by..., id, key, x: sparse vectors (id over keys) scaled to length one; zeros and zero vectors go."""
+    norm = rows.groupBy(*by, id_).agg(F.sqrt(F.sum(F.col(value) * F.col(value))).alias("__n")).filter(F.col("__n") > 0)
+    return rows.filter(F.col(value) != 0).join(norm, [*by, id_]) \
+        .select(*by, F.col(id_).alias("id"), F.col(key).alias("key"), (F.col(value) / F.col("__n")).alias("x"))
+
+
+def cosine_neighbours(left: DataFrame, right: DataFrame, by: list[str], k: int = 30, seed: int = 16,
+                      work: list | None = None) -> DataFrame:
+    """by..., id, other, sim: for every vector of `left` its k nearest of `right` within `by` (cosine at nine
+    decimals above 0, missing elements count 0; ties: smaller other).  Exact.  Both sides come from
+    `unit_vectors`; a pair with equal ids is left out.
+
+    A key shared by many vectors makes many pairs and tells little, so vectors
+    meet on their rare keys.  Keys are classed by the power of two of the vectors that have them.
+    First, every left vector meets others on its rarest classes (until they hold `seed`
+    keys); the best 2 k of these pairs are computed in full, and the k-th
+    similarity among them is the vector's bound t.  Then it meets others on all classes
+    but the most frequent ones whose part of the vector is shorter than t: who
+    shares no other key with it cannot reach t.  A pair goes on if its sum so
+    far and that length reach t; only those meet the frequent keys.  Nothing here needs
+    all rows of a key or a vector in one task.
+
+    `work`, if given, gets the rows of the joins: all co-occurrences, those of
+    the two rounds, and the pairs computed in full in the second."""
+    spark = left.sparkSession
+    ensure_checkpoint_dir(spark)
+    ids, pair = [*by, "id"], [*by, "id", "other"]
+    right = right.select(*by, F.col("id").alias("other"), "key", F.col("x").alias("y"))
+    often = right.groupBy(*by, "key").agg(F.count(F.lit(1)).alias("f"))
+    left = left.join(often, [*by, "key"]).withColumn("class", F.floor(F.log2("f")).cast("int")).checkpoint(eager=True)
+    right = right.checkpoint(eager=True)
+    classes = left.groupBy(*ids, "class").agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("x") * F.col("x")).alias("q"))
+    rare = Window.partitionBy(*ids).orderBy("class").rowsBetween(Window.unboundedPreceding, -1)
+    frequent = Window.partitionBy(*ids).orderBy(F.desc("class")).rowsBetween(Window.unboundedPreceding, 0)
+    classes = classes.withColumn("before", F.coalesce(F.sum("c").over(rare), F.lit(0))) \
+        .withColumn("above", F.sum("q").over(frequent))
+
+    def met(rows):
+        return rows.join(right, [*by, "key"]).filter(~F.col("id").eqNullSafe(F.col("other"))) \
+            .groupBy(*pair).agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+
+    def in_full(pairs, missing):
+        """dot plus the products of the keys in `missing` (rows of left)."""
+        more = pairs.select(*pair).join(missing.select(*ids, "key", "x"), ids).join(right, [*by, "other", "key"]) \
+            .select(*pair, (F.col("x") * F.col("y")).alias("dot"))
+        return pairs.select(*pair, "dot").unionByName(more).groupBy(*pair).agg(F.sum("dot").alias("dot"))
+    seeds = left.join(classes.filter(F.col("before") < seed).select(*ids, "class"), [*ids, "class"], "left_semi")
+    others = left.join(classes.filter(F.col("before") >= seed).select(*ids, "class"), [*ids, "class"], "left_semi")
+    few = top_k_per_group(met(seeds), ids, [F.desc("dot"), F.asc("other")], 2 * k, "row_number", "__r")
+    few = top_k_per_group(in_full(few, others), ids, [F.desc("dot"), F.asc("other")], k, "row_number", "__r")
+    bound = few.groupBy(*ids).agg(F.count(F.lit(1)).alias("__c"), F.min("dot").alias("t")) \
+        .filter((F.col("__c") == k) & (F.col("t") > 0)).select(*ids, (F.col("t") - 1e-9).alias("t"))
+    at = classes.join(bound, ids, "left").withColumn("t", F.greatest(F.coalesce("t", F.lit(0.0)), F.lit(0.0))) \
+        .withColumn("rest", F.sqrt("above") * (1 + 1e-12) < F.col("t")).checkpoint(eager=True)
+    need = left.join(at.filter(~F.col("rest")).select(*ids, "class"), [*ids, "class"], "left_semi")
+    frequent_part = left.join(at.filter("rest").select(*ids, "class"), [*ids, "class"], "left_semi")
+    limit = at.groupBy(*ids).agg(F.max("t").alias("t"), F.coalesce(F.sqrt(F.sum(F.when(F.col("rest"), F.col("q")))), F.lit(0.0)).alias("l"))
+    open_ = met(need).join(limit, ids).filter(F.col("dot") + F.col("l") + 1e-9 >= F.col("t")).checkpoint(eager=True)
+    if work is not None:
+        n = left.agg(F.sum("f")).first()[0], seeds.agg(F.sum("f")).first()[0], need.agg(F.sum("f")).first()[0]
+        work += [("co_occurrences", n[0] or 0), ("first_round", n[1] or 0), ("second_round", n[2] or 0), ("in_full", open_.count())]
+    sims = in_full(open_, frequent_part).withColumn("sim", rounded9(F.col("dot"))).filter(F.col("sim") > 0)
+    return top_k_per_group(sims, ids, [F.desc("sim"), F.asc("other")], k, "row_number", "__r").select(*ids, "other", "sim")
+
+
+def user_scores(neighbours: DataFrame, rows: DataFrame, by: list[str]) -> DataFrame:
+    """by..., id, item, score of the items that a user's neighbours rated: sum(sim * z) / sum(sim of all
+    neighbours).  rows: by..., other, item, z."""
+    total = neighbours.groupBy(*by, "id").agg(F.sum("sim").alias("__w"))
+    return neighbours.join(rows, [*by, "other"]).groupBy(*by, "id", "item").agg(F.sum(F.col("sim") * F.col("z")).alias("__s")) \
+        .join(total, [*by, "id"]).select(*by, "id", "item", rounded9(F.col("__s") / F.col("__w")).alias("score"))
+
+
+def item_scores(model: DataFrame, rows: DataFrame, by: list[str]) -> DataFrame:
+    """by..., id, item, score of the items with a neighbour among the user's own: sum(sim * z) / sum(sim).
+    model: by..., id (item), other, sim; rows: by..., id (user), item, z."""
+    near = model.select(*by, F.col("id").alias("item"), F.col("other").alias("__j"), "sim")
+    own = rows.select(*by, "id", F.col("item").alias("__j"), "z")
+    return own.join(near, [*by, "__j"]).groupBy(*by, "id", "item") \
+        .agg(rounded9(F.sum(F.col("sim") * F.col("z")) / F.sum("sim")).alias("score"))
+
+
+def held_out_ranks(scores: DataFrame, own: DataFrame, held: DataFrame, by: list[str]) -> DataFrame:
+    """by..., id, item, good, given, scored, rank for the one item held out of each user.
+
+    rank is counted: one more than the unrated items with a better score (ties:
+    smaller item); null if the item has no score.  No list of items is made.  own: by..., id, item (the
+    ratings that are known); held: by..., id, item, good."""
+    new = scores.join(own.select(*by, "id", "item"), [*by, "id", "item"], "left_anti")
+    mine = held.join(scores, [*by, "id", "item"], "left").select(*by, "id", F.col("item").alias("__h"), "good", F.col("score").alias("__s"))
+    better = (F.col("score") > F.col("__s")) | ((F.col("score") == F.col("__s")) & (F.col("item") < F.col("__h")))
+    counts = new.join(mine, [*by, "id"]).groupBy(*by, "id").agg(F.count(F.lit(1)).alias("scored"), F.count_if(better).alias("__b"))
+    given = own.groupBy(*by, "id").agg(F.count(F.lit(1)).alias("given"))
+    return mine.join(counts, [*by, "id"], "left").join(given, [*by, "id"], "left").select(
+        *by, "id", F.col("__h").alias("item"), "good", F.coalesce("given", F.lit(0)).alias("given"),
+        F.coalesce("scored", F.lit(0)).alias("scored"), F.when(F.col("__s").isNotNull(), F.col("__b") + 1).alias("rank"))
+
+
+def topn_table(ranks: DataFrame, items: int | Column, ns: list[int], group: list[str]) -> DataFrame:
+    """Group..., n, users, tp, fp, fn, tn, tpr, fpr for lists of n: what is recommended is the n best
+    scored unrated items; the held-out item is relevant if it is good."""
+    def one(n):
+        hit = (F.col("good") & (F.col("rank") <= n)).cast("long")
+        listed = F.least(F.lit(n), F.col("scored"))
+        miss = F.col("good").cast("long") - F.coalesce(hit, F.lit(0))
+        return F.struct(F.lit(n).alias("n"), F.coalesce(hit, F.lit(0)).alias("tp"), (listed - F.coalesce(hit, F.lit(0))).alias("fp"),
+                        miss.alias("fn"), ((items if isinstance(items, Column) else F.lit(items)) - F.col("given") - listed - miss).alias("tn"))
+    each = ranks.select(*group, F.explode(F.array(*[one(n) for n in ns])).alias("e")).select(*group, "e.*")
+    total = each.groupBy(*group, "n").agg(F.count(F.lit(1)).alias("users"), *[F.sum(c).cast("long").alias(c) for c in ("tp", "fp", "fn", "tn")])
+    return total.withColumn("tpr", F.try_divide("tp", F.col("tp") + F.col("fn"))) \
+        .withColumn("fpr", F.try_divide("fp", F.col("fp") + F.col("tn")))

@@ -4,14 +4,18 @@ most active users.  Stand-in: `ratings` (customer x part, 0-5 stars)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kestrel.operators.ordered import exact_percentiles
-from kestrel.operators.recommend import cosine_among, ibcf_topn, min_support_filter, ubcf_topn, zscore_by_user
-from kestrel.operators.relational import count_of_counts, group_count
+from kestrel.operators.recommend import (
+    cosine_among, cosine_neighbours, held_out_ranks, ibcf_topn, item_scores, min_support_filter, topn_table, ubcf_topn, unit_vectors,
+    user_scores, zscore_by_user,
+)
+from kestrel.operators.relational import count_of_counts, group_count, top_k_per_group
 from kestrel.plans import standins as S
 from kestrel.plans.registry import query
+from kestrel.session import ensure_checkpoint_dir
 
 MIN_ITEM, MIN_USER = 30, 30
 N_FIRST = 10          # similarity report over the first ten users / items
@@ -198,3 +202,153 @@ def eval_scheme(spark: SparkSession, d: str) -> DataFrame:
     return fr.join(held, "user_id").select(
         "user_id", "beer_beerid", (u % 10000 < TRAIN_SHARE).alias("is_train"), (u % EVAL_FOLDS).cast("int").alias("fold"),
         (F.col("beer_beerid") == F.col("held_item")).alias("held_out"), (F.col("review_overall") >= GOOD_RATING).alias("is_good"))
+
+
+# ------------------------------------------- model of all items, evaluation
+LIST_LENGTHS = [1, 3, 5, 10, 15, 20]
+
+
+def _r9(x: str) -> str:
+    return f"floor({x} * 1e9::DOUBLE + 0.5) / 1e9::DOUBLE"
+
+
+def _neighbours_sql(name: str, left: str, right: str, vec: str, key: str, run: bool = False) -> str:
+    """CTE of `cosine_neighbours` by all pairs: tables of (run,) {vec}, {key}, z."""
+    r, on = ("run, ", " AND a.run = b.run") if run else ("", "")
+    return f"""
+{name}_n AS (SELECT {r}{vec}, sqrt(sum(z * z)) AS n FROM {left} GROUP BY ALL),
+{name}_m AS (SELECT {r}{vec}, sqrt(sum(z * z)) AS n FROM {right} GROUP BY ALL),
+{name}_p AS (SELECT {"a.run, " if run else ""}a.{vec} AS id, b.{vec} AS other, sum((a.z / x.n) * (b.z / y.n)) AS dot
+  FROM {left} a JOIN {right} b ON a.{key} = b.{key}{on} AND a.{vec} <> b.{vec}
+  JOIN {name}_n x ON x.{vec} = a.{vec}{" AND x.run = a.run" if run else ""} JOIN {name}_m y ON y.{vec} = b.{vec}{" AND y.run = b.run" if run else ""}
+  WHERE x.n > 0 AND y.n > 0 GROUP BY ALL),
+{name} AS (SELECT {r}id, other, {_r9("dot")} AS sim FROM {name}_p WHERE {_r9("dot")} > 0
+  QUALIFY row_number() OVER (PARTITION BY {r}id ORDER BY {_r9("dot")} DESC, other) <= {NN})"""
+
+
+@query("item_neighbours", ["ratings"], Z_SQL + """,
+zz AS (SELECT user_id, beer_beerid, z FROM z WHERE z IS NOT NULL),""" + _neighbours_sql("nb", "zz", "zz", "beer_beerid", "user_id") + """
+SELECT id AS beer_beerid, other AS neighbour, CAST(row_number() OVER (PARTITION BY id ORDER BY sim DESC, other) AS INTEGER) AS position,
+       sim FROM nb""")
+def item_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """M3/M6: the 30 most similar beers of every beer (cosine of z-scored ratings over all raters): the model of an
+    item-based recommender, by a join pruned with rare users and norms."""
+    m = _item_model(_z(filtered(spark, d)))
+    w = Window.partitionBy("id").orderBy(F.desc("sim"), "other")
+    return m.select(F.col("id").alias("beer_beerid"), F.col("other").alias("neighbour"), F.row_number().over(w).alias("position"), "sim")
+
+
+def _z(r: DataFrame, by: list[str] = []) -> DataFrame:
+    """by..., user_id, beer_beerid, z of users whose ratings differ."""
+    st = r.groupBy(*by, "user_id").agg(F.avg("review_overall").alias("mu"), F.stddev_samp("review_overall").alias("sd"))
+    return r.join(st.filter(F.col("sd") > 0), [*by, "user_id"]) \
+        .select(*by, "user_id", "beer_beerid", ((F.col("review_overall") - F.col("mu")) / F.col("sd")).alias("z"))
+
+
+def _item_model(z: DataFrame, by: list[str] = [], work: list | None = None) -> DataFrame:
+    v = unit_vectors(z, by, "beer_beerid", "user_id", "z")
+    return cosine_neighbours(v, v, by, NN, work=work)
+
+
+@query("ibcf_model_topn", ["ratings"], Z_SQL + """,
+zz AS (SELECT user_id, beer_beerid, z FROM z WHERE z IS NOT NULL),""" + _neighbours_sql("nb", "zz", "zz", "beer_beerid", "user_id") + f""",
+sc AS (SELECT t.user_id, nb.id AS beer_beerid, {_r9("sum(sim * t.z) / sum(sim)")} AS score
+       FROM zz t JOIN nb ON nb.other = t.beer_beerid WHERE t.user_id IN (SELECT user_id FROM targets) GROUP BY ALL)
+SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DESC, beer_beerid) AS INTEGER) AS position, beer_beerid, score
+FROM sc WHERE NOT EXISTS (SELECT 1 FROM fr WHERE fr.user_id = sc.user_id AND fr.beer_beerid = sc.beer_beerid)
+QUALIFY position <= {TOP_N}""")
+def ibcf_model_topn(spark: SparkSession, d: str) -> DataFrame:
+    """M6/M7: top-5 unrated beers of the most active users from the model of all beers (30 neighbours each, as the
+    item-based recommender keeps them), by score in units of the user's spread."""
+    fr = filtered(spark, d)
+    z = _z(fr)
+    t = targets(fr).select(F.col("user_id").alias("id"))
+    own = fr.select(F.col("user_id").alias("id"), F.col("beer_beerid").alias("item")).join(t, "id", "left_semi")
+    mine = z.select(F.col("user_id").alias("id"), F.col("beer_beerid").alias("item"), "z").join(t, "id", "left_semi")
+    s = item_scores(_item_model(z), mine, []).join(own, ["id", "item"], "left_anti")
+    top = top_k_per_group(s, ["id"], [F.desc("score"), F.asc("item")], TOP_N, "row_number", "position")
+    return top.select(F.col("id").alias("user_id"), "position", F.col("item").alias("beer_beerid"), "score")
+
+
+def _evaluated(scheme: DataFrame, by: list[str] = ["run"]) -> DataFrame:
+    """algorithm, run and `held_out_ranks` of both recommenders.  scheme: run, user_id, beer_beerid, review_overall,
+    is_train, held_out, is_good: every run learns from its training users and tests the others."""
+    ensure_checkpoint_dir(scheme.sparkSession)
+    scheme = scheme.checkpoint(eager=True)
+    train = _z(scheme.filter("is_train"), by).checkpoint(eager=True)
+    known = scheme.filter("not is_train and not held_out")
+    mine = _z(known, by).checkpoint(eager=True)
+    users = cosine_neighbours(unit_vectors(mine, by, "user_id", "beer_beerid", "z"),
+                              unit_vectors(train, by, "user_id", "beer_beerid", "z"), by, NN)
+    rows = train.select(*by, F.col("user_id").alias("other"), F.col("beer_beerid").alias("item"), "z")
+    of_users = user_scores(users, rows, by)
+    own = mine.select(*by, F.col("user_id").alias("id"), F.col("beer_beerid").alias("item"), "z")
+    of_items = item_scores(_item_model(train, by), own, by)
+    both = of_users.withColumn("algorithm", F.lit("UBCF")).unionByName(of_items.withColumn("algorithm", F.lit("IBCF")))
+    algorithms = F.explode(F.array(F.lit("UBCF"), F.lit("IBCF"))).alias("algorithm")
+    given = known.select(algorithms, *by, F.col("user_id").alias("id"), F.col("beer_beerid").alias("item"))
+    held = scheme.filter("not is_train and held_out").select(
+        algorithms, *by, F.col("user_id").alias("id"), F.col("beer_beerid").alias("item"), F.col("is_good").alias("good"))
+    return held_out_ranks(both, given, held, ["algorithm", *by])
+
+
+def _scheme(spark: SparkSession, d: str) -> DataFrame:
+    return eval_scheme(spark, d).join(filtered(spark, d), ["user_id", "beer_beerid"])
+
+
+def _eval_sql(runs: str, group: str) -> str:
+    """Oracle of the evaluation: every similarity by all pairs, lists by window.  runs: FROM clause that gives sch."""
+    return FR_SQL + f""",
+h AS (SELECT *, CAST('0x' || substr(md5('{EVAL_SEED}|' || user_id), 1, 8) AS BIGINT) AS u,
+             row_number() OVER (PARTITION BY user_id ORDER BY md5('{EVAL_SEED}|' || user_id || '|' || beer_beerid), beer_beerid) = 1 AS held
+      FROM fr),
+sch AS ({runs}),
+zt AS (SELECT run, user_id, beer_beerid, (review_overall - mu) / sd AS z FROM sch JOIN
+       (SELECT run, user_id, avg(review_overall) AS mu, stddev_samp(review_overall) AS sd FROM sch WHERE tr GROUP BY ALL) s USING (run, user_id)
+       WHERE tr AND sd > 0),
+zm AS (SELECT run, user_id, beer_beerid, (review_overall - mu) / sd AS z FROM sch JOIN
+       (SELECT run, user_id, avg(review_overall) AS mu, stddev_samp(review_overall) AS sd FROM sch WHERE NOT tr AND NOT held GROUP BY ALL) s
+       USING (run, user_id) WHERE NOT tr AND NOT held AND sd > 0),""" + \
+        _neighbours_sql("un", "zm", "zt", "user_id", "beer_beerid", True) + "," + \
+        _neighbours_sql("im", "zt", "zt", "beer_beerid", "user_id", True) + f""",
+us AS (SELECT run, id, beer_beerid AS item, {_r9("s / w")} AS score FROM
+       (SELECT un.run, id, beer_beerid, sum(sim * z) AS s FROM un JOIN zt ON zt.run = un.run AND zt.user_id = un.other GROUP BY ALL) a
+       JOIN (SELECT run, id, sum(sim) AS w FROM un GROUP BY ALL) b USING (run, id)),
+its AS (SELECT zm.run, zm.user_id AS id, im.id AS item, {_r9("sum(sim * z) / sum(sim)")} AS score
+        FROM zm JOIN im ON im.run = zm.run AND im.other = zm.beer_beerid GROUP BY ALL),
+sc AS (SELECT 'UBCF' AS algorithm, * FROM us UNION ALL SELECT 'IBCF', * FROM its),
+new AS (SELECT * FROM sc WHERE NOT EXISTS (SELECT 1 FROM sch WHERE sch.run = sc.run AND sch.user_id = sc.id AND sch.beer_beerid = sc.item
+                                           AND NOT sch.held)),
+pos AS (SELECT *, row_number() OVER (PARTITION BY algorithm, run, id ORDER BY score DESC, item) AS rank,
+               count(*) OVER (PARTITION BY algorithm, run, id) AS scored FROM new),
+te AS (SELECT run, user_id AS id, max(beer_beerid) FILTER (WHERE held) AS item, bool_or(held AND review_overall >= {GOOD_RATING}) AS good,
+              count(*) FILTER (WHERE NOT held) AS given FROM sch WHERE NOT tr GROUP BY ALL),
+al AS (SELECT te.*, a.algorithm, p.rank, coalesce(c.scored, 0) AS scored FROM te CROSS JOIN (VALUES ('UBCF'), ('IBCF')) a(algorithm)
+       LEFT JOIN pos p ON p.algorithm = a.algorithm AND p.run = te.run AND p.id = te.id AND p.item = te.item
+       LEFT JOIN (SELECT algorithm, run, id, max(scored) AS scored FROM pos GROUP BY ALL) c
+         ON c.algorithm = a.algorithm AND c.run = te.run AND c.id = te.id),
+en AS (SELECT *, coalesce(CAST(good AND rank <= n AS BIGINT), 0) AS hit, least(n, scored) AS listed
+       FROM al, (VALUES {", ".join(f"({n})" for n in LIST_LENGTHS)}) l(n)),
+t AS (SELECT {group}, CAST(n AS INTEGER) AS n, count(*) AS users, CAST(sum(hit) AS BIGINT) AS tp, CAST(sum(listed - hit) AS BIGINT) AS fp,
+             CAST(sum(good::INT - hit) AS BIGINT) AS fn,
+             CAST(sum((SELECT count(DISTINCT beer_beerid) FROM fr) - given - listed - (good::INT - hit)) AS BIGINT) AS tn FROM en GROUP BY ALL)
+SELECT *, tp / nullif(tp + fn, 0)::DOUBLE AS tpr, fp / nullif(fp + tn, 0)::DOUBLE AS fpr FROM t"""
+
+
+@query("topn_eval", ["ratings"], _eval_sql(f"SELECT 0 AS run, *, u % 10000 < {TRAIN_SHARE} AS tr FROM h", "algorithm"))
+def topn_eval(spark: SparkSession, d: str) -> DataFrame:
+    """True and false positives, TPR and FPR of lists of 1 to 20 beers, user- and item-based, over all
+    test users of the 80/20 split, one rating held out of each.  The held-out beer's rank is counted; no lists."""
+    s = _scheme(spark, d).withColumn("run", F.lit(0))
+    items = filtered(spark, d).agg(F.count_distinct("beer_beerid")).scalar()
+    return topn_table(_evaluated(s), items, LIST_LENGTHS, ["algorithm"])
+
+
+@query("topn_eval_cv", ["ratings"], _eval_sql(
+    f"SELECT CAST(run AS INTEGER) AS run, h.*, u % {EVAL_FOLDS} <> run AS tr FROM h, range({EVAL_FOLDS}) r(run)", "algorithm, run"))
+def topn_eval_cv(spark: SparkSession, d: str) -> DataFrame:
+    """The same table for every fold of the 5-fold scheme (each fold's users tested, the others learnt from)."""
+    s = _scheme(spark, d).withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(EVAL_FOLDS - 1)))) \
+        .withColumn("is_train", F.col("fold") != F.col("run"))
+    items = filtered(spark, d).agg(F.count_distinct("beer_beerid")).scalar()
+    return topn_table(_evaluated(s), items, LIST_LENGTHS, ["algorithm", "run"])
