@@ -11,7 +11,8 @@ from kestrel.functions.columns import exact_sum, parse_date
 from kestrel.operators.evaluate import mape
 from kestrel.operators.ordered import global_rank
 from kestrel.operators.relational import transpose_small
-from kestrel.operators.series import (acf, ar_select_forecast, centered_smooth, dense_monthly, fit_sinusoid_trend,
+from kestrel.operators.seasonal import fitted_rows, seasonal_ar_models
+from kestrel.operators.series import (_design, acf, ar_select_forecast, centered_smooth, dense_monthly, fit_sinusoid_trend,
                                       month_index, pacf_from_acf, stationarity_tests)
 from kestrel.plans import standins as S
 from kestrel.plans.registry import query
@@ -289,6 +290,55 @@ def ts_model_compare(spark: SparkSession, d: str) -> DataFrame:
     return j.groupBy(*KEYS, "method").agg(mape(F.col("sales"), F.col("forecast")).alias("mape"))
 
 
+def measures_long(spark: SparkSession, d: str) -> DataFrame:
+    """market, segment, measure, t, y: every measure a series of its own."""
+    return monthly(spark, d).unpivot([*KEYS, "t"], MEASURES, "measure", "y")
+
+
+@query("ts_seasonal_ar")
+def ts_seasonal_ar(spark: SparkSession, d: str) -> DataFrame:
+    """The seasonal autoregression (seasonal difference, AR(p <= 3) x SAR(1), mean or drift) of least AICc of every
+    market, segment and measure, on the training months."""
+    return seasonal_ar_models(measures_long(spark, d), [*KEYS, "measure"], "t", "y", HORIZON)
+
+
+def _fitted(spark: SparkSession, d: str) -> DataFrame:
+    return fitted_rows(measures_long(spark, d), [*KEYS, "measure"], "t", "y", HORIZON, _design)
+
+
+@query("ts_fitted_forecast")
+def ts_fitted_forecast(spark: SparkSession, d: str) -> DataFrame:
+    """Fitted values of the training months and six forecasts with 95 % intervals, as rows, for the trend
+    regression and the seasonal autoregression of every market, segment and measure."""
+    return _fitted(spark, d)
+
+
+@query("ts_measure_compare")
+def ts_measure_compare(spark: SparkSession, d: str) -> DataFrame:
+    """MAPE of both methods on the last six months for sales, quantity and profit, and how many of the six
+    lie in their interval."""
+    f = _fitted(spark, d).filter(F.col("kind") == "forecast").join(measures_long(spark, d), [*KEYS, "measure", "t"])
+    return f.groupBy(*KEYS, "measure", "method").agg(
+        mape(F.col("y"), F.col("value")).alias("mape"), F.count_if(F.col("y").between(F.col("lo"), F.col("hi"))).alias("covered"))
+
+
+@query("residual_acf", ["sales"], TREND_SQL + f""",
+x AS (SELECT market, segment, CAST(t AS INTEGER) AS t, __y - avg(__y) OVER (PARTITION BY market, segment) AS dv FROM o_res WHERE is_train),
+den AS (SELECT market, segment, sum(dv * dv) AS den FROM x GROUP BY ALL),
+l AS (SELECT CAST(unnest(range(1, {MAX_LAG + 1})) AS INTEGER) AS lag),
+acf AS (SELECT a.market, a.segment, l.lag, sum(a.dv * b.dv) / den AS acf FROM x a, l, x b, den
+        WHERE b.market = a.market AND b.segment = a.segment AND b.t = a.t + l.lag AND den.market = a.market AND den.segment = a.segment
+        GROUP BY a.market, a.segment, l.lag, den),
+w AS (SELECT market, segment, """ + ", ".join(f"max(acf) FILTER (WHERE lag = {k}) AS r{k}" for k in range(1, MAX_LAG + 1))
+       + " FROM acf GROUP BY ALL),\n" + _durbin_levinson_sql() + ",\npa AS (" + "\nUNION ALL\n".join(
+           f"SELECT market, segment, {k} AS lag, p{k}_{k} AS pacf FROM dl{MAX_LAG}" for k in range(1, MAX_LAG + 1)) + """)
+SELECT market, segment, lag, round(acf, 5) AS acf, round(pacf, 5) AS pacf FROM acf JOIN pa USING (market, segment, lag)""")
+def residual_acf(spark: SparkSession, d: str) -> DataFrame:
+    """Autocorrelation and partial autocorrelation of every series' residual (smoothed - trend), lags 1 to 12."""
+    a = acf(_residuals(spark, d), KEYS, "t", "residual", MAX_LAG).select(*KEYS, F.col("lag").cast("int").alias("lag"), "acf")
+    return a.join(pacf_from_acf(a, KEYS), [*KEYS, "lag"]).select(*KEYS, "lag", F.round("acf", 5).alias("acf"), F.round("pacf", 5).alias("pacf"))
+
+
 @query("mape", ["sales"], S_SQL + f""",
 lt AS (SELECT market, segment, sales AS last_train FROM dense WHERE t = (SELECT max(t) FROM dense) - {HORIZON})
 SELECT market, segment, round(avg(abs((sales - last_train) / NULLIF(sales, 0))) * 100, 6) AS mape
