@@ -2,7 +2,7 @@
 
 Test items are short and documents long, so whole-document MinHash would
 drown an item.  Items are therefore put into size classes (powers of two of
-their number of shingles), and for every class that occurs a document is cut
+their number of distinct shingles), and for every class that occurs a document is cut
 into blocks of the class size, each with a MinHash signature over k hash
 functions.  A block is about as large as the item, so wherever a document
 holds most of an item's shingles some hash function has the same minimum in
@@ -159,7 +159,7 @@ class ItemIndex:
             self.n.append(n)
             self.words.append({words[p:p + n] for p in range(len(words) - n + 1)})
             sh = shingle_hashes(word_hashes(b" ".join(words)), n)
-            size = max(params.smallest, 1 << (len(sh) - 1).bit_length())
+            size = max(params.smallest, 1 << (len(np.unique(sh)) - 1).bit_length())   # repeats do not make an item larger
             by_fn = entries.setdefault((n, size), {})
             for j in range(params.hashes if size > 1 else 1):    # a block of one shingle is an exact look-up
                 by_fn.setdefault(j, []).append((int(_hashed(sh, mult[j], add[j]).min()), k))

@@ -89,6 +89,21 @@ def test_short_items_are_found_wherever_they_stand_with_the_default_parameters(s
     assert all((k, 1.0) in h for k, h in zip(want, held))
 
 
+def test_items_that_repeat_a_phrase_are_found_where_it_stands_once():
+    """Containment counts distinct shingles: a document that holds the phrase once (and its seam) holds them all."""
+    rng = random.Random(15)
+    for times in (2, 6, 12, 25):
+        phrases = [words(rng, 10, "klmnopqrst") for _ in range(400)]
+        index = dc.ItemIndex(list(range(400)), [" ".join([p] * times) for p in phrases], dc.DecontaminationParams())
+        texts = []
+        for p in phrases:
+            body, w = words(rng, 60).split(), p.split()
+            at = rng.randint(0, 60)
+            texts.append(" ".join([*body[:at], *w, *w[:4], *body[at:]]))
+        held = index.held_by(texts)
+        assert sum((k, 1.0) in h for k, h in enumerate(held)) == 400
+
+
 def test_items_without_an_id_are_cleaned_out_too(spark):
     d = docs_of(spark, ["one two three four five six seven", "nothing of the kind in here", "a b c d e f"])
     for kind in ("long", "string"):
