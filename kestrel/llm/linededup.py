@@ -230,13 +230,13 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", n_line
     """Every row and column of `docs` with `text` rewritten, plus the line counts.
 
     A line whose key has at least min_chars code points and is found in at
-    least min_docs rows goes, except in the rows with the largest `key` value
-    holding it (all its occurrences there stay).  Null and empty texts are one
-    empty line, so the text comes back empty.  A key repeated within a row
-    counts once; repeated rows count as rows of their own and, sharing their
-    id, keep or lose a line together.  Null ids are below all others; if all
-    ids of a line's rows are null, the line stays.  A text all of whose lines
-    go becomes empty.  Whole texts are read, however long.
+    least min_docs documents goes, except in the rows with the largest `key`
+    value holding it (all its occurrences there stay).  Null and empty texts are
+    one empty line, so the text comes back empty.  A document is an id: a key
+    repeated within a row or in rows that share their id counts once, and such
+    rows keep or lose a line together.  Rows without an id count for no document and lose
+    the lines that enough documents hold.  A text all of whose lines go becomes
+    empty.  Whole texts are read, however long.
     """
     spark = docs.sparkSession
     base = docs.select(col(key).alias("id"), col(text).cast("binary").alias("t"))
@@ -248,8 +248,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", n_line
     seen = spark.sparkContext.broadcast(TwiceSeen(segments, {r["segment"]: bytes(r["twice"]) for r in twice}))
     id_type = base.schema["id"].dataType.simpleString()
     suspects = base.mapInArrow(_suspect_rows(seen, params.min_chars), f"digest binary, id {id_type}")
-    confirmed = cut(suspects.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last"))
-                    .filter((F.col("n") >= params.min_docs) & F.col("last").isNotNull()).select("digest", "last"))
+    confirmed = cut(suspects.groupBy("digest").agg(F.count_distinct("id").alias("n"), F.max("id").alias("last"))
+                    .filter(F.col("n") >= params.min_docs).select("digest", "last"))
     r, d, i = fresh(docs, "rewritten"), fresh(docs, "drops"), fresh(docs, "dropped_id")
     if confirmed.count() <= params.broadcast_keys:
         rows = confirmed.collect()                                      # bounded by broadcast_keys

@@ -18,9 +18,8 @@ def brute(rows, min_chars=20, min_docs=3):
     for i, t in rows:
         for k in {key(x) for x in (t or "").split("\n")}:
             if len(k) >= min_chars:
-                holders.setdefault(k, []).append(i)
-    last = {k: max((i for i in v if i is not None), default=None) for k, v in holders.items() if len(v) >= min_docs}
-    last = {k: v for k, v in last.items() if v is not None}
+                holders.setdefault(k, set()).add(i)
+    last = {k: max(v - {None}) for k, v in holders.items() if len(v - {None}) >= min_docs}  # documents: distinct ids
     out = []
     for i, t in rows:
         lines = (t or "").split("\n")
@@ -67,6 +66,15 @@ def test_query_sql_on_a_fixture(spark, tmp_path):
     assert dict((r[0], r[3]) for r in got)[1] == hashlib.sha256(b"").hexdigest()
 
 
+@pytest.mark.parametrize("params", [linededup.LineDedupParams(), linededup.LineDedupParams(broadcast_keys=0)])
+def test_rows_that_share_an_id_are_one_document(spark, params):
+    line = "a line that two documents hold in three rows"
+    rows = [(1, line), (1, line), (2, line), (3, "x" + line), (3, "x" + line), (4, "x" + line), (5, "x" + line), (None, "x" + line)]
+    d = spark.createDataFrame([(i, t, "a", "b", 0) for i, t in rows], SCHEMA)
+    got = sorted(((r["doc_id"], r["text"]) for r in linededup.dedup_lines(d, params=params).collect()), key=str)
+    assert got == sorted([(1, line), (1, line), (2, line), (3, ""), (3, ""), (4, ""), (5, "x" + line), (None, "")], key=str)
+
+
 def test_suspects_never_miss_a_repeat():
     import numpy as np
     rng = np.random.default_rng(1)
