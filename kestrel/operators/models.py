@@ -10,10 +10,11 @@ the small k x k matrices on the driver — no refit per candidate model.
 from __future__ import annotations
 
 import math
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LinearSVC, OneVsRest
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -25,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.operators.stats import correlation_from_moments, moments
+from kestrel.session import ensure_checkpoint_dir
 
 
 def _assemble(df: DataFrame, xs: list[str], out: str = "features") -> DataFrame:
@@ -344,43 +346,95 @@ def _logit_table(data: DataFrame, y: str, xs: list[str]) -> DataFrame:
             .withColumn("residual_deviance", F.lit(float(s.deviance))))
 
 
-def logit_stepwise_aic(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
+def irls_many(rows: DataFrame, masks: list[list[int]], k: int, max_iter: int = 50, tol: float = 1e-8) -> tuple[list[float], int]:
+    """Deviances of the logistic fits on the columns of each mask, and the passes made.
+
+    rows: y, x (array of k standardised columns).  Every pass adds up the gradients
+    and Hessians of all fits that have not converged, per task; the sums meet per fit and are
+    solved there, so the passes are those of the slowest fit, however many there are.
+    A fit has converged if its deviance changes by less than `tol` relatively (as glm does).
+    """
+    beta = [np.zeros(len(m) + 1) for m in masks]
+    dev, old = [math.inf] * len(masks), [b.copy() for b in beta]
+    todo, passes = list(range(len(masks))), 0
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = {i: np.zeros(1 + len(beta[i]) * (len(beta[i]) + 1)) for i in todo}
+        for batch in batches:
+            y = batch.column(0).to_numpy()
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(y), k)
+            for i in todo:
+                d = np.column_stack([np.ones(len(y)), x[:, masks[i]]])
+                eta = d @ beta[i]
+                mu = 1 / (1 + np.exp(-np.clip(eta, -700, 700)))
+                w = np.maximum(mu * (1 - mu), 1e-300)
+                parts[i][0] += 2 * (np.logaddexp(0, eta) - y * eta).sum()
+                parts[i][1:1 + len(beta[i])] += d.T @ (y - mu)
+                parts[i][1 + len(beta[i]):] += ((d * w[:, None]).T @ d).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([v.tobytes() for v in parts.values()], pa.binary())],
+                                         names=["i", "s"])
+
+    def solve(g: pd.DataFrame) -> pd.DataFrame:
+        i = int(g["i"].iloc[0])
+        s, p = np.sum([np.frombuffer(v) for v in g["s"]], axis=0), len(masks[i]) + 1
+        step = np.linalg.lstsq(s[1 + p:].reshape(p, p), s[1:1 + p], rcond=None)[0]
+        return pd.DataFrame({"i": [i], "dev": [s[0]], "step": [step]})
+
+    while todo and passes < max_iter:
+        passes += 1
+        found = rows.mapInArrow(sums, "i int, s binary").groupBy("i").applyInPandas(solve, "i int, dev double, step array<double>").collect()
+        still = []
+        for r in found:
+            i = r["i"]
+            if r["dev"] > dev[i] + tol * (abs(dev[i]) + 0.1):
+                beta[i] = (beta[i] + old[i]) / 2              # a step too far is halved
+                still.append(i)
+                continue
+            close = abs(dev[i] - r["dev"]) <= tol * (abs(r["dev"]) + 0.1)
+            dev[i], old[i] = r["dev"], beta[i]
+            if not close:
+                beta[i] = beta[i] + np.array(r["step"])
+                still.append(i)
+        todo = sorted(still)
+    return dev, passes
+
+
+def logit_stepwise_aic(df: DataFrame, y: str, xs: list[str], passes: list[int] | None = None) -> DataFrame:
     """K5 (logistic): stepAIC(direction = "both") from the full model: each
-    step drops or adds back the one term that lowers AIC most.  The design is
-    read once and kept for the fits; a step's candidates are fitted
-    concurrently.  Output: step, action, term, aic (step 0: the full model)."""
-    base = df.select(y, *xs).dropna().persist(StorageLevel.MEMORY_AND_DISK)
+    step drops or adds back the one term that lowers AIC most.  All candidates
+    of a step are fitted in the same passes over the standardised design, which
+    is written once to the checkpoint folder.  `passes`, if given, gets the number
+    of passes of every step.  Output: step, action, term, aic (step 0: the full model)."""
     spark = df.sparkSession
-
-    def aic_of(terms):
-        return float(_logit_aic(_assemble(base, terms), y))
-    try:
-        terms = list(xs)
-        aic = aic_of(terms)
-        log = [(0, "start", None, aic)]
-        seen: dict[frozenset, float] = {frozenset(terms): aic}
-        while True:
-            moves = [("drop", t, [x for x in terms if x != t]) for t in terms if len(terms) > 1] + \
-                [("add", t, [x for x in xs if x in terms or x == t]) for t in xs if t not in terms]
-            new = [m for m in moves if frozenset(m[2]) not in seen]
-            with ThreadPoolExecutor(max_workers=max(1, min(4, len(new)))) as pool:
-                for m, a in zip(new, pool.map(aic_of, [m[2] for m in new])):
-                    seen[frozenset(m[2])] = a
-            best = min(moves, key=lambda m: seen[frozenset(m[2])], default=None)
-            if best is None or seen[frozenset(best[2])] >= aic - 1e-9:
-                break
-            aic, terms = seen[frozenset(best[2])], best[2]
-            log.append((len(log), best[0], best[1], aic))
-    finally:
-        base.unpersist()
+    ensure_checkpoint_dir(spark)
+    n, mean, c = moments(df, [*xs, y])
+    sd = np.sqrt(np.diag(c) / max(n - 1, 1))
+    z = [(F.col(x).cast("double") - F.lit(float(m))) / F.lit(float(s) if s > 0 else 1.0) for x, m, s in zip(xs, mean, sd)]
+    rows = df.select(y, *xs).dropna().select(F.col(y).cast("double").alias("y"), F.array(*z).alias("x")).checkpoint(eager=True)
+
+    def aics(models):
+        dev, n_passes = irls_many(rows, [[xs.index(t) for t in m] for m in models], len(xs))
+        if passes is not None:
+            passes.append(n_passes)
+        return [d + 2 * (len(m) + 1) for d, m in zip(dev, models)]
+    terms = list(xs)
+    aic = aics([terms])[0]
+    log = [(0, "start", None, aic)]
+    seen: dict[frozenset, float] = {frozenset(terms): aic}
+    while True:
+        moves = [("drop", t, [x for x in terms if x != t]) for t in terms if len(terms) > 1] + \
+            [("add", t, [x for x in xs if x in terms or x == t]) for t in xs if t not in terms]
+        new = [m for m in moves if frozenset(m[2]) not in seen]
+        if new:
+            seen.update(zip([frozenset(m[2]) for m in new], aics([m[2] for m in new])))
+        best = min(moves, key=lambda m: seen[frozenset(m[2])], default=None)
+        if best is None or seen[frozenset(best[2])] >= aic - 1e-9:
+            break
+        aic, terms = seen[frozenset(best[2])], best[2]
+        log.append((len(log), best[0], best[1], aic))
     return spark.createDataFrame(log, "step int, action string, term string, aic double")
 
 
-def _logit_aic(data: DataFrame, y: str) -> float:
-    return GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="features", labelCol=y,
-                                       maxIter=50, regParam=0.0).fit(data).summary.aic
-
-
 def logistic_score(coefs: dict[str, float], intercept: float) -> Column:
     """K6 (response scale): 1 / (1 + exp(-eta))."""
     return 1.0 / (1.0 + F.exp(-linear_score(coefs, intercept)))

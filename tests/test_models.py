@@ -340,3 +340,38 @@ def test_backward_elimination_of_the_cars_leaves_significant_terms(spark):
     final = [r for r in out if r["step"] == -1 and r["term"] != "(Intercept)"]
     assert all(r["p_value"] <= 0.05 for r in final)
     assert [r["step"] for r in out if r["step"] > 0] == list(range(1, len([r for r in out if r["step"] > 0]) + 1))
+
+
+def test_logistic_search_fits_all_candidates_in_the_same_passes(spark):
+    """The path of separate fits, in as many passes a step as one fit takes."""
+    import numpy as np
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GeneralizedLinearRegression
+
+    from kestrel.operators.models import logit_stepwise_aic
+    rng = np.random.default_rng(4)
+    xs = [f"x{i}" for i in range(7)]
+    x = rng.standard_normal((600, 7)) * [1, 100, 1e4, 1, 1, 0.01, 1] + [0, 5e3, -1e5, 0, 2, 1, 0]
+    z = (x - x.mean(0)) / x.std(0)
+    y = (rng.uniform(size=600) < 1 / (1 + np.exp(-(0.3 + 1.2 * z[:, 0] - 0.8 * z[:, 1] + 0.4 * z[:, 2])))).astype(float)
+    d = spark.createDataFrame([(float(t), *map(float, v)) for t, v in zip(y, x)] + [(None, *[1.0] * 7)],
+                              "y double, " + ", ".join(f"{c} double" for c in xs)).repartition(3)
+
+    def aic(terms):
+        v = VectorAssembler(inputCols=terms, outputCol="f").transform(d.dropna())
+        return GeneralizedLinearRegression(family="binomial", featuresCol="f", labelCol="y", maxIter=50, tol=1e-10).fit(v).summary.aic
+    passes = []
+    got = logit_stepwise_aic(d, "y", xs, passes).orderBy("step").collect()
+    terms, best, want = list(xs), aic(xs), []
+    want.append(("start", None, best))
+    while True:
+        moves = [("drop", t, [q for q in terms if q != t]) for t in terms] + \
+            [("add", t, [q for q in xs if q in terms or q == t]) for t in xs if t not in terms]
+        scored = sorted((aic(m), a, t, m) for a, t, m in moves)
+        if scored[0][0] >= best - 1e-9:
+            break
+        best, terms = scored[0][0], scored[0][3]
+        want.append((scored[0][1], scored[0][2], best))
+    assert [(r["action"], r["term"]) for r in got] == [w[:2] for w in want]
+    assert [r["aic"] for r in got] == pytest.approx([w[2] for w in want], abs=1e-5)
+    assert len(want) > 2 and all(p <= 9 for p in passes)
