@@ -94,12 +94,13 @@ SELECT round(min(avg_rating), 6) AS min, round(quantile_cont(avg_rating, 0.25),
        round(quantile_cont(avg_rating, 0.75), 6) AS q3, round(max(avg_rating), 6) AS max FROM a""")
 def avg_rating_distribution(spark: SparkSession, d: str) -> DataFrame:
     """Distribution of per-beer average ratings (summary of averages)."""
-    a = filtered(spark, d).groupBy("beer_beerid").agg(F.avg("review_overall").alias("avg_rating"))
+    ensure_checkpoint_dir(spark)
+    a = filtered(spark, d).groupBy("beer_beerid").agg(F.avg("review_overall").alias("avg_rating")).checkpoint(eager=True)
     q = exact_percentiles(a, "avg_rating", [0.25, 0.5, 0.75])
-    qs = {p: q.filter(F.col("p") == p).select("value").scalar() for p in (0.25, 0.5, 0.75)}
-    return a.agg(F.round(F.min("avg_rating"), 6).alias("min"), F.round(qs[0.25], 6).alias("q1"),
-                 F.round(qs[0.5], 6).alias("median"), F.round(F.avg("avg_rating"), 6).alias("mean"),
-                 F.round(qs[0.75], 6).alias("q3"), F.round(F.max("avg_rating"), 6).alias("max"))
+    qs = q.agg(*[F.max(F.when(F.col("p") == p, F.round("value", 6))).alias(c) for p, c in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
+    ends = a.agg(F.struct(F.round(F.min("avg_rating"), 6).alias("min"), F.round(F.avg("avg_rating"), 6).alias("mean"),
+                          F.round(F.max("avg_rating"), 6).alias("max"))).scalar()
+    return qs.select(ends["min"].alias("min"), "q1", "median", ends["mean"].alias("mean"), "q3", ends["max"].alias("max"))
 
 
 def _cos_sql(key: str, other: str) -> str:

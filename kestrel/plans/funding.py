@@ -12,7 +12,7 @@ from kestrel.operators.relational import (check_unique_key, key_set_difference,
                                           unpivot_nonzero)
 from kestrel.plans import standins as S
 from kestrel.plans.registry import query
-from kestrel.sources.io import read_csv, scratch_path, with_header, write_table
+from kestrel.sources.io import read_csv, read_csv_inferred, read_table, scratch_path, with_header, write_table
 
 # Parameters: mean-amount band for the preferred round type, chosen type, and
 # the number of countries / sectors reported.
@@ -34,6 +34,50 @@ def src_csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return read_csv(spark, path, schema=c.schema, header=True)
 
 
+def _csv_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as text, some columns of which change their type in a few of the rows."""
+    o = read_table(spark, d, "orders")
+    k = F.col("o_orderkey")
+    return o.select(k.cast("string").alias("order_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), "o_orderpriority",
+                    F.when(k % 1000 == 7, "12.5").otherwise((k % 50).cast("string")).alias("sometimes_double"),
+                    F.when(k % 1000 == 7, "3000000000").otherwise((k % 50).cast("string")).alias("sometimes_long"),
+                    F.when(k % 1000 == 7, "n/a").otherwise((k % 50).cast("string")).alias("sometimes_text"),
+                    F.when(k % 2 == 0, "1.5").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("number_or_day"),
+                    F.lit(None).cast("string").alias("nothing"))
+
+
+def _kind_sql(c: str) -> str:
+    return (f"CASE WHEN {c} IS NULL OR trim({c}) = '' THEN 0 WHEN regexp_matches({c}, '^[+-]?[0-9]+$') THEN "
+            f"CASE WHEN TRY_CAST({c} AS INTEGER) IS NOT NULL THEN 1 ELSE 2 END WHEN TRY_CAST({c} AS DOUBLE) IS NOT NULL THEN 4 "
+            f"WHEN TRY_CAST({c} AS TIMESTAMP) IS NOT NULL THEN 8 ELSE 16 END")
+
+
+_CSV_COLS = ["order_id", "day", "o_orderpriority", "sometimes_double", "sometimes_long", "sometimes_text", "number_or_day", "nothing"]
+
+
+@query("src_csv_inferred", [], """
+WITH t AS (SELECT CAST(o_orderkey AS VARCHAR) AS order_id, strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') AS day, o_orderpriority,
+  CASE WHEN o_orderkey % 1000 = 7 THEN '12.5' ELSE CAST(o_orderkey % 50 AS VARCHAR) END AS sometimes_double,
+  CASE WHEN o_orderkey % 1000 = 7 THEN '3000000000' ELSE CAST(o_orderkey % 50 AS VARCHAR) END AS sometimes_long,
+  CASE WHEN o_orderkey % 1000 = 7 THEN 'n/a' ELSE CAST(o_orderkey % 50 AS VARCHAR) END AS sometimes_text,
+  CASE WHEN o_orderkey % 2 = 0 THEN '1.5' ELSE strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') END AS number_or_day,
+  CAST(NULL AS VARCHAR) AS nothing FROM orders),
+k AS (""" + "\nUNION ALL\n".join(f"SELECT '{c}' AS name, {i} AS position, bit_or({_kind_sql(c)}) AS k, count({c}) AS n_values, count(*) AS n_rows FROM t"
+                                 for i, c in enumerate(_CSV_COLS, start=1)) + """)
+SELECT name, CAST(position AS INTEGER) AS position, CASE WHEN k = 0 THEN 'string' WHEN k = 8 THEN 'timestamp' WHEN k >= 8 THEN 'string'
+       WHEN k >= 4 THEN 'double' WHEN k >= 2 THEN 'long' ELSE 'int' END AS type, n_values, n_rows FROM k""")
+def src_csv_inferred(spark: SparkSession, d: str) -> DataFrame:
+    """A1: the types of a headed CSV inferred from all of its rows, with the values that each column then holds."""
+    path = scratch_path(spark, "orders-csv")
+    text = _csv_orders(spark, d)
+    write_table(text, path, "csv")
+    rows, types, _ = read_csv_inferred(spark, path, text.columns)
+    counts = rows.agg(F.array(*[F.struct(F.lit(c).alias("name"), F.lit(i).alias("position"), F.lit(t).alias("type"),
+                                         F.count(c).alias("n_values"), F.count(F.lit(1)).alias("n_rows"))
+                                for i, (c, t) in enumerate(types.items(), start=1)]).alias("a"))
+    return counts.select(F.explode("a").alias("r")).select("r.*")
+
+
 @query("src_delimited", ["rounds"], "SELECT * FROM rounds")
 def src_delimited(spark: SparkSession, d: str) -> DataFrame:
     """A2: headerless tab-separated text -> named, typed columns."""

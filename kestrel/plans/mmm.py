@@ -626,7 +626,8 @@ SELECT sub_category, week, round(ln(CASE WHEN gmv = 0 THEN 1e-5 ELSE gmv END), 6
        """ + significant_sql("1 + promotional_offer - (SELECT min(promotional_offer) FROM wk)", 10) + """ AS promo_shifted FROM wk""")
 def log_transform_safe(spark: SparkSession, d: str) -> DataFrame:
     """Log with exact zeros replaced, and shift-to-positive 1 + x - min(x)."""
-    w = weekly(spark, d)
+    ensure_checkpoint_dir(spark)
+    w = weekly(spark, d).select(KEY, "week", "gmv", "promotional_offer").checkpoint(eager=True)
     mn = w.agg(F.min("promotional_offer")).scalar()
     w = w.select(KEY, "week", "gmv", (1 + F.col("promotional_offer") - mn).alias("promo_shifted"))
     return w.select(KEY, "week", F.round(safe_log(F.col("gmv")), 6).alias("log_gmv"),
@@ -648,8 +649,9 @@ def price_tier_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def features(spark: SparkSession, d: str) -> DataFrame:
-    """Weekly table + moving-average increments and lag % changes."""
-    w = weekly(spark, d)
+    """Weekly table, written once, + moving-average increments and lag % changes."""
+    ensure_checkpoint_dir(spark)
+    w = weekly(spark, d).checkpoint(eager=True)
     w = w.withColumn("LP_MA1", trailing_mean([KEY], "week", "list_price", 2))
     w = w.withColumn("inc_LP_MA1", F.coalesce(F.try_divide(F.col("list_price") - F.col("LP_MA1"), F.col("LP_MA1")),
                                               F.lit(0.0)))
