@@ -85,9 +85,17 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     their own.  Other columns are not read.  An empty table gives an empty
     result.
     """
-    shuffled = F.md5(F.concat_ws(":", F.coalesce(col(key).cast("string"), F.lit("")), F.lit(params.salt)))
+    return _queued(docs, text, source, key, params).select(F.col("id").alias(key), "size", "source_size", "target", "taken")
+
+
+def _shuffled(key: str, params: MixParams) -> Column:
+    return F.md5(F.concat_ws(":", F.coalesce(col(key).cast("string"), F.lit("")), F.lit(params.salt)))
+
+
+def _queued(docs: DataFrame, text: str, source: str, key: str, params: MixParams) -> DataFrame:
+    """What `mix` returns, with the source and the place in its queue: mixed, then id."""
     base = cut(docs.select(col(key).alias("id"), col(source).cast("string").alias("source"),
-                           size_of(col(text)).alias("size"), shuffled.alias("mixed")))
+                           size_of(col(text)).alias("size"), _shuffled(key, params).alias("mixed")))
     goal = cut(targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), params)
                .withColumn("ahead", F.coalesce(F.sum("source_size").over(
                    Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
@@ -111,21 +119,32 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     last = cut(merged.filter(F.col("cum_size") <= total).agg(F.max("turn").alias("last"))).scalar()
     taken = sum((F.when((F.col("size") > 0) & (F.col("target") > 0) & (turn(F.lit(r)) <= last), F.col("size"))
                  .otherwise(F.lit(0)) for r in rounds), F.lit(0))
-    return queue.select(F.col("id").alias(key), "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return queue.select("source", "mixed", "id", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def apply_mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id",
               params: MixParams = MixParams(), name: str = "round") -> DataFrame:
     """The mixed corpus: every row of `docs` once per round it is served in, with the round as a column.
 
-    Rows repeated under one key are served alike, as often as the most served
-    of them.  Rows that are not served, those without words among them, go.
+    Rows repeated under one key in one source are served alike, as often as the
+    most served of them.  Rows that are not served, those without words among
+    them, go.  Of every source a round serves the front of its queue, so
+    what is needed of the mix is the last place served per source and round: a
+    row per source, which meets the documents where they are read.
     """
-    served = mix(docs, text, source, key, params).filter("taken > 0") \
-        .groupBy(F.col(key).alias("id")).agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("n"))
-    k, n = fresh(docs, "served_id"), fresh(docs, "served_n")
-    out = docs.join(served.select(F.col("id").alias(k), F.col("n").alias(n)), col(key).eqNullSafe(F.col(k)))
-    out = out.filter(size_of(col(text)) > 0)
+    served = _queued(docs, text, source, key, params).filter("taken > 0") \
+        .select("source", F.struct("mixed", "id").alias("at"), F.explode(F.sequence(F.lit(1), F.floor(F.col("taken") / F.col("size")).cast("int"))).alias("r"))
+    ends = cut(served.groupBy("source", "r").agg(F.max("at").alias("last")).groupBy("source")
+               .agg(F.collect_list("last").alias("ends")))               # at most `repeats` each
+    o, e = fresh(docs, "served_source"), fresh(docs, "served_ends")
+    side = ends.select(F.col("source").alias(o), F.col("ends").alias(e))
+    if ends.count() <= params.broadcast_sources:
+        side = F.broadcast(side)
+    out = docs.join(side, col(source).cast("string").eqNullSafe(F.col(o))).filter(size_of(col(text)) > 0)
+    at = F.struct(_shuffled(key, params).alias("mixed"), col(key).alias("id"))
+    rounds = F.size(F.filter(col(e), lambda last: at <= last))
+    n = fresh(docs, "served_n")
+    out = out.withColumn(n, rounds).filter(F.col(n) > 0)
     return out.select(*[col(c) for c in docs.columns],
                       F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(fresh(docs, name)))
 

@@ -34,12 +34,14 @@ BITS = 64
 class SimHashParams:
     """shingle: words per shingle.  max_bits: most differing bits of a link.
     group: largest sub-trie joined in one piece; a larger one is split into
-    runs of that size.  pairs: squared sizes of the sub-tries walked together."""
+    runs of that size.  pairs: squared sizes of the sub-tries walked together.
+    broadcast: most dropped rows that are broadcast (an id and its bits each); beyond, a join."""
     shingle: int = 4
     max_bits: int = 4
     seed: int = 42
     group: int = 2048
     pairs: int = 4_000_000
+    broadcast: int = 500_000
 
 
 # ------------------------------------------------------------ fingerprints
@@ -344,7 +346,9 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id
 
     def bits(id_: Column, fp: Column) -> Column:
         return fp if vague else F.when(id_.isNull(), fp).otherwise(F.lit(0).cast("long"))
-    gone = gone.select(F.col("id").alias(k), bits(F.col("id"), F.col("fp")).alias(b))
+    gone = cut(gone.select(F.col("id").alias(k), bits(F.col("id"), F.col("fp")).alias(b)))
+    if gone.count() <= params.broadcast:
+        gone = F.broadcast(gone)                        # the texts stay where they are read
     at = F.lit(0).cast("long")
     if vague or nulls:
         body = col(text) if vague else F.when(col(key).isNull(), col(text))
