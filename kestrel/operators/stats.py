@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kestrel.operators.encode import SLOTS, frequent_levels
 from kestrel.operators.ordered import global_rank
 
 
@@ -34,15 +35,20 @@ def zscore_columns(df: DataFrame, cols: list[str], group: list[str] | None = Non
 
 
 def dummy_encode(df: DataFrame, col: str, levels: list | None = None, drop_first: bool = True,
-                 prefix: str | None = None) -> DataFrame:
+                 prefix: str | None = None, slots: int = SLOTS) -> DataFrame:
     """One 0/1 column per level (sorted), first level dropped as in
-    model.matrix(~x)[, -1].  Levels, if not given, come from one small
-    distinct job (their number is the cardinality, not the row count)."""
+    model.matrix(~x)[, -1].  Levels, if not given, are the `slots` most
+    frequent ones; if there are more, the column `<prefix>_other` marks them.
+    For very many levels see `sparse_encode`."""
+    more = False
     if levels is None:
-        levels = sorted(r[0] for r in df.select(col).distinct().collect() if r[0] is not None)
+        levels, more = frequent_levels(df, col, slots)
     use = levels[1:] if drop_first else levels
     p = prefix or col
-    return df.select("*", *[(F.col(col) == F.lit(v)).cast("int").alias(f"{p}_{v}") for v in use])
+    out = [(F.col(col) == F.lit(v)).cast("int").alias(f"{p}_{v}") for v in use]
+    if more:
+        out.append((~F.col(col).isin(levels)).cast("int").alias(f"{p}_other"))
+    return df.select("*", *out)
 
 
 def split_stratified(df: DataFrame, label: str, key: str, ratio: float, seed: int = 100,

@@ -7,12 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kestrel.functions.columns import constant_column_report
+from kestrel.operators.encode import level_index, sparse_encode
 from kestrel.operators.ordered import tukey_hinges
 from kestrel.operators.quality import (filter_within_fences, five_number_summary, min_max_profile,
                                        percentile_profile, remove_above_percentile, remove_boxplot_outliers,
                                        tukey_fences)
 from kestrel.operators.relational import check_unique_key, count_duplicate_rows
+from kestrel.operators.sketches import merge_sketches, sketch, sketch_distinct, sketch_percentiles
 from kestrel.plans.registry import query
+from kestrel.session import ensure_checkpoint_dir
 from kestrel.sources.io import read_table, shape_report
 
 PROBS = [i / 100 for i in range(101)]
@@ -153,3 +156,94 @@ FROM orders""")
 def check_unique_key_q(spark: SparkSession, d: str) -> DataFrame:
     """C17: is the order key unique?"""
     return check_unique_key(read_table(spark, d, "orders"), "o_orderkey")
+
+
+# ------------------------------------------------------- mergeable sketches
+SKETCH_PROBS = [i / 20 for i in range(21)]
+SKETCH_RANK_ERROR, SKETCH_DISTINCT_ERROR = 0.01, 0.05
+
+
+def daily_sketches(spark: SparkSession, d: str) -> DataFrame:
+    """Per order day: sketches of order value and of customers, written once."""
+    ensure_checkpoint_dir(spark)
+    o = read_table(spark, d, "orders").withColumn("day", F.to_date("o_orderdate"))
+    return sketch(o, ["day"], ["o_totalprice"], ["o_custkey"]).checkpoint(eager=True)
+
+
+def _monthly(spark, d):
+    days = daily_sketches(spark, d).withColumn("month", F.date_format("day", "yyyy-MM"))
+    return merge_sketches(days, ["month"])
+
+
+@query("sketch_percentiles")
+def sketch_percentiles_q(spark: SparkSession, d: str) -> DataFrame:
+    """C20: percentiles of order value per month, from the merged sketches of its days."""
+    return sketch_percentiles(_monthly(spark, d), ["month"], "o_totalprice", SKETCH_PROBS)
+
+
+@query("sketch_percentile_check", [], f"""
+WITH m AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, count(o_totalprice) AS n FROM orders GROUP BY 1)
+SELECT month, n, round(i / 20, 2) AS p, n > 0 AS near FROM m, range(0, {len(SKETCH_PROBS)}) AS r(i)""")
+def sketch_percentile_check(spark: SparkSession, d: str) -> DataFrame:
+    """C20: whether the rank of every merged percentile, counted over all orders, is within 1 % of the one asked for."""
+    at = sketch_percentiles(_monthly(spark, d), ["month"], "o_totalprice", SKETCH_PROBS) \
+        .groupBy(F.col("month").alias("m")).agg(F.sort_array(F.collect_list(F.struct("p", "value"))).alias("q"))  # 21 a month
+    o = read_table(spark, d, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("month"),
+                                              F.col("o_totalprice").alias("x"))
+    o = o.join(at, F.col("month").eqNullSafe(F.col("m")))
+    below = [F.struct(F.lit(p).alias("p"), F.count_if(F.col("x") < F.col("q")[i]["value"]).alias("lt"),
+                      F.count_if(F.col("x") <= F.col("q")[i]["value"]).alias("le")) for i, p in enumerate(SKETCH_PROBS)]
+    r = o.groupBy("month").agg(F.count("x").alias("n"), F.array(*below).alias("b")).select("month", "n", F.inline("b"))
+    lo, hi = F.col("lt") / F.col("n") - SKETCH_RANK_ERROR, F.col("le") / F.col("n") + SKETCH_RANK_ERROR
+    near = F.when(F.col("n") > 0, F.col("p").between(lo, hi)).otherwise(False)
+    return r.select("month", "n", F.round("p", 2).alias("p"), near.alias("near"))
+
+
+@query("sketch_distinct")
+def sketch_distinct_q(spark: SparkSession, d: str) -> DataFrame:
+    """E5: estimated number of customers per month, from the merged sketches of its days."""
+    return sketch_distinct(_monthly(spark, d), ["month"], ["o_custkey"])
+
+
+@query("sketch_distinct_check", [], """
+SELECT strftime(o_orderdate, '%Y-%m') AS month, count(DISTINCT o_custkey) AS n_exact, true AS near FROM orders GROUP BY 1""")
+def sketch_distinct_check(spark: SparkSession, d: str) -> DataFrame:
+    """E5: whether the merged estimates are within 5 % of the exact counts (or one off)."""
+    est = sketch_distinct(_monthly(spark, d), ["month"], ["o_custkey"]).select(F.col("month").alias("m"), "n_distinct")
+    exact = read_table(spark, d, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")) \
+        .agg(F.count_distinct("o_custkey").alias("n_exact"))
+    off = F.abs(F.col("n_distinct") - F.col("n_exact"))
+    return exact.join(est, F.col("month").eqNullSafe(F.col("m"))) \
+        .select("month", "n_exact", (off <= F.greatest(F.lit(1.0), F.col("n_exact") * SKETCH_DISTINCT_ERROR)).alias("near"))
+
+
+# ----------------------------------------------------------- sparse encoding
+ENCODED, ENCODED_SLOTS = ["o_orderpriority", "o_orderstatus", "o_custkey"], 16
+
+_LEVELS_SQL = "WITH l AS (" + " UNION ALL ".join(
+    f"SELECT {i} AS f, '{c}' AS factor, CAST({c} AS VARCHAR) AS level, count(*) AS n FROM orders WHERE {c} IS NOT NULL GROUP BY 3"
+    for i, c in enumerate(ENCODED)) + f"""),
+r AS (SELECT *, row_number() OVER (PARTITION BY factor ORDER BY n DESC, level) - 1 AS slot FROM l),
+s AS (SELECT * FROM r WHERE slot < {ENCODED_SLOTS})"""
+
+
+@query("level_index", [], _LEVELS_SQL + "\nSELECT factor, level, n, CAST(slot AS INTEGER) AS slot FROM s")
+def level_index_q(spark: SparkSession, d: str) -> DataFrame:
+    """Slots of the most frequent levels of three factors of orders, one of them with a level per customer."""
+    return level_index(read_table(spark, d, "orders"), ENCODED, ENCODED_SLOTS)
+
+
+@query("sparse_encode", [], _LEVELS_SQL + """,
+w AS (SELECT f, count(*) + 1 AS w FROM s GROUP BY f), """ + ", ".join(
+    f"""p{i} AS (SELECT o_orderkey, coalesce((SELECT sum(w) FROM w WHERE f < {i}), 0)
+       + coalesce(slot, (SELECT w - 1 FROM w WHERE f = {i}), 0) AS p
+     FROM orders LEFT JOIN s ON f = {i} AND level = CAST({c} AS VARCHAR) WHERE {c} IS NOT NULL)"""
+    for i, c in enumerate(ENCODED)) + """
+SELECT o_orderkey, CAST((SELECT sum(w) FROM w) AS INTEGER) AS size, concat_ws(',', """ + ", ".join(
+    f"CAST(CAST(p{i}.p AS BIGINT) AS VARCHAR)" for i in range(len(ENCODED))) + """) AS indices
+FROM orders """ + " ".join(f"LEFT JOIN p{i} USING (o_orderkey)" for i in range(len(ENCODED))))
+def sparse_encode_q(spark: SparkSession, d: str) -> DataFrame:
+    """Every order as a sparse one-hot vector over those slots; levels beyond them share the factor's last."""
+    o = sparse_encode(read_table(spark, d, "orders"), ENCODED, ENCODED_SLOTS)
+    return o.select("o_orderkey", F.col("encoded.size").alias("size"),
+                    F.concat_ws(",", F.col("encoded.indices").cast("array<string>")).alias("indices"))
