@@ -440,49 +440,6 @@ def logistic_score(coefs: dict[str, float], intercept: float) -> Column:
     return 1.0 / (1.0 + F.exp(-linear_score(coefs, intercept)))
 
 
-# ------------------------------------------------------------- clustering
-def kmeans_numpy(x: np.ndarray, k: int, starts: int = 50, seed: int = 1, max_iter: int = 100) -> tuple[np.ndarray, float]:
-    """Labels and cost of the best of `starts` k-means runs (distinct rows as first centres)."""
-    rng = np.random.default_rng(seed)
-    distinct = np.unique(x, axis=0)
-    k = min(k, len(distinct))
-    best, best_cost = np.zeros(len(x), int), math.inf
-    for _ in range(starts):
-        centre = distinct[rng.choice(len(distinct), k, replace=False)]
-        for _ in range(max_iter):
-            lab = ((x[:, None, :] - centre[None]) ** 2).sum(2).argmin(1)
-            new = np.array([x[lab == j].mean(0) if (lab == j).any() else centre[j] for j in range(k)])
-            if np.allclose(new, centre):
-                break
-            centre = new
-        cost = float(((x - centre[lab]) ** 2).sum())
-        if cost < best_cost - 1e-12:
-            best, best_cost = lab, cost
-    return best, best_cost
-
-
-def price_tiers(df: DataFrame, group: str, item: str, cols: list[str], price: str, weight: str, starts: int = 50) -> DataFrame:
-    """Per group, k-means (k = 3) of the items on scaled columns; the
-    cluster with the most `weight` is mass, the one with the least premium,
-    the third aspiring.  Two or fewer items: the higher-priced one is aspiring,
-    the other mass.  Groups are fitted in parallel, one row per item in each.
-    Output: group, item, cluster, price_tag."""
-    def fit(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(item, kind="stable").reset_index(drop=True)
-        if len(g) <= 2:
-            lab = (g[price].rank(method="first").to_numpy() == len(g)).astype(int)
-            tag = np.where(lab == 1, "Aspiring_Product", "Mass_Product")
-        else:
-            x = g[cols].to_numpy(float)
-            sd = x.std(axis=0, ddof=1)
-            lab, _ = kmeans_numpy((x - x.mean(axis=0)) / np.where(sd > 0, sd, 1.0), 3, starts)
-            total = g.groupby(lab)[weight].sum().sort_values(ascending=False, kind="stable")
-            names = ["Mass_Product", *["Aspiring_Product"] * (len(total) - 2), "Premium_Product"][:len(total)]
-            tag = pd.Series(lab).map(dict(zip(total.index, names))).to_numpy()
-        return pd.DataFrame({group: g[group], item: g[item], "cluster": lab.astype("int32"), "price_tag": tag})
-    return df.groupBy(group).applyInPandas(fit, f"{group} string, {item} string, cluster int, price_tag string")
-
-
 # ----------------------------------------------------------------- SVMs
 def svm_one_vs_rest(train: DataFrame, test: DataFrame, label: str, features: str, reg: float = 0.0,
                     max_iter: int = 20):

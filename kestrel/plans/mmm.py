@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from kestrel.functions.columns import (cap_upper, exact_mean, exact_sum, floor_invalid_to_zero, safe_log,
                                        week_of_year_simple, week_start_sunday)
-from kestrel.operators.models import price_tiers
+from kestrel.operators.cluster import price_tiers
 from kestrel.operators.ordered import adstock, lag_features, pct_change_vs_lag, trailing_mean
 from kestrel.operators.quality import crosstab_counts, impute_moving_average
 from kestrel.operators.relational import dedup_key, group_count
@@ -640,8 +640,7 @@ def price_tier_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Within each product category, k-means (k = 3, best of 50
     starts) on scaled per-vertical means of units, list price and MRP; tiers
     are named by their order rows (most: mass, fewest: premium).  With two or
-    fewer verticals the higher-MRP one is 'Aspiring'.  One category's
-    verticals (not its orders) are one group."""
+    fewer verticals the higher-MRP one is 'Aspiring'."""
     v = clean(spark, d).groupBy(KEY, "vertical").agg(
         F.avg("units").alias("units"), F.avg("list_price").alias("list_price"), F.avg("product_mrp").alias("product_mrp"),
         F.count(F.lit(1)).alias("n_orders"))

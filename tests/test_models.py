@@ -120,7 +120,7 @@ def test_price_tiers_named_by_orders(spark):
 
 
 def test_price_tiers_of_two_verticals(spark):
-    from kestrel.operators.models import price_tiers
+    from kestrel.operators.cluster import price_tiers
     d = spark.createDataFrame([("c", "a", 1.0, 5.0, 9), ("c", "b", 2.0, 7.0, 1), ("d", "x", 1.0, 1.0, 1)],
                               "g string, v string, u double, p double, n long")
     got = {(r["g"], r["v"]): r["price_tag"] for r in price_tiers(d, "g", "v", ["u", "p"], "p", "n").collect()}
@@ -128,7 +128,7 @@ def test_price_tiers_of_two_verticals(spark):
 
 
 def test_kmeans_is_no_worse_than_many_runs():
-    from kestrel.operators.models import kmeans_numpy
+    from kestrel.operators.cluster import kmeans_numpy
     rng = np.random.default_rng(4)
     x = np.concatenate([rng.normal(c, 0.6, (12, 2)) for c in ((0, 0), (4, 0), (0, 5))])
     lab, cost = kmeans_numpy(x, 3)
