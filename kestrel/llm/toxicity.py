@@ -1,7 +1,9 @@
 """Toxicity by non-negative positive-unlabelled (nnPU) learning.
 
 Linear classifiers are trained by numpy from confirmed toxic texts (P) and
-unlabelled texts (U, a sample of all texts, toxic ones among them).  With
+unlabelled texts (U: all texts, toxic ones among them).  What share of U holds
+a feature is counted over all training texts; the gradient steps see a sample
+of them.  With
 class prior pi the risk is
 
     pi E_P[l(+f)] + max(0, E_U[l(-f)] - pi E_P[l(-f)])
@@ -33,11 +35,12 @@ _CACHE = 200_000
 
 @dataclass(frozen=True)
 class ToxicityParams:
-    """positives, unlabelled: training texts (expected numbers, chosen by a
-    hash of the id; all if there are fewer).  vocabulary: features kept, those
-    that separate P from U best; min_positive: texts of P that must hold a
-    feature; min_z: least difference of its shares in P and U, in standard
-    errors.  bags: classifiers; each sees `bag_share` of the samples."""
+    """positives, unlabelled: texts of the gradient steps (expected numbers,
+    chosen by a hash of the id; all if there are fewer).  vocabulary: features
+    kept, those that separate P from U best; min_positive: texts of P that must
+    hold a feature; min_z: least difference of its shares in P and U, in
+    standard errors (U: all training texts).  bags: classifiers; each sees
+    `bag_share` of the samples."""
     positives: int = 3000
     unlabelled: int = 6000
     vocabulary: int = 3000
@@ -95,9 +98,24 @@ def _known(text: str | None, vocab: dict[str, int], cache: dict[str, tuple]) ->
     return out
 
 
+def _holders(shared):
+    """Map step: for every feature of `shared` that a text of the task holds, in how many texts it is."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab, cache = shared.value, {}
+        n = np.zeros(len(vocab), np.int64)
+        for batch in batches:
+            texts = batch.column(0)
+            for t in (t for at in pieces(texts) for t in texts.slice(*at).to_pylist()):
+                n[list(_known(t, vocab, cache))] += 1
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], names=["f", "n"])
+    return run
+
+
 def fit(docs: DataFrame, labels: DataFrame, train: Column, text: str = "text", key: str = "doc_id",
         label: str = "toxic", params: ToxicityParams = ToxicityParams()) -> ToxicityModel:
-    """Train on bounded samples of the rows whose key meets `train` (a condition on `key`).
+    """Train on the rows whose key meets `train` (a condition on `key`): features are chosen by their shares in a
+    bounded sample of the positives and in all rows, the classifiers take their steps on bounded samples.
 
     Only label 1 is used as a label of a text; the share of ones among the
     labelled rows is the class prior.  Of a repeated id the largest label
@@ -115,25 +133,27 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, text: str = "text", k
     unit = F.pmod(F.xxhash64("k"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     unit2 = F.pmod(F.xxhash64("k", F.lit("u")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     chosen = lab.filter((F.col("y") == 1) & (unit < params.positives / n_pos)).select("k")
-    pos = pool.join(F.broadcast(chosen), "k").withColumn("y", F.lit(1))     # bounded by `positives`
-    unl = pool.filter(unit2 < params.unlabelled / max(n_all, 1)).withColumn("y", F.lit(0))
-    sample = cut(pos.unionByName(unl).select("k", "y", _udf_features()("t").alias("f")))
-    size = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n1, n0 = max(size.get(1, 0), 1), max(size.get(0, 0), 1)
-    p, u = (F.col("c1") + 0.5) / (n1 + 1.0), (F.col("c0") + 0.5) / (n0 + 1.0)
-    spread = F.sqrt(p * (1 - p) / n1 + u * (1 - u) / n0)
-    vocab_rows = sample.select("y", F.explode("f").alias("f")).groupBy("f") \
-        .agg(F.sum("y").alias("c1"), F.sum(1 - F.col("y")).alias("c0")) \
-        .withColumn("z", F.abs(p - u) / spread) \
-        .filter((F.col("c1") >= min(params.min_positive, max(1, n1 // 10))) & (F.col("z") >= params.min_z)) \
-        .orderBy(F.desc("z"), "f").limit(params.vocabulary).select("f").collect()
-    vocab = {r["f"]: i for i, r in enumerate(vocab_rows)}
+    pos = pool.join(F.broadcast(chosen), "k")                               # bounded by `positives`
+    held = cut(pos.select(_udf_features()("t").alias("f")))
+    n1, n0 = max(held.count(), 1), max(n_all, 1)
+    candidates = held.select(F.explode("f").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("c1")) \
+        .filter(F.col("c1") >= min(params.min_positive, max(1, n1 // 10))).orderBy("f").collect()
+    number = {r["f"]: i for i, r in enumerate(candidates)}                  # features of the texts of P
+    shared = docs.sparkSession.sparkContext.broadcast(number)
+    c1, c0 = np.array([r["c1"] for r in candidates], float), np.zeros(len(candidates))
+    for r in pool.select("t").mapInArrow(_holders(shared), "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).collect():
+        c0[r["f"]] = r["n"]
+    p, u = (c1 + 0.5) / (n1 + 1.0), (c0 + 0.5) / (n0 + 1.0)
+    z = np.abs(p - u) / np.sqrt(p * (1 - p) / n1 + u * (1 - u) / n0)
+    best = [i for i in np.argsort(-z, kind="stable") if z[i] >= params.min_z][:params.vocabulary]
+    vocab = {candidates[i]["f"]: j for j, i in enumerate(best)}
     if not vocab:
         return ToxicityModel({}, np.zeros((1, 0)), np.full(1, float(np.log(prior / max(1 - prior, 1e-9)))), prior)
 
-    number = _numbering(vocab)
-    bags = sample.select("k", "y", number("f").alias("x"), F.explode(F.array(*[F.lit(b) for b in range(params.bags)]))
-                         .alias("bag"))
+    unl = pool.filter(unit2 < params.unlabelled / n0)
+    sample = cut(pos.withColumn("y", F.lit(1)).unionByName(unl.withColumn("y", F.lit(0)))
+                 .select("k", "y", _numbering(vocab)("t").alias("x")))
+    bags = sample.select("k", "y", "x", F.explode(F.array(*[F.lit(b) for b in range(params.bags)])).alias("bag"))
     in_bag = F.pmod(F.xxhash64("k", "bag"), F.lit(1 << 20)) < int(params.bag_share * (1 << 20))
     bags = bags.filter(in_bag)
     got = bags.groupBy("bag").applyInPandas(lambda pdf: _train(pdf, len(vocab), prior, params),
@@ -143,8 +163,11 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, text: str = "text", k
 
 def _numbering(vocab: dict[str, int]):
     @F.arrow_udf("array<int>")
-    def number(feats: pa.Array) -> pa.Array:
-        return pa.array([[vocab[f] for f in fs if f in vocab] for fs in feats.to_pylist()], pa.list_(pa.int32()))
+    def number(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        cache: dict[str, tuple] = {}
+        for arr in texts:
+            yield pa.array([sorted(_known(t, vocab, cache)) for at in pieces(arr) for t in arr.slice(*at).to_pylist()],
+                           pa.list_(pa.int32()))
     return number
 
 
