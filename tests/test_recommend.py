@@ -77,6 +77,36 @@ def test_a_frequent_key_is_left_out_where_it_cannot_matter(spark):
     assert n["co_occurrences"] > 300 * 300 and n["second_round"] < 2000 and n["in_full"] < 1000
 
 
+@pytest.mark.parametrize("skew,seed,cheap,products,run,size", [(1.2, 2, 0, 2_000_000, 4096, 10**9), (1.2, 2, 3, 300, 4, 2000),
+                                                               (0.0, 16, 9, 200, 7, 3000), (2.0, 4, 0, 1, 1, 500)])
+def test_neighbours_do_not_depend_on_runs_passes_and_heavy_vectors(spark, skew, seed, cheap, products, run, size):
+    rng = np.random.default_rng(int(10 * skew) + cheap)
+    left, right = matrix(rng, 30, 30, skew), matrix(rng, 50, 30, skew)
+    left[1, 4] = dict(right[1, 7])
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    v = [unit_vectors(frame(spark, m), ["run"], "id", "key", "v") for m in (left, right)]
+    assert got(cosine_neighbours(*v, ["run"], 4, seed, None, cheap, products, run, size)) == brute(left, right, 4)
+    assert spark.conf.get(name) == before
+
+
+def test_only_the_best_pairs_of_a_vector_go_on(spark):
+    """Two hundred vectors on common keys: what failed was written as rows before, 199 pairs of each."""
+    rng = np.random.default_rng(5)
+    m = {(0, i): {int(c): float(rng.standard_normal()) for c in rng.choice(60, 12, replace=False)} for i in range(200)}
+    v, work = unit_vectors(frame(spark, m), ["run"], "id", "key", "v"), []
+    assert got(cosine_neighbours(v, v, ["run"], 3, work=work)) == brute(m, m, 3)
+    assert dict(work)["in_full"] <= 200 * 3 and dict(work)["first_round"] == 0
+
+
+def test_ids_may_be_texts(spark):
+    rng = np.random.default_rng(9)
+    m = matrix(rng, 25, 20, 1.2)
+    v = unit_vectors(frame(spark, m).withColumn("id", F.lpad(F.col("id").cast("string"), 3, "0")), ["run"], "id", "key", "v")
+    out = {(r, int(i)): [(int(o), s) for o, s in x] for (r, i), x in got(cosine_neighbours(v, v, ["run"], 4)).items()}
+    assert out == brute(m, m, 4)
+
+
 def test_empty(spark):
     e = spark.createDataFrame([], "run int, id long, key long, v double")
     v = unit_vectors(e, ["run"], "id", "key", "v")
