@@ -375,3 +375,26 @@ def test_logistic_search_fits_all_candidates_in_the_same_passes(spark):
     assert [(r["action"], r["term"]) for r in got] == [w[:2] for w in want]
     assert [r["aic"] for r in got] == pytest.approx([w[2] for w in want], abs=1e-5)
     assert len(want) > 2 and all(p <= 9 for p in passes)
+
+
+@pytest.mark.parametrize("fit", ["svm", "grid"])
+def test_passes_of_svm_fits_have_few_tasks(spark, fit, monkeypatch):
+    """The rows of 150 partitions are fitted in a bounded number, none is lost."""
+    from pyspark.ml.functions import array_to_vector
+
+    from kestrel.operators import models
+    rows = spark.createDataFrame([(float(i % 2), [float(i % 2) + 0.01 * i, 1.0]) for i in range(300)], "label double, v array<double>")
+    rows = rows.select("label", array_to_vector("v").alias("features")).repartition(150)
+    seen = []
+    fit_of = {"svm": models.OneVsRest, "grid": models.CrossValidator}[fit]
+    real = fit_of.fit
+
+    def counted(self, dataset, params=None):
+        seen.append((dataset.rdd.getNumPartitions(), dataset.count()))
+        return real(self, dataset, params)
+    monkeypatch.setattr(fit_of, "fit", counted)
+    if fit == "svm":
+        models.svm_one_vs_rest(rows, rows, "label", "features", max_iter=2)
+    else:
+        models.grid_search_cv(rows, "label", "features", (0.1,), 2, max_iter=2)
+    assert seen == [(max(16, 2 * spark.sparkContext.defaultParallelism), 300)]
