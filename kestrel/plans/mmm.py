@@ -6,7 +6,7 @@ elasticities.  Stand-ins: `mmm_sales`, and monthly media and score sheets
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kestrel.functions.columns import (cap_upper, exact_mean, exact_sum, floor_invalid_to_zero, safe_log,
@@ -403,19 +403,50 @@ def share_by_period(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ------------------------------------------------------------- weekly KPIs
-def weekly(spark: SparkSession, d: str) -> DataFrame:
+_CELL = [KEY, "vertical", "Year", "Month", "week"]
+_COUNTED = ["units", "deliverybdays", "deliverycdays", "sla", "procurement_sla", "payment_ind"]
+_EXACT = ["gmv", "product_mrp", "list_price", "promotional_offer"]
+_MAY_LACK = ["sla", "payment_ind"]                               # `clean` leaves no null in the others
+
+
+def line_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Sums and counts of the cleaned order lines per product category, vertical, month and week.  They add up, so all
+    weekly figures and the means of the verticals come from one pass over the lines."""
+    sums = [F.sum(c).alias(f"s_{c}") for c in _COUNTED] + [F.sum(F.col(c).cast("decimal(38,10)")).alias(f"s_{c}") for c in _EXACT]
+    return clean(spark, d).groupBy(*_CELL).agg(F.count(F.lit(1)).alias("n"), *sums,
+                                               *[F.count(c).alias(f"n_{c}") for c in _MAY_LACK])
+
+
+def _cell_sum(c: str) -> Column:
+    total = F.sum(f"s_{c}")
+    return (total.cast("double") if c in _EXACT else total).alias(c)
+
+
+def _cell_mean(c: str) -> Column:
+    return F.try_divide(F.sum(f"s_{c}").cast("double"), F.sum(f"n_{c}" if c in _MAY_LACK else "n")).alias(c)
+
+
+def vertical_means(cells: DataFrame) -> DataFrame:
+    """Means of units and prices and the number of order lines per product category and vertical."""
+    return cells.groupBy(KEY, "vertical").agg(*[_cell_mean(c) for c in ("units", "list_price", "product_mrp")],
+                                              F.sum("n").alias("n_orders"))
+
+
+def weekly(spark: SparkSession, d: str, cells: DataFrame | None = None, spend: DataFrame | None = None) -> DataFrame:
     """Per (product category, week): sums, means, prepaid share, media
-    spend of the week, monthly score and sale days (mixed aggregate)."""
-    c = clean(spark, d).join(nps_long(spark, d), ["Year", "Month"], "left")
+    spend of the week, monthly score and sale days (mixed aggregate).  `cells` and `spend` are
+    `line_cells` and `weekly_media`, if at hand."""
+    c = (line_cells(spark, d) if cells is None else cells).join(nps_long(spark, d), ["Year", "Month"], "left")
     c = c.join(F.broadcast(holidays_by_week(spark, d)), ["week"], "left").fillna(0, subset=["holiday_count"])
     w = c.groupBy(KEY, "week").agg(
-        exact_sum("gmv").alias("gmv"), F.sum("units").alias("units"), F.avg("deliverybdays").alias("deliverybdays"),
-        F.avg("deliverycdays").alias("deliverycdays"), F.avg("sla").alias("sla"),
-        exact_sum("product_mrp").alias("product_mrp"), F.avg("procurement_sla").alias("procurement_sla"),
-        F.avg("nps").alias("nps"), F.avg("holiday_count").alias("holiday_count"),
-        exact_sum("list_price").alias("list_price"), exact_mean("promotional_offer").alias("promotional_offer"),
-        F.avg("payment_ind").alias("per_order"), F.count(F.lit(1)).alias("n_orders"))
-    return w.join(weekly_media(spark, d), "week", "left")
+        _cell_sum("gmv"), _cell_sum("units"), _cell_mean("deliverybdays"),
+        _cell_mean("deliverycdays"), _cell_mean("sla"),
+        _cell_sum("product_mrp"), _cell_mean("procurement_sla"),
+        F.try_divide(F.sum(F.col("nps") * F.col("n")), F.sum(F.when(F.col("nps").isNotNull(), F.col("n")))).alias("nps"),
+        (F.sum(F.col("holiday_count") * F.col("n")) / F.sum("n")).alias("holiday_count"),
+        _cell_sum("list_price"), _cell_mean("promotional_offer"),
+        _cell_mean("payment_ind").alias("per_order"), F.sum("n").alias("n_orders"))
+    return w.join(weekly_media(spark, d) if spend is None else spend, "week", "left")
 
 
 WEEKLY_SQL = CLEAN_SQL + ",\n" + HOLIDAY_SQL + ",\n" + NPS_SQL + ",\n" + WMEDIA_SQL + ",\n" + HW_SQL + """,
@@ -444,13 +475,15 @@ MEASURES = ["gmv", "units", "deliverybdays", "deliverycdays", "sla", "product_mr
             "holiday_count", "list_price", "promotional_offer", "per_order", *ADSTOCKS]
 
 
-def weekly_measures(spark: SparkSession, d: str) -> DataFrame:
+def weekly_measures(spark: SparkSession, d: str, cells: DataFrame | None = None) -> DataFrame:
     """`weekly` with the adstock of the week's spend per channel: 31 measures per (product category, week)."""
-    long = weekly_media(spark, d).unpivot(["week"], CHANNELS, "channel", "spend")
+    ensure_checkpoint_dir(spark)
+    spend = weekly_media(spark, d).checkpoint(eager=True)          # a row a week
+    long = spend.unpivot(["week"], CHANNELS, "channel", "spend")
     stock = adstock(long, ["channel"], "week", "spend", ADSTOCK_RATE)
     wide = stock.groupBy("week").agg(*[F.max(F.when(F.col("channel") == c, F.col("adstock"))).alias(f"{c}_adstock")
                                        for c in CHANNELS])
-    return weekly(spark, d).join(wide, "week", "left")
+    return weekly(spark, d, cells, spend).join(wide, "week", "left")
 
 
 ADSTOCK_SQL = """
@@ -641,10 +674,11 @@ def price_tier_clusters(spark: SparkSession, d: str) -> DataFrame:
     starts) on scaled per-vertical means of units, list price and MRP; tiers
     are named by their order rows (most: mass, fewest: premium).  With two or
     fewer verticals the higher-MRP one is 'Aspiring'."""
-    v = clean(spark, d).groupBy(KEY, "vertical").agg(
-        F.avg("units").alias("units"), F.avg("list_price").alias("list_price"), F.avg("product_mrp").alias("product_mrp"),
-        F.count(F.lit(1)).alias("n_orders"))
-    return price_tiers(v, KEY, "vertical", ["units", "list_price", "product_mrp"], "product_mrp", "n_orders")
+    return vertical_tiers(vertical_means(line_cells(spark, d)))
+
+
+def vertical_tiers(means: DataFrame) -> DataFrame:
+    return price_tiers(means, KEY, "vertical", ["units", "list_price", "product_mrp"], "product_mrp", "n_orders")
 
 
 def features(spark: SparkSession, d: str) -> DataFrame:
@@ -725,12 +759,14 @@ SWEEP_FOLDS, SWEEP_SEED = 5, 29
 
 def sweep_table(spark: SparkSession, d: str) -> DataFrame:
     """Per (product category, week): the 31 measures, order lines per price tier, prepaid lines, lag changes of
-    GMV and the week's number.  One row per category and week, written once and read by every step after."""
-    c = clean(spark, d).join(price_tier_clusters(spark, d).select(KEY, "vertical", "price_tag"), [KEY, "vertical"])
-    tiers = c.groupBy(KEY, "week").agg(*[F.count_if(F.col("price_tag") == t).alias(t) for t in TIERS],
-                                       F.sum("payment_ind").alias("Prepaid"))
+    GMV and the week's number.  One row per category and week, written once and read by every step after.  The
+    order lines are cleaned once: price tiers, their weekly lines and the measures all come from their cells."""
     ensure_checkpoint_dir(spark)
-    w = weekly_measures(spark, d).join(tiers, [KEY, "week"]).checkpoint(eager=True)
+    cells = line_cells(spark, d).checkpoint(eager=True)
+    c = cells.join(vertical_tiers(vertical_means(cells)).select(KEY, "vertical", "price_tag"), [KEY, "vertical"])
+    tiers = c.groupBy(KEY, "week").agg(*[F.sum(F.when(F.col("price_tag") == t, F.col("n")).otherwise(0)).alias(t) for t in TIERS],
+                                       F.sum("s_payment_ind").alias("Prepaid"))
+    w = weekly_measures(spark, d, cells).join(tiers, [KEY, "week"]).checkpoint(eager=True)
     w = lag_features(w, [KEY], "week", "gmv")
     for k, name in enumerate(LAGS, start=1):
         w = w.withColumn(name, pct_change_vs_lag("gmv", f"gmv_lag_{k}"))

@@ -188,3 +188,34 @@ def test_designs_take_logarithms_of_shifted_columns(spark):
     want = sorted(tuple(round(math.log((1 + x - m if (m := least[r["sub_category"], c]) < 0 else x) or 1e-5), 6)
                         for c, x in ((c, float(r[c])) for c in [*mmm.SWEEP_FORMS["multiplicative_lag"], "gmv"])) for r in raw)
     assert sorted(tuple(round(x, 6) for x in r["v"]) for r in rows) == want
+
+
+def test_the_sweep_cleans_the_order_lines_once(spark, monkeypatch):
+    clean, calls = mmm.clean, []
+    monkeypatch.setattr(mmm, "clean", lambda *a: calls.append(a) or clean(*a))
+    assert mmm.sweep_table(spark, SF_SMALL).count() > 0
+    assert len(calls) == 1
+
+
+def test_cells_of_lines_give_the_means_of_the_lines(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(f"c{i % 3}", f"v{i % 4}" if i % 11 else None, 1995 + i % 2, 1 + i % 12, 199500 + i % 7, *map(float, rng.uniform(1, 50, 2)), *map(int, rng.integers(0, 9, 2)),
+             None if i % 5 == 0 else int(i % 9), int(i % 3), None if i % 4 == 0 else int(i % 2), *map(float, rng.uniform(1, 90, 3).round(6)))
+            for i in range(300)]
+    names = ["sub_category", "vertical", "Year", "Month", "week", "gmv", "units", "deliverybdays", "deliverycdays", "sla", "procurement_sla",
+             "payment_ind", "product_mrp", "list_price", "promotional_offer"]
+    lines = spark.createDataFrame(rows, ", ".join(f"{n} {t}" for n, t in zip(
+        names, ["string"] * 2 + ["int"] * 3 + ["double"] * 2 + ["int"] * 5 + ["double"] * 3))).repartition(3)
+    monkeypatch.setattr(mmm, "clean", lambda *a: lines)
+    cells = mmm.line_cells(spark, SF_SMALL)
+    got = {(r["sub_category"], r["vertical"]): r for r in mmm.vertical_means(cells).collect()}
+    for r in lines.groupBy("sub_category", "vertical").agg(F.avg("units").alias("u"), F.avg("list_price").alias("l"),
+                                                           F.avg("product_mrp").alias("m"), F.count("*").alias("n")).collect():
+        g = got[r["sub_category"], r["vertical"]]
+        assert [g["units"], g["list_price"], g["product_mrp"], g["n_orders"]] == pytest.approx([r["u"], r["l"], r["m"], r["n"]], rel=1e-12)
+    week = {(r["sub_category"], r["week"]): r for r in mmm.weekly(spark, SF_SMALL, cells).collect()}
+    cols = ["sla", "deliverybdays", "promotional_offer", "payment_ind"]
+    for r in lines.groupBy("sub_category", "week").agg(F.sum("gmv").alias("g"), F.count("*").alias("n"), *[F.avg(c).alias(c) for c in cols]).collect():
+        w = week[r["sub_category"], r["week"]]
+        assert [w["gmv"], w["n_orders"], w["sla"], w["deliverybdays"], w["promotional_offer"], w["per_order"]] == \
+            pytest.approx([r["g"], r["n"], *[r[c] for c in cols]], rel=1e-9)
