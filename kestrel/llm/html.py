@@ -1,24 +1,21 @@
 """HTML main-text extraction by wrapper induction.
 
-Pages of one host share a template.  A few reference pages per host are
-parsed, their DOM trees are reduced to schemas (siblings with the same tag and
-classes become one node) and aligned one after the other by simple tree
-matching, the ordered matching of two trees with most node pairs.  Aligned
-nodes whose text is the same on all pages belong to the template, nodes whose
-text varies are content slots; all pages of the host are then held against
-that, and a slot that any of them contradicts varies.  The wrapper is the aligned schema with the
-lowest node that holds all varying slots, the content container, marked.
-References with main or article elements make a wrapper of their own, where
+Pages of one host share a template.  Every page is parsed and its DOM tree reduced to a schema (siblings with
+the same tag and classes become one node).  The schemas of all pages of a host are laid over each other by the
+paths of their labels, with counts per node, and every page is aligned with the result by simple tree
+matching, the ordered matching of two trees with most node pairs.  Nodes whose text is the same on all pages that
+have them belong to the template, as do
+blocks that a set share of the host's pages repeat; nodes whose text varies are content slots.  The wrapper is the schema with the lowest node that holds all varying slots, the content container, marked.
+Pages with main or article elements make a wrapper of their own, where
 these are the containers: main elements if there are any, else the articles but those
-that are mostly links.  Every page is aligned with its host's wrapper of its kind
-and the text below the matched containers is taken, block by block; a page
-that does not align is its own reference.
+that are mostly links.  The text below the containers that a page's alignment reaches is taken, block by block; a page
+that does not align is its own reference.  No page is left out of the counts.
 
 What is boilerplate whatever it says: elements that HTML or ARIA define as such
 (nav, footer, aside, form, ..., their roles, hidden ones), and reader comments by
 the names they go by.  Class and id names such as `share-box` or `ad` are evidence
 only: outside article and main they keep an element from being a slot, inside
-an element so named goes if it is mostly links too or says the same on all references.
+an element so named goes if it is mostly links too or says what such elements say on that share of the host's pages.
 """
 
 from __future__ import annotations
@@ -33,7 +30,7 @@ from typing import Tuple
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.llm.common import col, cut, pieces
@@ -41,16 +38,17 @@ from kestrel.llm.common import col, cut, pieces
 
 @dataclass(frozen=True)
 class WrapperParams:
-    """references: pages per host and kind (with main or article elements, or
-    without) from which its wrapper is induced, chosen by a hash of the id.  enough: references that must agree before a text that
-    never varies counts as template.  common: share of all pages of a host
-    that must have a block for it to be left out.  broadcast_hosts: most hosts whose
-    wrappers (a few KB each) are broadcast; beyond, a salted join.
-    broadcast_references: most reference ids that are broadcast to pick their
-    pages; beyond, a join."""
+    """enough: pages that must agree before a text that never varies counts as template.  common: share of all
+    pages of a host that must have a block for it to be left out.  rare: a node on a smaller share of the
+    pages of a host and kind is no node of its wrapper (its text makes its parent vary), which bounds a wrapper by the nodes of
+    1 / rare pages.  held: counts a task holds before it hands them on.  broadcast_hosts: most hosts whose
+    wrappers (a few KB each) are broadcast; beyond, a salted join.  references, broadcast_references: without
+    effect since all pages are references."""
     references: int = 8
     enough: int = 3
     common: float = 0.5
+    rare: float = 0.01
+    held: int = 100_000
     broadcast_hosts: int = 5000
     broadcast_references: int = 200_000
     salts: int = 16
@@ -232,9 +230,14 @@ def _close(at: Node, tags: tuple, through: tuple = ()) -> Node:
     return at
 
 
+def _code(text: str) -> int:
+    """Digest of a text, 0 for none."""
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True) if text else 0
+
+
 def blocks(node: Node, skip=None, said: frozenset = frozenset()) -> list[str]:
     """Text blocks below a node in page order: boilerplate left out, references
-    decoded, white space runs as one space, ends trimmed, empty blocks dropped.  An
+    decoded, white space runs as one space, ends trimmed, empty blocks and those whose digests are in `skip` dropped.  An
     element named like what stands beside the text goes if it is mostly links or says one of `said`."""
     out: list[str] = []
     line: list[str] = []
@@ -242,7 +245,7 @@ def blocks(node: Node, skip=None, said: frozenset = frozenset()) -> list[str]:
     def flush():
         text = " ".join(_html.unescape("".join(line)).split())
         line.clear()
-        if text and not (skip and text in skip):
+        if text and not (skip and _code(text) in skip):
             out.append(text)
 
     stack: list[tuple] = [(node, iter(node.kids), False)]
@@ -269,9 +272,9 @@ def blocks(node: Node, skip=None, said: frozenset = frozenset()) -> list[str]:
     return out
 
 
-def _says(node: Node) -> str:
+def _says(node: Node) -> int:
     """Digest of the text of an element."""
-    return hashlib.blake2b(" ".join(blocks(node)).encode("utf-8", "replace"), digest_size=8).hexdigest()
+    return _code(" ".join(blocks(node)))
 
 
 # ------------------------------------------------------- schemas and matching
@@ -282,7 +285,7 @@ class Slot:
     length of that text, and its children."""
     label: str
     support: int = 1
-    text: str | None = ""
+    text: int | None = 0
     chars: float = 0.0
     main: bool = False
     kids: list["Slot"] = field(default_factory=list)
@@ -306,8 +309,7 @@ def schema(nodes: list[Node], label: str = "#root") -> Slot:
             elif not kid.noise:
                 groups.setdefault(kid.label, []).append(kid)
     own = " ".join(_html.unescape(" ".join(text)).split())
-    digest = hashlib.blake2b(own.encode("utf-8", "replace"), digest_size=8).hexdigest() if own else ""
-    return Slot(label, 1, digest, float(len(own)), any(n.main for n in nodes),
+    return Slot(label, 1, _code(own), float(len(own)), any(n.main for n in nodes),
                 [schema(v, k) for k, v in groups.items()])
 
 
@@ -380,59 +382,110 @@ def _by_table(left: list[Slot], right: list[Slot]) -> list[tuple]:
     return out[::-1]
 
 
-def _aligned(trees: list[Node]) -> Slot | None:
-    """The schemas of trees, aligned one after the other."""
-    wrapper = None
-    for t in trees:
-        s = schema([t])
-        if wrapper is None:
-            wrapper = s
-            continue
-        _, pairs = match(wrapper, s)
-        matched = {id(b): a for a, b in pairs}
-        for a, b in pairs:
-            a.chars = (a.chars * a.support + b.chars) / (a.support + 1)
-            a.support += 1
-            a.main = a.main or b.main
-            if a.text != b.text:
-                a.text = None
-            a.kids += [k for k in b.kids if id(k) not in matched]
-    return wrapper
+#: What an observation counts: pages, schema nodes, text blocks, what hinted elements say.
+_PAGE, _NODE, _BLOCK_OF, _SAID = range(4)
+#: Sums of an observation: pages with it, characters right below, characters below, place among its siblings, pages where it is a
+#: main element.
+_SUMS = 5
+
+
+def observe(page: str) -> Iterator[tuple]:
+    """What a page adds to the counts of its host, as (kind, what, id, up, label, sums, digest): the page, every node of its
+    schema (id and up are digests of label paths), and its distinct blocks or, on pages with main or article elements, what
+    elements named like boilerplate inside these say."""
+    tree = parse(page)
+    mains = _mains(tree)
+    kind = bool(mains)
+    yield kind, _PAGE, 0, 0, "", (1, 0, 0, 0, 0), 0
+    at = {tuple(_path_of(n)) for n in mains}
+    out: list[tuple] = []
+
+    def walk(s: Slot, path: tuple, id_: int, up: int, place: int) -> int:
+        mine = len(out)
+        out.append(())
+        below = int(s.chars)
+        for k, kid in enumerate(s.kids):
+            below += walk(kid, (*path, kid.label), _code(f"{id_} {kid.label}"), id_, 1_000_000 * k // max(len(s.kids) - 1, 1))
+        out[mine] = kind, _NODE, id_, up, s.label, (1, int(s.chars), below, place, int(kind and path in at)), s.text
+        return below
+    walk(schema([tree]), (), 1, 0, 0)
+    yield from out
+    if kind:
+        told, what = {_says(n) for m in mains for n in _hinted(m)}, _SAID
+    else:
+        told, what = {_code(b) for b in blocks(tree)}, _BLOCK_OF
+    for d in told:
+        yield kind, what, d, 0, "", (1, 0, 0, 0, 0), 0
+
+
+def _add(counts: dict, key: tuple, sums: tuple, digest: int) -> None:
+    """Add an observation to counts: key -> [sums..., least digest, greatest digest]."""
+    got = counts.get(key)
+    if got is None:
+        counts[key] = [*sums, digest, digest]
+    else:
+        for j in range(_SUMS):
+            got[j] += sums[j]
+        got[-2], got[-1] = min(got[-2], digest), max(got[-1], digest)
 
 
 def induce(pages: list[str], params: WrapperParams = WrapperParams()) -> dict:
-    """Wrapper of a host from its reference pages: the aligned schema of those without main or article
-    elements, the path of their content container, the template blocks inside it (skip) and
-    all blocks that they share (same); and `mains`, the wrapper of those with such elements."""
-    trees = [parse(p) for p in pages]
-    held = [_mains(t) for t in trees]
-    mains = _induce_mains([(t, m) for t, m in zip(trees, held) if m], params)
-    trees = [t for t, m in zip(trees, held) if not m]
-    wrapper = _aligned(trees)
-    if wrapper is None:
-        return {"path": [], "skip": [], "same": [], "tree": None, "mains": mains}
-    path = _container(wrapper, params)
-    skip, same = [], []
-    if len(trees) >= 2 * params.enough:
-        skip, some = _shared(trees, path)
-        skip = [] if len(skip) == some else skip
-        same, _ = _shared(trees, [])
-    return {"path": path, "skip": skip, "same": same, "tree": wrapper.pack(), "mains": mains}
-
-
-def _induce_mains(pages: list[tuple[Node, list[Node]]], params: WrapperParams) -> dict | None:
-    """The aligned schema of pages with main or article elements, the paths of these, and digests of what elements named like
-    boilerplate inside them say on all pages."""
-    if not pages:
-        return None
-    tree = _aligned([t for t, _ in pages])
-    paths = sorted({tuple(_path_of(n)) for _, mains in pages for n in mains})
-    said: dict[str, int] = {}
-    for _, mains in pages:
-        for d in {_says(n) for m in mains for n in _hinted(m)}:
-            said[d] = said.get(d, 0) + 1
-    fixed = [d for d, n in said.items() if n == len(pages)] if len(pages) >= params.enough else []
-    return {"tree": tree.pack(), "paths": [list(p) for p in paths], "said": sorted(fixed)}
+    """Wrapper of a host from all its pages: see `wrapper_of`."""
+    counts: dict = {}
+    for p in pages:
+        for kind, what, id_, up, label, sums, digest in observe(p):
+            _add(counts, (kind, what, id_, up, label), sums, digest)
+    return wrapper_of(counts, params)
+
+
+def wrapper_of(counts: dict, params: WrapperParams = WrapperParams()) -> dict:
+    """The wrapper by the counts over all pages of a host: the schema of those without main or article
+    elements, the path of their content container, digests of the template blocks (skip); and `mains`, the wrapper of
+    those with such elements: their schema, the paths of these, and digests of what elements named like boilerplate inside them say
+    on `common` of the pages.  Counts that `_kept` drops may be missing."""
+    n = {kind: c[0] for (kind, what, *_), c in counts.items() if what == _PAGE}
+    often = {k: c for k, c in counts.items() if _kept(k[1], c[0], n[k[0]], params)}
+
+    def found(kind, what):
+        return sorted(k[2] for k in often if k[:2] == (kind, what))
+    wrapper = {"path": [], "skip": [], "tree": None, "mains": None}
+    if n.get(False):
+        tree, _ = _tree(often, False)
+        wrapper |= {"path": _container(tree, params), "skip": found(False, _BLOCK_OF), "tree": tree.pack()}
+    if n.get(True):
+        tree, paths = _tree(often, True)
+        wrapper["mains"] = {"tree": tree.pack(), "paths": paths, "said": found(True, _SAID)}
+    return wrapper
+
+
+def _kept(what, n, pages, params: WrapperParams):
+    """Whether what n of so many pages have counts for their wrapper."""
+    if what == _BLOCK_OF:
+        return pages >= 2 * params.enough and n >= params.common * pages
+    if what == _SAID:
+        return pages >= params.enough and n >= params.common * pages
+    return n >= params.rare * pages
+
+
+def _tree(counts: dict, kind: bool) -> tuple[Slot, list[list[str]]]:
+    """The schema of the pages of a kind, siblings by their mean places, and the paths of main elements.  A node
+    some of whose text is in nodes not kept varies."""
+    kids: dict[int, list] = {}
+    for (k, what, id_, up, label), c in counts.items():
+        if k == kind and what == _NODE:
+            kids.setdefault(up, []).append((c[3] / c[0], label, id_, c))
+    paths: list[list[str]] = []
+
+    def build(label: str, id_: int, c: list, path: list[str]) -> Slot:
+        below = sorted(kids.get(id_, []), key=lambda k: k[:3])
+        rest = c[2] - c[1] - sum(k[3][2] for k in below)
+        if c[4]:
+            paths.append(path)
+        slot = Slot(label, c[0], c[5] if c[5] == c[6] and not rest else None, (c[1] + bool(rest)) / c[0], bool(c[4]))
+        slot.kids = [build(lab, i, x, [*path, lab]) for _, lab, i, x in below]
+        return slot
+    _, label, id_, c = kids[0][0]
+    return build(label, id_, c, []), sorted(paths)
 
 
 def _hinted(node: Node) -> Iterator[Node]:
@@ -453,15 +506,6 @@ def _path_of(node: Node) -> list[str]:
     return path[::-1]
 
 
-def _shared(trees: list[Node], path: list[str]) -> tuple[list[str], int]:
-    """Blocks below a path that all trees have, and how many blocks any has."""
-    seen: dict[str, int] = {}
-    for t in trees:
-        for b in set(_container_blocks(t, path)):
-            seen[b] = seen.get(b, 0) + 1
-    return sorted(b for b, n in seen.items() if n == len(trees)), len(seen)
-
-
 def _container(wrapper: Slot, params: WrapperParams) -> list[str]:
     """Path of the lowest node that holds all varying slots."""
     def varying(s: Slot) -> float:
@@ -481,44 +525,6 @@ def _container(wrapper: Slot, params: WrapperParams) -> list[str]:
         node = best
 
 
-def _preorder(s: Slot) -> Iterator[Slot]:
-    yield s
-    for k in s.kids:
-        yield from _preorder(k)
-
-
-def differences(page: str, wrapper: dict, tree: Slot, number: dict[int, int]) -> list[int]:
-    """What a page says about its host's wrapper: -1 for the page itself, the
-    numbers of template slots whose text differs or that hold text no reference
-    has, and -2 - j for the j-th of the shared blocks if the page has it.  Nothing
-    for pages with article or main elements."""
-    dom = parse(page)
-    if _mains(dom):
-        return []
-    own = schema([dom])
-    _, pairs = match(tree, own)
-    mapped = {id(b) for _, b in pairs}
-    out = {-1}
-    for a, b in pairs:
-        if a.text is not None and a.text != b.text or any(
-                id(k) not in mapped and any(x.chars for x in _preorder(k)) for k in b.kids):
-            out.add(number[id(a)])
-    have = set(blocks(dom))
-    out.update(-2 - j for j, b in enumerate(wrapper["same"]) if b in have)
-    return sorted(out)
-
-
-def refine(wrapper: dict, counts: dict[int, int], params: WrapperParams = WrapperParams()) -> dict:
-    """The wrapper by the differences of all pages (number -> pages): a slot that any page
-    contradicts varies, and a shared block is template if enough of all pages have it."""
-    tree = Slot.unpack(wrapper["tree"])
-    for k, slot in enumerate(_preorder(tree)):
-        if k in counts:
-            slot.text, slot.chars = None, max(slot.chars, 1.0)
-    skip = [b for j, b in enumerate(wrapper["same"]) if counts.get(-2 - j, 0) >= params.common * counts.get(-1, 0)]
-    return {"path": _container(tree, params), "skip": skip, "same": [], "tree": tree.pack(), "mains": wrapper.get("mains")}
-
-
 def _at_path(nodes: list[Node], path: list[str]) -> list[Node]:
     """DOM nodes at a path of labels, boilerplate not entered."""
     for label in path:
@@ -526,10 +532,6 @@ def _at_path(nodes: list[Node], path: list[str]) -> list[Node]:
     return nodes
 
 
-def _container_blocks(tree: Node, path: list[str]) -> list[str]:
-    return [b for n in _at_path([tree], path) for b in blocks(n)]
-
-
 def _mains(tree: Node) -> list[Node]:
     """Where a page says its text is: its outermost main elements, else its outermost articles but those that are
     mostly links beside others."""
@@ -637,66 +639,48 @@ def host_of(url: Column) -> Column:
 
 def induce_wrappers(pages: DataFrame, html: str = "html", url: str = "url", key: str = "page_id",
                     params: WrapperParams = WrapperParams()) -> DataFrame:
-    """Columns host, wrapper (JSON): one per host, from at most `references` of its pages with a main or
-    article element and as many of those without.
-
-    Reference pages are ranked on ids only; a hot host's rows are cut to its
-    references before the shuffle.  Up to `broadcast_references` ids, only the
-    references' html moves.
-    """
-    named = F.regexp_like(col(html), F.lit(_NAMED))
-    ids = pages.filter(col(html).isNotNull()).select(host_of(col(url)).alias("host"), col(key).alias("k"), named.alias("m")) \
-        .filter(F.col("host") != "")
-    w = Window.partitionBy("host", "m").orderBy(F.xxhash64("k"), "k")
-    chosen = cut(ids.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= params.references)
-                 .select("k", "m", "r").distinct())
-    few = chosen.count() <= params.broadcast_references
-    refs = pages.select(host_of(col(url)).alias("host"), col(key).alias("k"), named.alias("m"), col(html).alias("html")) \
-        .join(F.broadcast(chosen) if few else chosen, ["k", "m"]).filter(F.col("html").isNotNull())
+    """Columns host, wrapper (JSON): one per host, from the counts over all its pages (`key` is not read).
+
+    A task adds up the counts of its pages and hands on at most `held` at a time; sums meet per host and node or
+    block, so no host's pages come together.  What too few pages have is dropped before a wrapper is made:
+    a host's rows there are bounded by the nodes of 1 / rare pages."""
+    rows = pages.select(host_of(col(url)).alias("host"), col(html).alias("h")).filter((F.col("host") != "") & (F.length("h") > 0))
+    names = ["kind", "what", "id", "up", "label"]
+    sums = ["n", "chars", "below", "place", "mains"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict = {}
+
+        def flush():
+            columns = [*zip(*((*k, *c) for k, c in counts.items()))]
+            counts.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, types)], schema=types)
+        for batch in batches:
+            for at in pieces(batch.column(1)):
+                for host, page in zip(*(batch.column(j).slice(*at).to_pylist() for j in range(2))):
+                    for *what, total, digest in observe(page):
+                        _add(counts, (host, *what), total, digest)
+                    if len(counts) >= params.held:
+                        yield flush()
+        if counts:
+            yield flush()
+    types = pa.schema([("host", pa.string()), ("kind", pa.bool_()), ("what", pa.int32()), ("id", pa.int64()), ("up", pa.int64()),
+                       ("label", pa.string()), ("n", pa.int64()), ("chars", pa.int64()), ("below", pa.int64()), ("place", pa.int64()),
+                       ("mains", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
+    told = rows.mapInArrow(count, "host string, kind boolean, what int, id long, up long, label string, n long, chars long, "
+                                  "below long, place long, mains long, lo long, hi long")
+    # a block must be on `common` of `2 * enough` pages at least, so rarer ones are not even written
+    least = F.when(F.col("what") == _BLOCK_OF, params.common * 2 * params.enough).otherwise(0)
+    stats = cut(told.groupBy("host", *names).agg(*[F.sum(c).alias(c) for c in sums], F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+                .filter(F.col("n") >= least))
+    total = stats.filter(F.col("what") == _PAGE).select("host", "kind", F.col("n").alias("pages"))
+    share = F.when(F.col("what").isin(_BLOCK_OF, _SAID), params.common).otherwise(params.rare)
+    kept = stats.join(total, ["host", "kind"]).filter(F.col("n") >= share * F.col("pages"))
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["m", "r"], kind="stable").drop_duplicates(["m", "r"])
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]],
-                             "wrapper": [json.dumps(induce(list(pdf["html"]), params), ensure_ascii=False)]})
-    return refs.groupBy("host").applyInPandas(learn, "host string, wrapper string")
-
-
-def _udf_differences():
-    @F.arrow_udf("array<int>")
-    def found(parts: Iterator[Tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        known: dict = {}
-        for pages, wrappers in parts:
-            out = []
-            for page, w in (x for at in pieces(pages)
-                            for x in zip(pages.slice(*at).to_pylist(), wrappers.slice(*at).to_pylist())):
-                if w not in known:
-                    if len(known) > 2000:
-                        known.clear()
-                    wrapper = json.loads(w)
-                    tree = Slot.unpack(wrapper["tree"])
-                    known[w] = wrapper, tree, {id(x): k for k, x in enumerate(_preorder(tree))}
-                out.append(differences(page, *known[w]) if page else [])
-            yield pa.array(out, pa.list_(pa.int32()))
-    return found
-
-
-def refined_wrappers(rows: DataFrame, wrappers: DataFrame, params: WrapperParams) -> DataFrame:
-    """The wrappers of `induce_wrappers` held against all pages (columns h, host, page); only counts
-    per host and slot are shuffled.  Wrappers of main and article elements stay as they are."""
-    told = F.from_json("wrapper", "tree string")["tree"].isNotNull()
-    loose = cut(wrappers.filter(told))
-    if loose.isEmpty():
-        return wrappers
-    seen = _with_wrappers(rows, loose, params, "inner") \
-        .select("host", F.explode(_udf_differences().asNondeterministic()("h", "wrapper")).alias("d")) \
-        .groupBy("host", "d").count().groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("d", "count"))).alias("c"))
-
-    @F.arrow_udf("string")
-    def settle(wrappers: pa.Array, counts: pa.Array) -> pa.Array:
-        return pa.array([json.dumps(refine(json.loads(x), dict(c or []), params), ensure_ascii=False)
-                         for x, c in zip(wrappers.to_pylist(), counts.to_pylist())], pa.string())
-    better = loose.join(seen, "host", "left").select("host", settle("wrapper", "c").alias("wrapper"))
-    return cut(wrappers.filter(~F.coalesce(told, F.lit(False))).unionByName(better))
+        counts = {tuple(r[:5]): list(r[5:]) for r in pdf[[*names, *sums, "lo", "hi"]].itertuples(index=False, name=None)}
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps(wrapper_of(counts, params), ensure_ascii=False)]})
+    return kept.groupBy("host").applyInPandas(learn, "host string, wrapper string")
 
 
 def _with_wrappers(rows: DataFrame, wrappers: DataFrame, params: WrapperParams, how: str) -> DataFrame:
@@ -739,7 +723,7 @@ def main_text(pages: DataFrame, html: str = "html", url: str = "url", key: str =
     """
     wrappers = cut(induce_wrappers(pages, html, url, key, params))
     rows = pages.select(col(key).alias("page"), col(url).alias("u"), col(html).alias("h"), host_of(col(url)).alias("host"))
-    joined = _with_wrappers(rows, refined_wrappers(rows, wrappers, params), params, "left")
+    joined = _with_wrappers(rows, wrappers, params, "left")
     out = joined.withColumn("t", _udf_extract(params).asNondeterministic()("h", "wrapper"))
     return out.select(F.col("page").alias(key), F.col("u").alias(url), F.col("t.text").alias("text"),
                       F.length("t.text").cast("long").alias("n_chars"), F.col("t.via").alias("via"))

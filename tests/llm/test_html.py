@@ -216,3 +216,42 @@ def test_a_page_of_many_different_siblings_is_matched_at_once():
     began = time.time()
     wrapper = h.induce([page, other])
     assert len(h.extract(page, wrapper).split()) == 30_000 and time.time() - began < 20
+
+
+def test_counts_come_from_all_pages_not_from_a_few(spark):
+    """Eight pages (the first by hash, once the references) lack what the others repeat, and hold no sign of their template."""
+    rng = random.Random(11)
+    rows, want = [], {}
+    ids = [r["i"] for r in spark.range(50).select(F.col("id").alias("i")).orderBy(F.xxhash64("id"), "id").collect()]
+    for k, i in enumerate(ids):
+        own, lead = words(rng, 12), words(rng, 5)
+        note, letter = ("", "") if k < 8 else ("<p>This site moves next year</p>", '<div class="newsletter-box"><p>Sign up for our letter</p></div>')
+        rows.append((i, f"http://a.example/{i}", f"<body><div class=top>Hi</div><div class=post><h1>{lead}</h1>{note}<p>{own}</p></div></body>"))
+        rows.append((i + 100, f"http://b.example/{i}", f"<body><article><h1>{lead}</h1>{letter}<p>{own}</p></article></body>"))
+        want[i] = want[i + 100] = f"{lead} {own}"
+    pages = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    for params in (h.WrapperParams(), h.WrapperParams(held=1)):
+        got = h.main_text(pages, params=params).collect()
+        assert {r["page_id"]: r["text"] for r in got} == want
+        assert all(r["via"] == "wrapper" for r in got)
+
+
+def test_a_wrapper_does_not_grow_with_the_pages_of_its_host(spark):
+    rng = random.Random(12)
+    rows, want = [], {}
+    for i in range(400):
+        own, side = words(rng, 12), words(rng, 4)
+        rows.append((i, "http://a.example/", f"<body><div class=top>Hi</div><div class=post><div class=p{i}>{side}</div><p>{own}</p></div></body>"))
+        want[i] = f"{side} {own}"
+    pages = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    wrapper = h.induce_wrappers(pages).collect()
+    assert len(wrapper) == 1 and len(wrapper[0]["wrapper"]) < 2000
+    assert {r["page_id"]: r["text"] for r in h.main_text(pages).collect()} == want
+
+
+def test_wrapper_of_a_host_is_that_of_its_pages_in_one_go(spark):
+    import json
+    pages, _ = site(3)
+    got = {r["host"]: json.loads(r["wrapper"]) for r in h.induce_wrappers(spark.createDataFrame(pages, SCHEMA).repartition(5)).collect()}
+    for k, host in enumerate(("a.example", "b.example", "c.example")):
+        assert got[host] == json.loads(json.dumps(h.induce([p for i, _, p in pages if i % 3 == k])))
