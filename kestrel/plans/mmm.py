@@ -406,15 +406,36 @@ def share_by_period(spark: SparkSession, d: str) -> DataFrame:
 _CELL = [KEY, "vertical", "Year", "Month", "week"]
 _COUNTED = ["units", "deliverybdays", "deliverycdays", "sla", "procurement_sla", "payment_ind"]
 _EXACT = ["gmv", "product_mrp", "list_price", "promotional_offer"]
+_MEANS = ["units", "list_price", "product_mrp"]
 _MAY_LACK = ["sla", "payment_ind"]                               # `clean` leaves no null in the others
 
 
+def _cell_sums(get) -> list[Column]:
+    """The aggregates of a cell over the columns that `get` gives for the names."""
+    return [*[F.sum(get(c)).alias(f"s_{c}") for c in _COUNTED], *[F.sum(get(c).cast("decimal(38,10)")).alias(f"s_{c}") for c in _EXACT],
+            *[F.count(get(c)).alias(f"n_{c}") for c in _MAY_LACK]]
+
+
 def line_cells(spark: SparkSession, d: str) -> DataFrame:
     """Sums and counts of the cleaned order lines per product category, vertical, month and week.  They add up, so all
-    weekly figures and the means of the verticals come from one pass over the lines."""
-    sums = [F.sum(c).alias(f"s_{c}") for c in _COUNTED] + [F.sum(F.col(c).cast("decimal(38,10)")).alias(f"s_{c}") for c in _EXACT]
-    return clean(spark, d).groupBy(*_CELL).agg(F.count(F.lit(1)).alias("n"), *sums,
-                                               *[F.count(c).alias(f"n_{c}") for c in _MAY_LACK])
+    weekly figures come from one pass over the lines."""
+    return clean(spark, d).groupBy(*_CELL).agg(F.count(F.lit(1)).alias("n"), *_cell_sums(F.col))
+
+
+def cells_and_verticals(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """`line_cells` and `vertical_means` of one pass over the lines, written once: a line counts for its cell and for its vertical."""
+    lines = clean(spark, d).withColumn("__cell", F.explode(F.array(F.lit(True), F.lit(False))))
+
+    def cell(c):
+        return F.when(F.col("__cell"), F.col(c))
+    keys = [KEY, "vertical", *[cell(c).alias(c) for c in _CELL[2:]]]
+    ensure_checkpoint_dir(spark)
+    both = lines.groupBy("__cell", *keys).agg(
+        F.count(F.lit(1)).alias("n"), *_cell_sums(cell),
+        *[F.avg(F.when(~F.col("__cell"), F.col(c))).alias(f"m_{c}") for c in _MEANS]).checkpoint(eager=True)
+    cells = both.filter("__cell").drop("__cell", *[f"m_{c}" for c in _MEANS])
+    means = both.filter(~F.col("__cell")).select(KEY, "vertical", *[F.col(f"m_{c}").alias(c) for c in _MEANS], F.col("n").alias("n_orders"))
+    return cells, means
 
 
 def _cell_sum(c: str) -> Column:
@@ -426,10 +447,9 @@ def _cell_mean(c: str) -> Column:
     return F.try_divide(F.sum(f"s_{c}").cast("double"), F.sum(f"n_{c}" if c in _MAY_LACK else "n")).alias(c)
 
 
-def vertical_means(cells: DataFrame) -> DataFrame:
+def vertical_means(lines: DataFrame) -> DataFrame:
     """Means of units and prices and the number of order lines per product category and vertical."""
-    return cells.groupBy(KEY, "vertical").agg(*[_cell_mean(c) for c in ("units", "list_price", "product_mrp")],
-                                              F.sum("n").alias("n_orders"))
+    return lines.groupBy(KEY, "vertical").agg(*[F.avg(c).alias(c) for c in _MEANS], F.count(F.lit(1)).alias("n_orders"))
 
 
 def weekly(spark: SparkSession, d: str, cells: DataFrame | None = None, spend: DataFrame | None = None) -> DataFrame:
@@ -674,7 +694,7 @@ def price_tier_clusters(spark: SparkSession, d: str) -> DataFrame:
     starts) on scaled per-vertical means of units, list price and MRP; tiers
     are named by their order rows (most: mass, fewest: premium).  With two or
     fewer verticals the higher-MRP one is 'Aspiring'."""
-    return vertical_tiers(vertical_means(line_cells(spark, d)))
+    return vertical_tiers(vertical_means(clean(spark, d)))
 
 
 def vertical_tiers(means: DataFrame) -> DataFrame:
@@ -760,10 +780,9 @@ SWEEP_FOLDS, SWEEP_SEED = 5, 29
 def sweep_table(spark: SparkSession, d: str) -> DataFrame:
     """Per (product category, week): the 31 measures, order lines per price tier, prepaid lines, lag changes of
     GMV and the week's number.  One row per category and week, written once and read by every step after.  The
-    order lines are cleaned once: price tiers, their weekly lines and the measures all come from their cells."""
-    ensure_checkpoint_dir(spark)
-    cells = line_cells(spark, d).checkpoint(eager=True)
-    c = cells.join(vertical_tiers(vertical_means(cells)).select(KEY, "vertical", "price_tag"), [KEY, "vertical"])
+    order lines are cleaned once: price tiers, their weekly lines and the measures all come from one aggregate."""
+    cells, means = cells_and_verticals(spark, d)
+    c = cells.join(vertical_tiers(means).select(KEY, "vertical", "price_tag"), [KEY, "vertical"])
     tiers = c.groupBy(KEY, "week").agg(*[F.sum(F.when(F.col("price_tag") == t, F.col("n")).otherwise(0)).alias(t) for t in TIERS],
                                        F.sum("s_payment_ind").alias("Prepaid"))
     w = weekly_measures(spark, d, cells).join(tiers, [KEY, "week"]).checkpoint(eager=True)

@@ -207,8 +207,9 @@ def test_cells_of_lines_give_the_means_of_the_lines(spark, monkeypatch):
     lines = spark.createDataFrame(rows, ", ".join(f"{n} {t}" for n, t in zip(
         names, ["string"] * 2 + ["int"] * 3 + ["double"] * 2 + ["int"] * 5 + ["double"] * 3))).repartition(3)
     monkeypatch.setattr(mmm, "clean", lambda *a: lines)
-    cells = mmm.line_cells(spark, SF_SMALL)
-    got = {(r["sub_category"], r["vertical"]): r for r in mmm.vertical_means(cells).collect()}
+    cells, means = mmm.cells_and_verticals(spark, SF_SMALL)
+    assert sorted(map(repr, cells.collect())) == sorted(map(repr, mmm.line_cells(spark, SF_SMALL).select(*cells.columns).collect()))
+    got = {(r["sub_category"], r["vertical"]): r for r in means.collect()}
     for r in lines.groupBy("sub_category", "vertical").agg(F.avg("units").alias("u"), F.avg("list_price").alias("l"),
                                                            F.avg("product_mrp").alias("m"), F.count("*").alias("n")).collect():
         g = got[r["sub_category"], r["vertical"]]
