@@ -1,5 +1,7 @@
 """Neighbours of all users or items, and the evaluation of recommenders, against brute force."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -90,6 +92,22 @@ def test_neighbours_do_not_depend_on_runs_passes_and_heavy_vectors(spark, skew,
     assert spark.conf.get(name) == before
 
 
+def files(spark):
+    """Folders in the checkpoint folder that hold files."""
+    top = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    return {os.path.relpath(at, top).split(os.sep)[0] for at, _, names in os.walk(top) if names}
+
+
+@pytest.mark.parametrize("skew,cheap", [(0.0, 9), (1.2, 0)])
+def test_only_the_neighbours_stay_on_disk(spark, skew, cheap):
+    """Before, every step's checkpoint stayed."""
+    m = matrix(np.random.default_rng(3), 30, 30, skew)
+    v, before = unit_vectors(frame(spark, m), ["run"], "id", "key", "v"), files(spark)
+    out = cosine_neighbours(v, v, ["run"], 4, 2, None, cheap, 200, 7, 300)
+    assert {f.split("-")[0] for f in files(spark) - before} == {"nearest"}
+    assert got(out) == brute(m, m, 4)
+
+
 def test_only_the_best_pairs_of_a_vector_go_on(spark):
     """Two hundred vectors on common keys: what failed was written as rows before, 199 pairs of each."""
     rng = np.random.default_rng(5)
@@ -150,3 +168,40 @@ def test_scores(spark):
     own = spark.createDataFrame([(1, 5, 2.0), (1, 6, -1.0), (2, 6, 4.0)], "id int, item int, z double")
     assert {(r["id"], r["item"]): r["score"] for r in item_scores(model, own, []).collect()} == {(1, 100): 1.0, (2, 100): 4.0}
     assert item_scores(model, own.filter(F.lit(False)), []).count() == 0
+
+
+def test_scores_of_a_long_list_and_of_unknown_ratings(spark):
+    """A key with more elements than travel in one row; packed scores rank as plain ones."""
+    n = spark.createDataFrame([(1, 7, 0.5), (1, 8, 0.25), (2, 8, 0.1)], "id int, other int, sim double")
+    z = spark.createDataFrame([(7, i, float(i)) for i in range(6000)] + [(8, 3, None), (8, 6001, None)], "other int, item int, z double")
+    plain = user_scores(n, z, [], 3)
+    out = {(r["id"], r["item"]): r["score"] for r in plain.collect()}
+    assert out == {(1, i): np.floor(0.5 * i / 0.75 * 1e9 + 0.5) / 1e9 for i in range(6000)} | {(1, 6001): None, (2, 3): None, (2, 6001): None}
+    own, held = spark.createDataFrame([(1, 5999)], "id int, item int"), spark.createDataFrame([(1, 5990, True), (2, 3, False)], "id int, item int, good boolean")
+    for scores in (plain, user_scores(n, z, [], 3, packed=True)):
+        ranks = {r["id"]: (r["item"], r["good"], r["given"], r["scored"], r["rank"]) for r in held_out_ranks(scores, own, held, [], 2).collect()}
+        assert ranks == {1: (5990, True, 1, 6000, 9), 2: (3, False, 0, 2, None)}
+
+
+def test_folds_are_evaluated_one_after_the_other(spark):
+    """What a fold writes goes before the next one; before, the rows of all folds stood side by side and stayed."""
+    from kestrel.plans import beer
+    rng = np.random.default_rng(8)
+    rows = [(int(i), int(u), float(rng.integers(0, 11)) / 2) for u in range(60) for i in rng.choice(25, 9, replace=False)]
+    fr = spark.createDataFrame(rows, "beer_beerid long, user_id long, review_overall double")
+    before, seen, real = files(spark), [], beer.cosine_neighbours
+
+    def watched(*a, **b):
+        seen.append({f.split("-")[0] for f in files(spark) - before})
+        return real(*a, **b)
+    scratch = beer.Scratch(spark, "all")
+    beer.cosine_neighbours = watched
+    try:
+        ranks = beer._evaluated(fr, F.col("fold"), [0, 1, 2], scratch)
+    finally:
+        beer.cosine_neighbours = real
+    scratch.drop()
+    assert seen[0::2] == [{"all", "run"}] + 2 * [{"all", "run", "passes"}] and len(seen) == 6
+    assert {f.split("-")[0] for f in files(spark) - before} == {"passes"}
+    tested = {r["user_id"]: r["fold"] for r in beer._scheme(fr).collect()}
+    assert {(r["run"], r["id"]) for r in ranks.collect()} == {(f, u) for u, f in tested.items() if f < 3}
